@@ -142,18 +142,20 @@ def categorize_by_join(df: DataFrame, id_col: str, text_col: str,
             .select(id_col, F.coalesce(F.col("_b.label"), F.lit(default)).alias("category")))
 
 
-def enrich_a(df: DataFrame, summary: Column | None = None) -> DataFrame:
+def enrich_a(df: DataFrame, summary: Column | None = None,
+             categories: list[tuple[str, list[str]]] = R.CATEGORY_RULES_A,
+             high: list[str] = R.SEVERITY_HIGH_A, med: list[str] = R.SEVERITY_MED_A) -> DataFrame:
     """Live enrichment: category (title), severity (title + '\\n' + content), action.
 
-    ``summary``: optional Column to store where the stored summary is empty
-    (sticky summary); see ``presswork.operators.summary.enrich_summary``.
+    ``summary``: optional Column stored only where the stored summary is
+    empty (sticky summary). Rule tables are parameters.
     """
     lt = lowered("title")
     score_text = F.lower(F.concat(F.coalesce(F.col("title"), F.lit("")), F.lit("\n"),
                                   F.coalesce(F.col("content"), F.lit(""))))
     out = (df.withColumn("_lt", lt).withColumn("_ls", score_text)
-           .withColumn("category", categorize("_lt", already_lower=True))
-           .withColumn("severity_score", severity_score("_ls", already_lower=True))
+           .withColumn("category", categorize("_lt", categories, already_lower=True))
+           .withColumn("severity_score", severity_score("_ls", high, med, already_lower=True).cast("bigint"))
            .withColumn("severity", severity_label("severity_score"))
            .withColumn("soc_action", soc_action_a("category", "severity"))
            .drop("_lt", "_ls"))
@@ -163,7 +165,9 @@ def enrich_a(df: DataFrame, summary: Column | None = None) -> DataFrame:
     return out
 
 
-def enrich_b(df: DataFrame, raw_col: str = "content", summarizer=None) -> DataFrame:
+def enrich_b(df: DataFrame, raw_col: str = "content", summarizer=None,
+             categories: list[tuple[str, list[str]]] = R.CATEGORY_RULES_B,
+             tiers: list[tuple[str, list[str]]] = R.SEVERITY_TIERS_B) -> DataFrame:
     """Second enrichment: html->text, (summarise), clamp 5 lines, rules B over title + summary.
 
     ``summarizer``: optional ``Column -> Column`` applied to the cleaned text;
@@ -174,7 +178,7 @@ def enrich_b(df: DataFrame, raw_col: str = "content", summarizer=None) -> DataFr
     out = df.withColumn("summary", clamp_lines(html_to_text(raw_summary), R.SUMMARY_LINES))
     basis = F.lower(F.concat(F.coalesce(F.col("title"), F.lit("")), F.lit(" "), F.col("summary")))
     return (out.withColumn("_lb", basis)
-            .withColumn("category", categorize("_lb", R.CATEGORY_RULES_B, already_lower=True))
-            .withColumn("severity", severity_tier("_lb", already_lower=True))
+            .withColumn("category", categorize("_lb", categories, already_lower=True))
+            .withColumn("severity", severity_tier("_lb", tiers, already_lower=True))
             .withColumn("soc_reco", soc_action_b("category"))
             .drop("_lb"))

@@ -43,6 +43,13 @@ def report_order(ts_col: str = "published_at", id_col: str = "arrival_id") -> li
     return [F.col(ts_col).desc_nulls_last(), F.col(id_col).desc()]
 
 
+def report_order_key(ts_col: str = "published_at", id_col: str = "arrival_id") -> list[Column]:
+    """:func:`report_order` as ascending keys (for ``min(struct(...))`` first-seen logic)."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", epoch, F.col(ts_col))
+    return [F.col(ts_col).isNull(), F.coalesce(-micros, F.lit(0).cast("bigint")), -F.col(id_col)]
+
+
 def check_limit(limit: int) -> int:
     if not (R.LIMIT_MIN <= int(limit) <= R.LIMIT_MAX):
         raise ValueError(f"limit must be in [{R.LIMIT_MIN}, {R.LIMIT_MAX}], got {limit}")
@@ -158,7 +165,6 @@ def report_lines(header: DataFrame, top_rows: DataFrame, trends_line_df: DataFra
     mid = trends_line_df.select(F.array(L(""), L("## Tendencias (términos repetidos)"), F.col("line"), L(""),
                                         L("## Detalle por noticia")).alias("lines"), L(2).alias("sec"),
                                 L(0).cast("bigint").alias("pos"))
-    n = F.max("pos").over(Window.partitionBy())
     det = detail.select(F.array(
         F.concat(L("### "), F.col("title")),
         F.concat(L("- Fuente: **"), F.col("source"), L("** | Dominio: `"), F.col("domain"), L("`")),

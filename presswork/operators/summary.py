@@ -107,3 +107,17 @@ def enrich_summary(df: DataFrame, id_col: str = "arrival_id", max_lines: int = S
     sums = extractive_summary(todo.select(id_col, src.alias("_src")), id_col, "_src", max_lines, "_sum")
     filled = todo.join(sums, id_col, "left").withColumn("summary", F.col("_sum")).drop("_sum")
     return done.unionByName(filled)
+
+
+class ExtractiveSummarizer:
+    """The default summariser plug-in: ``summarize(df, id_col, text_col) -> (id, summary)``.
+
+    Any object with the same method (for example one wrapping a
+    ``pandas_udf``) can be passed where a summariser is expected.
+    """
+
+    def __init__(self, max_lines: int = SUMMARY_LINES):
+        self.max_lines = max_lines
+
+    def summarize(self, df: DataFrame, id_col: str, text_col, out_col: str = "summary") -> DataFrame:
+        return extractive_summary(df, id_col, text_col, self.max_lines, out_col)

@@ -33,16 +33,18 @@ def _tokens(df: DataFrame, text_col: str, variant: str, min_len: int):
     raise ValueError(f"unknown trend variant {variant!r}; expected one of {VARIANTS}")
 
 
-def trend_terms(df: DataFrame, text_col: str, order: list[str], variant: str = "report",
+def trend_terms(df: DataFrame, text_col: str, order: list, variant: str = "report",
                 n: int | None = R.TREND_N, min_len: int = 4) -> DataFrame:
     """Top-``n`` terms ``(rank, term, cnt)`` by count desc, ties to first appearance.
 
-    ``order``: columns giving the input row order (e.g. the report order).
+    ``order``: ascending key columns (names or Columns) giving the input row
+    order, e.g. :func:`presswork.operators.report.report_order_key`.
     ``n=None`` returns every term as ``(term, cnt)``, globally sorted the same
     way (a range-partitioned sort; no single-partition step).
     """
-    toks = _tokens(df.select(text_col, *order), text_col, variant, min_len)
-    first = F.struct(*[F.col(c) for c in order], F.col("_pos"))
+    keys = [(F.col(c) if isinstance(c, str) else c).alias(f"_o{i}") for i, c in enumerate(order)]
+    toks = _tokens(df.select(text_col, *keys), text_col, variant, min_len)
+    first = F.struct(*[F.col(f"_o{i}") for i in range(len(keys))], F.col("_pos"))
     agg = toks.groupBy("term").agg(F.count(F.lit(1)).alias("cnt"), F.min(first).alias("_first"))
     by = [F.col("cnt").desc(), F.col("_first").asc()]
     if n is None:

@@ -104,6 +104,461 @@ def q_canonicalize_url(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.canonicalize_url("url").alias("canonical_url"))
 
 
+# ---------------------------------------------------------------------------
+# more text functions
+# ---------------------------------------------------------------------------
+
+@register("split_sentences", f"""SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_sentences, array_to_string(ss, chr(10)) AS sentences
+FROM (SELECT doc_id, {O.sentences(O.clean('text'))} AS ss FROM documents)""")
+def q_split_sentences(spark, sf):
+    ss = T.split_sentences(F.col("text"))
+    return table(spark, sf, "documents").select(
+        "doc_id", F.size(ss).cast("bigint").alias("n_sentences"), F.array_join(ss, "\n").alias("sentences"))
+
+
+@register("clamp_lines", f"SELECT doc_id, {O.clamp('text', 5)} AS clamped FROM documents")
+def q_clamp_lines(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.clamp_lines(F.col("text"), 5).alias("clamped"))
+
+
+@register("tokens_alnum", f"""SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, array_to_string(w, ' ') AS tokens
+FROM (SELECT doc_id, {O.words('text', 3)} AS w FROM documents)""")
+def q_tokens_alnum(spark, sf):
+    w = T.tokens_alnum(F.col("text"), 3)
+    return table(spark, sf, "documents").select(
+        "doc_id", F.size(w).cast("bigint").alias("n_tokens"), F.array_join(w, " ").alias("tokens"))
+
+
+_STRIP = O.q(R.TOKEN_STRIP_CHARS)
+
+
+@register("tokens_ws", _with(O.ARTICLES_FX) + f"""SELECT arrival_id,
+  array_to_string(list_transform(list_filter(string_split(lower({O.clean('title')}), ' '), lambda s: s <> ''),
+                                 lambda s: trim(s, {_STRIP})), ' ') AS tokens
+FROM articles""")
+def q_tokens_ws(spark, sf):
+    toks = F.transform(T.tokens_ws(F.col("title")), T.strip_token)
+    return articles_fx(spark, sf).select("arrival_id", F.array_join(toks, " ").alias("tokens"))
+
+
+@register("truncate", _with(O.ARTICLES_FX) + f"""SELECT arrival_id, left(content, {R.CONTENT_MAX}) AS content_cut,
+  CAST(length(left(content, {R.CONTENT_MAX})) AS BIGINT) AS n_chars, left({O.clean('content')}, {R.MD_SUMMARY_MAX}) AS summary_cut
+FROM articles""")
+def q_truncate(spark, sf):
+    a = articles_fx(spark, sf)
+    cut = T.truncate(F.col("content"), R.CONTENT_MAX)
+    return a.select("arrival_id", cut.alias("content_cut"), F.char_length(cut).cast("bigint").alias("n_chars"),
+                    T.truncate(T.clean_whitespace("content"), R.MD_SUMMARY_MAX).alias("summary_cut"))
+
+
+def _entities_sql(x: str) -> str:
+    # the entities present in the driver's pages; '&amp;' last (single-pass decoding)
+    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "\u00a9"),
+                    ("&middot;", "\u00b7"), ("&amp;", "&")]:
+        x = f"replace({x}, {O.q(ent)}, {O.q(ch)})"
+    return x
+
+
+def _html_to_text_sql(x: str) -> str:
+    y = _entities_sql(f"coalesce({x}, '')")
+    y = f"regexp_replace({y}, {O.q('(?s)<!--.*?(-->|$)')}, ' ', 'g')"
+    for tag in ("script", "style", "template"):
+        y = f"regexp_replace({y}, {O.q('(?is)<' + tag + '\\b[^>]*>.*?(</' + tag + '\\s*>|$)')}, ' ', 'g')"
+    y = f"regexp_replace({y}, {O.q('<[A-Za-z/!?][^>]*>')}, ' ', 'g')"
+    return O.clean(y)
+
+
+@register("html_to_text", f"SELECT page_id, {_html_to_text_sql('html')} AS text FROM pages")
+def q_html_to_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+# ---------------------------------------------------------------------------
+# keys and dates
+# ---------------------------------------------------------------------------
+
+@register("dedupe_key", _with(O.ARTICLES_FX) + f"""SELECT arrival_id, {_canon_sql('url')} AS url,
+  sha256(lower({O.strip_ws('title')}) || '|' || {O.domain(_canon_sql('url'))} || '|' ||
+         coalesce(strftime(published_at, '%Y-%m-%d'), '')) AS dedupe_key
+FROM articles""")
+def q_dedupe_key(spark, sf):
+    a = articles_fx(spark, sf).withColumn("url", U.canonicalize_url("url"))
+    return a.select("arrival_id", "url", U.dedupe_key("title", U.get_domain("url"), "published_at").alias("dedupe_key"))
+
+
+def _derived_dates(spark, sf):
+    """Publication strings rendered by Spark from ``events.ts`` in several feed formats."""
+    ev = table(spark, sf, "events").select("event_id", "ts", "user_id")
+    off = F.element_at(F.array(F.lit("Z"), F.lit("+05:30"), F.lit("-0800")),
+                       (F.pmod(F.col("user_id"), F.lit(3)) + 1).cast("int"))
+    return ev.select(
+        "event_id", "ts", "user_id",
+        F.concat(F.date_format("ts", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT")).alias("rfc822"),
+        F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), off).alias("iso"),
+    )
+
+
+@register("parse_pub_ts", """SELECT event_id, date_trunc('second', ts) AS from_rfc822, ts AS from_iso_wall,
+  ts - CASE user_id % 3 WHEN 0 THEN INTERVAL 0 MINUTE WHEN 1 THEN INTERVAL 330 MINUTE ELSE INTERVAL (-480) MINUTE END AS from_iso_utc,
+  CAST(NULL AS TIMESTAMP) AS rfc822_as_iso_utc
+FROM events""")
+def q_parse_pub_ts(spark, sf):
+    d = _derived_dates(spark, sf)
+    return d.select("event_id",
+                    D.parse_pub_ts(F.col("rfc822")).alias("from_rfc822"),
+                    D.parse_pub_ts(F.col("iso")).alias("from_iso_wall"),
+                    D.parse_iso_utc(F.col("iso")).alias("from_iso_utc"),
+                    D.parse_iso_utc(F.col("rfc822")).alias("rfc822_as_iso_utc"))
+
+
+@register("since_hours", """SELECT event_id, CASE event_type WHEN 'view' THEN user_id WHEN 'click' THEN user_id * 24 ELSE NULL END AS hours
+FROM events""")
+def q_since_hours(spark, sf):
+    ev = table(spark, sf, "events")
+    unit = F.when(F.col("event_type") == "view", F.lit(" h")).when(F.col("event_type") == "click", F.lit("D")).otherwise(F.lit("w"))
+    return ev.select("event_id", D.since_hours_col(F.concat(F.col("user_id").cast("string"), unit)).alias("hours"))
+
+
+@register("date_of", _with(O.ARTICLES_FX) + "SELECT arrival_id, strftime(published_at, '%Y-%m-%d') AS pub_date FROM articles")
+def q_date_of(spark, sf):
+    return articles_fx(spark, sf).select("arrival_id", U.date_iso("published_at").alias("pub_date"))
+
+
+# ---------------------------------------------------------------------------
+# filters
+# ---------------------------------------------------------------------------
+
+@register("recent_window", _with(O.ARTICLES_FX, O.window(24)) + "SELECT arrival_id, published_at FROM win")
+def q_recent_window(spark, sf):
+    a = articles_fx(spark, sf)
+    return report.recent_window(a, as_of_of(a), "24h").select("arrival_id", "published_at")
+
+
+@register("recent_window_7d", _with(O.ARTICLES_FX, O.window(168)) + "SELECT arrival_id, published_at FROM win")
+def q_recent_window_7d(spark, sf):
+    a = articles_fx(spark, sf)
+    return report.recent_window(a, as_of_of(a), "7d").select("arrival_id", "published_at")
+
+
+def _robots_sql() -> str:
+    from presswork.plans.params import ROBOTS_RULES
+    vals = ", ".join(f"({O.q(h)}, {o}, {str(a).upper()}, {O.q(p)})" for h, o, a, p in ROBOTS_RULES)
+    path = (f"(regexp_extract(url, {O.q(U.URL_PARTS)}, 4) || CASE WHEN regexp_extract(url, {O.q(U.URL_PARTS)}, 5) <> '' "
+            f"THEN '?' || regexp_extract(url, {O.q(U.URL_PARTS)}, 5) ELSE '' END)")
+    return f"""WITH rules(host, rule_ord, allow, path_prefix) AS (VALUES {vals}),
+u AS (SELECT page_id, url, {O.domain('url')} AS host, CASE WHEN {path} = '' THEN '/' ELSE {path} END AS path FROM pages),
+m AS (SELECT u.page_id, min({{'o': r.rule_ord, 'a': r.allow}}) AS first_rule FROM u JOIN rules r ON r.host = u.host AND starts_with(u.path, r.path_prefix) GROUP BY u.page_id)
+SELECT u.page_id, u.url, coalesce(m.first_rule.a, TRUE) AS allowed FROM u LEFT JOIN m USING (page_id)"""
+
+
+@register("robots_filter", _robots_sql())
+def q_robots_filter(spark, sf):
+    from presswork.operators.robots import robots_allowed, rules_frame
+    from presswork.plans.params import ROBOTS_RULES
+    return robots_allowed(table(spark, sf, "pages").select("page_id", "url"), rules_frame(spark, ROBOTS_RULES))
+
+
+# ---------------------------------------------------------------------------
+# scan of HTML links, union of sources, de-duplication
+# ---------------------------------------------------------------------------
+
+_HREF_SQL = "(regexp_extract(attrs, {p}, 1) || regexp_extract(attrs, {p}, 2) || regexp_extract(attrs, {p}, 3))"
+
+
+def _links_sql() -> str:
+    from presswork.sources import html as H
+    inner = f"regexp_extract(a, {O.q(H.INNER_RE)}, 1)"
+    txt = f"regexp_replace(regexp_replace({inner}, {O.q(H.COMMENT_RE)}, ' ', 'g'), {O.q(H.MARKUP_RE)}, ' ', 'g')"
+    return f"""links AS (
+  SELECT page_id, url AS page_url, CAST(i - 1 AS BIGINT) AS link_ord,
+         {_entities_sql(_HREF_SQL.format(p=O.q(H.HREF_RE)))} AS href,
+         {O.clean(_entities_sql(txt))} AS title
+  FROM (SELECT page_id, url, x.a AS a, x.i AS i, regexp_extract(x.a, {O.q(H.OPEN_ATTRS_RE)}, 1) AS attrs
+        FROM pages, unnest(regexp_extract_all(coalesce(html, ''), {O.q(H.ANCHOR_RE)})) WITH ORDINALITY AS x(a, i)))"""
+
+
+@register("scan_html_links", _with(_links_sql()) + "SELECT page_id, link_ord, href, title FROM links")
+def q_scan_html_links(spark, sf):
+    from presswork.sources.html import scan_html_links
+    return scan_html_links(table(spark, sf, "pages")).select("page_id", "link_ord", "href", "title")
+
+
+def _link_items_sql() -> str:
+    resolved = "CASE WHEN starts_with(href, '/') THEN regexp_replace(page_url, '/+$', '') || href ELSE href END"
+    return f"""link_items AS (
+  SELECT 'pages' AS source, {O.domain(_canon_sql('link'))} AS domain, left(title, 400) AS title, {_canon_sql('link')} AS url,
+         CAST(NULL AS TIMESTAMP) AS published_at, 1000000 AS source_ord, page_id * 1000000 + link_ord AS entry_ord
+  FROM (SELECT *, {resolved} AS link FROM links WHERE href <> '' AND title <> '')
+  WHERE starts_with(link, 'http'))"""
+
+
+def _article_items_sql() -> str:
+    return f"""art_items AS (
+  SELECT source, {O.domain(_canon_sql('url'))} AS domain, title, {_canon_sql('url')} AS url, published_at,
+         0 AS source_ord, arrival_id AS entry_ord
+  FROM articles WHERE coalesce(title, '') <> '' AND coalesce(url, '') <> '')"""
+
+
+def _article_items(spark, sf):
+    a = articles_fx(spark, sf).filter((F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != ""))
+    a = a.withColumn("url", U.canonicalize_url("url"))
+    return a.select("source", U.get_domain("url").alias("domain"), "title", "url", "published_at",
+                    F.lit(0).alias("source_ord"), F.col("arrival_id").alias("entry_ord"))
+
+
+def _link_items(spark, sf):
+    from presswork.sources.html import links_to_items, scan_html_links
+    return links_to_items(scan_html_links(table(spark, sf, "pages")), "pages", 0).drop("dedupe_key")
+
+
+_BATCH_SQL = (_with(O.ARTICLES_FX, _links_sql(), _link_items_sql(), _article_items_sql(),
+                    "batch AS (SELECT * FROM art_items UNION ALL SELECT * FROM link_items)"))
+
+
+@register("union_sources", _BATCH_SQL + """SELECT source, url, title, CAST(source_ord AS INTEGER) AS source_ord,
+  CAST(entry_ord AS BIGINT) AS entry_ord FROM batch""")
+def q_union_sources(spark, sf):
+    u = dedup.union_sources(_article_items(spark, sf), _link_items(spark, sf))
+    return u.select("source", "url", "title", "source_ord", F.col("entry_ord").cast("bigint"))
+
+
+_FIRST_URL = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY source_ord, entry_ord) AS rn FROM batch) WHERE rn = 1"
+
+
+@register("dedup_url", _BATCH_SQL + f"""SELECT url, source, title, CAST(source_ord AS INTEGER) AS source_ord,
+  CAST(entry_ord AS BIGINT) AS entry_ord FROM ({_FIRST_URL})""")
+def q_dedup_url(spark, sf):
+    u = dedup.union_sources(_article_items(spark, sf), _link_items(spark, sf))
+    return dedup.dedup_url(u).select("url", "source", "title", "source_ord", F.col("entry_ord").cast("bigint"))
+
+
+@register("dedup_key", _BATCH_SQL + f"""SELECT dedupe_key, url, source, CAST(entry_ord AS BIGINT) AS entry_ord FROM (
+  SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY source_ord, entry_ord) AS rn FROM (
+    SELECT *, sha256(lower({O.strip_ws('title')}) || '|' || domain || '|' || coalesce(strftime(published_at, '%Y-%m-%d'), '')) AS dedupe_key
+    FROM batch)) WHERE rn = 1""")
+def q_dedup_key(spark, sf):
+    u = dedup.union_sources(_article_items(spark, sf), _link_items(spark, sf))
+    return dedup.dedup_key(u).select("dedupe_key", "url", "source", F.col("entry_ord").cast("bigint"))
+
+
+@register("ingest_counts", _BATCH_SQL + f"""SELECT b.source, count(*) AS items, CAST(coalesce(max(k.inserted), 0) AS BIGINT) AS inserted
+FROM batch b LEFT JOIN (SELECT source, count(*) AS inserted FROM ({_FIRST_URL}) GROUP BY source) k USING (source)
+GROUP BY b.source""")
+def q_ingest_counts(spark, sf):
+    u = dedup.union_sources(_article_items(spark, sf), _link_items(spark, sf))
+    return dedup.ingest_counts(u, dedup.dedup_url(u))
+
+
+@register("anti_existing", _with(O.ARTICLES_FX) + f"""SELECT arrival_id, {_canon_sql('url')} AS url FROM articles n
+WHERE (published_at IS NULL OR published_at >= (SELECT max(published_at) FROM articles) - INTERVAL 24 HOUR)
+  AND {_canon_sql('url')} NOT IN (
+    SELECT {_canon_sql('url')} FROM articles
+    WHERE published_at < (SELECT max(published_at) FROM articles) - INTERVAL 24 HOUR)""")
+def q_anti_existing(spark, sf):
+    a = articles_fx(spark, sf).withColumn("url", U.canonicalize_url("url"))
+    start = report.window_start(as_of_of(a), "24h")
+    new = a.filter(F.col("published_at").isNull() | (F.col("published_at") >= start))
+    store = a.filter(F.col("published_at") < start)
+    return dedup.anti_existing(new.select("arrival_id", "url"), store, "url")
+
+
+# ---------------------------------------------------------------------------
+# enrichment
+# ---------------------------------------------------------------------------
+
+from presswork.plans import params as P  # noqa: E402
+
+
+def _enriched(spark, sf, freq: bool):
+    a = articles_fx(spark, sf)
+    if freq:
+        return enrich.enrich_a(a, categories=P.FREQ_CATEGORY_RULES, high=P.FREQ_SEVERITY_HIGH, med=P.FREQ_SEVERITY_MED)
+    return enrich.enrich_a(a)
+
+
+def _enrich_sql(freq: bool) -> str:
+    lt = O.lower0("title")
+    ls = "lower(coalesce(title, '') || chr(10) || coalesce(content, ''))"
+    cats = P.FREQ_CATEGORY_RULES if freq else R.CATEGORY_RULES_A
+    hi, me = (P.FREQ_SEVERITY_HIGH, P.FREQ_SEVERITY_MED) if freq else (R.SEVERITY_HIGH_A, R.SEVERITY_MED_A)
+    return (f"e0 AS (SELECT * EXCLUDE (category, severity, soc_action), {O.category_case(lt, cats)} AS category, "
+            f"{O.score_sum(ls, hi, me)} AS severity_score FROM articles), "
+            f"e1 AS (SELECT *, {O.severity_case('severity_score')} AS severity FROM e0), "
+            f"enriched AS (SELECT *, {O.soc_action_a('category', 'severity')} AS soc_action FROM e1)")
+
+
+for _freq, _sfx in ((False, ""), (True, "_freq")):
+    register(f"categorize_a{_sfx}", _with(O.ARTICLES_FX, _enrich_sql(_freq)) + "SELECT arrival_id, category FROM enriched")(
+        lambda spark, sf, _f=_freq: _enriched(spark, sf, _f).select("arrival_id", "category"))
+    register(f"severity_score_a{_sfx}", _with(O.ARTICLES_FX, _enrich_sql(_freq)) +
+             "SELECT arrival_id, severity_score, severity FROM enriched")(
+        lambda spark, sf, _f=_freq: _enriched(spark, sf, _f).select("arrival_id", "severity_score", "severity"))
+    register(f"soc_action_a{_sfx}", _with(O.ARTICLES_FX, _enrich_sql(_freq)) + "SELECT arrival_id, soc_action FROM enriched")(
+        lambda spark, sf, _f=_freq: _enriched(spark, sf, _f).select("arrival_id", "soc_action"))
+    register(f"severity_counts{_sfx}", _with(O.ARTICLES_FX, _enrich_sql(_freq)) + """SELECT
+  count(*) FILTER (WHERE lower(coalesce(severity, '')) IN ('critica', 'crítica')) AS critica,
+  count(*) FILTER (WHERE lower(coalesce(severity, '')) = 'alta') AS alta,
+  count(*) FILTER (WHERE lower(coalesce(severity, '')) = 'media') AS media,
+  count(*) FILTER (WHERE lower(coalesce(severity, '')) IN ('baja', '')) AS baja FROM enriched""")(
+        lambda spark, sf, _f=_freq: report.severity_counts(_enriched(spark, sf, _f)))
+
+
+@register("md_guidance", _with(O.ARTICLES_FX, _enrich_sql(True)) + f"""SELECT arrival_id,
+  {O.md_guidance('severity', 1)} AS guidance_1, {O.md_guidance('severity', 2)} AS guidance_2,
+  {O.sev_rank('severity')} AS severity_rank FROM enriched""")
+def q_md_guidance(spark, sf):
+    e = _enriched(spark, sf, True)
+    return e.select("arrival_id", enrich.md_guidance("severity", 1).alias("guidance_1"),
+                    enrich.md_guidance("severity", 2).alias("guidance_2"),
+                    enrich.severity_rank("severity").alias("severity_rank"))
+
+
+def _b_text_sql() -> str:
+    return f"lower(coalesce(title, '') || ' ' || {O.clamp(_html_to_text_sql(_html_to_text_sql('content')), R.SUMMARY_LINES)})"
+
+
+def _enrich_b_sql(freq: bool) -> str:
+    cats = P.FREQ_CATEGORY_RULES if freq else R.CATEGORY_RULES_B
+    tiers = P.FREQ_TIERS if freq else R.SEVERITY_TIERS_B
+    summ = O.clamp(_html_to_text_sql(_html_to_text_sql("content")), R.SUMMARY_LINES)
+    return (f"b0 AS (SELECT arrival_id, {summ} AS summary, title FROM articles), "
+            f"b1 AS (SELECT *, lower(coalesce(title, '') || ' ' || summary) AS lb FROM b0), "
+            f"enriched_b AS (SELECT arrival_id, summary, {O.category_case('lb', cats)} AS category, "
+            f"{O.category_case('lb', tiers, 'baja')} AS severity FROM b1)")
+
+
+for _freq, _sfx in ((False, ""), (True, "_freq")):
+    register(f"enrich_b{_sfx}", _with(O.ARTICLES_FX, _enrich_b_sql(_freq)) + f"""SELECT arrival_id, summary, category, severity,
+  {O.lookup_case('category', R.SOC_ACTIONS_B, R.SOC_ACTION_DEFAULT_B)} AS soc_reco FROM enriched_b""")(
+        lambda spark, sf, _f=_freq: enrich.enrich_b(
+            articles_fx(spark, sf), "content",
+            categories=P.FREQ_CATEGORY_RULES if _f else R.CATEGORY_RULES_B,
+            tiers=P.FREQ_TIERS if _f else R.SEVERITY_TIERS_B).select("arrival_id", "summary", "category", "severity", "soc_reco"))
+
+
+@register("rule_match_join", "WITH rules(rule_ord, label, keyword) AS (VALUES " + ", ".join(
+    f"({i}, {O.q(lab)}, {O.q(k)})" for i, (lab, kws) in enumerate(P.FREQ_CATEGORY_RULES) for k in kws) + """)
+SELECT d.doc_id, r.rule_ord, r.label, r.keyword FROM documents d JOIN rules r ON contains(lower(coalesce(d.text, '')), r.keyword)""")
+def q_rule_match_join(spark, sf):
+    ev = enrich.rule_match_join(table(spark, sf, "documents"), "doc_id", "text", P.FREQ_CATEGORY_RULES)
+    return ev.select("doc_id", "rule_ord", "label", "keyword")
+
+
+@register("categorize_by_join", "WITH rules(rule_ord, label, keyword) AS (VALUES " + ", ".join(
+    f"({i}, {O.q(lab)}, {O.q(k)})" for i, (lab, kws) in enumerate(P.FREQ_CATEGORY_RULES) for k in kws) + f""")
+SELECT doc_id, {O.category_case(O.lower0('text'), P.FREQ_CATEGORY_RULES)} AS category FROM documents""")
+def q_categorize_by_join(spark, sf):
+    return enrich.categorize_by_join(table(spark, sf, "documents"), "doc_id", "text", P.FREQ_CATEGORY_RULES)
+
+
+# ---------------------------------------------------------------------------
+# extractive summary
+# ---------------------------------------------------------------------------
+
+def summary_sql(src: str, id_col: str, text_col: str, max_lines: int = R.SUMMARY_LINES) -> str:
+    """CTEs ending in ``summ(id, summary)`` over ``src(id, text)``."""
+    return f"""sb AS (SELECT {id_col} AS id, {O.clean(text_col)} AS t FROM {src}),
+ss AS (SELECT sb.id, x.s, x.i FROM sb, unnest({O.sentences('sb.t')}) WITH ORDINALITY AS x(s, i)),
+stk AS (SELECT ss.id, ss.i, y.w FROM ss, unnest({O.words('ss.s')}) AS y(w)),
+sfq AS (SELECT id, w, count(*) AS c FROM stk GROUP BY id, w),
+ssc AS (SELECT stk.id, stk.i, sum(sfq.c) AS sc, count(*) AS n FROM stk JOIN sfq USING (id, w) GROUP BY stk.id, stk.i),
+srk AS (SELECT id, i, row_number() OVER (PARTITION BY id ORDER BY -(CAST(sc AS DOUBLE) / sqrt(CAST(n AS DOUBLE))), i) AS rk FROM ssc),
+spk AS (SELECT srk.id, string_agg(ss.s, chr(10) ORDER BY srk.i) AS picked FROM srk JOIN ss USING (id, i) WHERE rk <= {max_lines} GROUP BY srk.id),
+sf3 AS (SELECT id, string_agg(s, ' ' ORDER BY i) AS f3 FROM ss WHERE i <= 3 GROUP BY id),
+summ AS (SELECT sb.id, CASE WHEN sb.t = '' THEN '' WHEN spk.id IS NULL THEN coalesce(sf3.f3, '') ELSE trim(spk.picked) END AS summary
+         FROM sb LEFT JOIN spk USING (id) LEFT JOIN sf3 USING (id))"""
+
+
+@register("extractive_summary", _with(summary_sql("documents", "doc_id", "text")) + "SELECT id AS doc_id, summary FROM summ")
+def q_extractive_summary(spark, sf):
+    return summary.extractive_summary(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@register("summarizer_plugin", _with(summary_sql("documents", "doc_id", "text", 3)) + "SELECT id AS doc_id, summary FROM summ")
+def q_summarizer_plugin(spark, sf):
+    from presswork.operators.summary import ExtractiveSummarizer
+    plugin = ExtractiveSummarizer(max_lines=3)
+    return plugin.summarize(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@register("topk_sentences", _with(summary_sql("documents", "doc_id", "text")) + """SELECT srk.id AS doc_id, CAST(srk.i - 1 AS BIGINT) AS sent_idx,
+  ss.s AS sentence, CAST(srk.rk AS BIGINT) AS score_rank FROM srk JOIN ss USING (id, i) WHERE srk.rk <= 5""")
+def q_topk_sentences(spark, sf):
+    return summary.topk_sentences(table(spark, sf, "documents"), "doc_id", "text", 5)
+
+
+@register("term_freq", f"""SELECT doc_id, term, cnt, max(cnt) OVER (PARTITION BY doc_id) AS max_cnt FROM (
+  SELECT doc_id, w AS term, count(*) AS cnt FROM (SELECT doc_id, unnest({O.words(O.clean('text'))}) AS w FROM documents) GROUP BY doc_id, w)""")
+def q_term_freq(spark, sf):
+    return summary.term_freq(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def _enrich_a_full_sql() -> str:
+    src = "(SELECT arrival_id, CASE WHEN coalesce(content, '') <> '' THEN content ELSE title END AS src FROM win)"
+    return (_with(O.ARTICLES_FX, O.window(24), summary_sql(src, "arrival_id", "src"),
+                  _enrich_sql(False).replace("FROM articles", "FROM win")) +
+            """SELECT e.arrival_id, e.category, e.severity, e.soc_action, s.summary FROM enriched e JOIN summ s ON s.id = e.arrival_id""")
+
+
+@register("enrich_a", _enrich_a_full_sql())
+def q_enrich_a(spark, sf):
+    a = articles_fx(spark, sf)
+    win = report.recent_window(a, as_of_of(a), "24h")
+    e = summary.enrich_summary(enrich.enrich_a(win))
+    return e.select("arrival_id", "category", "severity", "soc_action", "summary")
+
+
+@register("enrich_count", _with(O.ARTICLES_FX, O.window(24)) + "SELECT count(*) AS enriched FROM win")
+def q_enrich_count(spark, sf):
+    a = articles_fx(spark, sf)
+    win = report.recent_window(a, as_of_of(a), "24h")
+    return enrich.enrich_a(win).agg(F.count(F.lit(1)).alias("enriched"))
+
+
+# ---------------------------------------------------------------------------
+# trends
+# ---------------------------------------------------------------------------
+
+def _trend_sql(variant: str, n: int | None, text: str = "title", min_len: int = 4) -> str:
+    base = (f"ord AS (SELECT {text} AS txt, row_number() OVER (ORDER BY published_at DESC NULLS LAST, arrival_id DESC) AS rn "
+            f"FROM articles)")
+    if variant == "regex":
+        stop = ", ".join(O.q(w) for w in R.STOPWORDS_REGEX)
+        tok = (f"tk AS (SELECT rn, x.term, x.pos FROM ord, unnest({O.words('txt', min_len)}) WITH ORDINALITY AS x(term, pos) "
+               f"WHERE x.term NOT IN ({stop}))")
+    else:
+        raw = (f"rw AS (SELECT rn, x.raw, x.pos FROM ord, unnest(list_filter(string_split(lower({O.clean('txt')}), ' '), "
+               f"lambda s: s <> '')) WITH ORDINALITY AS x(raw, pos))")
+        if variant == "md":
+            stop = ", ".join(O.q(w) for w in R.STOPWORDS_MD)
+            tok = raw + (f", tk AS (SELECT rn, trim(raw, {_STRIP}) AS term, pos FROM rw WHERE length(raw) >= {min_len}) ")
+            tok += f", tk2 AS (SELECT * FROM tk WHERE term <> '' AND term NOT IN ({stop}))"
+        else:
+            stop = ", ".join(O.q(w) for w in R.STOPWORDS_REPORT)
+            tok = raw + f", tk AS (SELECT rn, trim(raw, {_STRIP}) AS term, pos FROM rw) "
+            tok += f", tk2 AS (SELECT * FROM tk WHERE length(term) >= {min_len} AND term NOT IN ({stop}))"
+        tok = tok.replace("tk2", "tkf")
+    src = "tkf" if variant != "regex" else "tk"
+    agg = f"SELECT term, count(*) AS cnt, min({{'rn': rn, 'pos': pos}}) AS f FROM {src} GROUP BY term"
+    if n is None:
+        return _with(O.ARTICLES_FX, base, tok) + f"SELECT term, cnt FROM ({agg})"
+    return (_with(O.ARTICLES_FX, base, tok) +
+            f"SELECT row_number() OVER (ORDER BY cnt DESC, f) AS rank, term, cnt FROM ({agg}) ORDER BY cnt DESC, f LIMIT {n}")
+
+
+def _trend(variant, n, text="title", min_len=4):
+    def fn(spark, sf):
+        a = articles_fx(spark, sf)
+        return trends.trend_terms(a, text, report.report_order_key(), variant, n, min_len)
+    return fn
+
+
+register("trend_terms_report", _trend_sql("report", 10))(_trend("report", 10))
+register("trend_terms_md", _trend_sql("md", 10))(_trend("md", 10))
+register("trend_terms_regex", _trend_sql("regex", None, "content"))(_trend("regex", None, "content"))
+register("trend_terms_report_content", _trend_sql("report", 10, "content"))(_trend("report", 10, "content"))
+
+
 def all_queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 
