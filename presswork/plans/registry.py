@@ -559,6 +559,143 @@ register("trend_terms_regex", _trend_sql("regex", None, "content"))(_trend("rege
 register("trend_terms_report_content", _trend_sql("report", 10, "content"))(_trend("report", 10, "content"))
 
 
+# ---------------------------------------------------------------------------
+# window selection and report datasets (frequent-word rules, so every
+# severity level occurs)
+# ---------------------------------------------------------------------------
+
+@register("latest_n", _with(O.ARTICLES_FX, O.window(24), O.latest(25)) + "SELECT pos, arrival_id, published_at, title FROM latest")
+def q_latest_n(spark, sf):
+    return _latest(spark, sf).select("pos", "arrival_id", "published_at", "title")
+
+
+@register("latest_n_200_7d", _with(O.ARTICLES_FX, O.window(168), O.latest(200)) + "SELECT pos, arrival_id, published_at FROM latest")
+def q_latest_n_200(spark, sf):
+    return _latest(spark, sf, 200, "7d").select("pos", "arrival_id", "published_at")
+
+
+def _rep_sql() -> list[str]:
+    src = "(SELECT arrival_id, CASE WHEN coalesce(content, '') <> '' THEN content ELSE title END AS src FROM enriched)"
+    return [O.ARTICLES_FX, O.window(24), O.latest(25), _enrich_sql(True).replace("FROM articles", "FROM latest"),
+            summary_sql(src, "arrival_id", "src"),
+            "rep AS (SELECT e.* EXCLUDE (summary), s.summary FROM enriched e JOIN summ s ON s.id = e.arrival_id)"]
+
+
+def _daily(spark, sf, materialize: bool = True):
+    from presswork.plans.daily import daily_report
+    a = articles_fx(spark, sf)
+    return daily_report(a, as_of_of(a), "24h", 25, categories=P.FREQ_CATEGORY_RULES,
+                        high=P.FREQ_SEVERITY_HIGH, med=P.FREQ_SEVERITY_MED, materialize=materialize)
+
+
+_TOP_ORDER = f"{O.sev_rank('severity', strip=True)} DESC, published_at DESC NULLS LAST, arrival_id DESC"
+
+
+@register("top5", _with(*_rep_sql()) + f"""SELECT row_number() OVER (ORDER BY {_TOP_ORDER}) AS rank, arrival_id, severity,
+  published_at FROM rep ORDER BY {_TOP_ORDER} LIMIT 5""")
+def q_top5(spark, sf):
+    return _daily(spark, sf).top.select("rank", "arrival_id", "severity", "published_at")
+
+
+@register("report_header", _with(*_rep_sql()) + """SELECT strftime((SELECT max(published_at) FROM articles), '%Y-%m-%d') AS report_date,
+  '24h' AS since, count(*) AS included, CAST(25 AS BIGINT) AS "limit" FROM rep""")
+def q_report_header(spark, sf):
+    return _daily(spark, sf).header
+
+
+@register("report_top5_rows", _with(*_rep_sql()) + f"""SELECT row_number() OVER (ORDER BY {_TOP_ORDER}) AS rank, title,
+  lower({O.or_default('severity', 'n/a')}) AS severity, {O.or_default('category', 'general')} AS category, url
+FROM rep ORDER BY {_TOP_ORDER} LIMIT 5""")
+def q_report_top5_rows(spark, sf):
+    return _daily(spark, sf).top_rows
+
+
+_SRC2 = "CASE WHEN coalesce(summary, '') <> '' THEN summary ELSE coalesce(content, '') END"
+_DETAIL_SQL = f"""detail AS (SELECT pos, title, source, domain, {O.iso_ts('published_at', 'n/a')} AS published,
+  {O.or_default('category', 'general')} AS category, {O.or_default('severity', 'baja')} AS severity, url,
+  CASE WHEN {O.clean(_SRC2)} = '' THEN '(sin resumen disponible)' ELSE left({O.clean(_SRC2)}, {R.MD_SUMMARY_MAX}) END AS summary,
+  {O.md_guidance('severity', 1)} AS guidance_1, {O.md_guidance('severity', 2)} AS guidance_2 FROM rep)"""
+
+
+@register("report_detail_rows", _with(*_rep_sql(), _DETAIL_SQL) + "SELECT * FROM detail")
+def q_report_detail_rows(spark, sf):
+    return _daily(spark, sf).detail
+
+
+@register("report_detail_rows_b", _with(*_rep_sql()) + f"""SELECT pos, {_html_to_text_sql('title')} AS title, source,
+  {O.iso_ts('published_at', 'n/d')} AS published, {O.or_default('category', 'general')} AS category,
+  {O.or_default('severity', 'baja')} AS severity, url,
+  CASE WHEN {O.clamp(_html_to_text_sql(_SRC2), 5)} = '' THEN '(sin resumen)' ELSE {O.clamp(_html_to_text_sql(_SRC2), 5)} END AS summary,
+  CASE WHEN {O.clamp(_html_to_text_sql('soc_action'), 4)} = '' THEN '(sin recomendación)' ELSE {O.clamp(_html_to_text_sql('soc_action'), 4)} END AS action
+FROM rep""")
+def q_report_detail_rows_b(spark, sf):
+    return _daily(spark, sf).detail_b
+
+
+def _md_trends_sql() -> str:
+    stop = ", ".join(O.q(w) for w in R.STOPWORDS_MD)
+    return f"""rw AS (SELECT pos, x.raw, x.tp FROM rep, unnest(list_filter(string_split(lower({O.clean('title')}), ' '), lambda s: s <> ''))
+                WITH ORDINALITY AS x(raw, tp)),
+tk AS (SELECT pos, trim(raw, {_STRIP}) AS term, tp FROM rw WHERE length(raw) >= 4),
+tr AS (SELECT row_number() OVER (ORDER BY cnt DESC, f) AS rank, term, cnt FROM (
+         SELECT term, count(*) AS cnt, min({{'p': pos, 't': tp}}) AS f FROM tk WHERE term <> '' AND term NOT IN ({stop}) GROUP BY term)
+       ORDER BY cnt DESC, f LIMIT 10),
+trl AS (SELECT CASE WHEN count(*) > 0 THEN string_agg('`' || term || '`(' || CAST(cnt AS VARCHAR) || ')', ', ' ORDER BY rank)
+                    ELSE '(sin datos)' END AS line FROM tr)"""
+
+
+@register("trend_terms_report_md", _with(*_rep_sql(), _md_trends_sql()) + "SELECT rank, term, cnt FROM tr")
+def q_trend_terms_report_md(spark, sf):
+    return _daily(spark, sf).trends
+
+
+def _lines_sql() -> str:
+    top = f"""t5 AS (SELECT row_number() OVER (ORDER BY {_TOP_ORDER}) AS rank, title,
+      lower({O.or_default('severity', 'n/a')}) AS severity, {O.or_default('category', 'general')} AS category, url
+      FROM rep ORDER BY {_TOP_ORDER} LIMIT 5)"""
+    blocks = f"""blocks AS (
+  SELECT 0 AS sec, CAST(0 AS BIGINT) AS pos, ['# Informe diario de ciberseguridad — ' || strftime((SELECT max(published_at) FROM articles), '%Y-%m-%d'),
+      'Ventana analizada: últimas **24h**',
+      'Noticias incluidas en reporte: **' || CAST((SELECT count(*) FROM rep) AS VARCHAR) || '** (limit=25)', '', '## Top 5 del día'] AS lines
+  UNION ALL
+  SELECT 1, rank, [CAST(rank AS VARCHAR) || '. **' || title || '** ', ' - Severidad: **' || severity || '** | Categoría: **' || category || '** ',
+      ' - URL: ' || url] FROM t5
+  UNION ALL
+  SELECT 2, 0, ['', '## Tendencias (términos repetidos)', line, '', '## Detalle por noticia'] FROM trl
+  UNION ALL
+  SELECT 3, pos, ['### ' || title, '- Fuente: **' || source || '** | Dominio: `' || domain || '`', '- Publicado: **' || published || '**',
+      '- Categoría: **' || category || '** | Severidad: **' || severity || '**', '- URL: ' || url, '**Resumen (3–5 líneas):**', summary,
+      '**Qué debería mirar un SOC:**', guidance_1, guidance_2, ''] FROM detail),
+lines AS (SELECT CAST(sec AS INTEGER) AS sec, pos, CAST(x.i - 1 AS INTEGER) AS sub, x.line FROM blocks, unnest(lines) WITH ORDINALITY AS x(line, i))"""
+    return top + ",\n" + blocks
+
+
+@register("report_lines", _with(*_rep_sql(), _DETAIL_SQL, _md_trends_sql(), _lines_sql()) +
+          "SELECT * FROM lines WHERE NOT (sec = 3 AND sub = 10 AND pos = (SELECT max(pos) FROM detail))")
+def q_report_lines(spark, sf):
+    return _daily(spark, sf).lines
+
+
+@register("daily_report", _with(*_rep_sql(), _DETAIL_SQL, _md_trends_sql(), _lines_sql()) + """SELECT
+  strftime((SELECT max(published_at) FROM articles), '%Y-%m-%d') AS report_date,
+  string_agg(line, chr(10) ORDER BY sec, pos, sub) || chr(10) AS markdown
+FROM lines WHERE NOT (sec = 3 AND sub = 10 AND pos = (SELECT max(pos) FROM detail))""")
+def q_daily_report(spark, sf):
+    d = _daily(spark, sf)
+    md = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sec", "pos", "sub", "line"))),
+                                           lambda e: e["line"]), "\n"), F.lit("\n"))
+    return d.lines.agg(md.alias("markdown")).crossJoin(d.header.select("report_date"))
+
+
+@register("severity_counts_report", _with(*_rep_sql()) + """SELECT
+  count(*) FILTER (WHERE lower(coalesce(severity, '')) IN ('critica', 'crítica')) AS critica,
+  count(*) FILTER (WHERE lower(coalesce(severity, '')) = 'alta') AS alta,
+  count(*) FILTER (WHERE lower(coalesce(severity, '')) = 'media') AS media,
+  count(*) FILTER (WHERE lower(coalesce(severity, '')) IN ('baja', '')) AS baja FROM rep""")
+def q_severity_counts_report(spark, sf):
+    return _daily(spark, sf).counts
+
+
 def all_queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 
