@@ -696,6 +696,128 @@ def q_severity_counts_report(spark, sf):
     return _daily(spark, sf).counts
 
 
+# ---------------------------------------------------------------------------
+# feed sources, store and incremental ingest (feeds rendered by Spark from
+# the driver tables and landed in the shared checkpoint folder)
+# ---------------------------------------------------------------------------
+
+def _land(spark, sf, kind: str) -> str:
+    from presswork.session import scratch_path
+    from presswork.sources import feeds as FD
+    a = articles_fx(spark, sf)
+    path = scratch_path(spark, f"landing-{kind}")
+    FD.land_feeds(FD.render_rss_feeds(a) if kind == "rss" else FD.render_atom_feeds(a), path)
+    return path
+
+
+def _ingested_sql(ts: str) -> str:
+    stripped = "regexp_replace(coalesce(content, ''), '<[^>]+>', '', 'g')"
+    content = f"NULLIF(left({O.clean(stripped)}, {R.CONTENT_MAX}), '')"
+    return f"""ingested AS (SELECT arrival_id, source, left({O.clean('title')}, {R.TITLE_MAX}) AS title, {_canon_sql('trim(url)')} AS url,
+  {ts} AS published_at, {content} AS content
+FROM articles WHERE {O.clean('title')} <> '' AND trim(coalesce(url, '')) <> '')"""
+
+
+@register("scan_rss", _with(O.ARTICLES_FX, _ingested_sql("date_trunc('second', published_at)")) + "SELECT * FROM ingested")
+def q_scan_rss(spark, sf):
+    from presswork.sources import feeds as FD
+    items, _ = FD.scan_feeds(spark, _land(spark, sf, "rss"))
+    return FD.items_to_articles(items).select(F.col("guid").cast("bigint").alias("arrival_id"), "source", "title", "url",
+                                              "published_at", "content")
+
+
+@register("scan_atom", _with(O.ARTICLES_FX, _ingested_sql("date_trunc('second', published_at) - INTERVAL 330 MINUTE")) +
+          "SELECT * FROM ingested")
+def q_scan_atom(spark, sf):
+    from presswork.sources import feeds as FD
+    items, _ = FD.scan_feeds(spark, _land(spark, sf, "atom"))
+    return FD.items_to_articles(items, dates="utc").select(F.col("guid").cast("bigint").alias("arrival_id"), "source",
+                                                           "title", "url", "published_at", "content")
+
+
+@register("quarantine", "SELECT CAST(NULL AS VARCHAR) AS file_path, CAST(NULL AS VARCHAR) AS reason WHERE FALSE")
+def q_quarantine(spark, sf):
+    from presswork.sources import feeds as FD
+    _, bad = FD.scan_feeds(spark, _land(spark, sf, "rss"))
+    return bad.select("file_path", "reason")
+
+
+@register("incremental_ingest", _with(O.ARTICLES_FX, _ingested_sql("date_trunc('second', published_at)")) + """SELECT url, source, title,
+  published_at, content FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY source, arrival_id) AS rn FROM ingested) WHERE rn = 1""")
+def q_incremental_ingest(spark, sf):
+    from presswork.session import scratch_path
+    from presswork.sources.store import read_store
+    from presswork.streaming.ingest import incremental_ingest
+    landing = _land(spark, sf, "rss")
+    store, ckpt = scratch_path(spark, "store"), scratch_path(spark, "stream-ckpt")
+    incremental_ingest(spark, landing, store, ckpt)
+    incremental_ingest(spark, landing, store, ckpt)      # a rerun adds nothing
+    return read_store(spark, store).select("url", "source", "title", "published_at", "content")
+
+
+@register("ingest_rerun_inserts", "SELECT CAST(0 AS BIGINT) AS inserted")
+def q_ingest_rerun_inserts(spark, sf):
+    from presswork.session import scratch_path
+    from presswork.sources.feeds import read_feed_files
+    from presswork.streaming.ingest import ingest_frame
+    landing = _land(spark, sf, "rss")
+    store = scratch_path(spark, "store")
+    files = read_feed_files(spark, landing)
+    ingest_frame(files, store).collect()
+    return ingest_frame(files, store).agg(F.sum("inserted").cast("bigint").alias("inserted"))
+
+
+@register("read_store", _with(O.ARTICLES_FX) + """SELECT arrival_id, source, domain, title, url, published_at, content, summary
+FROM articles""")
+def q_read_store(spark, sf):
+    from presswork.session import scratch_path
+    from presswork.sources.store import append_store, read_store
+    path = scratch_path(spark, "store")
+    append_store(articles_fx(spark, sf), path)
+    return read_store(spark, path).select("arrival_id", "source", "domain", "title", "url", "published_at", "content", "summary")
+
+
+def _update_sql() -> str:
+    src = "(SELECT arrival_id, CASE WHEN coalesce(content, '') <> '' THEN content ELSE title END AS src FROM win)"
+    return (_with(O.ARTICLES_FX, O.window(24), summary_sql(src, "arrival_id", "src"),
+                  _enrich_sql(False).replace("FROM articles", "FROM win")) +
+            """SELECT e.arrival_id, e.category, e.severity, e.soc_action, s.summary FROM enriched e JOIN summ s ON s.id = e.arrival_id
+UNION ALL SELECT arrival_id, category, severity, soc_action, summary FROM articles WHERE arrival_id NOT IN (SELECT arrival_id FROM win)""")
+
+
+@register("update_enrichment", _update_sql())
+def q_update_enrichment(spark, sf):
+    from presswork.sources.store import update_enrichment
+    a = articles_fx(spark, sf)
+    return update_enrichment(a, as_of_of(a), "24h").select("arrival_id", "category", "severity", "soc_action", "summary")
+
+
+@register("missing_summary", _with(O.ARTICLES_FX) + """SELECT arrival_id FROM articles
+WHERE (published_at IS NULL OR published_at >= (SELECT max(published_at) FROM articles) - INTERVAL 168 HOUR)
+  AND NOT (published_at IS NULL OR published_at >= (SELECT max(published_at) FROM articles) - INTERVAL 24 HOUR)""")
+def q_missing_summary(spark, sf):
+    from presswork.sources.store import update_enrichment
+    a = articles_fx(spark, sf)
+    first = update_enrichment(a, as_of_of(a), "24h")
+    wide = report.recent_window(first, as_of_of(a), "7d")
+    return wide.filter(F.coalesce(F.col("summary"), F.lit("")) == "").select("arrival_id")
+
+
+@register("resolve_link", _with(_links_sql()) + """SELECT page_id, link_ord,
+  CASE WHEN starts_with(href, '/') THEN regexp_replace(page_url, '/+$', '') || href ELSE href END AS link FROM links""")
+def q_resolve_link(spark, sf):
+    from presswork.sources.html import scan_html_links
+    links = scan_html_links(table(spark, sf, "pages"))
+    return links.select("page_id", "link_ord", U.resolve_link(F.col("href"), F.col("page_url")).alias("link"))
+
+
+@register("required_fields", _with(_links_sql()) + "SELECT page_id, link_ord FROM links WHERE href <> '' AND title <> ''")
+def q_required_fields(spark, sf):
+    from presswork.sources.html import scan_html_links
+    links = scan_html_links(table(spark, sf, "pages"))
+    return links.filter((F.col("href") != "") & (F.col("title") != "")).select("page_id", "link_ord")
+
+
 def all_queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 

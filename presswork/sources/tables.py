@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswork.functions.text import clean_whitespace, first_line, truncate
-from presswork.functions.urls import get_domain
+from presswork.functions.urls import dedupe_key, get_domain
 from presswork.rules import TITLE_MAX
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -49,6 +49,7 @@ def articles_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
         get_domain(F.col("url")).alias("domain"),
         truncate(clean_whitespace(first_line(F.col("text"))), TITLE_MAX).alias("title"),
         F.col("url"),
+        F.lit(None).cast("string").alias("canonical_url"),
         F.when(F.pmod(F.col("doc_id"), F.lit(UNDATED_EVERY)) == 0, F.lit(None).cast("timestamp_ntz"))
         .otherwise(F.col("ts")).alias("published_at"),
         F.col("text").alias("content"),
@@ -56,7 +57,7 @@ def articles_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("category"),
         F.lit(None).cast("string").alias("severity"),
         F.lit(None).cast("string").alias("soc_action"),
-    )
+    ).withColumn("dedupe_key", dedupe_key(F.col("title"), F.col("domain"), F.col("published_at")))
 
 
 def as_of_of(articles: DataFrame):
