@@ -37,10 +37,10 @@ class DailyReport:
 
 def latest_enriched(store: DataFrame, as_of, since: str = R.DEFAULT_SINCE, limit: int = R.DEFAULT_LIMIT,
                     categories=R.CATEGORY_RULES_A, high=R.SEVERITY_HIGH_A, med=R.SEVERITY_MED_A,
-                    summarize: bool = True, materialize: bool = True) -> DataFrame:
+                    summarize: bool = True, materialize: bool = True, enrich_rows: bool = True) -> DataFrame:
     win = report.recent_window(store, as_of, since)
     latest = report.latest_n(win, limit)
-    out = enrich.enrich_a(latest, categories=categories, high=high, med=med)
+    out = enrich.enrich_a(latest, categories=categories, high=high, med=med) if enrich_rows else latest
     if summarize:
         out = summary.enrich_summary(out)
     if materialize:
@@ -50,8 +50,10 @@ def latest_enriched(store: DataFrame, as_of, since: str = R.DEFAULT_SINCE, limit
 
 def daily_report(store: DataFrame, as_of, since: str = R.DEFAULT_SINCE, limit: int = R.DEFAULT_LIMIT,
                  categories=R.CATEGORY_RULES_A, high=R.SEVERITY_HIGH_A, med=R.SEVERITY_MED_A,
-                 summarize: bool = True, materialize: bool = True, trend_variant: str = "md") -> DailyReport:
-    latest = latest_enriched(store, as_of, since, limit, categories, high, med, summarize, materialize)
+                 summarize: bool = True, materialize: bool = True, trend_variant: str = "md",
+                 enrich_rows: bool = True) -> DailyReport:
+    """``enrich_rows=False`` reports the stored category/severity/action as they are."""
+    latest = latest_enriched(store, as_of, since, limit, categories, high, med, summarize, materialize, enrich_rows)
     top = report.top_by_severity(latest, R.TOP_N, strip=True)
     tr = trends.trend_terms(latest, "title", [F.col("pos")], trend_variant, R.TREND_N)
     header = report.report_header(latest, as_of, since, limit)
