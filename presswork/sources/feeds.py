@@ -38,7 +38,7 @@ ITEM_COLUMNS = ["source", "file_path", "doc_ord", "entry_ord", "kind", "title",
 
 def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
     """``(file_path, body)`` — one row per landed file."""
-    return (spark.read.text(path, wholetext=True)
+    return (spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("body")))
 
 
