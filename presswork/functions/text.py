@@ -51,6 +51,12 @@ def html_unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else _html.unescape(x))
 
 
+def unescape_if_needed(c) -> Column:
+    """Entity decoding; only values containing '&' are shipped to Python (others travel as NULL)."""
+    x = col_of(c)
+    return F.coalesce(html_unescape(F.when(F.instr(x, "&") > 0, x)), x)
+
+
 def html_to_text(c, drop_invisible: bool = True) -> Column:
     """Entity-repair, unescape, drop markup, clean whitespace.
 
@@ -62,7 +68,7 @@ def html_to_text(c, drop_invisible: bool = True) -> Column:
     x = F.replace(x, F.lit("&#;x"), F.lit("&#x"))
     x = F.replace(x, F.lit("&#;X"), F.lit("&#X"))
     x = F.replace(x, F.lit("&#;#"), F.lit("&#"))
-    x = F.when(F.instr(x, "&") > 0, html_unescape(x)).otherwise(x)
+    x = unescape_if_needed(x)
     if drop_invisible:
         x = F.regexp_replace(x, lit_str("(?s)<!--.*?(-->|$)"), F.lit(" "))
         x = F.regexp_replace(

@@ -142,27 +142,31 @@ def categorize_by_join(df: DataFrame, id_col: str, text_col: str,
             .select(id_col, F.coalesce(F.col("_b.label"), F.lit(default)).alias("category")))
 
 
-def enrich_a(df: DataFrame, summary: Column | None = None,
-             categories: list[tuple[str, list[str]]] = R.CATEGORY_RULES_A,
+ENRICH_COLUMNS = ["category", "severity_score", "severity", "soc_action"]
+
+
+def enrich_a_columns(categories=R.CATEGORY_RULES_A, high=R.SEVERITY_HIGH_A, med=R.SEVERITY_MED_A) -> dict[str, Column]:
+    """The live enrichment as plain expressions over ``title``/``content``."""
+    lt = lowered("title")
+    ls = F.lower(F.concat(F.coalesce(F.col("title"), F.lit("")), F.lit("\n"), F.coalesce(F.col("content"), F.lit(""))))
+    cat = categorize(lt, categories, already_lower=True)
+    score = severity_score(ls, high, med, already_lower=True).cast("bigint")
+    sev = severity_label(score)
+    return {"category": cat, "severity_score": score, "severity": sev, "soc_action": soc_action_a(cat, sev)}
+
+
+def enrich_a(df: DataFrame, categories: list[tuple[str, list[str]]] = R.CATEGORY_RULES_A,
              high: list[str] = R.SEVERITY_HIGH_A, med: list[str] = R.SEVERITY_MED_A) -> DataFrame:
     """Live enrichment: category (title), severity (title + '\\n' + content), action.
 
-    ``summary``: optional Column stored only where the stored summary is
-    empty (sticky summary). Rule tables are parameters.
+    One projection: the repeated ``lower(...)`` and score sub-expressions are
+    shared by codegen's subexpression elimination, and a single Project keeps
+    ``orderBy().limit()`` + enrichment planned as a top-K
+    (``TakeOrderedAndProject``) that enriches only the kept rows.
     """
-    lt = lowered("title")
-    score_text = F.lower(F.concat(F.coalesce(F.col("title"), F.lit("")), F.lit("\n"),
-                                  F.coalesce(F.col("content"), F.lit(""))))
-    out = (df.withColumn("_lt", lt).withColumn("_ls", score_text)
-           .withColumn("category", categorize("_lt", categories, already_lower=True))
-           .withColumn("severity_score", severity_score("_ls", high, med, already_lower=True).cast("bigint"))
-           .withColumn("severity", severity_label("severity_score"))
-           .withColumn("soc_action", soc_action_a("category", "severity"))
-           .drop("_lt", "_ls"))
-    if summary is not None:
-        out = out.withColumn("summary", F.when(F.coalesce(F.col("summary"), F.lit("")) == "", summary)
-                             .otherwise(F.col("summary")))
-    return out
+    exprs = enrich_a_columns(categories, high, med)
+    keep = [c for c in df.columns if c not in exprs]
+    return df.select(*keep, *[e.alias(n) for n, e in exprs.items()])
 
 
 def enrich_b(df: DataFrame, raw_col: str = "content", summarizer=None,

@@ -70,17 +70,24 @@ def _summary_from(t: Column, freq: Column, max_lines: int) -> Column:
             .otherwise(picked))
 
 
-def _by_doc(df: DataFrame, id_col: str, text_col, num_partitions: int | None) -> DataFrame:
-    base = df.select(F.col(id_col), clean_whitespace(col_of(text_col)).alias("_t"))
+def _by_doc(df: DataFrame, id_col: str, text_col, num_partitions: int | None, keep=()) -> DataFrame:
+    # Filtering null ids up front makes both join inputs the same plan, so the
+    # one Exchange below is computed once and reused (ReusedExchange).
+    base = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col), *keep, clean_whitespace(col_of(text_col)).alias("_t"))
     return base.repartition(num_partitions, id_col) if num_partitions else base.repartition(id_col)
 
 
 def extractive_summary(df: DataFrame, id_col: str, text_col, max_lines: int = SUMMARY_LINES,
-                       out_col: str = "summary", num_partitions: int | None = None) -> DataFrame:
-    """``(id, summary)`` for every row of ``df`` (ids must be unique)."""
-    base = _by_doc(df, id_col, text_col, num_partitions)
+                       out_col: str = "summary", num_partitions: int | None = None,
+                       keep: list[str] | tuple = ()) -> DataFrame:
+    """``(id, *keep, summary)`` for every row of ``df`` (ids unique and non-null).
+
+    ``keep``: further columns carried through the same single shuffle, so a
+    caller never has to join the summaries back (a second scan + shuffle).
+    """
+    base = _by_doc(df, id_col, text_col, num_partitions, keep)
     joined = base.join(_doc_freq(base, id_col), id_col, "left")
-    return joined.select(F.col(id_col), _summary_from(F.col("_t"), F.col("_f"), max_lines).alias(out_col))
+    return joined.select(F.col(id_col), *keep, _summary_from(F.col("_t"), F.col("_f"), max_lines).alias(out_col))
 
 
 def topk_sentences(df: DataFrame, id_col: str, text_col, k: int = SUMMARY_LINES,
@@ -94,19 +101,23 @@ def topk_sentences(df: DataFrame, id_col: str, text_col, k: int = SUMMARY_LINES,
                     (F.col("r") + 1).cast("bigint").alias("score_rank")))
 
 
-def enrich_summary(df: DataFrame, id_col: str = "arrival_id", max_lines: int = SUMMARY_LINES) -> DataFrame:
-    """Fill ``summary`` where it is empty, summarising content (else title).
+def enrich_summary(df: DataFrame, id_col: str = "arrival_id", max_lines: int = SUMMARY_LINES,
+                   only: Column | None = None) -> DataFrame:
+    """Fill ``summary`` where it is empty (and ``only`` holds), summarising content (else title).
 
-    Only rows that need a summary enter the summary job (split + union), so
-    already-summarised rows are never re-tokenised.
+    Rows that already have a summary pass through with an empty text, so
+    they cost no tokenisation; all columns travel through the summary job's
+    one shuffle (no split + union, no join back).
     """
     need = F.coalesce(F.col("summary"), F.lit("")) == ""
-    todo = df.filter(need)
-    done = df.filter(~need)
+    if only is not None:
+        need = need & F.coalesce(only, F.lit(False))
     src = F.when(F.coalesce(F.col("content"), F.lit("")) != "", F.col("content")).otherwise(F.col("title"))
-    sums = extractive_summary(todo.select(id_col, src.alias("_src")), id_col, "_src", max_lines, "_sum")
-    filled = todo.join(sums, id_col, "left").withColumn("summary", F.col("_sum")).drop("_sum")
-    return done.unionByName(filled)
+    keep = [c for c in df.columns if c != id_col] + ["_need"]
+    staged = df.withColumn("_need", need).withColumn("_src", F.when(F.col("_need"), src))
+    out = extractive_summary(staged, id_col, "_src", max_lines, "_sum", keep=keep)
+    filled = F.when(F.col("_need"), F.col("_sum")).otherwise(F.col("summary"))
+    return out.select(*[filled.alias(c) if c == "summary" else F.col(c) for c in df.columns])
 
 
 class ExtractiveSummarizer:

@@ -40,6 +40,9 @@ def latest_enriched(store: DataFrame, as_of, since: str = R.DEFAULT_SINCE, limit
                     summarize: bool = True, materialize: bool = True, enrich_rows: bool = True) -> DataFrame:
     win = report.recent_window(store, as_of, since)
     latest = report.latest_n(win, limit)
+    if materialize:
+        # <= 200 rows: cut the lineage once so the window is scanned once
+        latest = latest.checkpoint(eager=True)
     out = enrich.enrich_a(latest, categories=categories, high=high, med=med) if enrich_rows else latest
     if summarize:
         out = summary.enrich_summary(out)

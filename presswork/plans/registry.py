@@ -52,7 +52,7 @@ SELECT row_number() OVER (ORDER BY {O.sev_rank('severity')} DESC, published_at D
        arrival_id, title, url, published_at, category, severity, severity_score
 FROM enr ORDER BY {O.sev_rank('severity')} DESC, published_at DESC NULLS LAST, arrival_id DESC LIMIT 5""")
 def q_daily_top5(spark, sf):
-    enr = enrich.enrich_a(_latest(spark, sf)).withColumn("severity_score", F.col("severity_score").cast("bigint"))
+    enr = enrich.enrich_a(_latest(spark, sf))
     top = report.top_by_severity(enr, R.TOP_N)
     return top.select("rank", "arrival_id", "title", "url", "published_at", "category", "severity", "severity_score")
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.functions._util import col_of, lit_str
-from presswork.functions.text import clean_whitespace, html_unescape
+from presswork.functions.text import clean_whitespace, unescape_if_needed
 from presswork.functions.urls import canonicalize_url, dedupe_key, get_domain, resolve_link
 
 ANCHOR_RE = r"(?is)<a\b[^>]*>.*?</a>"
@@ -27,8 +27,6 @@ COMMENT_RE = r"(?s)<!--.*?(-->|$)"
 MARKUP_RE = r"<[A-Za-z/!?][^>]*>"
 
 
-def unescape_if_needed(c: Column) -> Column:
-    return F.when(F.instr(c, "&") > 0, html_unescape(c)).otherwise(c)
 
 
 def anchor_text(inner) -> Column:

@@ -66,12 +66,28 @@ def append_store(batch: DataFrame, path: str) -> None:
 
 def update_enrichment(store: DataFrame, as_of, since: str = "24h", **rules) -> DataFrame:
     """Window rows get category/severity/action (overwritten) and a summary where empty;
-    other rows are unchanged. Returns the full table."""
+    other rows pass unchanged. One pass over ``store`` plus the summary job's shuffle."""
     win = F.col("published_at").isNull() | (F.col("published_at") >= _start(as_of, since))
-    inside = store.filter(win)
-    outside = store.filter(~win)
-    enriched = summary.enrich_summary(enrich.enrich_a(inside, **rules)).select(*store.columns)
-    return outside.unionByName(enriched)
+    exprs = enrich.enrich_a_columns(**rules)
+    cols = [F.when(win, exprs[c]).otherwise(F.col(c)).alias(c) if c in exprs else F.col(c) for c in store.columns]
+    return summary.enrich_summary(store.select(*cols), only=win)
+
+
+def affected_partitions(store: DataFrame, as_of, since: str = "24h") -> DataFrame:
+    """Rows of the date partitions a window touches (undated partition included): the
+    input for a dynamic partition overwrite; the partition predicate prunes the scan."""
+    start = F.to_date(_start(as_of, since))
+    return store.filter(F.col("pub_date").isNull() | (F.col("pub_date") >= start))
+
+
+def write_enrichment(spark: SparkSession, store_path: str, out_path: str, as_of, since: str = "24h", **rules) -> None:
+    """Enrich the window and write the touched date partitions to ``out_path``
+    (a new version folder; partitions not touched are not rewritten)."""
+    store = spark.read.parquet(store_path)
+    part = affected_partitions(store, as_of, since).drop("pub_date")
+    upd = update_enrichment(part, as_of, since, **rules).withColumn("pub_date", F.to_date("published_at"))
+    (upd.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("pub_date").parquet(out_path))
 
 
 def _start(as_of, since):
