@@ -8,11 +8,13 @@ joined by a space. The normalisation by the document's maximum frequency
 is a per-document constant and does not change the ranking, so integer
 sums are ranked directly (deterministic across engines).
 
-Plan: documents are hash-partitioned by id once (the only Exchange);
-token frequencies are a hash aggregate on (id, token) and a map per
-document, both satisfied by that partitioning; the per-sentence scoring
-then runs inside the document row with higher-order functions. Token-level
-rows are never shuffled, and no group exceeds one document.
+Plan: documents are hash-partitioned by id once (the only Exchange, reused
+by every branch); sentences and tokens are generated from it, the
+document-wide token frequency is a window count over (id, token), the
+sentence score a hash aggregate over (id, sentence), and the top sentence
+indices per document are joined back to the document row on id. Every one
+of these steps is satisfied by the id partitioning, so token-level rows are
+never shuffled, no map lookups are made, and no group exceeds one document.
 """
 
 from __future__ import annotations
@@ -39,42 +41,40 @@ def _sentences(t: Column) -> Column:
     return F.filter(F.split(t, "(?<=[.!?]) "), lambda s: s != F.lit(""))
 
 
-def _ranked_sentences(t: Column, freq: Column) -> Column:
-    """Sentences with >= 1 word as ``struct(k = -score, i, s)``, best first (ties: earlier first)."""
-    with_toks = F.transform(_sentences(t), lambda s, i: F.struct(i.alias("i"), s.alias("s"), tokens_alnum(s).alias("w")))
-    zero = F.lit(0).cast("bigint")
-    scored = F.transform(
-        F.filter(with_toks, lambda e: F.size(e["w"]) > 0),
-        lambda e: F.struct(
-            (-(F.aggregate(e["w"], zero, lambda acc, w: acc + F.coalesce(F.try_element_at(freq, w), zero))
-               .cast("double") / F.sqrt(F.size(e["w"]).cast("double")))).alias("k"),
-            e["i"].alias("i"), e["s"].alias("s")),
-    )
-    return F.array_sort(scored)
+def _by_doc(df: DataFrame, id_col: str, text_col, num_partitions: int | None, keep=()) -> DataFrame:
+    # Filtering null ids up front makes every branch start from the same plan,
+    # so the one Exchange below is computed once and reused (ReusedExchange).
+    base = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col), *keep, clean_whitespace(col_of(text_col)).alias("_t"))
+    return base.repartition(num_partitions, id_col) if num_partitions else base.repartition(id_col)
+
 
+def _sentence_scores(base: DataFrame, id_col: str) -> DataFrame:
+    """``(id, i, k)`` per sentence with >= 1 word; ``k = -score`` (lower is better).
 
-def _doc_freq(base: DataFrame, id_col: str) -> DataFrame:
-    """``(id, map<token, count>)``; both aggregations reuse the id partitioning of ``base``."""
-    toks = base.select(F.col(id_col), F.explode(tokens_alnum(F.col("_t"))).alias("w"))
-    return (toks.groupBy(id_col, "w").agg(F.count(F.lit(1)).alias("c"))
-            .groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("w", "c"))).alias("_f")))
+    Every step is keyed by id first, so all of them run on the partitioning
+    of ``base`` without another Exchange: the token frequency is a window
+    count over (id, token), the sentence sum a hash aggregate on (id, i).
+    """
+    sents = base.select(F.col(id_col), F.posexplode(_sentences(F.col("_t"))).alias("i", "s"))
+    toks = sents.select(F.col(id_col), "i", F.explode(tokens_alnum(F.col("s"))).alias("w"))
+    toks = toks.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy(id_col, "w")))
+    per = toks.groupBy(id_col, "i").agg(F.sum("f").alias("sc"), F.count(F.lit(1)).alias("n"))
+    return per.select(id_col, "i", (-(F.col("sc").cast("double") / F.sqrt(F.col("n").cast("double")))).alias("k"))
 
 
-def _summary_from(t: Column, freq: Column, max_lines: int) -> Column:
-    top = F.slice(_ranked_sentences(t, freq), 1, max_lines)
-    in_order = F.array_sort(F.transform(top, lambda e: F.struct(e["i"].alias("i"), e["s"].alias("s"))))
-    picked = F.trim(F.array_join(F.transform(in_order, lambda e: e["s"]), "\n"))
-    no_words = F.array_join(F.slice(_sentences(t), 1, NO_WORD_SENTENCES), " ")
-    return (F.when(t == "", F.lit(""))
-            .when(F.coalesce(F.size(freq), F.lit(0)) <= 0, no_words)
-            .otherwise(picked))
+def _top_indices(base: DataFrame, id_col: str, k: int) -> DataFrame:
+    """``(id, _top)``: the best ``k`` sentences as ``array<struct<k, i>>``, best first."""
+    sc = _sentence_scores(base, id_col)
+    ranked = sc.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("k", "i"))).alias("_r"))
+    return ranked.select(id_col, F.slice("_r", 1, k).alias("_top"))
 
 
-def _by_doc(df: DataFrame, id_col: str, text_col, num_partitions: int | None, keep=()) -> DataFrame:
-    # Filtering null ids up front makes both join inputs the same plan, so the
-    # one Exchange below is computed once and reused (ReusedExchange).
-    base = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col), *keep, clean_whitespace(col_of(text_col)).alias("_t"))
-    return base.repartition(num_partitions, id_col) if num_partitions else base.repartition(id_col)
+def _summary_from(t: Column, top: Column) -> Column:
+    sents = _sentences(t)
+    in_order = F.array_sort(F.transform(top, lambda e: e["i"]))
+    picked = F.trim(F.array_join(F.transform(in_order, lambda i: F.element_at(sents, i + 1)), "\n"))
+    no_words = F.array_join(F.slice(sents, 1, NO_WORD_SENTENCES), " ")
+    return F.when(t == "", F.lit("")).when(top.isNull(), no_words).otherwise(picked)
 
 
 def extractive_summary(df: DataFrame, id_col: str, text_col, max_lines: int = SUMMARY_LINES,
@@ -82,22 +82,21 @@ def extractive_summary(df: DataFrame, id_col: str, text_col, max_lines: int = SU
                        keep: list[str] | tuple = ()) -> DataFrame:
     """``(id, *keep, summary)`` for every row of ``df`` (ids unique and non-null).
 
-    ``keep``: further columns carried through the same single shuffle, so a
-    caller never has to join the summaries back (a second scan + shuffle).
+    ``keep``: further columns carried along, so callers never join back.
     """
     base = _by_doc(df, id_col, text_col, num_partitions, keep)
-    joined = base.join(_doc_freq(base, id_col), id_col, "left")
-    return joined.select(F.col(id_col), *keep, _summary_from(F.col("_t"), F.col("_f"), max_lines).alias(out_col))
+    joined = base.join(_top_indices(base, id_col, max_lines), id_col, "left")
+    return joined.select(F.col(id_col), *keep, _summary_from(F.col("_t"), F.col("_top")).alias(out_col))
 
 
 def topk_sentences(df: DataFrame, id_col: str, text_col, k: int = SUMMARY_LINES,
                    num_partitions: int | None = None) -> DataFrame:
     """Top-k sentences per document as rows ``(id, sent_idx, sentence, score_rank)``."""
     base = _by_doc(df, id_col, text_col, num_partitions)
-    top = F.slice(_ranked_sentences(F.col("_t"), F.col("_f")), 1, k)
-    return (base.join(_doc_freq(base, id_col), id_col, "inner")
-            .select(F.col(id_col), F.posexplode(top).alias("r", "e"))
-            .select(F.col(id_col), F.col("e.i").cast("bigint").alias("sent_idx"), F.col("e.s").alias("sentence"),
+    j = base.join(_top_indices(base, id_col, k), id_col, "inner")
+    return (j.select(F.col(id_col), _sentences(F.col("_t")).alias("_s"), F.posexplode("_top").alias("r", "e"))
+            .select(F.col(id_col), F.col("e.i").cast("bigint").alias("sent_idx"),
+                    F.element_at(F.col("_s"), F.col("e.i") + 1).alias("sentence"),
                     (F.col("r") + 1).cast("bigint").alias("score_rank")))
 
 
@@ -106,8 +105,9 @@ def enrich_summary(df: DataFrame, id_col: str = "arrival_id", max_lines: int = S
     """Fill ``summary`` where it is empty (and ``only`` holds), summarising content (else title).
 
     Rows that already have a summary pass through with an empty text, so
-    they cost no tokenisation; all columns travel through the summary job's
-    one shuffle (no split + union, no join back).
+    they cost no tokenisation; all columns travel with the summary job (no
+    split + union, no join back). Column pruning gives the token branch its
+    own (id, text) shuffle, so this path has two exchanges: rows and text.
     """
     need = F.coalesce(F.col("summary"), F.lit("")) == ""
     if only is not None:
