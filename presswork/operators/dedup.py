@@ -37,10 +37,21 @@ def dedup_key(df: DataFrame, order: list = ("source_ord", "entry_ord"), key_col:
     return first_wins(df, [key_col], list(order))
 
 
-def anti_existing(new: DataFrame, store: DataFrame, key: str = "url") -> DataFrame:
-    """Rows of ``new`` whose key is not in ``store``. Only the key column of the store is read;
-    AQE picks broadcast vs. sort-merge from runtime sizes."""
-    return new.join(store.select(key), key, "left_anti")
+def anti_existing(new: DataFrame, store: DataFrame, key: str = "url", reduce: bool = True) -> DataFrame:
+    """Rows of ``new`` whose key is not in ``store``; only the store's key column is read.
+
+    ``reduce`` (semi-join reduction): the batch's distinct keys are semi-joined
+    with the store first. A batch is small next to the history, so AQE
+    broadcasts that key set (its runtime size is checked against the
+    broadcast threshold) and the store is only scanned, never shuffled; the
+    final anti-join then meets just the few stored keys that matched. Without
+    ``reduce`` a plain anti-join is planned (AQE still chooses the strategy).
+    """
+    if not reduce:
+        return new.join(store.select(key), key, "left_anti")
+    keys = new.select(key).distinct()
+    seen = store.select(key).join(keys, key, "left_semi")
+    return new.join(seen, key, "left_anti")
 
 
 def union_sources(*frames: DataFrame, ord_col: str = "source_ord", stride: int = 1_000_000) -> DataFrame:

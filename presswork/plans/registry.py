@@ -349,17 +349,12 @@ def q_ingest_counts(spark, sf):
     return dedup.ingest_counts(u, dedup.dedup_url(u))
 
 
-@register("anti_existing", _with(O.ARTICLES_FX) + f"""SELECT arrival_id, {_canon_sql('url')} AS url FROM articles n
-WHERE (published_at IS NULL OR published_at >= (SELECT max(published_at) FROM articles) - INTERVAL 24 HOUR)
-  AND {_canon_sql('url')} NOT IN (
-    SELECT {_canon_sql('url')} FROM articles
-    WHERE published_at < (SELECT max(published_at) FROM articles) - INTERVAL 24 HOUR)""")
+@register("anti_existing", _BATCH_SQL + """SELECT entry_ord, url FROM link_items
+WHERE url NOT IN (SELECT url FROM art_items)""")
 def q_anti_existing(spark, sf):
-    a = articles_fx(spark, sf).withColumn("url", U.canonicalize_url("url"))
-    start = report.window_start(as_of_of(a), "24h")
-    new = a.filter(F.col("published_at").isNull() | (F.col("published_at") >= start))
-    store = a.filter(F.col("published_at") < start)
-    return dedup.anti_existing(new.select("arrival_id", "url"), store, "url")
+    """HTML link items whose canonical URL is not already stored as an article."""
+    links = _link_items(spark, sf).select("entry_ord", "url")
+    return dedup.anti_existing(links, _article_items(spark, sf), "url")
 
 
 # ---------------------------------------------------------------------------

@@ -168,9 +168,10 @@ ARRIVAL_ORDER = ["source_ord", "file_path", "doc_ord", "entry_ord"]
 # rendering feeds from a frame (used to land derived feeds for checks/demos)
 # ---------------------------------------------------------------------------
 
-def render_rss_feeds(articles: DataFrame, chunk: int = 100) -> DataFrame:
-    """``(source, chunk_id, xml)``: RSS documents of at most ``chunk`` items each, items in
-    ``arrival_id`` order. Groups are bounded by ``chunk``, never by a source's size."""
+def render_rss_feeds(articles: DataFrame, chunk: int = 2000) -> DataFrame:
+    """``(source, chunk_id, xml)``: one RSS document per source and span of ``chunk``
+    arrival ids (so at most ``chunk`` items), items in ``arrival_id`` order. Groups are
+    bounded by the span, never by a source's size."""
     item = F.to_xml(F.struct(
         F.col("title").alias("title"), F.col("url").alias("link"),
         F.when(F.col("published_at").isNotNull(),
@@ -182,7 +183,7 @@ def render_rss_feeds(articles: DataFrame, chunk: int = 100) -> DataFrame:
                    F.lit("</channel></rss>"))
 
 
-def render_atom_feeds(articles: DataFrame, chunk: int = 100) -> DataFrame:
+def render_atom_feeds(articles: DataFrame, chunk: int = 2000) -> DataFrame:
     """Atom documents (default namespace) with ISO dates carrying a +05:30 offset."""
     entry = F.to_xml(F.struct(
         F.col("title").alias("title"),

@@ -21,8 +21,10 @@ from presswork.sources.store import BATCH_SHIFT, append_store, assign_arrival_id
 
 def next_batch_id(store: DataFrame) -> int:
     """One more than the newest batch number in the store (0 for an empty store)."""
-    top = store.agg(F.max(F.shiftright("arrival_id", BATCH_SHIFT))).first()[0]
-    return 0 if top is None else int(top) + 1
+    # a plain max() can be answered from Parquet footers when
+    # spark.sql.parquet.aggregatePushdown is enabled
+    top = store.agg(F.max("arrival_id")).first()[0]
+    return 0 if top is None else (int(top) >> BATCH_SHIFT) + 1
 
 
 def ingest_frame(files: DataFrame, store_path: str, mode: str = "url",
