@@ -813,6 +813,82 @@ def q_required_fields(spark, sf):
     return links.filter((F.col("href") != "") & (F.col("title") != "")).select("page_id", "link_ord")
 
 
+# ---------------------------------------------------------------------------
+# focused views of single operators
+# ---------------------------------------------------------------------------
+
+def _enrich_b_frame(spark, sf):
+    return enrich.enrich_b(articles_fx(spark, sf), "content", categories=P.FREQ_CATEGORY_RULES, tiers=P.FREQ_TIERS)
+
+
+register("categorize_b", _with(O.ARTICLES_FX, _enrich_b_sql(True)) + "SELECT arrival_id, category FROM enriched_b")(
+    lambda spark, sf: _enrich_b_frame(spark, sf).select("arrival_id", "category"))
+register("severity_tier_b", _with(O.ARTICLES_FX, _enrich_b_sql(True)) + "SELECT arrival_id, severity FROM enriched_b")(
+    lambda spark, sf: _enrich_b_frame(spark, sf).select("arrival_id", "severity"))
+register("soc_action_b", _with(O.ARTICLES_FX, _enrich_b_sql(True)) + f"""SELECT arrival_id,
+  {O.lookup_case('category', R.SOC_ACTIONS_B, R.SOC_ACTION_DEFAULT_B)} AS soc_reco FROM enriched_b""")(
+    lambda spark, sf: _enrich_b_frame(spark, sf).select("arrival_id", "soc_reco"))
+
+
+@register("severity_rank", _with(O.ARTICLES_FX, _enrich_sql(True)) + f"""SELECT arrival_id, {O.sev_rank('severity')} AS severity_rank,
+  {O.sev_rank("upper(severity) || ' '", strip=True)} AS severity_rank_stripped FROM enriched""")
+def q_severity_rank(spark, sf):
+    e = _enriched(spark, sf, True)
+    return e.select("arrival_id", enrich.severity_rank("severity").alias("severity_rank"),
+                    enrich.severity_rank(F.concat(F.upper("severity"), F.lit(" ")), strip=True).alias("severity_rank_stripped"))
+
+
+@register("action_lookup", _with(O.ARTICLES_FX, _enrich_sql(True)) + f"""SELECT arrival_id,
+  {O.lookup_case('category', R.SOC_ACTIONS_A, R.SOC_ACTION_DEFAULT_A)} AS action FROM enriched""")
+def q_action_lookup(spark, sf):
+    return _enriched(spark, sf, True).select("arrival_id", enrich.action_lookup("category").alias("action"))
+
+
+@register("stopword_filter", _with(O.ARTICLES_FX) + f"""SELECT arrival_id, array_to_string(list_filter(
+  list_transform(list_filter(string_split(lower({O.clean('title')}), ' '), lambda s: s <> ''), lambda s: trim(s, {_STRIP})),
+  lambda w: length(w) >= 4 AND w NOT IN ({", ".join(O.q(w) for w in R.STOPWORDS_REPORT)})), ' ') AS kept_terms FROM articles""")
+def q_stopword_filter(spark, sf):
+    toks = F.transform(T.tokens_ws(F.col("title")), T.strip_token)
+    kept = F.filter(toks, lambda w: (F.char_length(w) >= 4) & ~w.isin(R.STOPWORDS_REPORT))
+    return articles_fx(spark, sf).select("arrival_id", F.array_join(kept, " ").alias("kept_terms"))
+
+
+@register("entry_content", _with(O.ARTICLES_FX) + f"""SELECT arrival_id,
+  NULLIF(left({O.clean("regexp_replace(coalesce(content, ''), '<[^>]+>', '', 'g')")}, {R.CONTENT_MAX}), '') AS content,
+  published_at IS NULL AS from_content_element
+FROM articles WHERE {O.clean('title')} <> '' AND trim(coalesce(url, '')) <> ''""")
+def q_entry_content(spark, sf):
+    """Atom entries carry dated text in <summary> and undated text in <content>; both must load."""
+    from presswork.sources import feeds as FD
+    items, _ = FD.scan_feeds(spark, _land(spark, sf, "atom"))
+    arts = FD.items_to_articles(items, dates="utc")
+    flag = items.select(F.col("guid"), F.col("summary_raw").isNull().alias("from_content_element"))
+    return arts.join(flag, "guid").select(F.col("guid").cast("bigint").alias("arrival_id"), "content", "from_content_element")
+
+
+@register("append_store", _with(O.ARTICLES_FX) + "SELECT arrival_id, url, published_at FROM articles")
+def q_append_store(spark, sf):
+    """Two appended batches (dated, then undated rows) read back as one table."""
+    from presswork.session import scratch_path
+    from presswork.sources.store import append_store, read_store
+    path = scratch_path(spark, "store")
+    a = articles_fx(spark, sf)
+    append_store(a.filter(F.col("published_at").isNotNull()), path)
+    append_store(a.filter(F.col("published_at").isNull()), path)
+    return read_store(spark, path).select("arrival_id", "url", "published_at")
+
+
+@register("report_sink", _with(*_rep_sql(), _DETAIL_SQL, _md_trends_sql(), _lines_sql()) +
+          "SELECT line FROM lines WHERE NOT (sec = 3 AND sub = 10 AND pos = (SELECT max(pos) FROM detail))")
+def q_report_sink(spark, sf):
+    """The report written as one text file and read back (one row per line)."""
+    from presswork.session import scratch_path
+    from presswork.sources.store import report_sink
+    path = scratch_path(spark, "report")
+    report_sink(_daily(spark, sf).lines, path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 def all_queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 

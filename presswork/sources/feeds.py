@@ -190,7 +190,10 @@ def render_atom_feeds(articles: DataFrame, chunk: int = 2000) -> DataFrame:
         F.struct(F.col("url").alias("_href")).alias("link"),
         F.when(F.col("published_at").isNotNull(),
                F.concat(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:30"))).alias("updated"),
-        F.col("content").alias("summary"), F.col("arrival_id").cast("string").alias("id")), {"rowTag": "entry"})
+        # undated entries carry their text as <content> instead of <summary>
+        F.when(F.col("published_at").isNotNull(), F.col("content")).alias("summary"),
+        F.when(F.col("published_at").isNull(), F.col("content")).alias("content"),
+        F.col("arrival_id").cast("string").alias("id")), {"rowTag": "entry"})
     return _bundle(articles, entry, chunk,
                    lambda src: F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>'), src, F.lit("</title>")),
                    F.lit("</feed>"))

@@ -29,14 +29,24 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 UNDATED_EVERY = 13
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition only when a scan yields fewer splits than the cluster has
+    task slots (e.g. one Parquet row group). Large inputs already arrive in thousands of
+    splits and are left as they are, so at scale this adds no shuffle."""
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if spread_rows else df
 
 
 def articles_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    pages = table(spark, sf_dir, "pages", spread_rows=False).select("page_id", "url")
+    events = table(spark, sf_dir, "events", spread_rows=False).select("event_id", "ts")
     n_pages = pages.agg(F.count(F.lit(1))).scalar()
     keyed = docs.withColumn("_page", F.pmod(F.col("doc_id"), n_pages))
     # pages and events are joined on their keys; AQE broadcasts them only when
