@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from presswork import rules as R
 from presswork.operators import enrich, report, summary, trends
+from presswork.session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -41,7 +42,9 @@ def latest_enriched(store: DataFrame, as_of, since: str = R.DEFAULT_SINCE, limit
     win = report.recent_window(store, as_of, since)
     latest = report.latest_n(win, limit)
     if materialize:
-        # <= 200 rows: cut the lineage once so the window is scanned once
+        # <= 200 rows: cut the lineage once (reliable checkpoint in the shared
+        # spark.checkpoint.dir) so the window is scanned once
+        ensure_checkpoint_dir(store.sparkSession)
         latest = latest.checkpoint(eager=True)
     out = enrich.enrich_a(latest, categories=categories, high=high, med=med) if enrich_rows else latest
     if summarize:
