@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from presswork.functions._util import col_of, lit_str
+from presswork.functions._util import col_of, let, lit_str
 from presswork.rules import CLAMP_FALLBACK_MAX, TOKEN_STRIP_CHARS, WORD_CLASS
 
 # The whitespace set of Python's ``str.isspace`` written as a character
@@ -93,17 +93,15 @@ def split_lines(c) -> Column:
 def clamp_lines(c, max_lines: int = 5) -> Column:
     """>=2 non-blank lines: first N trimmed lines; else first N sentences; else first 500 chars."""
     x = col_of(c)
-    lines = split_lines(x)
-    sents = split_sentences(x)
-    by_lines = F.array_join(F.slice(lines, 1, max_lines), "\n")
-    by_sents = F.trim(F.array_join(F.slice(sents, 1, max_lines), "\n"))
-    fallback = F.left(clean_whitespace(x), F.lit(CLAMP_FALLBACK_MAX))
-    return (
-        F.when(F.coalesce(x, F.lit("")) == "", F.lit(""))
-        .when(F.size(lines) >= 2, by_lines)
-        .when(F.size(sents) > 0, by_sents)
-        .otherwise(fallback)
-    )
+
+    def pick(raw, lines, cleaned):
+        sents = F.filter(F.split(cleaned, lit_str(SENTENCE_SPLIT)), lambda s: s != F.lit(""))
+        return (F.when(raw == "", F.lit(""))
+                .when(F.size(lines) >= 2, F.array_join(F.slice(lines, 1, max_lines), "\n"))
+                .when(F.size(sents) > 0, F.trim(F.array_join(F.slice(sents, 1, max_lines), "\n")))
+                .otherwise(F.left(cleaned, F.lit(CLAMP_FALLBACK_MAX))))
+
+    return let(pick, raw=F.coalesce(x, F.lit("")), lines=split_lines(x), cleaned=clean_whitespace(x))
 
 
 def word_pattern(min_len: int) -> str:

@@ -33,9 +33,19 @@ def window_start(as_of, since: str | int) -> Column:
     return F.timestamp_add("HOUR", F.lit(-int(hours)), _as_col(as_of))
 
 
-def recent_window(df: DataFrame, as_of, since: str | int = R.DEFAULT_SINCE, ts_col: str = "published_at") -> DataFrame:
-    """Undated rows, or rows published at/after ``as_of - since`` (no upper bound)."""
-    return df.filter(F.col(ts_col).isNull() | (F.col(ts_col) >= window_start(as_of, since)))
+def recent_window(df: DataFrame, as_of, since: str | int = R.DEFAULT_SINCE, ts_col: str = "published_at",
+                  part_col: str = "pub_date") -> DataFrame:
+    """Undated rows, or rows published at/after ``as_of - since`` (no upper bound).
+
+    The predicate reaches the Parquet scan as ``Or(IsNull, >=)``; on a store
+    partitioned by ``pub_date`` the same window on the partition column
+    (undated partition kept) prunes whole date folders.
+    """
+    start = window_start(as_of, since)
+    out = df.filter(F.col(ts_col).isNull() | (F.col(ts_col) >= start))
+    if part_col in df.columns:
+        out = out.filter(F.col(part_col).isNull() | (F.col(part_col) >= F.to_date(start)))
+    return out
 
 
 def report_order(ts_col: str = "published_at", id_col: str = "arrival_id") -> list[Column]:

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampNTZType
+from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType, TimestampNTZType
 
 from presswork.operators import enrich, summary
 from presswork.operators.report import recent_window
@@ -41,13 +41,17 @@ ARTICLE_COLUMNS = [f.name for f in ARTICLE_SCHEMA.fields]
 BATCH_SHIFT = 48
 
 
+STORE_SCHEMA = StructType(ARTICLE_SCHEMA.fields + [StructField("pub_date", DateType(), True)])
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The stored articles (empty frame when nothing was written yet)."""
+    """The stored articles plus the ``pub_date`` partition column (empty frame when
+    nothing was written yet)."""
     try:
-        return spark.read.schema(ARTICLE_SCHEMA).parquet(path).select(*ARTICLE_COLUMNS)
+        return spark.read.schema(STORE_SCHEMA).parquet(path)
     except Exception as e:  # noqa: BLE001 — a missing store is an empty store
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return spark.createDataFrame([], ARTICLE_SCHEMA)
+            return spark.createDataFrame([], STORE_SCHEMA)
         raise
 
 
@@ -86,6 +90,7 @@ def write_enrichment(spark: SparkSession, store_path: str, out_path: str, as_of,
     store = spark.read.parquet(store_path)
     part = affected_partitions(store, as_of, since).drop("pub_date")
     upd = update_enrichment(part, as_of, since, **rules).withColumn("pub_date", F.to_date("published_at"))
+    upd = upd.select(*ARTICLE_COLUMNS, "pub_date")
     (upd.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("pub_date").parquet(out_path))
 
