@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from presswork.functions.urls import URL_PARTS, get_domain
 
@@ -47,3 +48,53 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> D
 def robots_filter(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     """Only the admitted URLs."""
     return robots_allowed(urls, rules, url_col).filter("allowed").drop("allowed")
+
+
+def rules_for_agent(robots: DataFrame, user_agent: str, host_col: str = "host", body_col: str = "body") -> DataFrame:
+    """Landed robots files ``(host, body)`` -> the rules table that applies to ``user_agent``.
+
+    Record grammar: ``User-agent`` lines open an entry, ``Allow``/``Disallow``
+    lines add ordered rules (``Crawl-delay``/``Request-rate`` count as rule
+    lines for grouping), an empty line closes the entry, ``#`` starts a
+    comment, and an entry without rule lines is dropped. The first entry
+    whose agent name occurs in our agent token (the part before '/',
+    lower-cased) applies; otherwise the first ``*`` entry; otherwise nothing
+    (everything allowed). An empty ``Disallow`` allows all.
+
+    Each host's lines are ordered and grouped with windows partitioned by
+    host, so no group exceeds one robots file.
+    """
+    token = user_agent.split("/")[0].lower()
+    lines = robots.select(F.lower(F.col(host_col)).alias("host"),
+                          F.posexplode(F.split(F.coalesce(F.col(body_col), F.lit("")), r"\r\n|\r|\n")).alias("n", "raw"))
+    text = F.trim(F.regexp_replace(F.col("raw"), "#.*$", ""))
+    key = F.lower(F.trim(F.substring_index(text, ":", 1)))
+    val = F.trim(F.substr(text, F.instr(text, ":") + 1))
+    kind = (F.when(F.col("raw") == "", F.lit("B"))
+            .when(~text.contains(":"), F.lit(None))
+            .when(key == "user-agent", F.lit("U"))
+            .when(key.isin("allow", "disallow"), F.lit("R"))
+            .when(key.isin("crawl-delay", "request-rate"), F.lit("C")))
+    tok = (lines.select("host", "n", kind.alias("kind"), key.alias("key"),
+                        F.coalesce(F.try_url_decode(val), val).alias("value"))
+           .filter(F.col("kind").isNotNull()))
+    w = Window.partitionBy("host").orderBy("n")
+    prev = F.lag("kind").over(w)
+    starts = (F.col("kind") == "B") | ((F.col("kind") == "U") & (prev.isNull() | (prev != "U")))
+    tok = tok.withColumn("blk", F.sum(starts.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # a block that starts with a user-agent line and holds a rule line is an entry
+    blocks = tok.groupBy("host", "blk").agg(
+        F.min_by("kind", "n").alias("first_kind"),
+        F.max((F.col("kind") != "U").cast("int")).alias("has_rules"),
+        F.collect_list(F.when(F.col("kind") == "U", F.lower("value"))).alias("agents"))
+    entries = blocks.filter((F.col("first_kind") == "U") & (F.col("has_rules") == 1))
+    is_star = F.array_contains("agents", "*")
+    matches = F.exists("agents", lambda a: F.lit(token).contains(a))
+    pick = entries.select("host", "blk", F.when(~is_star & matches, F.lit(0)).when(is_star, F.lit(1)).alias("pref"))
+    chosen = (pick.filter(F.col("pref").isNotNull())
+              .groupBy("host").agg(F.min(F.struct("pref", "blk")).alias("c"))
+              .select("host", F.col("c.blk").alias("blk")))
+    rules = tok.filter(F.col("key").isin("allow", "disallow")).join(chosen, ["host", "blk"])
+    allow = (F.col("key") == "allow") | (F.col("value") == "")
+    return rules.select("host", F.col("n").cast("int").alias("rule_ord"), allow.alias("allow"),
+                        F.col("value").alias("path_prefix"))

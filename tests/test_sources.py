@@ -103,3 +103,32 @@ def test_robots(spark):
 def test_source_registry(spark):
     reg = FD.source_registry(spark).collect()
     assert len(reg) == 9 and reg[0].source_ord == 0 and reg[0].kind == "rss"
+
+
+ROBOTS = {
+    "a.com": "User-agent: *\nDisallow: /private\nAllow: /private/ok\n\nUser-agent: presswork\nDisallow: /tmp # comment\n",
+    "b.com": "User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /x/y\nDisallow: /x\n",
+    "c.com": "# nothing for us\nUser-agent: Presswork-Bot\nUser-agent: googlebot\nDisallow:\n",
+    "d.com": "Disallow: /ignored-no-agent\nUser-agent: *\n\nDisallow: /also-ignored\n",
+    "e.com": "User-agent: *\nCrawl-delay: 5\nUser-agent: presswork\nDisallow: /slow\n",
+}
+PATHS = ["/", "/private", "/private/ok/1", "/tmp/x", "/x", "/x/y/z", "/slow", "/ignored-no-agent", "/also-ignored", "/z"]
+
+
+def test_robots_txt_parsing_matches_stdlib(spark):
+    from urllib.robotparser import RobotFileParser
+
+    from presswork.operators.robots import rules_for_agent
+
+    agent = "presswork/1.0 (+test)"
+    bodies = spark.createDataFrame(list(ROBOTS.items()), "host string, body string")
+    rules = rules_for_agent(bodies, agent)
+    urls = spark.createDataFrame([(f"https://{h}{p}",) for h in ROBOTS for p in PATHS], "url string")
+    got = {r.url: r.allowed for r in robots_allowed(urls, rules).collect()}
+    want = {}
+    for h, body in ROBOTS.items():
+        rp = RobotFileParser()
+        rp.parse(body.splitlines())
+        for p in PATHS:
+            want[f"https://{h}{p}"] = rp.can_fetch(agent, f"https://{h}{p}")
+    assert got == want
