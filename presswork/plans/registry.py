@@ -515,6 +515,7 @@ def q_enrich_count(spark, sf):
 # ---------------------------------------------------------------------------
 
 def _trend_sql(variant: str, n: int | None, text: str = "title", min_len: int = 4) -> str:
+    """Tokens ``tk(rn, term, pos)`` in report order, then count + first appearance per term."""
     base = (f"ord AS (SELECT {text} AS txt, row_number() OVER (ORDER BY published_at DESC NULLS LAST, arrival_id DESC) AS rn "
             f"FROM articles)")
     if variant == "regex":
@@ -524,17 +525,15 @@ def _trend_sql(variant: str, n: int | None, text: str = "title", min_len: int =
     else:
         raw = (f"rw AS (SELECT rn, x.raw, x.pos FROM ord, unnest(list_filter(string_split(lower({O.clean('txt')}), ' '), "
                f"lambda s: s <> '')) WITH ORDINALITY AS x(raw, pos))")
-        if variant == "md":
+        if variant == "md":      # length tested on the raw token, stripped afterwards
             stop = ", ".join(O.q(w) for w in R.STOPWORDS_MD)
-            tok = raw + (f", tk AS (SELECT rn, trim(raw, {_STRIP}) AS term, pos FROM rw WHERE length(raw) >= {min_len}) ")
-            tok += f", tk2 AS (SELECT * FROM tk WHERE term <> '' AND term NOT IN ({stop}))"
-        else:
+            tok = (raw + f", st AS (SELECT rn, trim(raw, {_STRIP}) AS term, pos FROM rw WHERE length(raw) >= {min_len}), "
+                   f"tk AS (SELECT * FROM st WHERE term <> '' AND term NOT IN ({stop}))")
+        else:                    # stripped first, then the length test
             stop = ", ".join(O.q(w) for w in R.STOPWORDS_REPORT)
-            tok = raw + f", tk AS (SELECT rn, trim(raw, {_STRIP}) AS term, pos FROM rw) "
-            tok += f", tk2 AS (SELECT * FROM tk WHERE length(term) >= {min_len} AND term NOT IN ({stop}))"
-        tok = tok.replace("tk2", "tkf")
-    src = "tkf" if variant != "regex" else "tk"
-    agg = f"SELECT term, count(*) AS cnt, min({{'rn': rn, 'pos': pos}}) AS f FROM {src} GROUP BY term"
+            tok = (raw + f", st AS (SELECT rn, trim(raw, {_STRIP}) AS term, pos FROM rw), "
+                   f"tk AS (SELECT * FROM st WHERE length(term) >= {min_len} AND term NOT IN ({stop}))")
+    agg = "SELECT term, count(*) AS cnt, min({'rn': rn, 'pos': pos}) AS f FROM tk GROUP BY term"
     if n is None:
         return _with(O.ARTICLES_FX, base, tok) + f"SELECT term, cnt FROM ({agg})"
     return (_with(O.ARTICLES_FX, base, tok) +
