@@ -25,8 +25,7 @@ from presswork.plans.daily import daily_report
 from presswork.session import ensure_checkpoint_dir
 from presswork.sources.feeds import ARRIVAL_ORDER, feed_documents, items_to_articles, read_feed_files, scan_atom, scan_rss
 from presswork.sources.html import links_to_items, scan_html_links
-from presswork.sources.store import (ARTICLE_COLUMNS, affected_partitions, append_store, assign_arrival_ids,
-                                     read_store, report_sink, update_enrichment)
+from presswork.sources.store import BATCH_SHIFT, append_store, assign_arrival_ids, read_store, report_sink, write_enrichment
 from presswork.streaming.ingest import next_batch_id
 
 
@@ -66,25 +65,16 @@ def ingest(spark: SparkSession, store_path: str, feeds_path: str | None = None,
     batch_id = next_batch_id(store)
     fresh = assign_arrival_ids(new_articles(batch, store, mode, ARRIVAL_ORDER), batch_id, ARRIVAL_ORDER)
     append_store(fresh, store_path)
-    inserted = read_store(spark, store_path).filter(F.shiftright("arrival_id", 48) == F.lit(batch_id))
+    inserted = read_store(spark, store_path).filter(F.shiftright("arrival_id", BATCH_SHIFT) == F.lit(batch_id))
     return ingest_counts(batch, inserted)
 
 
-def refresh_enrichment(spark: SparkSession, store_path: str, as_of, since: str = R.DEFAULT_SINCE, **rules) -> None:
-    """Enrich the window's rows in place (touched date partitions only)."""
-    ensure_checkpoint_dir(spark)
-    part = affected_partitions(read_store(spark, store_path), as_of, since).drop("pub_date")
-    upd = update_enrichment(part, as_of, since, **rules).select(*ARTICLE_COLUMNS)
-    upd = upd.withColumn("pub_date", F.to_date("published_at")).checkpoint(eager=True)
-    (upd.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("pub_date").parquet(store_path))
-
-
 def run_once(spark: SparkSession, store_path: str, report_path: str, as_of, since: str = R.DEFAULT_SINCE,
              limit: int = R.DEFAULT_LIMIT, feeds_path: str | None = None, pages: DataFrame | None = None,
              mode: str = "url", dates: str = "wall_clock", **rules) -> RunResult:
+    ensure_checkpoint_dir(spark)
     counts = ingest(spark, store_path, feeds_path, pages, mode, dates).checkpoint(eager=True)
-    refresh_enrichment(spark, store_path, as_of, since, **rules)
+    write_enrichment(spark, store_path, as_of, since, **rules)
     rep = daily_report(read_store(spark, store_path), as_of, since, limit, enrich_rows=False)
     report_sink(rep.lines, report_path)
     return RunResult(counts=counts, markdown=rep.markdown())

@@ -84,15 +84,24 @@ def affected_partitions(store: DataFrame, as_of, since: str = "24h") -> DataFram
     return store.filter(F.col("pub_date").isNull() | (F.col("pub_date") >= start))
 
 
-def write_enrichment(spark: SparkSession, store_path: str, out_path: str, as_of, since: str = "24h", **rules) -> None:
-    """Enrich the window and write the touched date partitions to ``out_path``
-    (a new version folder; partitions not touched are not rewritten)."""
-    store = spark.read.parquet(store_path)
-    part = affected_partitions(store, as_of, since).drop("pub_date")
-    upd = update_enrichment(part, as_of, since, **rules).withColumn("pub_date", F.to_date("published_at"))
-    upd = upd.select(*ARTICLE_COLUMNS, "pub_date")
+def write_enrichment(spark: SparkSession, store_path: str, as_of, since: str = "24h", out_path: str | None = None,
+                     **rules) -> None:
+    """Enrich the window and write the touched date partitions (dynamic partition overwrite).
+
+    ``out_path`` given: a new version folder. Otherwise in place: the updated
+    partitions are first materialised with a reliable checkpoint (shared
+    ``spark.checkpoint.dir``), so the overwrite never reads what it replaces.
+    Partitions outside the window are not rewritten.
+    """
+    part = affected_partitions(read_store(spark, store_path), as_of, since).drop("pub_date")
+    upd = update_enrichment(part, as_of, since, **rules).select(*ARTICLE_COLUMNS)
+    upd = upd.withColumn("pub_date", F.to_date("published_at"))
+    if out_path is None:
+        from presswork.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        upd = upd.checkpoint(eager=True)
     (upd.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("pub_date").parquet(out_path))
+     .partitionBy("pub_date").parquet(out_path or store_path))
 
 
 def _start(as_of, since):
