@@ -35,3 +35,22 @@ def test_run_once_and_rerun(spark, tmp_dir):
     assert sum(r.inserted for r in r2.counts.collect()) == 0
     assert read_store(spark, store).count() == 5
     assert r2.markdown == r1.markdown
+
+
+def test_command_line(spark, tmp_dir, capsys):
+    import pytest
+
+    from presswork.__main__ import main, parse_args
+
+    land(f"{tmp_dir}/feeds", "srcA/a.xml", RSS)
+    rc = main(["run", "--store", f"{tmp_dir}/store", "--output", f"{tmp_dir}/out", "--feeds", f"{tmp_dir}/feeds",
+               "--since", "48h", "--limit", "10", "--as-of", "2026-02-15T20:00:00"], spark=spark)
+    assert rc == 0
+    assert "srcA: items=3 inserted=2" in capsys.readouterr().out
+    assert os.path.isdir(f"{tmp_dir}/out/report_2026-02-15")
+    with pytest.raises(SystemExit):
+        parse_args(["run"])                                               # --store/--output missing
+    with pytest.raises(ValueError):
+        parse_args(["run", "--store", "s", "--output", "o", "--limit", "201"])
+    with pytest.raises(ValueError):
+        parse_args(["run", "--store", "s", "--output", "o", "--since", "3w"])
