@@ -21,11 +21,16 @@ from presswork.operators.enrich import md_guidance, severity_rank
 
 
 def _as_col(as_of) -> Column:
+    """``as_of`` as a TIMESTAMP_NTZ column. Python datetimes go through their ISO text so
+    neither the driver's nor the session's time zone can shift them (aware values are
+    taken as their UTC wall clock)."""
     if isinstance(as_of, Column):
         return as_of
     if isinstance(as_of, _dt.datetime):
-        return F.lit(as_of.replace(tzinfo=None)).cast("timestamp_ntz")
-    return F.lit(as_of).cast("timestamp_ntz")
+        if as_of.tzinfo is not None:
+            as_of = as_of.astimezone(_dt.timezone.utc).replace(tzinfo=None)
+        return F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(str(as_of)).cast("timestamp_ntz")
 
 
 def window_start(as_of, since: str | int) -> Column:

@@ -123,3 +123,17 @@ def test_limit_bounds(spark):
     df = spark.createDataFrame([(1, None)], "arrival_id long, published_at timestamp_ntz")
     with pytest.raises(ValueError):
         report.latest_n(df, 201)
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    rows = [("2026-02-15T19:40:00+05:30",), ("Sun, 15 Feb 2026 19:40:00 GMT",)]
+    before = val(spark, F.struct(D.parse_pub_ts(F.col("x")), D.parse_iso_utc(F.col("x"))), rows=rows)
+    start_before = spark.range(1).select(report.window_start(dt.datetime(2026, 2, 15, 20), "24h")).first()[0]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        after = val(spark, F.struct(D.parse_pub_ts(F.col("x")), D.parse_iso_utc(F.col("x"))), rows=rows)
+        start_after = spark.range(1).select(report.window_start(dt.datetime(2026, 2, 15, 20), "24h")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert before == after and start_before == start_after == dt.datetime(2026, 2, 14, 20)
