@@ -135,8 +135,9 @@ def items_to_articles(items: DataFrame, sources: DataFrame | None = None, dates:
     x = items.withColumn("title", clean_whitespace(F.col("title"))).withColumn("link", F.trim(F.coalesce("link", F.lit(""))))
     x = x.filter((F.col("title") != "") & (F.col("link") != ""))
     if sources is not None:
-        # the registry is configuration (a handful of rows): broadcast is bounded
-        reg = F.broadcast(sources.select(F.col("name").alias("source"), "source_ord"))
+        # no forced broadcast: AQE broadcasts the registry when its runtime size is
+        # under the threshold (a handful of configured sources) and shuffles otherwise
+        reg = sources.select(F.col("name").alias("source"), "source_ord")
         x = x.join(reg, "source", "left").withColumn("source_ord", F.coalesce("source_ord", F.lit(R.LIMIT_MAX * 1000)))
     else:
         x = x.withColumn("source_ord", F.lit(0))
