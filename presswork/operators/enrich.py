@@ -114,24 +114,52 @@ def rules_frame(spark, rules: list[tuple[str, list[str]]]) -> DataFrame:
     return spark.createDataFrame(rows, "rule_ord int, label string, keyword string")
 
 
-def rule_match_join(df: DataFrame, id_col: str, text_col: str, rules: list[tuple[str, list[str]]],
-                    spark=None) -> DataFrame:
+BROADCAST_KEYWORDS_MAX = 10_000
+
+
+def rule_match_join(df: DataFrame, id_col: str, text_col: str, rules, spark=None) -> DataFrame:
     """Match evidence ``(id, rule_ord, label, keyword)``: which keywords of which rule occur.
 
-    The rule table is a parameter of bounded size (checked below), so it is
-    broadcast; the theta condition runs as a BroadcastNestedLoopJoin and the
-    document side is never shuffled.
+    ``rules``: a list ``[(label, [keywords])]`` or a frame ``(rule_ord, label, keyword)``.
+    A list of at most ``BROADCAST_KEYWORDS_MAX`` keywords is broadcast (its size
+    is known here) and matched with a BroadcastNestedLoopJoin; documents never
+    move. Larger or frame-given rule tables use :func:`rule_match_ngram`, an
+    exact equi-join that shuffles instead of broadcasting.
     """
-    n_kw = sum(len(k) for _, k in rules)
-    if n_kw > 100_000:
-        raise ValueError(f"rule table too large to broadcast: {n_kw} keywords")
     spark = spark or df.sparkSession
+    if isinstance(rules, DataFrame):
+        return rule_match_ngram(df, id_col, text_col, rules)
     rf = rules_frame(spark, rules)
+    if sum(len(k) for _, k in rules) > BROADCAST_KEYWORDS_MAX:
+        return rule_match_ngram(df, id_col, text_col, rf)
     docs = df.select(F.col(id_col), lowered(text_col).alias("_lt"))
     return (docs.join(F.broadcast(rf), F.contains(F.col("_lt"), F.col("keyword")), "inner")
             .select(id_col, "rule_ord", "label", "keyword"))
 
 
+def rule_match_ngram(df: DataFrame, id_col: str, text_col: str, rules: DataFrame) -> DataFrame:
+    """Exact substring matching as an equi-join: every distinct substring of each
+    keyword length is generated per document and joined on (length, substring).
+
+    Work is linear in text size times the number of distinct keyword lengths
+    (collected from the rule table: a handful of integers); no theta or cross join.
+    """
+    lengths = sorted(r[0] for r in rules.select(F.length("keyword").alias("n")).distinct().collect() if r[0])
+    if not lengths:
+        return rules.select(F.lit(None).cast(df.schema[id_col].dataType).alias(id_col), "rule_ord", "label",
+                            "keyword").limit(0)
+
+    def grams_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("_lt") - F.lit(n) + 1)
+        return F.when(F.length("_lt") >= n, F.transform(starts, lambda i: F.substring(F.col("_lt"), i, F.lit(n))))
+
+    lt = lowered(text_col)
+    grams = (df.select(F.col(id_col), lt.alias("_lt"))
+             .select(F.col(id_col), F.explode(F.array_distinct(F.flatten(F.array(
+                 *[F.coalesce(grams_of(n), F.array().cast("array<string>")) for n in lengths])))).alias("keyword")))
+    return grams.join(rules, "keyword").select(id_col, "rule_ord", "label", "keyword")
+
+
 def categorize_by_join(df: DataFrame, id_col: str, text_col: str,
                        rules: list[tuple[str, list[str]]] = R.CATEGORY_RULES_A,
                        default: str = "general") -> DataFrame:

@@ -62,3 +62,15 @@ def test_window_pushdown_and_partition_pruning(spark, tmp_dir):
     assert "PartitionFilters: [(isnull(pub_date" in p
     assert win.count() == articles_fx(spark, SF_SMALL).filter(
         F.col("published_at").isNull() | (F.col("published_at") >= F.lit(dt.datetime(2023, 12, 31, 12)))).count()
+
+
+def test_rule_match_ngram_equals_broadcast(spark):
+    from presswork.plans.params import FREQ_CATEGORY_RULES
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    rules = FREQ_CATEGORY_RULES + [("edge", ["ation", "e", "x-y"])]
+    small = enrich.rule_match_join(docs, "doc_id", "text", rules)
+    big = enrich.rule_match_ngram(docs, "doc_id", "text", enrich.rules_frame(spark, rules))
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
+    p = plan_of(big)
+    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
