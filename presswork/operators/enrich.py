@@ -28,7 +28,11 @@ def lowered(c) -> Column:
 
 def categorize(text, rules: list[tuple[str, list[str]]] = R.CATEGORY_RULES_A,
                default: str = "general", already_lower: bool = False) -> Column:
-    """First rule (in order) with any keyword as a substring of lower(text); else ``default``."""
+    """First rule (in order) with any keyword as a substring of lower(text); else ``default``.
+
+    One CASE expression (codegen'd, no shuffle) — right for rule tables of up
+    to a few thousand keywords; for larger tables use :func:`categorize_by_join`.
+    """
     t = col_of(text) if already_lower else lowered(text)
     out = None
     for label, kws in rules:

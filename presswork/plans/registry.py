@@ -439,6 +439,16 @@ def q_rule_match_join(spark, sf):
     return ev.select("doc_id", "rule_ord", "label", "keyword")
 
 
+@register("rule_match_ngram", "WITH rules(rule_ord, label, keyword) AS (VALUES " + ", ".join(
+    f"({i}, {O.q(lab)}, {O.q(k)})" for i, (lab, kws) in enumerate(P.FREQ_CATEGORY_RULES) for k in kws) + """)
+SELECT d.doc_id, r.rule_ord, r.label, r.keyword FROM documents d JOIN rules r ON contains(lower(coalesce(d.text, '')), r.keyword)""")
+def q_rule_match_ngram(spark, sf):
+    """The shuffle-based path for rule tables too large to broadcast (same evidence)."""
+    rf = enrich.rules_frame(spark, P.FREQ_CATEGORY_RULES)
+    return enrich.rule_match_ngram(table(spark, sf, "documents"), "doc_id", "text", rf).select(
+        "doc_id", "rule_ord", "label", "keyword")
+
+
 @register("categorize_by_join", "WITH rules(rule_ord, label, keyword) AS (VALUES " + ", ".join(
     f"({i}, {O.q(lab)}, {O.q(k)})" for i, (lab, kws) in enumerate(P.FREQ_CATEGORY_RULES) for k in kws) + f""")
 SELECT doc_id, {O.category_case(O.lower0('text'), P.FREQ_CATEGORY_RULES)} AS category FROM documents""")
