@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from presswork.functions._util import col_of
-from presswork.functions.text import clean_whitespace, split_sentences, tokens_alnum
+from presswork.functions.text import clean_whitespace, tokens_alnum
 from presswork.rules import SUMMARY_LINES
 
 NO_WORD_SENTENCES = 3

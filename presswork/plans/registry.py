@@ -408,10 +408,6 @@ def q_md_guidance(spark, sf):
                     enrich.severity_rank("severity").alias("severity_rank"))
 
 
-def _b_text_sql() -> str:
-    return f"lower(coalesce(title, '') || ' ' || {O.clamp(_html_to_text_sql(_html_to_text_sql('content')), R.SUMMARY_LINES)})"
-
-
 def _enrich_b_sql(freq: bool) -> str:
     cats = P.FREQ_CATEGORY_RULES if freq else R.CATEGORY_RULES_B
     tiers = P.FREQ_TIERS if freq else R.SEVERITY_TIERS_B

@@ -32,10 +32,6 @@ ATOM_ENTRY_SCHEMA = ("title string, link array<struct<_href: string, _src: strin
                      "updated string, summary string, content string, id string, _corrupt_record string")
 XML_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
-ITEM_COLUMNS = ["source", "file_path", "doc_ord", "entry_ord", "kind", "title", "link", "published_raw",
-                "updated_raw", "summary_raw", "content_raw", "guid"]
-
-
 def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
     """``(file_path, body)`` — one row per landed file."""
     return (spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)

@@ -3,7 +3,6 @@
 import datetime as dt
 import os
 
-from pyspark.sql import functions as F
 
 from presswork.plans.run import run_once
 from presswork.sources.store import read_store

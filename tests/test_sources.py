@@ -2,7 +2,6 @@
 
 import os
 
-from pyspark.sql import functions as F
 
 from presswork.operators.robots import robots_allowed, rules_frame
 from presswork.sources import feeds as FD
