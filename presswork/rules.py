@@ -109,7 +109,10 @@ STOPWORDS_MD: list[str] = [
     "over", "more", "after", "than", "your", "what", "when", "been", "using",
     "says", "said", "report", "reports", "today",
 ]
-STOPWORDS_REPORT: list[str] = STOPWORDS_MD + [
+STOPWORDS_REPORT: list[str] = [
+    "with", "this", "that", "from", "have", "will", "their", "they", "into",
+    "over", "more", "after", "than", "your", "what", "when", "been", "using",
+    "says", "said", "report", "reports", "today",
     "para", "como", "esta", "este", "sobre", "entre", "pero", "porque",
 ]
 STOPWORDS_REGEX: list[str] = [
