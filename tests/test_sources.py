@@ -131,3 +131,17 @@ def test_robots_txt_parsing_matches_stdlib(spark):
         for p in PATHS:
             want[f"https://{h}{p}"] = rp.can_fetch(agent, f"https://{h}{p}")
     assert got == want
+
+
+def test_stream_micro_batches_keep_arrival_order(spark, tmp_dir):
+    landing, store, ck = f"{tmp_dir}/landing", f"{tmp_dir}/store", f"{tmp_dir}/ck"
+    for i in range(3):
+        body = RSS.replace("First  &amp; best", f"Copy {i}").replace("https://a.example.com/2", f"https://a.example.com/only-{i}")
+        land(landing, f"src{i}/f.xml", body)
+    incremental_ingest(spark, landing + "/*", store, ck, max_files_per_trigger=1)
+    rows = read_store(spark, store).orderBy("arrival_id").collect()
+    batches = sorted({r.arrival_id >> 48 for r in rows})
+    assert len(batches) == 3                                   # one micro-batch per file
+    shared = [r for r in rows if r.url == "https://a.example.com/p?b=1"]
+    assert len(shared) == 1 and shared[0].arrival_id >> 48 == batches[0]
+    assert len(rows) == 1 + 3                                  # the shared URL once + one unique URL per file
