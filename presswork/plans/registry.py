@@ -152,10 +152,11 @@ def q_truncate(spark, sf):
 
 
 def _entities_sql(x: str) -> str:
-    # the entities present in the driver's pages; '&amp;' last (single-pass decoding)
-    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "\u00a9"),
-                    ("&middot;", "\u00b7"), ("&amp;", "&")]:
-        x = f"replace({x}, {O.q(ent)}, {O.q(ch)})"
+    # the entities present in the driver's pages; legacy names also decode without
+    # the ';' (as HTML5 parsers do); '&amp' last, so decoding stays single-pass
+    for ent, ch in [("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "'"), ("&copy;?", "\u00a9"),
+                    ("&middot;?", "\u00b7"), ("&amp;?", "&")]:
+        x = f"regexp_replace({x}, {O.q(ent)}, {O.q(ch)}, 'g')"
     return x
 
 
