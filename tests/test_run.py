@@ -4,6 +4,8 @@ import datetime as dt
 import os
 
 
+from pyspark.sql import functions as F
+
 from presswork.plans.run import run_once
 from presswork.sources.store import read_store
 from test_sources import ATOM, RSS, land
@@ -53,3 +55,21 @@ def test_command_line(spark, tmp_dir, capsys):
         parse_args(["run", "--store", "s", "--output", "o", "--limit", "201"])
     with pytest.raises(ValueError):
         parse_args(["run", "--store", "s", "--output", "o", "--since", "3w"])
+
+
+def test_write_enrichment_new_version_touches_window_partitions_only(spark, tmp_dir):
+    from conftest import SF_SMALL
+    from presswork.sources.store import append_store, write_enrichment
+    from presswork.sources.tables import articles_fx
+
+    store, out = f"{tmp_dir}/store", f"{tmp_dir}/v2"
+    a = articles_fx(spark, SF_SMALL)
+    append_store(a, store)
+    as_of = a.agg(F.max("published_at")).first()[0]
+    write_enrichment(spark, store, as_of, "24h", out_path=out)
+    parts = sorted(d for d in os.listdir(out) if d.startswith("pub_date="))
+    start = (as_of - dt.timedelta(hours=24)).date().isoformat()
+    assert parts and all(p == "pub_date=__HIVE_DEFAULT_PARTITION__" or p >= f"pub_date={start}" for p in parts)
+    v2 = read_store(spark, out)
+    win = v2.filter(F.col("published_at").isNull() | (F.col("published_at") >= F.lit(as_of - dt.timedelta(hours=24))))
+    assert win.count() > 0 and win.filter(F.col("category").isNull() | F.col("summary").isNull()).count() == 0
