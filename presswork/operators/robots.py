@@ -26,11 +26,17 @@ def rules_frame(spark, rules: list[tuple[str, int, bool, str]]) -> DataFrame:
     return spark.createDataFrame(rules, RULES_SCHEMA)
 
 
+def percent_decode(c) -> F.Column:
+    """Decode %XX escapes only ('+' stays '+'); undecodable text is kept as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+
+
 def url_path(url) -> F.Column:
+    """Decoded path + '?query' of a URL ('/' when empty): the form rule prefixes are compared in."""
     u = F.coalesce(url, F.lit(""))
     path = F.regexp_extract(u, URL_PARTS, 4)
     query = F.regexp_extract(u, URL_PARTS, 5)
-    p = F.concat(path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    p = percent_decode(F.concat(path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
     return F.when(p == "", F.lit("/")).otherwise(p)
 
 
@@ -76,7 +82,7 @@ def rules_for_agent(robots: DataFrame, user_agent: str, host_col: str = "host",
             .when(key.isin("allow", "disallow"), F.lit("R"))
             .when(key.isin("crawl-delay", "request-rate"), F.lit("C")))
     tok = (lines.select("host", "n", kind.alias("kind"), key.alias("key"),
-                        F.coalesce(F.try_url_decode(val), val).alias("value"))
+                        percent_decode(val).alias("value"))
            .filter(F.col("kind").isNotNull()))
     w = Window.partitionBy("host").orderBy("n")
     prev = F.lag("kind").over(w)

@@ -110,8 +110,10 @@ ROBOTS = {
     "c.com": "# nothing for us\nUser-agent: Presswork-Bot\nUser-agent: googlebot\nDisallow:\n",
     "d.com": "Disallow: /ignored-no-agent\nUser-agent: *\n\nDisallow: /also-ignored\n",
     "e.com": "User-agent: *\nCrawl-delay: 5\nUser-agent: presswork\nDisallow: /slow\n",
+    "f.com": "User-agent: *\nDisallow: /a%20b\nDisallow: /c+d\nDisallow: *\n",
 }
-PATHS = ["/", "/private", "/private/ok/1", "/tmp/x", "/x", "/x/y/z", "/slow", "/ignored-no-agent", "/also-ignored", "/z"]
+PATHS = ["/", "/private", "/private/ok/1", "/tmp/x", "/x", "/x/y/z", "/slow", "/ignored-no-agent", "/also-ignored", "/z",
+         "/a%20b/1", "/a b", "/c+d", "/c%2Bd", "/c d", "/q?x=1"]
 
 
 def test_robots_txt_parsing_matches_stdlib(spark):
