@@ -16,13 +16,18 @@ AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 NETLOC_SCHEMES = ["http", "https", "ftp", "file", "ws", "wss", "sftp", "git", "rsync", "svn", "nfs"]
 
 
+def url_cleanup(c) -> Column:
+    """What URL parsing does first: drop leading C0 controls/spaces and every tab, CR and LF."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(col_of(c), F.lit("")), r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+
+
 def _part(url: Column, i: int) -> Column:
     return F.regexp_extract(url, URL_PARTS, i)
 
 
 def get_domain(c) -> Column:
     """Lower-cased authority (host, port, userinfo and ``www.`` kept); '' when absent."""
-    return F.lower(F.regexp_extract(F.coalesce(col_of(c), F.lit("")), AUTHORITY, 1))
+    return F.lower(F.regexp_extract(url_cleanup(c), AUTHORITY, 1))
 
 
 def _decode(x: Column) -> Column:
@@ -53,7 +58,7 @@ def canonical_query(q) -> Column:
 
 def canonicalize_url(c) -> Column:
     """Lower scheme (default https) and authority, drop fragment, canonical query; path untouched."""
-    url = F.coalesce(col_of(c), F.lit(""))
+    url = url_cleanup(c)
     scheme = F.lower(_part(url, 1))
     scheme = F.when(scheme == "", F.lit("https")).otherwise(scheme)
     netloc = F.lower(_part(url, 3))

@@ -30,8 +30,12 @@ def lower0(x: str) -> str:
     return f"lower(coalesce({x}, ''))"
 
 
+def url_cleanup(x: str) -> str:
+    return f"regexp_replace(regexp_replace(coalesce({x}, ''), '^[\\x00-\\x20]+', ''), '[\\t\\r\\n]', '', 'g')"
+
+
 def domain(x: str) -> str:
-    return f"lower(regexp_extract(coalesce({x}, ''), {q(AUTHORITY)}, 1))"
+    return f"lower(regexp_extract({url_cleanup(x)}, {q(AUTHORITY)}, 1))"
 
 
 def sentences(t: str) -> str:

@@ -81,7 +81,7 @@ def q_get_domain(spark, sf):
 
 
 def _canon_sql(url: str) -> str:
-    p = lambda i: f"regexp_extract(coalesce({url}, ''), {O.q(O.URL_PARTS)}, {i})"
+    p = lambda i: f"regexp_extract({O.url_cleanup(url)}, {O.q(O.URL_PARTS)}, {i})"
     dec = lambda x: f"url_decode(replace({x}, '+', ' '))"
     enc = lambda x: f"replace(url_encode({x}), '%20', '+')"
     sch = f"CASE WHEN {p(1)} = '' THEN 'https' ELSE lower({p(1)}) END"

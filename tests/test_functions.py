@@ -137,3 +137,11 @@ def test_results_do_not_depend_on_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert before == after and start_before == start_after == dt.datetime(2026, 2, 14, 20)
+
+
+def test_url_cleanup_like_python_parser(spark):
+    from urllib.parse import urlparse
+
+    raw = " \x01http://Ex.COM/a\tb\n?q=1"
+    got = val(spark, F.struct(U.canonicalize_url(F.col("x")), U.get_domain(F.col("x"))), rows=[(raw,)])[0]
+    assert got[0] == "http://ex.com/ab?q=1" and got[1] == urlparse(raw).netloc.lower() == "ex.com"
