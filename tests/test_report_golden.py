@@ -88,3 +88,20 @@ def test_window_excludes_old_rows(spark):
     store = spark.createDataFrame(rows, ARTICLE_SCHEMA)
     rep = daily_report(store, dt.datetime(2026, 2, 15, 20, 0), "24h", 25, enrich_rows=False)
     assert rep.markdown() == EXPECTED
+
+
+def test_empty_window_report(spark):
+    old = [(9, "X", "x.org", "Old item", "https://x.org/old", None, dt.datetime(2026, 1, 1), None, "s", None, None, None, "k")]
+    rep = daily_report(spark.createDataFrame(old, ARTICLE_SCHEMA), dt.datetime(2026, 2, 15, 20, 0), "24h", 25)
+    assert rep.markdown() == "\n".join([
+        "# Informe diario de ciberseguridad — 2026-02-15",
+        "Ventana analizada: últimas **24h**",
+        "Noticias incluidas en reporte: **0** (limit=25)",
+        "",
+        "## Top 5 del día",
+        "",
+        "## Tendencias (términos repetidos)",
+        "(sin datos)",
+        "",
+        "## Detalle por noticia",
+    ]) + "\n"
