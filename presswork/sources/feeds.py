@@ -33,9 +33,14 @@ ATOM_ENTRY_SCHEMA = ("title string, link array<struct<_href: string, _src: strin
 XML_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(file_path, body)`` — one row per landed file."""
-    return (spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-            .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("body")))
+    """``(file_path, body)`` — one row per landed file (no rows when nothing has landed)."""
+    try:
+        return (spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+                .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("body")))
+    except Exception as e:  # noqa: BLE001 — an absent landing folder means no files yet
+        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+            return spark.createDataFrame([], "file_path string, body string")
+        raise
 
 
 def source_from_path(file_path: Column) -> Column:

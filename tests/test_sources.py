@@ -147,3 +147,8 @@ def test_stream_micro_batches_keep_arrival_order(spark, tmp_dir):
     shared = [r for r in rows if r.url == "https://a.example.com/p?b=1"]
     assert len(shared) == 1 and shared[0].arrival_id >> 48 == batches[0]
     assert len(rows) == 1 + 3                                  # the shared URL once + one unique URL per file
+
+
+def test_missing_landing_folder_reads_as_empty(spark, tmp_dir):
+    items, bad = FD.scan_feeds(spark, f"{tmp_dir}/nothing-landed-yet")
+    assert items.count() == 0 and bad.count() == 0
