@@ -4,20 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presswork.llm import shard
+from presswork.llm import mix, shard, warc
 from presswork.llm.common import table
 
 SHARD_TREE = shard.HashTree.regular(regions=2, racks=4, shards=5)
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_rows(table(spark, sf_dir, "documents"), SHARD_TREE)
 
 
 QUERIES = {
+    "op3_mix": op3_mix,
+    "op5_warc": op5_warc,
     "op7_shard": op7_shard,
 }
 
 ORACLES = {
+    "op5_warc": warc.DIGEST_SQL,
     "op7_shard": shard.shard_sql(SHARD_TREE),
 }
