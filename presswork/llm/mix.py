@@ -6,7 +6,7 @@
 2. A source whose target is ``e`` times its size plus a rest takes every document ``e`` times (whole repetitions)
    and, once more, documents worth the rest (the fractional repetition), chosen by a seeded hash order: the hash
    range is cut into buckets, buckets below the rest are taken whole, and the documents of the one bucket that the
-   rest ends in are taken first fit in hash order, then the one that brings the sum nearest.
+   rest ends in are taken first fit in hash order, then one is added or swapped if that brings the sum nearer.
 
 A document is taken a whole number of times. Only (source, key, size) rows are shuffled, a hot source spreads over
 its buckets, and reruns agree because all choices come from hashes of the key.
@@ -14,6 +14,7 @@ its buckets, and reruns agree because all choices come from hashes of the key.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,11 +69,20 @@ def _first_fit(pdf: pd.DataFrame) -> pd.DataFrame:
             taken.append(i)
             room -= size
         else:
-            left.append((abs(room - size), i))
-    if left and min(left)[0] < room:
-        # of two that fit equally well, the first in hash order
-        near = min(x for x, _ in left)
-        taken.append(next(i for x, i in left if x == near))
+            left.append(i)
+    if left and room > 0:
+        sizes = pdf["_unit"].to_numpy()
+        order = sorted(left, key=lambda i: sizes[i])
+        spare = sizes[order]
+        best, change = room, None
+        for out in [None, *taken]:  # take one more, or swap one, if that comes nearer
+            want = room + (0 if out is None else sizes[out])
+            at = int(np.searchsorted(spare, want))
+            for k in (at - 1, at):
+                if 0 <= k < len(order) and abs(want - spare[k]) < best:
+                    best, change = abs(want - spare[k]), (out, order[k])
+        if change:
+            taken = [i for i in taken if i != change[0]] + [change[1]]
     return pdf.iloc[sorted(taken)][["_source", "_key", "_size"]]
 
 
