@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presswork.llm import mix, shard, warc
+from presswork.llm import decontaminate, mix, quality, shard, warc
 from presswork.llm.common import table
 
 SHARD_TREE = shard.HashTree.regular(regions=2, racks=4, shards=5)
@@ -22,13 +22,25 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_rows(table(spark, sf_dir, "documents"), SHARD_TREE)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op3_mix": op3_mix,
     "op5_warc": op5_warc,
     "op7_shard": op7_shard,
+    "op9_quality": op9_quality,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES = {
     "op5_warc": warc.DIGEST_SQL,
     "op7_shard": shard.shard_sql(SHARD_TREE),
+    "op9_quality": quality.digest_sql(),
+    "op10_decontaminate": decontaminate.digest_sql(),
 }
