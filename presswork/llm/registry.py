@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presswork.llm import decontaminate, mix, neardup, quality, shard, warc
+from presswork.llm import decontaminate, mix, neardup, quality, shard, suffixes, warc
 from presswork.llm.common import table
 
 SHARD_TREE = shard.HashTree.regular(regions=2, racks=4, shards=5)
@@ -18,6 +18,10 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(table(spark, sf_dir, "pages"))
 
@@ -37,6 +41,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_mix": op3_mix,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_warc": op5_warc,
     "op7_shard": op7_shard,
     "op9_quality": op9_quality,
