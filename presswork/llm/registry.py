@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presswork.llm import decontaminate, mix, neardup, quality, shard, suffixes, warc
+from presswork.llm import decontaminate, lmscore, mix, neardup, quality, shard, suffixes, tokens, warc
 from presswork.llm.common import table
 
 SHARD_TREE = shard.HashTree.regular(regions=2, racks=4, shards=5)
@@ -26,10 +26,18 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(table(spark, sf_dir, "pages"))
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_rows(table(spark, sf_dir, "documents"), SHARD_TREE)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,9 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_warc": op5_warc,
+    "op6_token_output": op6_token_output,
     "op7_shard": op7_shard,
+    "op8_lm_score": op8_lm_score,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
 }
