@@ -1,12 +1,55 @@
-"""Corpus pipeline: STAGES applied one after the other to the documents table."""
+"""Corpus pipeline: the stages of STAGES applied one after the other to the documents table.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; what it returns is written as
+Parquet and read again as the next stage's input. All but the last return rows with the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from presswork.llm import decontaminate, mix, neardup, quality, tokens
+from presswork.llm.common import table, written
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Documents that the quality rules keep."""
+    return quality.keep_good(docs)
+
+
+def near_dedup(spark, docs, sf_dir):
+    """One document, the one with the smallest id, of each group of near copies."""
+    return neardup.keep_first(docs)
+
+
+def decontaminated(spark, docs, sf_dir):
+    """Documents that are not contaminated by the benchmark."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark, docs, sf_dir):
+    """Documents as often as the mix takes them; sources weigh 5, 2, 1 in turn."""
+    return mix.mix(docs)
+
+
+def token_files(spark, docs, sf_dir):
+    """Token files of what is left, read back: doc_id, start, n_tokens and ids_crc32 of every row."""
+    return tokens.digest(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+    ("token output", token_files),
+]
 
-#: SQL cannot express these stages.
+#: SQL cannot express near-duplicate components by full sets at this size, the mix or a tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return docs

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presswork.llm import decontaminate, lmscore, mix, neardup, quality, shard, suffixes, tokens, warc
+from presswork.llm import decontaminate, htmlwrap, lmscore, mix, neardup, quality, shard, suffixes, tokens, warc
 from presswork.llm.common import table
 
 SHARD_TREE = shard.HashTree.regular(regions=2, racks=4, shards=5)
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlwrap.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.digest(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_near_dedup": op2_near_dedup,
     "op3_mix": op3_mix,
     "op4_suffix_dedup": op4_suffix_dedup,
