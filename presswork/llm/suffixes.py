@@ -10,9 +10,12 @@ known to be unique, and the length doubles from 25 to 50 bytes, the threshold:
    and the inside of long shared passages out of the sort.
 2. Rank 25. Of each 50-byte string that is left, the smallest of its 26 ranks of length 25 is its sample; equal
    strings have equal samples. Spark sorts the samples (about one per 13 positions); strings whose sample lies in
-   one document only are unique and leave.
-3. Rank 50. The strings that are left are sorted by their rank of length 50, the pair of the ranks at p and p + 25;
-   those that also occur in a document of smaller id are removed.
+   one document only are unique and leave. The same is repeated among the rest with the pair of the smallest and
+   the largest rank.
+3. Runs again. Neighbouring strings with equal pairs are ranked as one, and runs that also occur in a document of
+   smaller id are removed. Of the others, those whose pair lies in one document only are unique by now and leave.
+4. Rank 50. The strings that are left, at the edges of shared passages, are sorted by their rank of length 50; those
+   that also occur in a document of smaller id are removed.
 
 Sorting every position at every length, as plain prefix doubling does, would shuffle 16 bytes and more per byte of
 text in each round; the steps above shuffle less than the text itself.
@@ -204,6 +207,46 @@ def _open_starts(meta, flat_len: int, rids, keys, spans: Spans) -> np.ndarray:
     return (np.cumsum(edge)[:-1] > 0) & (np.cumsum(cover)[:-1] == 0)
 
 
+def _per_document(value: np.ndarray, doc: np.ndarray, part: int) -> pa.RecordBatch:
+    """(h, part, n): in how many of these documents each value occurs. ``doc`` ascends."""
+    new = np.concatenate(([True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])))
+    value, doc = value[new], doc[new]
+    order = np.argsort(value, kind="stable")
+    value, doc = value[order], doc[order]
+    first = np.concatenate(([True], value[1:] != value[:-1]))
+    pair = first | np.concatenate(([True], doc[1:] != doc[:-1]))
+    at = np.flatnonzero(first)
+    return pa.RecordBatch.from_arrays([pa.array(value[at].view(np.int64)), pa.array(np.full(len(at), part, np.int32)),
+                                       pa.array(np.add.reduceat(pair.astype(np.int64), at))], ["h", "part", "n"])
+
+
+def _docs_of(on: np.ndarray, meta) -> np.ndarray:
+    return np.array([x[0] for x in meta])[np.searchsorted([x[2] for x in meta], on, side="right") - 1]
+
+
+class Known(Found):
+    """Values (h) that lie in more than one document, by scan partition."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.values, self.values_of = np.zeros(0, np.uint64), None
+
+    def hits(self, part: int, value: np.ndarray) -> np.ndarray:
+        if self.values_of != part:
+            t = self.of(part)
+            self.values = np.zeros(0, np.uint64) if t is None else np.unique(t.column("h").to_numpy().view(np.uint64))
+            self.values_of = part
+        if not len(self.values):
+            return np.zeros(len(value), bool)
+        return self.values[np.minimum(np.searchsorted(self.values, value), len(self.values) - 1)] == value
+
+
+def pairs_of(rank: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The pair of smallest and largest rank as one value."""
+    with np.errstate(over="ignore"):
+        return Ranks._mix(low * np.uint64(0x9E3779B97F4A7C15) + samples(~rank))
+
+
 def _sampler(runs: str):
     def emit(batches):
         spans = Spans(runs)
@@ -212,53 +255,81 @@ def _sampler(runs: str):
             for flat, meta in pieces(batch):
                 m = samples(Ranks(flat).all(HALF))
                 on = np.flatnonzero(_open_starts(meta, len(flat), rids, keys, spans)[: len(m)])
-                if not len(on):
-                    continue
-                doc = np.array([x[0] for x in meta])[np.searchsorted([x[2] for x in meta], on, side="right") - 1]
-                value = m[on]
-                new = np.concatenate(([True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])))
-                value, doc = value[new], doc[new]
-                order = np.argsort(value, kind="stable")
-                value, doc = value[order], doc[order]
-                first = np.concatenate(([True], value[1:] != value[:-1]))
-                pair = first | np.concatenate(([True], doc[1:] != doc[:-1]))
-                at = np.flatnonzero(first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(value[at].view(np.int64)), pa.array(np.full(len(at), rids[meta[0][0]] >> 33, np.int32)),
-                     pa.array(np.add.reduceat(pair.astype(np.int64), at))], ["h", "part", "n"])
+                if len(on):
+                    yield _per_document(m[on], _docs_of(on, meta), rids[meta[0][0]] >> 33)
 
     return emit
 
 
-def _ranker(runs: str, shared: str):
+def _pairer(runs: str, shared: str):
     def emit(batches):
-        spans, common, part, known = Spans(runs), Found(shared), None, np.zeros(0, np.uint64)
+        spans, known = Spans(runs), Known(shared)
+        for batch in batches:
+            rids, keys = batch.column("_rid").to_pylist(), batch.column("_key").to_pylist()
+            for flat, meta in pieces(batch):
+                rank, part = Ranks(flat).all(HALF), rids[meta[0][0]] >> 33
+                m = samples(rank)
+                on = np.flatnonzero(_open_starts(meta, len(flat), rids, keys, spans)[: len(m)])
+                on = on[known.hits(part, m[on])]
+                if len(on):
+                    yield _per_document(pairs_of(rank, m)[on], _docs_of(on, meta), part)
+
+    return emit
+
+
+def _places(batch, meta, on, columns: dict) -> pa.RecordBatch:
+    """Rows (_key, _rid, pos, ...) of the starts ``on`` of an array of pieces."""
+    piece = np.searchsorted([x[2] for x in meta], on, side="right") - 1
+    row, base, start, _ = (np.array(x, np.int64)[piece] for x in zip(*meta))
+    return pa.RecordBatch.from_arrays(
+        [batch.column("_key").take(pa.array(row)), batch.column("_rid").take(pa.array(row)), pa.array(base + on - start),
+         *(pa.array(v.astype(np.int64) if v.dtype != np.uint64 else v.view(np.int64)) for v in columns.values())],
+        ["_key", "_rid", "pos", *columns])
+
+
+def _units(runs: str, shared: str):
+    def emit(batches):
+        spans, known = Spans(runs), Known(shared)
         for batch in batches:
             rids, keys = batch.column("_rid").to_pylist(), batch.column("_key").to_pylist()
             for flat, meta in pieces(batch):
-                if part != rids[meta[0][0]] >> 33:
-                    part = rids[meta[0][0]] >> 33
-                    t = common.of(part)
-                    known = np.zeros(0, np.uint64) if t is None else np.unique(t.column("h").to_numpy().view(np.uint64))
-                if not len(known):
-                    continue
                 ranks = Ranks(flat)
-                m = samples(ranks.all(HALF))
+                rank = ranks.all(HALF)
+                m = samples(rank)
                 on = np.flatnonzero(_open_starts(meta, len(flat), rids, keys, spans)[: len(m)])
-                hit = known[np.minimum(np.searchsorted(known, m[on]), len(known) - 1)] == m[on]
-                on = on[hit]
-                piece = np.searchsorted([x[2] for x in meta], on, side="right") - 1
-                row, base, start, _ = (np.array(x, np.int64)[piece] for x in zip(*meta))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_key").take(pa.array(row)), batch.column("_rid").take(pa.array(row)), pa.array(base + on - start),
-                     pa.array(ranks.at(on, on + MIN_BYTES).view(np.int64))], ["_key", "_rid", "pos", "h"])
+                pair = pairs_of(rank, m)[on]
+                hit = known.hits(rids[meta[0][0]] >> 33, pair)
+                on, pair = on[hit], pair[hit]
+                if not len(on):
+                    continue
+                # strings of different pieces are never neighbours, as a piece ends with bytes that start none
+                new = np.concatenate(([True], (pair[1:] != pair[:-1]) | (on[1:] != on[:-1] + 1)))
+                at = np.flatnonzero(new)
+                size = np.diff(np.append(at, len(on)))
+                begin = on[at]
+                yield _places(batch, meta, begin, {"len": size, "pair": pair[at], "h": ranks.at(begin, begin + size + (MIN_BYTES - 1))})
 
     return emit
 
 
-def _remover(runs: str, strings: str, with_text: bool):
+def _strings(wanted: str):
     def emit(batches):
-        found = [Spans(runs), Spans(strings)]
+        spans = Spans(wanted)
+        for batch in batches:
+            rids, keys = batch.column("_rid").to_pylist(), batch.column("_key").to_pylist()
+            for flat, meta in pieces(batch):
+                on = [np.arange(max(0, p - base), min(n, p + length - base)) + start
+                      for row, base, start, n in meta for p, length in spans.of_row(rids[row], keys[row])]
+                on = np.sort(np.concatenate(on)) if on else np.zeros(0, np.int64)
+                if len(on):
+                    yield _places(batch, meta, on, {"h": Ranks(flat).at(on, on + MIN_BYTES)})
+
+    return emit
+
+
+def _remover(paths: list[str], with_text: bool):
+    def emit(batches):
+        found = [Spans(p) for p in paths]
         for batch in batches:
             data, offsets = _bytes_of(batch)
             rids, keys = batch.column("_rid").to_pylist(), batch.column("_key").to_pylist()
@@ -297,11 +368,18 @@ def _by_partition(df: DataFrame, name: str) -> str:
     return path
 
 
-def _later(df: DataFrame) -> DataFrame:
-    """Of rows (_key, _rid, h, ...): those whose h also occurs with a smaller key. A null key is the largest."""
+def _marked(df: DataFrame) -> DataFrame:
+    """Rows (_key, _rid, h, ...) with ``later``: whether h also occurs with a smaller key. A null key is the largest."""
     least = df.groupBy("h").agg(F.min("_key").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1 AND least IS NOT NULL")
     least = least.select(F.col("h").alias("lh"), "least")
-    return df.join(least, F.col("h") == F.col("lh")).filter(F.col("_key").isNull() | (F.col("_key") > F.col("least")))
+    later = F.col("least").isNotNull() & (F.col("_key").isNull() | (F.col("_key") > F.col("least")))
+    return df.join(least, F.col("h") == F.col("lh"), "left").withColumn("later", later).drop("lh", "least")
+
+
+def _shared(seen: DataFrame) -> DataFrame:
+    """(h, part) of the values in more than one document, for the partitions they lie in."""
+    total = F.sum("n").over(Window.partitionBy("h"))
+    return seen.select("h", "part", total.alias("total")).filter("total > 1").select("h", "part").distinct()
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
@@ -319,23 +397,32 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_
     kind = docs.schema["_key"].dataType.simpleString()
     part = F.shiftright("_rid", 33).cast("int").alias("part")
 
-    runs = written(docs.mapInArrow(_runs, f"_key {kind}, _rid long, pos long, len long, h long"), "repeat-runs")
-    run_path = _by_partition(_later(runs).select("_key", "_rid", "pos", "len", part), "repeat-spans")
+    place = f"_key {kind}, _rid long, pos long"
+    spans = ["_key", "_rid", "pos", "len", part]
 
-    seen = docs.mapInArrow(_sampler(run_path), "h long, part int, n long")
-    total = F.sum("n").over(Window.partitionBy("h"))
-    shared = seen.select("h", "part", total.alias("total")).filter("total > 1").select("h", "part").distinct()
-    shared_path = _by_partition(shared, "repeat-samples")
+    runs = written(docs.mapInArrow(_runs, f"{place}, len long, h long"), "repeat-runs")
+    run_path = _by_partition(_marked(runs).filter("later").select(*spans), "repeat-run-spans")
+
+    sample_path = _by_partition(_shared(docs.mapInArrow(_sampler(run_path), "h long, part int, n long")), "repeat-samples")
+    pair_path = _by_partition(_shared(docs.mapInArrow(_pairer(run_path, sample_path), "h long, part int, n long")), "repeat-pairs")
+
+    units = docs.mapInArrow(_units(run_path, pair_path), f"{place}, len long, pair long, h long")
+    units = written(_marked(written(units, "repeat-units")), "repeat-units")
+    unit_path = _by_partition(units.filter("later").select(*spans), "repeat-unit-spans")
+
+    rest = units.filter("NOT later")
+    open_ = rest.groupBy("pair").agg(F.min("_key").alias("lo"), F.max("_key").alias("hi"), F.max(F.col("_key").isNull()).alias("nulls"))
+    open_ = open_.filter("lo < hi OR (lo IS NOT NULL AND nulls)").select("pair")
+    edge_path = _by_partition(rest.join(open_, "pair", "left_semi").select(*spans), "repeat-edges")
 
-    strings = docs.mapInArrow(_ranker(run_path, shared_path), f"_key {kind}, _rid long, pos long, h long")
-    strings = written(strings, "repeat-strings")
-    found = _later(strings).select("_key", "_rid", "pos", F.lit(1).cast("long").alias("len"), part)
-    string_path = _by_partition(found, "repeat-found")
+    strings = written(docs.mapInArrow(_strings(edge_path), f"{place}, h long"), "repeat-strings")
+    found = _marked(strings).filter("later").select("_key", "_rid", "pos", F.lit(1).cast("long").alias("len"), part)
+    string_path = _by_partition(found, "repeat-string-spans")
 
     schema = f"_key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if with_text:
         schema += ", kept binary, spans array<struct<begin:long,end:long>>"
-    return docs.mapInArrow(_remover(run_path, string_path, with_text), schema)
+    return docs.mapInArrow(_remover([run_path, unit_path, string_path], with_text), schema)
 
 
 def digest(df: DataFrame) -> DataFrame:
