@@ -1,6 +1,6 @@
 """Command line: one daily run over landed inputs.
 
-    spark-submit --py-files presswork.zip -m presswork run \\
+    spark-submit --py-files presswork.zip tools/run.py run \\
         --store s3://bucket/articles --output s3://bucket/reports \\
         --feeds s3://bucket/landing/feeds --pages s3://bucket/landing/pages.parquet \\
         --since 24h --limit 25
@@ -35,6 +35,8 @@ def parse_args(argv):
     run.add_argument("--limit", type=int, default=R.DEFAULT_LIMIT, help="articles in the report (1-200)")
     run.add_argument("--as-of", help="report time (ISO, UTC wall clock); default: now")
     run.add_argument("--dedup", choices=["url", "key"], default="url")
+    run.add_argument("--feeds-checkpoint", help="stream checkpoint folder: read only feed files that no run has seen")
+    run.add_argument("--default-sources", action="store_true", help="order sources by the built-in registry")
     run.add_argument("--dates", choices=["wall_clock", "utc"], default="wall_clock")
     a = p.parse_args(argv)
     parse_since_hours(a.since)
@@ -45,15 +47,18 @@ def parse_args(argv):
 def main(argv=None, spark: SparkSession | None = None) -> int:
     a = parse_args(sys.argv[1:] if argv is None else argv)
     from presswork.plans.run import run_once
+    from presswork.sources.feeds import source_registry
 
     spark = spark or SparkSession.builder.appName("presswork").getOrCreate()
     as_of = dt.datetime.fromisoformat(a.as_of) if a.as_of else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     pages = spark.read.parquet(a.pages) if a.pages else None
     out = f"{a.output.rstrip('/')}/report_{as_of.date().isoformat()}"
     res = run_once(spark, a.store, out, as_of, a.since, a.limit, feeds_path=a.feeds, pages=pages,
-                   mode=a.dedup, dates=a.dates)
-    for r in res.counts.orderBy("source").collect():       # one row per source
+                   mode=a.dedup, dates=a.dates, sources=source_registry(spark) if a.default_sources else None,
+                   feeds_checkpoint=a.feeds_checkpoint)
+    for r in res.counts.orderBy("source").collect() if res.counts is not None else []:       # one row per source
         print(f"{r.source}: items={r.items} inserted={r.inserted}")
+    print(f"quarantined={res.quarantined} enriched={res.enriched}")
     print(f"report: {out}")
     return 0
 

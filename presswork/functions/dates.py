@@ -6,7 +6,8 @@ Accepted publication-date formats (everything else becomes NULL):
   ``HH:mm[:ss[.fraction]]``, optionally followed by ``Z``, ``UTC``, ``GMT``
   or an offset ``+HH:MM`` / ``+HHMM`` / ``+HH``.
 * RFC-822 / RFC-1123: ``[Wkd,] d Mon yyyy HH:mm[:ss] [zone]`` with an
-  English month abbreviation (or full month name) and any zone suffix.
+  English month abbreviation (or full month name) and any zone suffix; a
+  two-digit year is 1969-1999 from 69 on, else 2000-2068.
 
 Two semantics are offered. ``wall_clock`` (the default of the live tool)
 keeps the printed wall-clock time and drops the zone. ``utc`` accepts only
@@ -29,20 +30,21 @@ ISO_RE = (
     r"\s*(Z|UTC|GMT|[+-]\d{2}(?::?\d{2})?)?\s*$"
 )
 RFC822_RE = (
-    r"^\s*(?:[A-Za-z]+,?\s+)?(\d{1,2})\s+([A-Za-z]{3})[A-Za-z]*\.?\s+(\d{4})"
+    r"^\s*(?:[A-Za-z]+,?\s+)?(\d{1,2})\s+([A-Za-z]{3})[A-Za-z]*\.?\s+(\d{4}|\d{2})"
     r"\s+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s+.*)?\s*$"
 )
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 SINCE_RE = r"^(\d+)\s*([hd])$"
+HOURS_PER_UNIT = {"h": 1, "d": 24}
 
 
 def parse_since_hours(s: str) -> int:
     """'24h' -> 24, '7d' -> 168; anything else raises ``ValueError`` (driver-side parameter)."""
-    m = re.fullmatch(r"(\d+)\s*([hd])", (s or "").strip().lower())
-    if not m:
+    text = (s or "").strip().lower()
+    amount, unit = text[:-1].rstrip(), text[-1:]
+    if unit not in HOURS_PER_UNIT or not re.fullmatch(r"\d+", amount):
         raise ValueError("invalid window: use e.g. 24h or 7d")
-    n = int(m.group(1))
-    return n if m.group(2) == "h" else n * 24
+    return int(amount) * HOURS_PER_UNIT[unit]
 
 
 def since_hours_col(c, strict: bool = False) -> Column:
@@ -50,7 +52,8 @@ def since_hours_col(c, strict: bool = False) -> Column:
     s = F.lower(F.trim(col_of(c)))
     ok = F.coalesce(s.rlike(SINCE_RE), F.lit(False))
     n = F.regexp_extract(s, SINCE_RE, 1).cast("bigint")
-    hours = F.when(F.regexp_extract(s, SINCE_RE, 2) == "h", n).otherwise(n * 24)
+    unit = F.regexp_extract(s, SINCE_RE, 2)
+    hours = F.coalesce(*[F.when(unit == u, n * h) for u, h in HOURS_PER_UNIT.items()])
     bad = F.raise_error(F.concat(F.lit("invalid window: "), F.coalesce(s, F.lit("NULL")))).cast("bigint")
     return F.when(ok, hours).otherwise(bad if strict else F.lit(None).cast("bigint"))
 
@@ -76,7 +79,10 @@ def parse_rfc822_wall(c) -> Column:
     g = lambda i: F.regexp_extract(s, RFC822_RE, i)
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(g(2))).cast("int")
     secs = F.when(g(6) == "", F.lit("0")).otherwise(g(6)).cast("decimal(8,6)")
-    ts = F.try_make_timestamp_ntz(g(3).cast("int"), month, g(1).cast("int"), g(4).cast("int"), g(5).cast("int"), secs)
+    printed = g(3).cast("int")
+    century = F.when(printed >= 69, 1900).otherwise(2000)
+    year = F.when(F.length(g(3)) == 2, printed + century).otherwise(printed)
+    ts = F.try_make_timestamp_ntz(year, month, g(1).cast("int"), g(4).cast("int"), g(5).cast("int"), secs)
     return F.when(s.rlike(RFC822_RE) & (month > 0), ts)
 
 

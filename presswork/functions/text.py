@@ -1,8 +1,8 @@
 """Text column functions.
 
 All functions take and return ``Column`` and are built from JVM-side
-Spark SQL expressions (codegen'd), except :func:`html_unescape`, which is
-an Arrow-batched pandas UDF because Spark has no HTML-entity decoder.
+Spark SQL expressions, except :func:`html_unescape`, which is an
+Arrow-batched pandas UDF because Spark has no HTML-entity decoder.
 """
 
 from __future__ import annotations
@@ -61,7 +61,8 @@ def html_to_text(c, drop_invisible: bool = True) -> Column:
     """Entity-repair, unescape, drop markup, clean whitespace.
 
     Markup is removed *after* unescaping, so escaped tags are treated as
-    tags. With ``drop_invisible`` the content of comments and of
+    tags; what is left is unescaped once more, as reading it as markup does
+    (``&amp;amp;`` becomes ``&``). With ``drop_invisible`` the content of comments and of
     ``script``/``style``/``template`` elements is not text.
     """
     x = F.coalesce(col_of(c), F.lit(""))
@@ -75,7 +76,7 @@ def html_to_text(c, drop_invisible: bool = True) -> Column:
             x, lit_str("(?is)<(script|style|template)\\b[^>]*>.*?(</\\1\\s*>|$)"), F.lit(" ")
         )
     x = F.regexp_replace(x, lit_str("<[A-Za-z/!?][^>]*>"), F.lit(" "))
-    return clean_whitespace(x)
+    return clean_whitespace(unescape_if_needed(x))
 
 
 def split_sentences(c) -> Column:

@@ -31,7 +31,9 @@ def get_domain(c) -> Column:
 
 
 def _decode(x: Column) -> Column:
-    return F.coalesce(F.try_url_decode(x), x)
+    """'+' and %XX escapes decoded; a '%' that starts no escape stays as it is."""
+    safe = F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(safe), x)
 
 
 def _encode(x: Column) -> Column:
@@ -57,12 +59,14 @@ def canonical_query(q) -> Column:
 
 
 def canonicalize_url(c) -> Column:
-    """Lower scheme (default https) and authority, drop fragment, canonical query; path untouched."""
+    """Lower scheme (default https) and authority, drop fragment, canonical query; the path is untouched but for an
+    empty trailing parameter."""
     url = url_cleanup(c)
     scheme = F.lower(_part(url, 1))
     scheme = F.when(scheme == "", F.lit("https")).otherwise(scheme)
     netloc = F.lower(_part(url, 3))
-    path = _part(url, 4)
+    # an empty parameter part of the last path segment ('/p;') is not written back
+    path = F.regexp_replace(_part(url, 4), r"(^|/)([^/;]*);$", "$1$2")
     query = canonical_query(_part(url, 5))
     with_auth = (netloc != "") | scheme.isin(NETLOC_SCHEMES)
     auth_path = F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)

@@ -54,29 +54,32 @@ def anti_existing(new: DataFrame, store: DataFrame, key: str = "url", reduce: bo
     return new.join(seen, key, "left_anti")
 
 
-def union_sources(*frames: DataFrame, ord_col: str = "source_ord", stride: int = 1_000_000) -> DataFrame:
-    """Union in priority order: frame k's ``source_ord`` is offset by ``k * stride`` so an
+def union_sources(*frames: DataFrame, ord_col: str = "kind_ord") -> DataFrame:
+    """Union in priority order: ``kind_ord`` is the frame's number, so ordered by it first an
     earlier frame wins arrival ties (RSS before HTML)."""
     out = None
     for k, f in enumerate(frames):
-        f = f.withColumn(ord_col, (F.col(ord_col) + F.lit(k * stride)).cast("int"))
+        f = f.withColumn(ord_col, F.lit(k))
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
     return out
 
 
 def new_articles(batch: DataFrame, store: DataFrame | None, mode: str = "url",
                  order: list = ("source_ord", "entry_ord")) -> DataFrame:
-    """Rows of a landed batch to insert: first-wins within the batch, then not already stored."""
-    if mode == "url":
-        fresh = dedup_url(batch, order)
-    elif mode == "key":
-        fresh = dedup_key(batch, order)
-    else:
+    """Rows of a landed batch to insert: first-wins within the batch, then not already stored.
+
+    A URL is stored once in either mode; ``key`` also lets the first of each title|domain|date in.
+    """
+    if mode not in ("url", "key"):
         raise ValueError(f"unknown dedup mode {mode!r}")
-    if store is None:
-        return fresh
-    key = "url" if mode == "url" else "dedupe_key"
-    return anti_existing(fresh, store, key)
+    fresh = dedup_url(batch, order)
+    if store is not None:
+        fresh = anti_existing(fresh, store, "url")
+    if mode == "key":
+        fresh = dedup_key(fresh, order)
+        if store is not None:
+            fresh = anti_existing(fresh, store, "dedupe_key")
+    return fresh
 
 
 def ingest_counts(seen: DataFrame, inserted: DataFrame, source_col: str = "source") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,50 +119,59 @@ def rules_frame(spark, rules: list[tuple[str, list[str]]]) -> DataFrame:
     return spark.createDataFrame(rows, "rule_ord int, label string, keyword string")
 
 
-BROADCAST_KEYWORDS_MAX = 10_000
+#: Keywords in one automaton; larger rule tables take one pass over the texts per block.
+KEYWORD_BLOCK = 50_000
 
 
-def rule_match_join(df: DataFrame, id_col: str, text_col: str, rules, spark=None) -> DataFrame:
-    """Match evidence ``(id, rule_ord, label, keyword)``: which keywords of which rule occur.
+def _matcher(keywords: list[str]):
+    def match(batches):
+        import ahocorasick
 
-    ``rules``: a list ``[(label, [keywords])]`` or a frame ``(rule_ord, label, keyword)``.
-    A list of at most ``BROADCAST_KEYWORDS_MAX`` keywords is broadcast (its size
-    is known here) and matched with a BroadcastNestedLoopJoin; documents never
-    move. Larger or frame-given rule tables use :func:`rule_match_ngram`, an
-    exact equi-join that shuffles instead of broadcasting.
-    """
-    spark = spark or df.sparkSession
-    if isinstance(rules, DataFrame):
-        return rule_match_ngram(df, id_col, text_col, rules)
-    rf = rules_frame(spark, rules)
-    if sum(len(k) for _, k in rules) > BROADCAST_KEYWORDS_MAX:
-        return rule_match_ngram(df, id_col, text_col, rf)
-    docs = df.select(F.col(id_col), lowered(text_col).alias("_lt"))
-    return (docs.join(F.broadcast(rf), F.contains(F.col("_lt"), F.col("keyword")), "inner")
-            .select(id_col, "rule_ord", "label", "keyword"))
+        automaton = ahocorasick.Automaton()
+        for k in keywords:
+            if k:
+                automaton.add_word(k, k)
+        found_in = (lambda t: {k for _, k in automaton.iter(t)}) if len(automaton) else (lambda t: set())
+        if len(automaton):
+            automaton.make_automaton()
+        everywhere = {""} & set(keywords)  # the empty keyword is part of every text
+        for batch in batches:
+            rows, words = [], []
+            for i, t in enumerate(batch.column("_lt").to_pylist()):
+                for k in sorted(found_in(t) | everywhere):
+                    rows.append(i)
+                    words.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(rows, pa.int64())), pa.array(words, pa.string())], ["_id", "_kw"])
 
+    return match
 
-def rule_match_ngram(df: DataFrame, id_col: str, text_col: str, rules: DataFrame) -> DataFrame:
-    """Exact substring matching as an equi-join: every distinct substring of each
-    keyword length is generated per document and joined on (length, substring).
 
-    Work is linear in text size times the number of distinct keyword lengths
-    (collected from the rule table: a handful of integers); no theta or cross join.
+def rule_match_join(df: DataFrame, id_col: str, text_col: str, rules) -> DataFrame:
+    """Match evidence ``(id, rule_ord, label, keyword)``: which keywords of which rule occur.
+
+    ``rules``: a list ``[(label, [keywords])]`` or a frame ``(rule_ord, label, keyword)``; both take the same
+    way. The keywords go to the tasks in blocks of at most ``KEYWORD_BLOCK``; each text is read once per block
+    by an automaton that finds all keywords in one pass (Arrow batches), and only the distinct (id, keyword)
+    hits meet the rule table, in an equi-join. Texts never move. Null keywords match nothing, the empty
+    keyword matches every text.
     """
-    lengths = sorted(r[0] for r in rules.select(F.length("keyword").alias("n")).distinct().collect() if r[0])
-    if not lengths:
-        return rules.select(F.lit(None).cast(df.schema[id_col].dataType).alias(id_col), "rule_ord", "label",
-                            "keyword").limit(0)
+    spark = df.sparkSession
+    frame = rules if isinstance(rules, DataFrame) else rules_frame(spark, rules)
+    keywords = frame.select("keyword").filter("keyword IS NOT NULL").distinct()
+    blocks = max(1, -(-keywords.count() // KEYWORD_BLOCK))
+    docs = df.select(F.col(id_col).alias("_id"), lowered(text_col).alias("_lt"))
+    schema = f"_id {df.schema[id_col].dataType.simpleString()}, _kw string"
+    hits = None
+    for b in range(blocks):
+        own = sorted(r[0] for r in keywords.filter(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == b).collect())
+        found = docs.mapInArrow(_matcher(own), schema)
+        hits = found if hits is None else hits.unionByName(found)
+    return hits.join(frame, F.col("_kw") == F.col("keyword")).select(F.col("_id").alias(id_col), "rule_ord", "label", "keyword")
 
-    def grams_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length("_lt") - F.lit(n) + 1)
-        return F.when(F.length("_lt") >= n, F.transform(starts, lambda i: F.substring(F.col("_lt"), i, F.lit(n))))
 
-    lt = lowered(text_col)
-    grams = (df.select(F.col(id_col), lt.alias("_lt"))
-             .select(F.col(id_col), F.explode(F.array_distinct(F.flatten(F.array(
-                 *[F.coalesce(grams_of(n), F.array().cast("array<string>")) for n in lengths])))).alias("keyword")))
-    return grams.join(rules, "keyword").select(id_col, "rule_ord", "label", "keyword")
+def rule_match_ngram(df: DataFrame, id_col: str, text_col: str, rules: DataFrame) -> DataFrame:
+    """:func:`rule_match_join` with a rule frame."""
+    return rule_match_join(df, id_col, text_col, rules)
 
 
 def categorize_by_join(df: DataFrame, id_col: str, text_col: str,
@@ -206,8 +216,8 @@ def enrich_b(df: DataFrame, raw_col: str = "content", summarizer=None,
              tiers: list[tuple[str, list[str]]] = R.SEVERITY_TIERS_B) -> DataFrame:
     """Second enrichment: html->text, (summarise), clamp 5 lines, rules B over title + summary.
 
-    ``summarizer``: optional ``Column -> Column`` applied to the cleaned text;
-    without one the cleaned text itself is clamped.
+    ``summarizer``: a plug-in ``Column -> Column`` applied to the cleaned text, such as
+    ``summary.ExtractiveSummarizer()``; without one the cleaned text itself is clamped.
     """
     clean = html_to_text(F.col(raw_col))
     raw_summary = summarizer(clean) if summarizer is not None else clean

@@ -5,10 +5,11 @@ group of ordered rules per host (the parsed robots files). A URL is
 admitted by the first rule (lowest ``rule_ord``) of its host whose prefix
 starts its path (path + '?query'); with no matching rule it is admitted.
 
-Plan: an equi-join on ``host`` with a residual ``startswith`` condition
-(never a cross join), then ``min(struct(rule_ord, allow))`` per URL — a
-partial + final aggregate. The rules table grows with the number of
-hosts, so no broadcast is forced; AQE broadcasts it when it is small.
+Plan: the rules become one ordered array per host (as long as that host's
+robots file) and one equi-join on ``host`` puts it beside each URL; the
+first rule whose prefix fits decides inside the row. The rules table grows
+with the number of hosts, so no broadcast is forced: AQE broadcasts it when
+it is small and splits a hot host's URLs when it is not.
 """
 
 from __future__ import annotations
@@ -41,14 +42,26 @@ def url_path(url) -> F.Column:
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """``urls`` + ``allowed`` column."""
-    u = urls.withColumn("_host", get_domain(F.col(url_col))).withColumn("_path", url_path(F.col(url_col)))
-    r = rules.select(F.col("host").alias("_rhost"), "rule_ord", "allow", "path_prefix")
-    key_cols = [c for c in urls.columns]
-    m = (u.join(r, (u["_host"] == r["_rhost"]) & F.col("_path").startswith(F.col("path_prefix")), "inner")
-         .groupBy(*key_cols).agg(F.min(F.struct("rule_ord", "allow")).alias("_first")))
-    return (u.drop("_host", "_path").join(m, key_cols, "left")
-            .select(*key_cols, F.coalesce(F.col("_first.allow"), F.lit(True)).alias("allowed")))
+    """``urls`` + ``allowed``. Every row is judged by itself: repeated rows and nulls in any column stay as they are."""
+    host, path, own_host, own = fresh_names(urls, "_host", "_path", "_rhost", "_rules")
+    ordered = rules.filter(F.col("path_prefix").isNotNull()).groupBy(F.lower("host").alias(own_host)).agg(
+        F.sort_array(F.collect_list(F.struct("rule_ord", "allow", "path_prefix"))).alias(own))
+    u = urls.withColumn(host, get_domain(F.col(url_col))).withColumn(path, url_path(F.col(url_col)))
+    hits = F.filter(F.col(own), lambda r: F.startswith(F.col(path), r["path_prefix"]))
+    verdict = F.coalesce(F.get(hits, F.lit(0))["allow"], F.lit(True))
+    j = u.join(ordered, F.col(host) == F.col(own_host), "left")
+    return j.select(*[F.col(c) for c in urls.columns], verdict.alias("allowed"))
+
+
+def fresh_names(df: DataFrame, *stems: str) -> list[str]:
+    """Names that no column of ``df`` has."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem in used:
+            stem += "_"
+        out.append(stem)
+    return out
 
 
 def robots_filter(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:

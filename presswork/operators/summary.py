@@ -8,17 +8,16 @@ joined by a space. The normalisation by the document's maximum frequency
 is a per-document constant and does not change the ranking, so integer
 sums are ranked directly (deterministic across engines).
 
-Plan: documents are hash-partitioned by id once (the only Exchange, reused
-by every branch); sentences and tokens are generated from it, the
-document-wide token frequency is a window count over (id, token), the
-sentence score a hash aggregate over (id, sentence), and the top sentence
-indices per document are joined back to the document row on id. Every one
-of these steps is satisfied by the id partitioning, so token-level rows are
-never shuffled, no map lookups are made, and no group exceeds one document.
+A document is scored inside its row: built-in functions cut it into
+sentences and word tokens, an Arrow-batched function counts the batch's
+tokens as integer codes and returns the best sentences. No text is
+shuffled, rows need no id, and rows that need no summary send no text.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,7 +31,9 @@ NO_WORD_SENTENCES = 3
 
 def term_freq(df: DataFrame, id_col: str, text_col: str, min_len: int = 3) -> DataFrame:
     """Per-document token frequency ``(id, term, cnt)`` and the document maximum ``max_cnt``."""
-    toks = df.select(F.col(id_col), F.explode(tokens_alnum(clean_whitespace(F.col(text_col)), min_len)).alias("term"))
+    toks = df.select(F.col(id_col), tokens_alnum(clean_whitespace(F.col(text_col)), min_len).alias("_terms"))
+    # one exchange by id; the count and the maximum both run on it
+    toks = toks.repartition(id_col).select(id_col, F.explode("_terms").alias("term"))
     tf = toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("cnt"))
     return tf.withColumn("max_cnt", F.max("cnt").over(Window.partitionBy(id_col)))
 
@@ -41,94 +42,107 @@ def _sentences(t: Column) -> Column:
     return F.filter(F.split(t, "(?<=[.!?]) "), lambda s: s != F.lit(""))
 
 
-def _by_doc(df: DataFrame, id_col: str, text_col, num_partitions: int | None, keep=()) -> DataFrame:
-    # Filtering null ids up front makes every branch start from the same plan,
-    # so the one Exchange below is computed once and reused (ReusedExchange).
-    base = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col), *keep, clean_whitespace(col_of(text_col)).alias("_t"))
-    return base.repartition(num_partitions, id_col) if num_partitions else base.repartition(id_col)
+def _sentence_tokens(sentences: Column) -> Column:
+    return F.transform(sentences, lambda s: tokens_alnum(s))
 
 
-def _sentence_scores(base: DataFrame, id_col: str) -> DataFrame:
-    """``(id, i, k)`` per sentence with >= 1 word; ``k = -score`` (lower is better).
+def _best(tokens: pa.ListArray, k: int) -> list[np.ndarray]:
+    """Per document (a list of token lists): its best ``k`` sentences' places, best first."""
+    sentences = tokens.values
+    words = sentences.values.dictionary_encode().indices.to_numpy(zero_copy_only=False) if len(sentences.values) else np.zeros(0, np.int64)
+    ends = sentences.offsets.to_numpy()
+    out = []
+    for a, b in zip(tokens.offsets[:-1].to_pylist(), tokens.offsets[1:].to_pylist()):
+        edges = ends[a: b + 1]
+        sizes = np.diff(edges)
+        on = np.flatnonzero(sizes)
+        if not len(on):
+            out.append(on)
+            continue
+        own = words[edges[0]: edges[-1]]
+        _, place, count = np.unique(own, return_inverse=True, return_counts=True)
+        sums = np.add.reduceat(count[place], edges[:-1][on] - edges[0])
+        out.append(on[np.argsort(-(sums / np.sqrt(sizes[on])), kind="stable")[:k]])
+    return out
 
-    Every step is keyed by id first, so all of them run on the partitioning
-    of ``base`` without another Exchange: the token frequency is a window
-    count over (id, token), the sentence sum a hash aggregate on (id, i).
-    """
-    sents = base.select(F.col(id_col), F.posexplode(_sentences(F.col("_t"))).alias("i", "s"))
-    toks = sents.select(F.col(id_col), "i", F.explode(tokens_alnum(F.col("s"))).alias("w"))
-    toks = toks.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy(id_col, "w")))
-    per = toks.groupBy(id_col, "i").agg(F.sum("f").alias("sc"), F.count(F.lit(1)).alias("n"))
-    return per.select(id_col, "i", (-(F.col("sc").cast("double") / F.sqrt(F.col("n").cast("double")))).alias("k"))
 
+def _whole(array: pa.Array) -> pa.ListArray:
+    """A list array without nulls or an offset of its own."""
+    array = array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array
+    return pa.concat_arrays([array]) if array.offset else array
 
-def _top_indices(base: DataFrame, id_col: str, k: int) -> DataFrame:
-    """``(id, _top)``: the best ``k`` sentences as ``array<struct<k, i>>``, best first."""
-    sc = _sentence_scores(base, id_col)
-    ranked = sc.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("k", "i"))).alias("_r"))
-    return ranked.select(id_col, F.slice("_r", 1, k).alias("_top"))
 
+def top_sentences(sentences: Column, k: int) -> Column:
+    """Places (from 0) of the best ``k`` sentences of an array of sentences, best first."""
 
-def _summary_from(t: Column, top: Column) -> Column:
-    sents = _sentences(t)
-    in_order = F.array_sort(F.transform(top, lambda e: e["i"]))
-    picked = F.trim(F.array_join(F.transform(in_order, lambda i: F.element_at(sents, i + 1)), "\n"))
-    no_words = F.array_join(F.slice(sents, 1, NO_WORD_SENTENCES), " ")
-    return F.when(t == "", F.lit("")).when(top.isNull(), no_words).otherwise(picked)
+    @F.arrow_udf("array<int>")
+    def places(tokens: pa.Array) -> pa.Array:
+        return pa.array([x.tolist() for x in _best(_whole(tokens), k)], pa.list_(pa.int32()))
 
+    return places(_sentence_tokens(sentences))
 
-def extractive_summary(df: DataFrame, id_col: str, text_col, max_lines: int = SUMMARY_LINES,
-                       out_col: str = "summary", num_partitions: int | None = None,
-                       keep: list[str] | tuple = ()) -> DataFrame:
-    """``(id, *keep, summary)`` for every row of ``df`` (ids unique and non-null).
 
-    ``keep``: further columns carried along, so callers never join back.
-    """
-    base = _by_doc(df, id_col, text_col, num_partitions, keep)
-    joined = base.join(_top_indices(base, id_col, max_lines), id_col, "left")
-    return joined.select(F.col(id_col), *keep, _summary_from(F.col("_t"), F.col("_top")).alias(out_col))
+def extractive(c, max_lines: int = SUMMARY_LINES) -> Column:
+    """The extractive summary of a text column; null and empty texts give ''."""
+
+    @F.arrow_udf("string")
+    def summary(sentences: pa.Array, tokens: pa.Array) -> pa.Array:
+        out = []
+        for own, best in zip(sentences.to_pylist(), _best(_whole(tokens), max_lines)):
+            out.append("\n".join(own[i] for i in sorted(best)).strip(" ") if len(best) else " ".join(own[:NO_WORD_SENTENCES]))
+        return pa.array(out, pa.string())
+
+    sentences = _sentences(clean_whitespace(col_of(c)))
+    return summary(sentences, _sentence_tokens(sentences))
+
+
+def extractive_summary(df: DataFrame, id_col: str, text_col, max_lines: int = SUMMARY_LINES,
+                       out_col: str = "summary", keep: list[str] | tuple = ()) -> DataFrame:
+    """``(id, *keep, summary)`` for every row of ``df``, whatever its id."""
+    return df.select(F.col(id_col), *keep, extractive(text_col, max_lines).alias(out_col))
 
 
-def topk_sentences(df: DataFrame, id_col: str, text_col, k: int = SUMMARY_LINES,
-                   num_partitions: int | None = None) -> DataFrame:
+def topk_sentences(df: DataFrame, id_col: str, text_col, k: int = SUMMARY_LINES) -> DataFrame:
     """Top-k sentences per document as rows ``(id, sent_idx, sentence, score_rank)``."""
-    base = _by_doc(df, id_col, text_col, num_partitions)
-    j = base.join(_top_indices(base, id_col, k), id_col, "inner")
-    return (j.select(F.col(id_col), _sentences(F.col("_t")).alias("_s"), F.posexplode("_top").alias("r", "e"))
-            .select(F.col(id_col), F.col("e.i").cast("bigint").alias("sent_idx"),
-                    F.element_at(F.col("_s"), F.col("e.i") + 1).alias("sentence"),
+    s = df.select(F.col(id_col), _sentences(clean_whitespace(col_of(text_col))).alias("_s"))
+    return (s.select(F.col(id_col), "_s", top_sentences(F.col("_s"), k).alias("_top"))
+            .select(F.col(id_col), "_s", F.posexplode("_top").alias("r", "i"))
+            .select(F.col(id_col), F.col("i").cast("bigint").alias("sent_idx"), F.get("_s", F.col("i")).alias("sentence"),
                     (F.col("r") + 1).cast("bigint").alias("score_rank")))
 
 
-def enrich_summary(df: DataFrame, id_col: str = "arrival_id", max_lines: int = SUMMARY_LINES,
-                   only: Column | None = None) -> DataFrame:
+def enrich_summary(df: DataFrame, max_lines: int = SUMMARY_LINES, only: Column | None = None, summarizer=None) -> DataFrame:
     """Fill ``summary`` where it is empty (and ``only`` holds), summarising content (else title).
 
-    Rows that already have a summary pass through with an empty text, so
-    they cost no tokenisation; all columns travel with the summary job (no
-    split + union, no join back). Column pruning gives the token branch its
-    own (id, text) shuffle, so this path has two exchanges: rows and text.
+    ``summarizer``: ``Column -> Column``; the extractive one by default. Rows that need no
+    summary hand it a null and keep what they have; nothing is shuffled.
     """
     need = F.coalesce(F.col("summary"), F.lit("")) == ""
     if only is not None:
         need = need & F.coalesce(only, F.lit(False))
     src = F.when(F.coalesce(F.col("content"), F.lit("")) != "", F.col("content")).otherwise(F.col("title"))
-    keep = [c for c in df.columns if c != id_col] + ["_need"]
+    # the condition may hold a scalar subquery, which must stand in a column of its own
     staged = df.withColumn("_need", need).withColumn("_src", F.when(F.col("_need"), src))
-    out = extractive_summary(staged, id_col, "_src", max_lines, "_sum", keep=keep)
-    filled = F.when(F.col("_need"), F.col("_sum")).otherwise(F.col("summary"))
-    return out.select(*[filled.alias(c) if c == "summary" else F.col(c) for c in df.columns])
+    new = (summarizer or ExtractiveSummarizer(max_lines))(F.col("_src"))
+    return staged.withColumn("summary", F.when(F.col("_need"), new).otherwise(F.col("summary"))).drop("_need", "_src")
 
 
 class ExtractiveSummarizer:
-    """The default summariser plug-in: ``summarize(df, id_col, text_col) -> (id, summary)``.
-
-    Any object with the same method (for example one wrapping a
-    ``pandas_udf``) can be passed where a summariser is expected.
-    """
+    """The default summariser plug-in. A plug-in is any ``Column -> Column`` callable, built-in expressions
+    or a ``pandas_udf`` alike; ``enrich_summary``, ``enrich_b`` and the daily run accept it."""
 
     def __init__(self, max_lines: int = SUMMARY_LINES):
         self.max_lines = max_lines
 
-    def summarize(self, df: DataFrame, id_col: str, text_col, out_col: str = "summary") -> DataFrame:
-        return extractive_summary(df, id_col, text_col, self.max_lines, out_col)
+    def __call__(self, text: Column) -> Column:
+        return extractive(text, self.max_lines)
+
+
+class LeadSummarizer:
+    """A plug-in that takes the first sentences of a text."""
+
+    def __init__(self, sentences: int = 2):
+        self.sentences = sentences
+
+    def __call__(self, text: Column) -> Column:
+        return F.array_join(F.slice(_sentences(clean_whitespace(text)), 1, self.sentences), " ")

@@ -8,9 +8,13 @@ rule tables as CASE expressions, text functions) as DuckDB SQL text.
 from __future__ import annotations
 
 from presswork import rules as R
-from presswork.functions.dates import ISO_RE, RFC822_RE
-from presswork.functions.text import LINE_BREAK, TAG_RE, WS_CLASS
-from presswork.functions.urls import AUTHORITY, URL_PARTS
+
+# Patterns of the SQL side, written on their own: those of the package are not imported, so that a wrong one shows.
+WS_CLASS = "[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+LINE_BREAK = "\\x0D\\x0A|[\\x0A-\\x0D\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]"
+TAG_RE = "<[^>]+>"
+AUTHORITY = "^(?:[A-Za-z][-+.A-Za-z0-9]*:)?//([^/?#]*)"
+URL_PARTS = "^(?:([A-Za-z][-+.A-Za-z0-9]*):)?(//([^/?#]*))?([^?#]*)(?:[?]([^#]*))?(?:#(?:.*))?$"
 
 
 def q(s: str) -> str:
@@ -152,4 +156,4 @@ def enrich_a(src: str = "latest") -> str:
             f"enr AS (SELECT *, {soc_action_a('category', 'severity')} AS soc_action FROM enr1)")
 
 
-__all__ = ["ARTICLES_FX", "ISO_RE", "RFC822_RE", "TAG_RE", "URL_PARTS"]
+__all__ = ["ARTICLES_FX", "TAG_RE", "URL_PARTS"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from presswork import rules as R
@@ -86,7 +87,7 @@ def _canon_sql(url: str) -> str:
     enc = lambda x: f"replace(url_encode({x}), '%20', '+')"
     sch = f"CASE WHEN {p(1)} = '' THEN 'https' ELSE lower({p(1)}) END"
     net = f"lower({p(3)})"
-    path = p(4)
+    path = f"regexp_replace({p(4)}, '(^|/)([^/;]*);$', '\\1\\2')"
     tracking = ", ".join(O.q(t) for t in R.TRACKING_PARAMS)
     kv = (f"list_transform(list_filter(string_split({p(5)}, '&'), lambda s: s <> ''), "
           f"lambda s: {{'k': {dec('split_part(s, ' + chr(39) + '=' + chr(39) + ', 1)')}, "
@@ -166,7 +167,7 @@ def _html_to_text_sql(x: str) -> str:
     for tag in ("script", "style", "template"):
         y = f"regexp_replace({y}, {O.q('(?is)<' + tag + '\\b[^>]*>.*?(</' + tag + '\\s*>|$)')}, ' ', 'g')"
     y = f"regexp_replace({y}, {O.q('<[A-Za-z/!?][^>]*>')}, ' ', 'g')"
-    return O.clean(y)
+    return O.clean(_entities_sql(y))
 
 
 @register("html_to_text", f"SELECT page_id, {_html_to_text_sql('html')} AS text FROM pages")
@@ -244,8 +245,8 @@ def q_recent_window_7d(spark, sf):
 def _robots_sql() -> str:
     from presswork.plans.params import ROBOTS_RULES
     vals = ", ".join(f"({O.q(h)}, {o}, {str(a).upper()}, {O.q(p)})" for h, o, a, p in ROBOTS_RULES)
-    path = (f"(regexp_extract(url, {O.q(U.URL_PARTS)}, 4) || CASE WHEN regexp_extract(url, {O.q(U.URL_PARTS)}, 5) <> '' "
-            f"THEN '?' || regexp_extract(url, {O.q(U.URL_PARTS)}, 5) ELSE '' END)")
+    path = (f"(regexp_extract(url, {O.q(O.URL_PARTS)}, 4) || CASE WHEN regexp_extract(url, {O.q(O.URL_PARTS)}, 5) <> '' "
+            f"THEN '?' || regexp_extract(url, {O.q(O.URL_PARTS)}, 5) ELSE '' END)")
     return f"""WITH rules(host, rule_ord, allow, path_prefix) AS (VALUES {vals}),
 u AS (SELECT page_id, url, {O.domain('url')} AS host, CASE WHEN {path} = '' THEN '/' ELSE {path} END AS path FROM pages),
 m AS (SELECT u.page_id, min({{'o': r.rule_ord, 'a': r.allow}}) AS first_rule FROM u JOIN rules r ON r.host = u.host AND starts_with(u.path, r.path_prefix) GROUP BY u.page_id)
@@ -267,15 +268,18 @@ _HREF_SQL = "(regexp_extract(attrs, {p}, 1) || regexp_extract(attrs, {p}, 2) ||
 
 
 def _links_sql() -> str:
-    from presswork.sources import html as H
-    inner = f"regexp_extract(a, {O.q(H.INNER_RE)}, 1)"
-    txt = f"regexp_replace(regexp_replace({inner}, {O.q(H.COMMENT_RE)}, ' ', 'g'), {O.q(H.MARKUP_RE)}, ' ', 'g')"
+    inner = f"regexp_extract(a, {O.q('(?is)^<a(?:[^A-Za-z0-9_>][^>]*)?>(.*)</a>$')}, 1)"
+    txt = f"regexp_replace({inner}, {O.q('<[A-Za-z/!?][^>]*>')}, ' ', 'g')"
+    live = f"regexp_replace(coalesce(html, ''), {O.q('(?s)<!--.*?(?:-->|$)')}, ' ', 'g')"
+    for tag in ("script", "style", "template"):
+        live = f"regexp_replace({live}, {O.q('(?is)<' + tag + '(?:[^A-Za-z0-9_].*?)?(?:</' + tag + '\\s*>|$)')}, ' ', 'g')"
+    href = "(?is)(?:^|[ \t\r\n\f])href\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+))"
     return f"""links AS (
   SELECT page_id, url AS page_url, CAST(i - 1 AS BIGINT) AS link_ord,
-         {_entities_sql(_HREF_SQL.format(p=O.q(H.HREF_RE)))} AS href,
+         {_entities_sql(_HREF_SQL.format(p=O.q(href)))} AS href,
          {O.clean(_entities_sql(txt))} AS title
-  FROM (SELECT page_id, url, x.a AS a, x.i AS i, regexp_extract(x.a, {O.q(H.OPEN_ATTRS_RE)}, 1) AS attrs
-        FROM pages, unnest(regexp_extract_all(coalesce(html, ''), {O.q(H.ANCHOR_RE)})) WITH ORDINALITY AS x(a, i)))"""
+  FROM (SELECT page_id, url, x.a AS a, x.i AS i, regexp_extract(x.a, {O.q('(?is)^<a((?:[^A-Za-z0-9_>][^>]*)?)>')}, 1) AS attrs
+        FROM pages, unnest(regexp_extract_all({live}, {O.q('(?is)<a(?:[^A-Za-z0-9_>][^>]*)?>.*?</a>')})) WITH ORDINALITY AS x(a, i)))"""
 
 
 @register("scan_html_links", _with(_links_sql()) + "SELECT page_id, link_ord, href, title FROM links")
@@ -288,7 +292,7 @@ def _link_items_sql() -> str:
     resolved = "CASE WHEN starts_with(href, '/') THEN regexp_replace(page_url, '/+$', '') || href ELSE href END"
     return f"""link_items AS (
   SELECT 'pages' AS source, {O.domain(_canon_sql('link'))} AS domain, left(title, 400) AS title, {_canon_sql('link')} AS url,
-         CAST(NULL AS TIMESTAMP) AS published_at, 1000000 AS source_ord, page_id * 1000000 + link_ord AS entry_ord
+         CAST(NULL AS TIMESTAMP) AS published_at, 1 AS kind_ord, 0 AS source_ord, page_id AS doc_ord, link_ord AS entry_ord
   FROM (SELECT *, {resolved} AS link FROM links WHERE href <> '' AND title <> '')
   WHERE starts_with(link, 'http'))"""
 
@@ -296,7 +300,7 @@ def _link_items_sql() -> str:
 def _article_items_sql() -> str:
     return f"""art_items AS (
   SELECT source, {O.domain(_canon_sql('url'))} AS domain, title, {_canon_sql('url')} AS url, published_at,
-         0 AS source_ord, arrival_id AS entry_ord
+         0 AS kind_ord, 0 AS source_ord, 0 AS doc_ord, arrival_id AS entry_ord
   FROM articles WHERE coalesce(title, '') <> '' AND coalesce(url, '') <> '')"""
 
 
@@ -304,7 +308,7 @@ def _article_items(spark, sf):
     a = articles_fx(spark, sf).filter((F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != ""))
     a = a.withColumn("url", U.canonicalize_url("url"))
     return a.select("source", U.get_domain("url").alias("domain"), "title", "url", "published_at",
-                    F.lit(0).alias("source_ord"), F.col("arrival_id").alias("entry_ord"))
+                    F.lit(0).alias("source_ord"), F.lit(0).cast("bigint").alias("doc_ord"), F.col("arrival_id").alias("entry_ord"))
 
 
 def _link_items(spark, sf):
@@ -316,30 +320,33 @@ _BATCH_SQL = (_with(O.ARTICLES_FX, _links_sql(), _link_items_sql(), _article_ite
                     "batch AS (SELECT * FROM art_items UNION ALL SELECT * FROM link_items)"))
 
 
-@register("union_sources", _BATCH_SQL + """SELECT source, url, title, CAST(source_ord AS INTEGER) AS source_ord,
-  CAST(entry_ord AS BIGINT) AS entry_ord FROM batch""")
+_BATCH_ORDER = ["kind_ord", "source_ord", "doc_ord", "entry_ord"]
+_BATCH_ORDER_SQL = "CAST(kind_ord AS INTEGER) AS kind_ord, CAST(doc_ord AS BIGINT) AS doc_ord, CAST(entry_ord AS BIGINT) AS entry_ord"
+_BATCH_ORDER_COLS = ["kind_ord", "doc_ord", "entry_ord"]
+
+
+@register("union_sources", _BATCH_SQL + f"SELECT source, url, title, {_BATCH_ORDER_SQL} FROM batch")
 def q_union_sources(spark, sf):
     u = dedup.union_sources(_article_items(spark, sf), _link_items(spark, sf))
-    return u.select("source", "url", "title", "source_ord", F.col("entry_ord").cast("bigint"))
+    return u.select("source", "url", "title", *_BATCH_ORDER_COLS)
 
 
-_FIRST_URL = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY source_ord, entry_ord) AS rn FROM batch) WHERE rn = 1"
+_FIRST_URL = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY kind_ord, source_ord, doc_ord, entry_ord) AS rn FROM batch) WHERE rn = 1"
 
 
-@register("dedup_url", _BATCH_SQL + f"""SELECT url, source, title, CAST(source_ord AS INTEGER) AS source_ord,
-  CAST(entry_ord AS BIGINT) AS entry_ord FROM ({_FIRST_URL})""")
+@register("dedup_url", _BATCH_SQL + f"SELECT url, source, title, {_BATCH_ORDER_SQL} FROM ({_FIRST_URL})")
 def q_dedup_url(spark, sf):
     u = dedup.union_sources(_article_items(spark, sf), _link_items(spark, sf))
-    return dedup.dedup_url(u).select("url", "source", "title", "source_ord", F.col("entry_ord").cast("bigint"))
+    return dedup.dedup_url(u, _BATCH_ORDER).select("url", "source", "title", *_BATCH_ORDER_COLS)
 
 
-@register("dedup_key", _BATCH_SQL + f"""SELECT dedupe_key, url, source, CAST(entry_ord AS BIGINT) AS entry_ord FROM (
-  SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY source_ord, entry_ord) AS rn FROM (
+@register("dedup_key", _BATCH_SQL + f"""SELECT dedupe_key, url, source, {_BATCH_ORDER_SQL} FROM (
+  SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY kind_ord, source_ord, doc_ord, entry_ord) AS rn FROM (
     SELECT *, sha256(lower({O.strip_ws('title')}) || '|' || domain || '|' || coalesce(strftime(published_at, '%Y-%m-%d'), '')) AS dedupe_key
     FROM batch)) WHERE rn = 1""")
 def q_dedup_key(spark, sf):
     u = dedup.union_sources(_article_items(spark, sf), _link_items(spark, sf))
-    return dedup.dedup_key(u).select("dedupe_key", "url", "source", F.col("entry_ord").cast("bigint"))
+    return dedup.dedup_key(u, _BATCH_ORDER).select("dedupe_key", "url", "source", *_BATCH_ORDER_COLS)
 
 
 @register("ingest_counts", _BATCH_SQL + f"""SELECT b.source, count(*) AS items, CAST(coalesce(max(k.inserted), 0) AS BIGINT) AS inserted
@@ -347,14 +354,14 @@ FROM batch b LEFT JOIN (SELECT source, count(*) AS inserted FROM ({_FIRST_URL})
 GROUP BY b.source""")
 def q_ingest_counts(spark, sf):
     u = dedup.union_sources(_article_items(spark, sf), _link_items(spark, sf))
-    return dedup.ingest_counts(u, dedup.dedup_url(u))
+    return dedup.ingest_counts(u, dedup.dedup_url(u, _BATCH_ORDER))
 
 
-@register("anti_existing", _BATCH_SQL + """SELECT entry_ord, url FROM link_items
+@register("anti_existing", _BATCH_SQL + """SELECT doc_ord, entry_ord, url FROM link_items
 WHERE url NOT IN (SELECT url FROM art_items)""")
 def q_anti_existing(spark, sf):
     """HTML link items whose canonical URL is not already stored as an article."""
-    links = _link_items(spark, sf).select("entry_ord", "url")
+    links = _link_items(spark, sf).select("doc_ord", "entry_ord", "url")
     return dedup.anti_existing(links, _article_items(spark, sf), "url")
 
 
@@ -428,6 +435,16 @@ for _freq, _sfx in ((False, ""), (True, "_freq")):
             tiers=P.FREQ_TIERS if _f else R.SEVERITY_TIERS_B).select("arrival_id", "summary", "category", "severity", "soc_reco"))
 
 
+@register("enrich_b_summarized", _with(O.ARTICLES_FX, f"""b0 AS (SELECT arrival_id, title, {O.clamp(_html_to_text_sql(
+    f"array_to_string({O.sentences(O.clean(_html_to_text_sql('content')))}[1:2], ' ')"), R.SUMMARY_LINES)} AS summary FROM articles)""",
+    "b1 AS (SELECT *, lower(coalesce(title, '') || ' ' || summary) AS lb FROM b0)") + f"""SELECT arrival_id, summary,
+  {O.category_case('lb', P.FREQ_CATEGORY_RULES)} AS category, {O.category_case('lb', P.FREQ_TIERS, 'baja')} AS severity FROM b1""")
+def q_enrich_b_summarized(spark, sf):
+    """The second enrichment with a summariser plug-in."""
+    e = enrich.enrich_b(articles_fx(spark, sf), "content", summary.LeadSummarizer(2), P.FREQ_CATEGORY_RULES, P.FREQ_TIERS)
+    return e.select("arrival_id", "summary", "category", "severity")
+
+
 @register("rule_match_join", "WITH rules(rule_ord, label, keyword) AS (VALUES " + ", ".join(
     f"({i}, {O.q(lab)}, {O.q(k)})" for i, (lab, kws) in enumerate(P.FREQ_CATEGORY_RULES) for k in kws) + """)
 SELECT d.doc_id, r.rule_ord, r.label, r.keyword FROM documents d JOIN rules r ON contains(lower(coalesce(d.text, '')), r.keyword)""")
@@ -440,7 +457,7 @@ def q_rule_match_join(spark, sf):
     f"({i}, {O.q(lab)}, {O.q(k)})" for i, (lab, kws) in enumerate(P.FREQ_CATEGORY_RULES) for k in kws) + """)
 SELECT d.doc_id, r.rule_ord, r.label, r.keyword FROM documents d JOIN rules r ON contains(lower(coalesce(d.text, '')), r.keyword)""")
 def q_rule_match_ngram(spark, sf):
-    """The shuffle-based path for rule tables too large to broadcast (same evidence)."""
+    """The same evidence from a rule frame."""
     rf = enrich.rules_frame(spark, P.FREQ_CATEGORY_RULES)
     return enrich.rule_match_ngram(table(spark, sf, "documents"), "doc_id", "text", rf).select(
         "doc_id", "rule_ord", "label", "keyword")
@@ -478,9 +495,16 @@ def q_extractive_summary(spark, sf):
 
 @register("summarizer_plugin", _with(summary_sql("documents", "doc_id", "text", 3)) + "SELECT id AS doc_id, summary FROM summ")
 def q_summarizer_plugin(spark, sf):
-    from presswork.operators.summary import ExtractiveSummarizer
-    plugin = ExtractiveSummarizer(max_lines=3)
-    return plugin.summarize(table(spark, sf, "documents"), "doc_id", "text")
+    plugin = summary.ExtractiveSummarizer(max_lines=3)
+    return table(spark, sf, "documents").select("doc_id", plugin(F.col("text")).alias("summary"))
+
+
+@register("summarizer_lead", f"""SELECT doc_id, array_to_string({O.sentences(O.clean('text'))}[1:2], ' ') AS summary FROM documents""")
+def q_summarizer_lead(spark, sf):
+    """A second plug-in, handed to the enrichment of articles without a summary."""
+    d = table(spark, sf, "documents").select("doc_id", F.lit(None).cast("string").alias("summary"), F.col("text").alias("content"),
+                                             F.lit("").alias("title"))
+    return summary.enrich_summary(d, summarizer=summary.LeadSummarizer(2)).select("doc_id", "summary")
 
 
 @register("topk_sentences", _with(summary_sql("documents", "doc_id", "text")) + """SELECT srk.id AS doc_id, CAST(srk.i - 1 AS BIGINT) AS sent_idx,
@@ -512,9 +536,16 @@ def q_enrich_a(spark, sf):
 
 @register("enrich_count", _with(O.ARTICLES_FX, O.window(24)) + "SELECT count(*) AS enriched FROM win")
 def q_enrich_count(spark, sf):
+    """Rows that the enrichment of the window wrote back, as the daily run counts them."""
+    from presswork.session import scratch_path
+    from presswork.sources.store import append_store, read_store, write_enrichment
     a = articles_fx(spark, sf)
-    win = report.recent_window(a, as_of_of(a), "24h")
-    return enrich.enrich_a(win).agg(F.count(F.lit(1)).alias("enriched"))
+    path = scratch_path(spark, "store")
+    append_store(a, path)
+    as_of = a.agg(F.max("published_at")).first()[0]
+    write_enrichment(spark, path, as_of, "24h")
+    return report.recent_window(read_store(spark, path), as_of, "24h").filter(
+        "category IS NOT NULL AND severity IS NOT NULL AND soc_action IS NOT NULL AND summary IS NOT NULL").agg(F.count(F.lit(1)).alias("enriched"))
 
 
 # ---------------------------------------------------------------------------
@@ -764,6 +795,65 @@ def q_incremental_ingest(spark, sf):
     return read_store(spark, store).select("url", "source", "title", "published_at", "content")
 
 
+def _registry_of(spark, sf):
+    """A registry that lists every other source of the documents, the last one first."""
+    names = table(spark, sf, "documents").select("source").distinct()
+    place = F.row_number().over(Window.orderBy(F.col("source").desc()))
+    return names.select(F.col("source").alias("name"), place.alias("source_ord")).filter("source_ord % 2 = 1").select(
+        F.lit("rss").alias("kind"), "name", F.concat(F.lit("https://feeds.example/"), "name").alias("url"), F.lit(None).cast("string").alias("link_tag"),
+        "source_ord")
+
+
+_REGISTRY_SQL = """reg AS (SELECT * FROM (SELECT source AS name, row_number() OVER (ORDER BY source DESC) AS source_ord
+  FROM (SELECT DISTINCT source FROM documents)) WHERE source_ord % 2 = 1)"""
+
+
+@register("source_registry", _with(O.ARTICLES_FX, _ingested_sql("date_trunc('second', published_at)"), _REGISTRY_SQL) + """SELECT arrival_id, source,
+  CAST(reg.source_ord AS INTEGER) AS source_ord, CASE WHEN reg.name IS NULL THEN 1 ELSE 0 END AS listed
+FROM ingested LEFT JOIN reg ON reg.name = source""")
+def q_source_registry(spark, sf):
+    """Feed items with their place in the registry."""
+    from presswork.sources import feeds as FD
+    items, _ = FD.scan_feeds(spark, _land(spark, sf, "rss"))
+    arts = FD.items_to_articles(items, _registry_of(spark, sf))
+    return arts.select(F.col("guid").cast("bigint").alias("arrival_id"), "source", "source_ord", "listed")
+
+
+@register("run_ingest", _with(O.ARTICLES_FX, _links_sql(), _link_items_sql(), _ingested_sql("date_trunc('second', published_at)"), _REGISTRY_SQL) + """
+SELECT url, source, title, published_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY kind_ord, listed, source_ord, doc_ord, entry_ord) AS rn FROM (
+    SELECT url, source, title, published_at, 0 AS kind_ord, CASE WHEN reg.name IS NULL THEN 1 ELSE 0 END AS listed,
+      coalesce(reg.source_ord, 0) AS source_ord, CASE WHEN reg.name IS NULL THEN source ELSE '' END AS doc_ord, arrival_id AS entry_ord
+    FROM ingested LEFT JOIN reg ON reg.name = source
+    UNION ALL SELECT url, 'site' AS source, title, NULL AS published_at, 1 AS kind_ord, 1 AS listed, 0 AS source_ord,
+      lpad(CAST(doc_ord AS VARCHAR), 20, '0') AS doc_ord, entry_ord FROM link_items)) WHERE rn = 1""")
+def q_run_ingest(spark, sf):
+    """Feeds and pages through the run's ingest, sources in the order of a registry."""
+    from presswork.plans.run import ingest
+    from presswork.session import scratch_path
+    from presswork.sources.store import read_store
+    store = scratch_path(spark, "store")
+    pages = table(spark, sf, "pages").withColumn("source", F.lit("site"))
+    ingest(spark, store, _land(spark, sf, "rss"), pages, sources=_registry_of(spark, sf))
+    return read_store(spark, store).select("url", "source", "title", "published_at")
+
+
+@register("quarantine_entries", _with(O.ARTICLES_FX) + """SELECT source, CAST(sum(CASE WHEN arrival_id % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS malformed,
+  count(*) AS entries FROM articles GROUP BY source""")
+def q_quarantine_entries(spark, sf):
+    """Feeds in which every fifth entry is not well-formed: these entries are quarantined, the others load."""
+    from presswork.session import scratch_path
+    from presswork.sources import feeds as FD
+    root = scratch_path(spark, "landing-malformed")
+    a = articles_fx(spark, sf).withColumn("title", F.when(F.col("arrival_id") % 5 == 0, F.lit("@@broken@@")).otherwise(F.lit("fine")))
+    feeds = FD.render_rss_feeds(a.withColumn("content", F.lit(None).cast("string")))
+    FD.land_feeds(feeds.withColumn("xml", F.replace("xml", F.lit("@@broken@@</title>"), F.lit("broken</titel>"))), root)
+    items, bad = FD.scan_feeds(spark, root)
+    bad = bad.select(FD.source_from_path(F.col("file_path")).alias("source"), F.lit(1).alias("m"))
+    both = bad.unionByName(items.select("source", F.lit(0).alias("m")))
+    return both.groupBy("source").agg(F.sum("m").cast("bigint").alias("malformed"), F.count(F.lit(1)).alias("entries"))
+
+
 @register("ingest_rerun_inserts", _with(O.ARTICLES_FX, _ingested_sql("published_at")) + """SELECT 1 AS run,
   CAST(count(DISTINCT url) AS BIGINT) AS inserted FROM ingested
 UNION ALL SELECT 2 AS run, CAST(0 AS BIGINT) AS inserted""")
@@ -775,12 +865,8 @@ def q_ingest_rerun_inserts(spark, sf):
     landing = _land(spark, sf, "rss")
     store = scratch_path(spark, "store")
     files = read_feed_files(spark, landing)
-    runs = []
-    for run in (1, 2):
-        n = sum(r.inserted for r in ingest_frame(files, store).collect())
-        runs.append((run, n))
-    # the per-run counts are two numbers already on the driver; frame them
-    return spark.createDataFrame(runs, "run int, inserted bigint")
+    runs = [ingest_frame(files, store).agg(F.lit(run).alias("run"), F.sum("inserted").alias("inserted")) for run in (1, 2)]
+    return runs[0].unionByName(runs[1])
 
 
 @register("read_store", _with(O.ARTICLES_FX) + """SELECT arrival_id, source, domain, title, url, published_at, content, summary

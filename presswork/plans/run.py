@@ -1,15 +1,11 @@
 """One daily run: ingest landed feeds and pages, refresh the window's enrichment, write the report.
 
-* Feeds and pages become article rows, feeds first (arrival priority), then
-  first arrival per URL wins and URLs already stored are skipped; the new
-  rows are appended as one batch.
-* Enrichment of the window is written back to the store by dynamic
-  partition overwrite of the touched date partitions. The updated
-  partitions are first materialised with a reliable checkpoint (in the
-  shared ``spark.checkpoint.dir``), so the overwrite never reads the folder
-  it replaces.
-* The report is built from the stored, enriched rows and written as one
-  Markdown file; only the bounded report rows reach the driver.
+* Feeds and pages become article rows, feeds first (arrival priority), in the registry's order of sources; then
+  first arrival per URL wins and URLs already stored are skipped; the new rows are appended as one batch. With a
+  stream checkpoint, only feed files that no earlier run has seen are read.
+* Enrichment of the window is written back where it changes something (``write_enrichment``).
+* The report is built from the stored, enriched rows and written as one Markdown file; only the bounded report rows
+  reach the driver.
 """
 
 from __future__ import annotations
@@ -17,64 +13,44 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from presswork import rules as R
-from presswork.operators.dedup import ingest_counts, new_articles, union_sources
 from presswork.plans.daily import daily_report
 from presswork.session import ensure_checkpoint_dir
-from presswork.sources.feeds import ARRIVAL_ORDER, feed_documents, items_to_articles, read_feed_files, scan_atom, scan_rss
-from presswork.sources.html import links_to_items, scan_html_links
-from presswork.sources.store import BATCH_SHIFT, append_store, assign_arrival_ids, read_store, report_sink, write_enrichment
-from presswork.streaming.ingest import next_batch_id
+from presswork.sources.feeds import read_feed_files
+from presswork.sources.store import read_store, report_sink, write_enrichment
+from presswork.streaming.ingest import Ingested, incremental_ingest, ingest_batch
 
 
 @dataclass
 class RunResult:
-    counts: DataFrame          # (source, items, inserted)
+    counts: DataFrame | None   # (source, items, inserted); none where a stream read the feeds and there are no pages
+    quarantined: int
+    enriched: int
     markdown: str
 
 
-def page_items(pages: DataFrame, source_col: str = "source", selector: str = "a") -> DataFrame:
-    """Landed HTML pages ``(source, page_id, url, html)`` -> article rows (undated, no content)."""
-    links = scan_html_links(pages.select("page_id", "url", "html", source_col), selector=selector)
-    src = pages.select("page_id", F.col(source_col).alias("_src"))
-    items = links_to_items(links.join(src, "page_id"), F.col("_src"), source_ord=0)
-    return items.select(
-        "source", "domain", "title", "url", F.lit(None).cast("string").alias("canonical_url"), "published_at",
-        F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("summary"),
-        F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("severity"),
-        F.lit(None).cast("string").alias("soc_action"), "dedupe_key", "source_ord",
-        F.lit("").alias("file_path"), F.lit(0).alias("doc_ord"), F.col("entry_ord").cast("int").alias("entry_ord"),
-        F.lit(None).cast("string").alias("guid"))
-
-
-def ingest(spark: SparkSession, store_path: str, feeds_path: str | None = None, pages: DataFrame | None = None,
-           mode: str = "url", dates: str = "wall_clock") -> DataFrame:
-    """Insert the new articles of one run; returns ``(source, items, inserted)``."""
-    frames = []
-    if feeds_path:
-        docs = feed_documents(read_feed_files(spark, feeds_path))
-        frames.append(items_to_articles(scan_rss(docs).unionByName(scan_atom(docs)), dates=dates))
-    if pages is not None:
-        frames.append(page_items(pages))
-    if not frames:
-        raise ValueError("nothing to ingest")
-    batch = union_sources(*frames)
-    store = read_store(spark, store_path)
-    batch_id = next_batch_id(store)
-    fresh = assign_arrival_ids(new_articles(batch, store, mode, ARRIVAL_ORDER), batch_id, ARRIVAL_ORDER)
-    append_store(fresh, store_path)
-    inserted = read_store(spark, store_path).filter(F.shiftright("arrival_id", BATCH_SHIFT) == F.lit(batch_id))
-    return ingest_counts(batch, inserted)
+def ingest(spark: SparkSession, store_path: str, feeds_path: str | None = None, pages: DataFrame | None = None, mode: str = "url",
+           dates: str = "wall_clock", sources: DataFrame | None = None, robots: DataFrame | None = None) -> Ingested:
+    """Insert the new articles of one run."""
+    files = read_feed_files(spark, feeds_path) if feeds_path else None
+    return ingest_batch(spark, store_path, files, pages, mode, sources, dates, robots)
 
 
 def run_once(spark: SparkSession, store_path: str, report_path: str, as_of, since: str = R.DEFAULT_SINCE,
-             limit: int = R.DEFAULT_LIMIT, feeds_path: str | None = None, pages: DataFrame | None = None,
-             mode: str = "url", dates: str = "wall_clock", **rules) -> RunResult:
+             limit: int = R.DEFAULT_LIMIT, feeds_path: str | None = None, pages: DataFrame | None = None, mode: str = "url",
+             dates: str = "wall_clock", sources: DataFrame | None = None, robots: DataFrame | None = None, summarizer=None,
+             feeds_checkpoint: str | None = None, **rules) -> RunResult:
+    """``summarizer``: a ``Column -> Column`` plug-in; ``feeds_checkpoint``: a stream checkpoint, so that
+    only newly landed feed files are read."""
     ensure_checkpoint_dir(spark)
-    counts = ingest(spark, store_path, feeds_path, pages, mode, dates).checkpoint(eager=True)
-    write_enrichment(spark, store_path, as_of, since, **rules)
+    done = None
+    if feeds_path and feeds_checkpoint:
+        incremental_ingest(spark, feeds_path, store_path, feeds_checkpoint, mode, sources, dates, robots=robots)
+        feeds_path = None
+    if feeds_path or pages is not None:
+        done = ingest(spark, store_path, feeds_path, pages, mode, dates, sources, robots)
+    enriched = write_enrichment(spark, store_path, as_of, since, summarizer=summarizer, **rules)
     rep = daily_report(read_store(spark, store_path), as_of, since, limit, enrich_rows=False)
     report_sink(rep.lines, report_path)
-    return RunResult(counts=counts, markdown=rep.markdown())
+    return RunResult(done.counts if done else None, done.quarantined if done else 0, enriched, rep.markdown())

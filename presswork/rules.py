@@ -8,8 +8,6 @@ Callers may pass their own tables of the same shape to any operator.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 # ---------------------------------------------------------------------------
 # FIXED VALUES — these must equal the original tool's tables for identical
 # results. Kept verbatim, in their original order (order is semantics:
@@ -153,15 +151,3 @@ TREND_N = 10
 SUMMARY_LINES = 5
 TITLE_MAX, CONTENT_MAX, MD_SUMMARY_MAX, CLAMP_FALLBACK_MAX = 400, 8000, 600, 500
 # --------------------------------------------------------------------------- end of fixed values
-
-
-@dataclass(frozen=True)
-class RuleSet:
-    """A complete enrichment rule set, passed as a parameter to operators."""
-
-    categories: list[tuple[str, list[str]]]
-    default_category: str = "general"
-
-
-RULESET_A = RuleSet(CATEGORY_RULES_A)
-RULESET_B = RuleSet(CATEGORY_RULES_B)

@@ -7,6 +7,7 @@ are for tests, the bench and command-line use on a single machine.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -36,9 +37,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a scratch folder only when unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where it is unset, a scratch folder in local
+    mode (tests); on a cluster that is an error, as executors could not see such a folder."""
     d = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not d:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a shared folder: the master is {master}")
         d = tempfile.mkdtemp(prefix="presswork-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, d)
     spark.sparkContext.setCheckpointDir(d)
@@ -50,3 +55,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/presswork/{name}-{uuid.uuid4().hex}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or something that its pattern matches, is there; asked of the path's own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0

@@ -8,8 +8,9 @@ do not parse are *quarantined* (returned as a separate frame) instead of
 failing the job; well-formed documents in the same run still load.
 
 Layout: ``<landing>/<source>/<file>`` or ``<landing>/source=<source>/<file>``;
-the source name comes from the parent folder unless a ``sources`` frame
-(``name, url, source_ord``) maps file paths to names.
+the source name comes from the folder. A ``sources`` registry
+(``name, url, source_ord``) gives the order in which sources arrive; sources
+that it does not list come after those it does.
 """
 
 from __future__ import annotations
@@ -21,26 +22,27 @@ from presswork import rules as R
 from presswork.functions.dates import parse_iso_utc, parse_pub_ts
 from presswork.functions.text import clean_whitespace, strip_html, truncate
 from presswork.functions.urls import canonicalize_url, dedupe_key, get_domain
+from presswork.session import path_exists
 
-DOC_RE = r"(?s)<(rss|feed|rdf:RDF)\b.*?</\1\s*>"
-ITEM_RE = r"(?s)<item\b.*?</item\s*>"
-ENTRY_RE = r"(?s)<entry\b.*?</entry\s*>"
+DOC_RE = r"(?s)<(rss|(?:[A-Za-z][\w.-]*:)?feed|rdf:RDF)\b.*?</\1\s*>"
+# an element's end tag inside CDATA does not end it
+ITEM_RE = r"(?s)<item\b(?:[^<]++|<!\[CDATA\[.*?\]\]>|<(?!/item\s*>))*+</item\s*>"
+ENTRY_RE = r"(?s)<entry\b(?:[^<]++|<!\[CDATA\[.*?\]\]>|<(?!/entry\s*>))*+</entry\s*>"
+# the namespace prefix of a feed element, as in <atom:feed>
+PREFIX_RE = r"^<([A-Za-z][\w.-]*):feed\b"
 
 RSS_ITEM_SCHEMA = ("title string, link string, pubDate string, description string, guid string, "
-                   "_corrupt_record string")
+                   "`content:encoded` string, `dc:date` string, _corrupt_record string")
 ATOM_ENTRY_SCHEMA = ("title string, link array<struct<_href: string, _src: string>>, published string, "
                      "updated string, summary string, content string, id string, _corrupt_record string")
 XML_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
     """``(file_path, body)`` — one row per landed file (no rows when nothing has landed)."""
-    try:
-        return (spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-                .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("body")))
-    except Exception as e:  # noqa: BLE001 — an absent landing folder means no files yet
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return spark.createDataFrame([], "file_path string, body string")
-        raise
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "file_path string, body string")
+    return (spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+            .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("body")))
 
 
 def source_from_path(file_path: Column) -> Column:
@@ -54,16 +56,19 @@ def feed_documents(files: DataFrame) -> DataFrame:
     """``(source, file_path, doc_ord, kind, doc)`` — closed ``<rss>``/``<feed>`` documents in file order."""
     docs = files.select("file_path", F.posexplode(F.regexp_extract_all(F.col("body"), F.lit(DOC_RE), 0))
                         .alias("doc_ord", "doc"))
-    kind = F.when(F.col("doc").startswith("<feed"), F.lit("atom")).otherwise(F.lit("rss"))
+    prefix = F.regexp_extract("doc", PREFIX_RE, 1)
+    kind = F.when(F.col("doc").startswith("<feed") | (prefix != ""), F.lit("atom")).otherwise(F.lit("rss"))
+    bare = F.regexp_replace(F.col("doc"), F.concat(F.lit("(</?)"), prefix, F.lit(":")), F.lit("$1"))
     return docs.select(source_from_path(F.col("file_path")).alias("source"), "file_path",
-                       F.col("doc_ord").cast("int").alias("doc_ord"), kind.alias("kind"), "doc")
+                       F.col("doc_ord").cast("bigint").alias("doc_ord"), kind.alias("kind"),
+                       F.when(prefix != "", bare).otherwise(F.col("doc")).alias("doc"))
 
 
 def _entries(docs: DataFrame, kind: str, pattern: str, schema: str) -> DataFrame:
     d = docs.filter(F.col("kind") == kind)
     it = d.select("source", "file_path", "doc_ord", "kind",
                   F.posexplode(F.regexp_extract_all(F.col("doc"), F.lit(pattern), 0)).alias("entry_ord", "x"))
-    return it.withColumn("r", F.from_xml(F.col("x"), schema, XML_OPTS)).withColumn("entry_ord", F.col("entry_ord").cast("int"))
+    return it.withColumn("r", F.from_xml(F.col("x"), schema, XML_OPTS)).withColumn("entry_ord", F.col("entry_ord").cast("bigint"))
 
 
 def quarantine(files: DataFrame) -> DataFrame:
@@ -75,7 +80,7 @@ def quarantine(files: DataFrame) -> DataFrame:
     """
     docs = feed_documents(files)
     no_docs = (files.join(docs.select("file_path").distinct(), "file_path", "left_anti")
-               .select("file_path", F.lit(None).cast("int").alias("doc_ord"), F.lit(None).cast("int").alias("entry_ord"),
+               .select("file_path", F.lit(None).cast("bigint").alias("doc_ord"), F.lit(None).cast("bigint").alias("entry_ord"),
                        F.lit("no feed document").alias("reason")))
     bad = [_entries(docs, k, p, s).filter(F.col("r._corrupt_record").isNotNull())
            .select("file_path", "doc_ord", "entry_ord", F.lit("malformed entry").alias("reason"))
@@ -84,13 +89,14 @@ def quarantine(files: DataFrame) -> DataFrame:
 
 
 def scan_rss(docs: DataFrame) -> DataFrame:
-    """RSS ``<item>`` rows of well-formed RSS documents, in entry order."""
+    """RSS ``<item>`` rows of well-formed RSS documents, in entry order: ``pubDate`` (else ``dc:date``),
+    ``description`` (else ``content:encoded``)."""
     it = _entries(docs, "rss", ITEM_RE, RSS_ITEM_SCHEMA).filter(F.col("r._corrupt_record").isNull())
     r = F.col("r")
     return it.select("source", "file_path", "doc_ord", "entry_ord", "kind",
                      r["title"].alias("title"), r["link"].alias("link"), r["pubDate"].alias("published_raw"),
-                     F.lit(None).cast("string").alias("updated_raw"), r["description"].alias("summary_raw"),
-                     F.lit(None).cast("string").alias("content_raw"), r["guid"].alias("guid"))
+                     r["dc:date"].alias("updated_raw"), r["description"].alias("summary_raw"),
+                     r["content:encoded"].alias("content_raw"), r["guid"].alias("guid"))
 
 
 def scan_atom(docs: DataFrame) -> DataFrame:
@@ -130,18 +136,18 @@ def items_to_articles(items: DataFrame, sources: DataFrame | None = None, dates:
     Drops entries with empty title or link; canonical URL and its domain;
     publication time (``wall_clock``: zone dropped; ``utc``: ISO converted to
     UTC); key from the full cleaned title; content = tags stripped, cleaned,
-    cut at 8000 ('' -> NULL). Arrival order: ``source_ord, file_path,
-    doc_ord, entry_ord``.
+    cut at 8000 ('' -> NULL). Arrival order: :data:`ARRIVAL_ORDER`.
     """
     x = items.withColumn("title", clean_whitespace(F.col("title"))).withColumn("link", F.trim(F.coalesce("link", F.lit(""))))
     x = x.filter((F.col("title") != "") & (F.col("link") != ""))
     if sources is not None:
         # no forced broadcast: AQE broadcasts the registry when its runtime size is
         # under the threshold (a handful of configured sources) and shuffles otherwise
-        reg = sources.select(F.col("name").alias("source"), "source_ord")
-        x = x.join(reg, "source", "left").withColumn("source_ord", F.coalesce("source_ord", F.lit(R.LIMIT_MAX * 1000)))
+        reg = sources.groupBy(F.col("name").alias("_name")).agg(F.min("source_ord").alias("source_ord"))
+        x = x.join(reg, F.col("source") == F.col("_name"), "left").drop("_name")
     else:
-        x = x.withColumn("source_ord", F.lit(0))
+        x = x.withColumn("source_ord", F.lit(None).cast("int"))
+    x = x.withColumn("listed", F.col("source_ord").isNull().cast("int"))
     if dates == "wall_clock":
         pub = parse_pub_ts(F.col("published_raw"), F.col("updated_raw"))
     elif dates == "utc":
@@ -159,11 +165,12 @@ def items_to_articles(items: DataFrame, sources: DataFrame | None = None, dates:
         F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("category"),
         F.lit(None).cast("string").alias("severity"), F.lit(None).cast("string").alias("soc_action"),
         dedupe_key(F.col("title"), F.col("domain"), F.col("published_at")).alias("dedupe_key"),
-        F.col("source_ord").cast("int").alias("source_ord"), "file_path", "doc_ord", "entry_ord", "guid",
+        "listed", F.col("source_ord").cast("int").alias("source_ord"), "file_path", "doc_ord", "entry_ord", "guid",
     )
 
 
-ARRIVAL_ORDER = ["source_ord", "file_path", "doc_ord", "entry_ord"]
+#: Arrival order: listed sources (0) before others (1), the registry's order, then files, documents and entries.
+ARRIVAL_ORDER = ["listed", "source_ord", "file_path", "doc_ord", "entry_ord"]
 
 
 # ---------------------------------------------------------------------------

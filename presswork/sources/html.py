@@ -1,7 +1,8 @@
 """Anchor extraction from landed HTML pages (a Spark column job, no parser library).
 
-Anchors are matched as ``<a ...>...</a>`` spans (case-insensitive, across
-lines). Documented limits of the regex approach: an anchor without a
+Comments and the content of scripts, styles and templates are removed
+first; then anchors are matched as ``<a ...>...</a>`` spans
+(case-insensitive, across lines). Documented limits of the regex approach: an anchor without a
 closing tag is not seen; a ``>`` inside a quoted attribute ends the tag;
 nested anchors end at the first ``</a>``.
 
@@ -22,8 +23,9 @@ from presswork.functions.urls import canonicalize_url, dedupe_key, get_domain, r
 ANCHOR_RE = r"(?is)<a\b[^>]*>.*?</a>"
 OPEN_ATTRS_RE = r"(?is)^<a\b([^>]*)>"
 INNER_RE = r"(?is)^<a\b[^>]*>(.*)</a>$"
-HREF_RE = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+HREF_RE = r"""(?is)(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 COMMENT_RE = r"(?s)<!--.*?(-->|$)"
+SCRIPT_RE = r"(?is)<(?:script\b.*?(?:</script\s*>|$)|style\b.*?(?:</style\s*>|$)|template\b.*?(?:</template\s*>|$))"
 MARKUP_RE = r"<[A-Za-z/!?][^>]*>"
 
 
@@ -44,30 +46,32 @@ def _selector_filter(attrs: Column, selector: str) -> Column | None:
     if kind is None:
         return None
     attr = "class" if kind == "." else "id"
-    pat = rf"""(?is)\b{attr}\s*=\s*["']?([^"'>]*\s)?{re.escape(name)}(\s[^"'>]*)?["'\s>]"""
+    pat = rf"""(?is)(?:^|\s){attr}\s*=\s*["']?([^"'>]*\s)?{re.escape(name)}(\s[^"'>]*)?["'\s>]"""
     return F.concat(attrs, F.lit(">")).rlike(pat)
 
 
 def scan_html_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
-                    html_col: str = "html", selector: str = "a") -> DataFrame:
-    """``(page id, link_ord, href, title)`` for each selected anchor, in document order."""
-    a = pages.select(F.col(id_col), F.col(url_col).alias("page_url"),
-                     F.posexplode(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")),
-                                                       lit_str(ANCHOR_RE), 0)).alias("link_ord", "_a"))
+                    html_col: str = "html", selector: str = "a", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(page id, *keep, page_url, link_ord, href, title)`` for each selected anchor, in document order."""
+    live = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), lit_str(COMMENT_RE), F.lit(" "))
+    live = F.regexp_replace(live, lit_str(SCRIPT_RE), F.lit(" "))
+    a = pages.select(F.col(id_col), *keep, F.col(url_col).alias("page_url"),
+                     F.posexplode(F.regexp_extract_all(live, lit_str(ANCHOR_RE), 0)).alias("link_ord", "_a"))
     attrs = F.regexp_extract(F.col("_a"), OPEN_ATTRS_RE, 1)
     cond = _selector_filter(attrs, selector)
     if cond is not None:
         a = a.filter(cond)
     href = F.concat(F.regexp_extract(attrs, HREF_RE, 1), F.regexp_extract(attrs, HREF_RE, 2),
                     F.regexp_extract(attrs, HREF_RE, 3))
-    return a.select(F.col(id_col), "page_url", F.col("link_ord").cast("bigint").alias("link_ord"),
+    return a.select(F.col(id_col), *keep, "page_url", F.col("link_ord").cast("bigint").alias("link_ord"),
                     unescape_if_needed(href).alias("href"),
                     anchor_text(F.regexp_extract(F.col("_a"), INNER_RE, 1)).alias("title"))
 
 
-def links_to_items(links: DataFrame, source: str | Column = "html", source_ord: int = 0) -> DataFrame:
+def links_to_items(links: DataFrame, source: str | Column = "html", source_ord: int | Column = 0) -> DataFrame:
     """Anchor rows -> article items: drop empty href/title, resolve root-relative links,
-    keep http(s) only, canonical URL, domain and undated key."""
+    keep http(s) only, canonical URL, domain and undated key. Items of a page are ordered by
+    (doc_ord, entry_ord), the page's id and the anchor's place."""
     src = F.lit(source) if isinstance(source, str) else source
     x = links.filter((F.col("href") != "") & (F.col("title") != ""))
     x = x.withColumn("_link", resolve_link(F.col("href"), F.col("page_url"))).filter(F.col("_link").startswith("http"))
@@ -79,6 +83,6 @@ def links_to_items(links: DataFrame, source: str | Column = "html", source_ord:
         "url",
         F.lit(None).cast("timestamp_ntz").alias("published_at"),
         dedupe_key(F.col("title"), get_domain(F.col("url"))).alias("dedupe_key"),
-        F.lit(source_ord).cast("int").alias("source_ord"),
-        (F.col("page_id") * F.lit(1_000_000) + F.col("link_ord")).cast("bigint").alias("entry_ord"),
+        (source_ord if isinstance(source_ord, Column) else F.lit(source_ord)).cast("int").alias("source_ord"),
+        F.col("page_id").cast("bigint").alias("doc_ord"), F.col("link_ord").cast("bigint").alias("entry_ord"),
     )

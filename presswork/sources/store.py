@@ -6,21 +6,26 @@
   new version folder, never over the folder being read.
 * ``report_sink`` — the Markdown report as one text file.
 
-Arrival ids: a batch is sorted by its arrival columns (a range-partitioned
-sort), then ``monotonically_increasing_id`` is taken *after* that sort, so
-ids increase with arrival order; the batch number occupies the high bits,
-so later batches always get larger ids. Ids are written once with the
-batch and never recomputed.
+Arrival ids are dense: a batch is sorted by its arrival columns (a
+range-partitioned sort) and materialised; a row's id is the first id of the
+batch, plus the rows in the partitions before its own, plus its place in
+its partition. The first id follows the last one of the batch before,
+which the ``_batches`` table beside the data lists (one row per batch), so
+neither the number of batches nor of rows is limited and no ingest scans
+the store for its largest id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType, TimestampNTZType
 
 from presswork.operators import enrich, summary
 from presswork.operators.report import recent_window
+from presswork.session import ensure_checkpoint_dir, path_exists, scratch_path
 
 ARTICLE_SCHEMA = StructType([
     StructField("arrival_id", LongType(), False),
@@ -38,8 +43,8 @@ ARTICLE_SCHEMA = StructType([
     StructField("dedupe_key", StringType(), False),
 ])
 ARTICLE_COLUMNS = [f.name for f in ARTICLE_SCHEMA.fields]
-BATCH_SHIFT = 48
-
+BATCHES = "_batches"
+BATCH_SCHEMA = "first_id bigint, n bigint"
 
 STORE_SCHEMA = StructType(ARTICLE_SCHEMA.fields + [StructField("pub_date", DateType(), True)])
 
@@ -47,34 +52,62 @@ STORE_SCHEMA = StructType(ARTICLE_SCHEMA.fields + [StructField("pub_date", DateT
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """The stored articles plus the ``pub_date`` partition column (empty frame when
     nothing was written yet)."""
-    try:
-        return spark.read.schema(STORE_SCHEMA).parquet(path)
-    except Exception as e:  # noqa: BLE001 — a missing store is an empty store
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return spark.createDataFrame([], STORE_SCHEMA)
-        raise
-
-
-def assign_arrival_ids(batch: DataFrame, batch_id: int, order: list[str]) -> DataFrame:
-    if not 0 <= batch_id < (1 << (63 - BATCH_SHIFT)):
-        raise ValueError("batch id out of range")
-    s = batch.orderBy(*order)
-    return s.withColumn("arrival_id", F.lit(batch_id << BATCH_SHIFT) + F.monotonically_increasing_id())
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], STORE_SCHEMA)
+    return spark.read.schema(STORE_SCHEMA).parquet(path)
+
+
+def next_arrival_id(spark: SparkSession, path: str) -> int:
+    """The id after the largest one given out."""
+    batches = f"{path.rstrip('/')}/{BATCHES}"
+    if path_exists(spark, batches):
+        top = spark.read.schema(BATCH_SCHEMA).parquet(batches).agg(F.max(F.col("first_id") + F.col("n"))).first()[0]
+    else:  # a store that other code has written
+        last = read_store(spark, path).agg(F.max("arrival_id")).first()[0]
+        top = None if last is None else last + 1
+    return int(top or 0)
+
+
+def assign_arrival_ids(batch: DataFrame, first_id: int, order: list[str]) -> DataFrame:
+    """``batch`` with dense ids from ``first_id`` on, in arrival order. The sorted batch is written to the
+    shared scratch folder once, so ids are never recomputed."""
+    spark = batch.sparkSession
+    place = F.monotonically_increasing_id()
+    path = scratch_path(spark, "batch")
+    batch.orderBy(*[F.col(c).asc_nulls_last() for c in order]).withColumn("_at", place).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    ids = F.lit(first_id) + F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return rows.join(starts, F.col("_part") == F.col("_p")).withColumn("arrival_id", ids).drop("_at", "_part", "_p", "_start")
+
+
+def insert_batch(fresh: DataFrame, store_path: str, order: list[str]) -> DataFrame:
+    """Append the rows of a batch with new arrival ids; returns what was inserted."""
+    spark = fresh.sparkSession
+    first = next_arrival_id(spark, store_path)
+    rows = assign_arrival_ids(fresh, first, order)
+    append_store(rows, store_path)
+    spark.createDataFrame([(first, rows.count())], BATCH_SCHEMA).coalesce(1).write.mode("append").parquet(f"{store_path.rstrip('/')}/{BATCHES}")
+    return rows
 
 
 def append_store(batch: DataFrame, path: str) -> None:
-    """Append article rows (``ARTICLE_SCHEMA`` columns) partitioned by publication date."""
+    """Append article rows (``ARTICLE_SCHEMA`` columns) partitioned by publication date.
+
+    A rebalance by date keeps the files few; a date with many rows is split over several tasks."""
     out = batch.select(*ARTICLE_COLUMNS).withColumn("pub_date", F.to_date("published_at"))
-    out.write.mode("append").partitionBy("pub_date").parquet(path)
+    out.hint("rebalance", "pub_date").write.mode("append").partitionBy("pub_date").parquet(path)
 
 
-def update_enrichment(store: DataFrame, as_of, since: str = "24h", **rules) -> DataFrame:
+def update_enrichment(store: DataFrame, as_of, since: str = "24h", summarizer=None, **rules) -> DataFrame:
     """Window rows get category/severity/action (overwritten) and a summary where empty;
-    other rows pass unchanged. One pass over ``store`` plus the summary job's shuffle."""
+    other rows pass unchanged. One pass over ``store``, no shuffle."""
     win = F.col("published_at").isNull() | (F.col("published_at") >= _start(as_of, since))
     exprs = enrich.enrich_a_columns(**rules)
     cols = [F.when(win, exprs[c]).otherwise(F.col(c)).alias(c) if c in exprs else F.col(c) for c in store.columns]
-    return summary.enrich_summary(store.select(*cols), only=win)
+    return summary.enrich_summary(store.select(*cols), only=win, summarizer=summarizer)
 
 
 def affected_partitions(store: DataFrame, as_of, since: str = "24h") -> DataFrame:
@@ -85,23 +118,34 @@ def affected_partitions(store: DataFrame, as_of, since: str = "24h") -> DataFram
 
 
 def write_enrichment(spark: SparkSession, store_path: str, as_of, since: str = "24h", out_path: str | None = None,
-                     **rules) -> None:
-    """Enrich the window and write the touched date partitions (dynamic partition overwrite).
-
-    ``out_path`` given: a new version folder. Otherwise in place: the updated
-    partitions are first materialised with a reliable checkpoint (shared
-    ``spark.checkpoint.dir``), so the overwrite never reads what it replaces.
-    Partitions outside the window are not rewritten.
+                     summarizer=None, **rules) -> int:
+    """Enrich the window, write the date partitions in which something changed, and return the number of
+    enriched rows (all rows of the window).
+
+    ``out_path`` given: a new version folder with every touched partition. Otherwise in place: a dynamic partition
+    overwrite of those partitions that hold a row whose enrichment differs from the stored one; they are first
+    materialised with a reliable checkpoint (shared ``spark.checkpoint.dir``), so the overwrite never reads what it
+    replaces. A run that changes nothing writes nothing. Appends must not run at the same time.
     """
-    part = affected_partitions(read_store(spark, store_path), as_of, since).drop("pub_date")
-    upd = update_enrichment(part, as_of, since, **rules).select(*ARTICLE_COLUMNS)
-    upd = upd.withColumn("pub_date", F.to_date("published_at"))
+    old = affected_partitions(read_store(spark, store_path), as_of, since).drop("pub_date")
+    win = F.coalesce(F.col("published_at").isNull() | (F.col("published_at") >= _start(as_of, since)), F.lit(False))
+    columns = ["category", "severity", "soc_action", "summary"]
+    before = old.select("*", *[F.col(c).alias(f"_{c}") for c in columns])
+    upd = update_enrichment(before, as_of, since, summarizer, **rules)
+    changed = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
+    upd = upd.select(*ARTICLE_COLUMNS, changed.alias("_changed"), win.alias("_win")).withColumn("pub_date", F.to_date("published_at"))
+    seen = Observation("enriched")
+    upd = upd.observe(seen, F.sum(F.col("_win").cast("bigint")).alias("n"))
     if out_path is None:
-        from presswork.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(spark)
         upd = upd.checkpoint(eager=True)
-    (upd.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        dirty = upd.filter("_changed").select(F.col("pub_date").alias("_d")).distinct()
+        upd = upd.join(dirty, F.col("pub_date").eqNullSafe(F.col("_d")), "left_semi")
+        if upd.isEmpty():
+            return int(seen.get["n"] or 0)
+    (upd.drop("_changed", "_win").hint("rebalance", "pub_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("pub_date").parquet(out_path or store_path))
+    return int(seen.get["n"] or 0)
 
 
 def _start(as_of, since):

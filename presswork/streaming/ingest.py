@@ -1,59 +1,133 @@
-"""Incremental ingest as a Structured Streaming job.
-
-Landed feed files are a file stream; each micro-batch is parsed, reduced
-to first arrivals per URL (or per title|domain|date key), anti-joined with
-the store and appended. With ``trigger(availableNow=True)`` a run processes
-everything landed since the last run and stops; the checkpoint remembers
-processed files, and the anti-join makes a re-landed file (or a replayed
-micro-batch after a failure) insert nothing. First-wins over *all history*
-needs the store itself, so this is not ``dropDuplicatesWithinWatermark``.
+"""Ingest of landed feeds and pages: one function for a run, a stream's micro-batch and the tests.
+
+A batch is parsed once and materialised; sources that robots rules forbid are left out; what cannot be parsed goes
+to the quarantine table beside the store; the rest is reduced to first arrivals per URL (or per title|domain|date
+key), anti-joined with the store and appended.
+
+Landed feed files are also a file stream. With ``trigger(availableNow=True)`` a run processes everything landed since
+the last run and stops; the checkpoint remembers processed files, and the anti-join makes a re-landed file (or a
+replayed micro-batch after a failure) insert nothing. First-wins over *all history* needs the store itself, so this
+is not ``dropDuplicatesWithinWatermark``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.operators.dedup import ingest_counts, new_articles
-from presswork.sources.feeds import ARRIVAL_ORDER, feed_documents, items_to_articles, scan_atom, scan_rss
-from presswork.sources.store import BATCH_SHIFT, append_store, assign_arrival_ids, read_store
-
-
-def next_batch_id(store: DataFrame) -> int:
-    """One more than the newest batch number in the store (0 for an empty store)."""
-    # a plain max() can be answered from Parquet footers when
-    # spark.sql.parquet.aggregatePushdown is enabled
-    top = store.agg(F.max("arrival_id")).first()[0]
-    return 0 if top is None else (int(top) >> BATCH_SHIFT) + 1
-
-
-def ingest_frame(files: DataFrame, store_path: str, mode: str = "url",
-                 sources: DataFrame | None = None, dates: str = "wall_clock") -> DataFrame:
-    """Parse ``(file_path, body)`` rows, insert new articles, return per-source counts
-    ``(source, items, inserted)``."""
-    spark = files.sparkSession
-    docs = feed_documents(files)
-    items = scan_rss(docs).unionByName(scan_atom(docs))
-    arts = items_to_articles(items, sources, dates)
-    store = read_store(spark, store_path)
-    batch_id = next_batch_id(store)
-    fresh = assign_arrival_ids(new_articles(arts, store, mode, ARRIVAL_ORDER), batch_id, ARRIVAL_ORDER)
-    append_store(fresh, store_path)
-    inserted = read_store(spark, store_path).filter(F.shiftright("arrival_id", BATCH_SHIFT) == F.lit(batch_id))
-    return ingest_counts(arts, inserted)
-
-
-def incremental_ingest(spark: SparkSession, landing: str, store_path: str, checkpoint: str,
-                       mode: str = "url", sources: DataFrame | None = None, dates: str = "wall_clock",
-                       max_files_per_trigger: int | None = None):
-    """Run one availableNow pass over ``landing``; returns the finished StreamingQuery."""
-    reader = spark.readStream.format("text").option("wholetext", "true")
+from presswork.operators.dedup import ingest_counts, new_articles, union_sources
+from presswork.operators.robots import robots_filter
+from presswork.session import path_exists, scratch_path
+from presswork.sources.feeds import ARRIVAL_ORDER, feed_documents, items_to_articles, quarantine, scan_atom, scan_rss
+from presswork.sources.html import links_to_items, scan_html_links
+from presswork.sources.store import insert_batch, read_store
+
+QUARANTINE = "_quarantine"
+QUARANTINE_SCHEMA = "file_path string, doc_ord bigint, entry_ord bigint, reason string"
+ORDER = ["kind_ord", *ARRIVAL_ORDER]
+
+
+@dataclass
+class Ingested:
+    counts: DataFrame        # (source, items, inserted)
+    quarantined: int
+
+
+def page_items(pages: DataFrame, source_col: str = "source", selector: str = "a", sources: DataFrame | None = None) -> DataFrame:
+    """Landed HTML pages ``(source, page_id, url, html)`` -> article rows (undated, no content).
+
+    With a registry, a page's links are chosen by its source's ``link_tag`` (``selector`` where it has none); one pass
+    per distinct selector, of which a registry has a handful.
+    """
+    p = pages.select("page_id", "url", "html", F.col(source_col).alias("source"))
+    if sources is None:
+        p = p.withColumn("_tag", F.lit(selector)).withColumn("source_ord", F.lit(None).cast("int"))
+        tags = [selector]
+    else:
+        reg = sources.filter("kind = 'html'").groupBy(F.col("name").alias("_name")).agg(
+            F.min(F.struct("source_ord", "link_tag")).alias("_r"))
+        p = p.join(reg, F.col("source") == F.col("_name"), "left").select(
+            "page_id", "url", "html", "source", F.coalesce("_r.link_tag", F.lit(selector)).alias("_tag"), "_r.source_ord")
+        tags = sorted({r[0] or selector for r in sources.filter("kind = 'html'").select("link_tag").distinct().collect()} | {selector})
+    out = None
+    for tag in tags:
+        links = scan_html_links(p.filter(F.col("_tag") == tag), selector=tag, keep=("source", "source_ord"))
+        items = links_to_items(links, F.col("source"), F.col("source_ord"))
+        out = items if out is None else out.unionByName(items)
+    null = lambda kind: F.lit(None).cast(kind)
+    return out.select(
+        "source", "domain", "title", "url", null("string").alias("canonical_url"), "published_at", null("string").alias("content"),
+        null("string").alias("summary"), null("string").alias("category"), null("string").alias("severity"),
+        null("string").alias("soc_action"), "dedupe_key", F.col("source_ord").isNull().cast("int").alias("listed"), "source_ord",
+        F.lit("").alias("file_path"), "doc_ord", "entry_ord", null("string").alias("guid"))
+
+
+def admitted_sources(sources: DataFrame, robots: DataFrame | None) -> DataFrame:
+    """The registry's sources whose address robots rules allow to be read."""
+    return sources if robots is None else robots_filter(sources, robots)
+
+
+def ingest_batch(spark: SparkSession, store_path: str, files: DataFrame | None = None, pages: DataFrame | None = None, mode: str = "url",
+                 sources: DataFrame | None = None, dates: str = "wall_clock", robots: DataFrame | None = None) -> Ingested:
+    """Insert what is new of landed feed files ``(file_path, body)`` and pages ``(source, page_id, url, html)``.
+
+    ``sources``: the registry; it gives the order of arrival and the link selectors. ``robots``: rules
+    ``(host, rule_ord, allow, path_prefix)``; listed sources and pages whose address they forbid are left out.
+    """
+    frames, quarantined = [], 0
+    admitted = None if sources is None else admitted_sources(sources, robots)
+    if files is not None:
+        docs = feed_documents(files)
+        if sources is not None and robots is not None:
+            shut = sources.join(admitted.select("name"), "name", "left_anti").select(F.col("name").alias("_shut")).distinct()
+            docs = docs.join(shut, F.col("source") == F.col("_shut"), "left_anti")
+        items = scan_rss(docs).unionByName(scan_atom(docs))
+        frames.append(items_to_articles(items, sources, dates))
+        bad_path = f"{store_path.rstrip('/')}/{QUARANTINE}"
+        bad = quarantine(files).select("file_path", "doc_ord", "entry_ord", "reason")
+        if path_exists(spark, bad_path):  # a file that is read again is not listed again
+            known = spark.read.schema(QUARANTINE_SCHEMA).parquet(bad_path).select("file_path").distinct()
+            bad = bad.join(known, "file_path", "left_anti")
+        bad = _kept(bad, "quarantine")
+        quarantined = bad.count()
+        if quarantined:
+            bad.write.mode("append").parquet(bad_path)
+    if pages is not None:
+        allowed = pages if robots is None else robots_filter(pages, robots)
+        frames.append(page_items(allowed, sources=sources))
+    if not frames:
+        raise ValueError("nothing to ingest")
+    batch = _kept(union_sources(*frames), "parsed")
+    inserted = insert_batch(new_articles(batch, read_store(spark, store_path), mode, ORDER), store_path, ORDER)
+    return Ingested(ingest_counts(batch, inserted), quarantined)
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared scratch folder once and read from there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ingest_frame(files: DataFrame, store_path: str, mode: str = "url", sources: DataFrame | None = None, dates: str = "wall_clock",
+                 robots: DataFrame | None = None) -> DataFrame:
+    """Ingest feed files ``(file_path, body)``; per-source counts ``(source, items, inserted)``."""
+    return ingest_batch(files.sparkSession, store_path, files, None, mode, sources, dates, robots).counts
+
+
+def incremental_ingest(spark: SparkSession, landing: str, store_path: str, checkpoint: str, mode: str = "url",
+                       sources: DataFrame | None = None, dates: str = "wall_clock", max_files_per_trigger: int | None = None,
+                       robots: DataFrame | None = None):
+    """Run one availableNow pass over everything below ``landing``; returns the finished StreamingQuery."""
+    reader = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = reader.load(landing).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("body"))
 
     def per_batch(df: DataFrame, epoch_id: int) -> None:
-        ingest_frame(df, store_path, mode, sources, dates).collect()
+        ingest_frame(df, store_path, mode, sources, dates, robots)
 
     q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

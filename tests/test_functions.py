@@ -145,3 +145,42 @@ def test_url_cleanup_like_python_parser(spark):
     raw = " \x01http://Ex.COM/a\tb\n?q=1"
     got = val(spark, F.struct(U.canonicalize_url(F.col("x")), U.get_domain(F.col("x"))), rows=[(raw,)])[0]
     assert got[0] == "http://ex.com/ab?q=1" and got[1] == urlparse(raw).netloc.lower() == "ex.com"
+
+
+def test_canonical_urls_equal_the_standard_library(spark):
+    import itertools
+    from urllib.parse import parse_qsl, urlencode, urlparse, urlunparse
+
+    from presswork.functions.urls import canonicalize_url
+    from presswork.rules import TRACKING_PARAMS
+
+    # (how a path without a leading slash and without a host is written back depends on the library's version)
+    values = ["", "1", "a+b", "100%+free", "a%zzb%20c", "%", "%4", "%41%c3%a9", "é ü", "x=y", "~*-._"]
+    heads = ["HTTPS://Ex.COM:80/p", "http://h/p;", "http://h/p;?", "http://h/a;b;", "//h/x", "https://h", "http://h/a%20b/C"]
+    urls = [f"{h}?k={a}&{b}=2&utm_source=z&&c" for h, (a, b) in itertools.product(heads, zip(values, reversed(values)))]
+    urls += heads + [h + "#frag" for h in heads] + ["https://h/?b=1&a=2&a=1", "https://h/?gclid=1"]
+
+    def want(u):
+        p = urlparse(u)
+        q = sorted((k, v) for k, v in parse_qsl(p.query, keep_blank_values=True) if k not in TRACKING_PARAMS)
+        return urlunparse(p._replace(scheme=p.scheme.lower() or "https", netloc=p.netloc.lower(), fragment="", query=urlencode(q)))
+
+    got = {r.u: r.c for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", canonicalize_url("u").alias("c")).collect()}
+    assert {u: got[u] for u in urls} == {u: want(u) for u in urls}
+
+
+def test_entities_are_decoded_again_after_the_markup(spark):
+    from presswork.functions.text import html_to_text
+
+    cases = {"&amp;amp; x": "& x", "a &lt;b&gt; c": "a c", "&amp;lt;i&amp;gt;": "<i>", "&amp;eacute;": "é"}
+    got = {r.s: r.t for r in spark.createDataFrame([(c,) for c in cases], "s string").select("s", html_to_text("s").alias("t")).collect()}
+    assert got == cases
+
+
+def test_two_digit_years(spark):
+    from presswork.functions.dates import parse_wall_clock
+
+    cases = {"Sun, 15 Feb 26 19:40:00 GMT": "2026-02-15 19:40:00", "15 Feb 69 01:02 +0000": "1969-02-15 01:02:00", "15 Feb 68 01:02": "2068-02-15 01:02:00",
+             "15 Feb 2026 01:02": "2026-02-15 01:02:00", "15 Feb 126 01:02": None}
+    got = {r.s: r.t for r in spark.createDataFrame([(c,) for c in cases], "s string").select("s", parse_wall_clock("s").cast("string").alias("t")).collect()}
+    assert got == cases

@@ -27,12 +27,16 @@ def test_latest_then_enrich_is_top_k_not_global_sort(spark):
     assert "rangepartitioning" not in p
 
 
-def test_summary_has_one_shuffle_reused(spark):
+def test_summary_shuffles_nothing(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    p = final_plan(summary.extractive_summary(docs, "doc_id", "text"))
-    assert p.count("REPARTITION_BY_COL") == 2            # the exchange and its ReusedExchange reference
-    assert "ReusedExchange" in p
-    assert "hashpartitioning(doc_id#" in p and "ENSURE_REQUIREMENTS" not in p
+    for df in (summary.extractive_summary(docs, "doc_id", "text"), summary.topk_sentences(docs, "doc_id", "text"),
+               summary.enrich_summary(docs.selectExpr("text AS content", "lang AS title", "source AS summary"))):
+        assert "Exchange" not in plan_of(df)
+
+
+def test_term_freq_has_one_exchange(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    assert final_plan(summary.term_freq(docs, "doc_id", "text")).count("Exchange hashpartitioning") == 1
 
 
 def test_first_wins_limits_before_shuffle(spark):
@@ -40,10 +44,10 @@ def test_first_wins_limits_before_shuffle(spark):
     assert p.count("WindowGroupLimit") >= 2              # partial (map side) + final
 
 
-def test_rule_join_broadcasts_rules_only(spark):
+def test_rule_join_is_an_equi_join(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     p = plan_of(enrich.rule_match_join(docs, "doc_id", "text", [("x", ["the"])]))
-    assert "BroadcastNestedLoopJoin" in p and "CartesianProduct" not in p
+    assert "NestedLoop" not in p and "CartesianProduct" not in p
 
 
 def test_spread_only_when_under_parallelism(spark):
@@ -64,13 +68,14 @@ def test_window_pushdown_and_partition_pruning(spark, tmp_dir):
         F.col("published_at").isNull() | (F.col("published_at") >= F.lit(dt.datetime(2023, 12, 31, 12)))).count()
 
 
-def test_rule_match_ngram_equals_broadcast(spark):
+def test_rule_lists_frames_and_blocks_match_alike(spark, monkeypatch):
     from presswork.plans.params import FREQ_CATEGORY_RULES
 
-    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    rules = FREQ_CATEGORY_RULES + [("edge", ["ation", "e", "x-y"])]
-    small = enrich.rule_match_join(docs, "doc_id", "text", rules)
-    big = enrich.rule_match_ngram(docs, "doc_id", "text", enrich.rules_frame(spark, rules))
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
-    p = plan_of(big)
-    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+    docs = spark.createDataFrame([(1, "Nation of the aation"), (2, ""), (3, None), (None, "x-y E"), (1, "the")], "id long, t string")
+    rules = FREQ_CATEGORY_RULES + [("edge", ["ation", "e", "x-y", ""]), ("again", ["ation"])]
+    texts = [(r.id, (r.t or "").lower()) for r in docs.collect()]
+    want = sorted(str((i, o, label, k)) for i, t in texts for o, (label, ks) in enumerate(rules) for k in ks if k in t)
+    rows = lambda r: sorted(str(tuple(x)) for x in enrich.rule_match_join(docs, "id", "t", r).collect())
+    assert rows(rules) == want == rows(enrich.rules_frame(spark, rules))
+    monkeypatch.setattr(enrich, "KEYWORD_BLOCK", 3)
+    assert rows(rules) == want

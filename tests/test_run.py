@@ -1,6 +1,7 @@
 """End to end: landed feeds + pages -> store -> enrichment in place -> Markdown report; a rerun adds nothing."""
 
 import datetime as dt
+import glob
 import os
 
 
@@ -32,7 +33,12 @@ def test_run_once_and_rerun(spark, tmp_dir):
     assert "1. **Critical RCE exploited in the wild** " in r1.markdown
     text = "".join(open(os.path.join(rep, f)).read() for f in sorted(os.listdir(rep)) if f.startswith("part-"))
     assert text == r1.markdown
+    assert (r1.quarantined, r1.enriched) == (0, len(in_window))
+    files = lambda: sorted(f for f in glob.glob(f"{store}/pub_date=*/*.parquet"))
+    before = files()
     r2 = run_once(spark, store, rep, as_of, "24h", 25, feeds_path=f"{tmp_dir}/feeds", pages=pages)
+    assert files() == before                                               # a run that changes nothing writes nothing
+    assert r2.enriched == r1.enriched
     assert sum(r.inserted for r in r2.counts.collect()) == 0
     assert read_store(spark, store).count() == 5
     assert r2.markdown == r1.markdown

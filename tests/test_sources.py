@@ -57,24 +57,25 @@ def test_feeds_and_quarantine(spark, tmp_dir):
 def test_incremental_ingest_rerun_adds_nothing(spark, tmp_dir):
     landing, store, ck = f"{tmp_dir}/landing", f"{tmp_dir}/store", f"{tmp_dir}/ck"
     land(landing, "srcA/a.xml", RSS)
-    incremental_ingest(spark, landing + "/*", store, ck)
+    incremental_ingest(spark, landing, store, ck)
     first = read_store(spark, store).orderBy("arrival_id").collect()
     assert [r.url for r in first] == ["https://a.example.com/p?b=1", "https://a.example.com/2"]
     assert first[0].title == "First & best"                                # first arrival wins
     land(landing, "srcB/b.xml", ATOM)
     land(landing, "srcA/a-again.xml", RSS)                                   # re-landed copy
-    incremental_ingest(spark, landing + "/*", store, ck)
+    incremental_ingest(spark, landing, store, ck)
     again = read_store(spark, store).collect()
     assert len(again) == 4 and max(r.arrival_id for r in again) > max(r.arrival_id for r in first)
-    counts = ingest_frame(FD.read_feed_files(spark, landing + "/*"), store).collect()
+    counts = ingest_frame(FD.read_feed_files(spark, landing), store).collect()
     assert sum(r.inserted for r in counts) == 0
+    assert sorted(r.arrival_id for r in again) == [0, 1, 2, 3]             # dense over batches
 
 
 def test_dedup_key_mode(spark, tmp_dir):
     land(tmp_dir, "srcA/a.xml", RSS.replace("Dup of first", "First &amp; best").replace(
         "https://a.example.com/p?b=1</link></item>", "https://a.example.com/other</link><pubDate>Sun, 15 Feb 2026 08:00:00 GMT</pubDate></item>"))
     store = f"{tmp_dir}/store"
-    counts = ingest_frame(FD.read_feed_files(spark, tmp_dir + "/*"), store, mode="key").collect()
+    counts = ingest_frame(FD.read_feed_files(spark, tmp_dir), store, mode="key").collect()
     assert sum(r.inserted for r in counts) == 2      # same title|domain|date -> one row
 
 
@@ -140,15 +141,127 @@ def test_stream_micro_batches_keep_arrival_order(spark, tmp_dir):
     for i in range(3):
         body = RSS.replace("First  &amp; best", f"Copy {i}").replace("https://a.example.com/2", f"https://a.example.com/only-{i}")
         land(landing, f"src{i}/f.xml", body)
-    incremental_ingest(spark, landing + "/*", store, ck, max_files_per_trigger=1)
+    incremental_ingest(spark, landing, store, ck, max_files_per_trigger=1)
     rows = read_store(spark, store).orderBy("arrival_id").collect()
-    batches = sorted({r.arrival_id >> 48 for r in rows})
-    assert len(batches) == 3                                   # one micro-batch per file
+    batches = spark.read.parquet(f"{store}/_batches").orderBy("first_id").collect()
+    assert [(b.first_id, b.n) for b in batches] == [(0, 2), (2, 1), (3, 1)]    # one micro-batch per file
     shared = [r for r in rows if r.url == "https://a.example.com/p?b=1"]
-    assert len(shared) == 1 and shared[0].arrival_id >> 48 == batches[0]
+    assert len(shared) == 1 and shared[0].arrival_id == 0
     assert len(rows) == 1 + 3                                  # the shared URL once + one unique URL per file
 
 
 def test_missing_landing_folder_reads_as_empty(spark, tmp_dir):
     items, bad = FD.scan_feeds(spark, f"{tmp_dir}/nothing-landed-yet")
     assert items.count() == 0 and bad.count() == 0
+
+
+NEWER = """<rss version="2.0" xmlns:content="c" xmlns:dc="d"><channel>
+<item><title>Encoded</title><link>https://a.example.com/enc</link><dc:date>2026-02-15T10:00:00Z</dc:date>
+<content:encoded><![CDATA[<p>whole text with </item> inside</p>]]></content:encoded></item>
+<item><title>Two digits</title><link>https://a.example.com/yy</link><pubDate>Sun, 15 Feb 26 19:40:00 GMT</pubDate></item>
+</channel></rss>"""
+PREFIXED = """<atom:feed xmlns:atom="http://www.w3.org/2005/Atom"><atom:title>f</atom:title><atom:entry><atom:title>Pre</atom:title>
+<atom:link href="https://p.example.com/1"/><atom:updated>2026-02-15T10:00:00Z</atom:updated><atom:summary>text</atom:summary></atom:entry></atom:feed>"""
+
+
+def test_encoded_content_dc_date_cdata_two_digit_years_and_prefixes(spark, tmp_dir):
+    land(tmp_dir, "s1/a.xml", NEWER)
+    land(tmp_dir, "s2/b.xml", PREFIXED)
+    items, bad = FD.scan_feeds(spark, tmp_dir)
+    rows = {r.title: r for r in FD.items_to_articles(items).collect()}
+    assert rows["Encoded"].content == "whole text with inside" and rows["Encoded"].published_at.isoformat() == "2026-02-15T10:00:00"
+    assert rows["Two digits"].published_at.isoformat() == "2026-02-15T19:40:00"
+    assert rows["Pre"].url == "https://p.example.com/1" and rows["Pre"].content == "text"
+    assert bad.count() == 0
+
+
+def test_malformed_entries_are_quarantined_alone(spark, tmp_dir):
+    land(tmp_dir, "s/a.xml", RSS.replace("<title>Second</title>", "<title>Second</titel>"))
+    items, bad = FD.scan_feeds(spark, tmp_dir)
+    assert [(r.entry_ord, r.reason) for r in bad.collect()] == [(2, "malformed entry")] and items.count() == 3
+
+
+def test_html_links_live_anchors_only(spark):
+    html = ('<!-- <a href="/c">commented</a> --><script>var x = \'<a href="/s">script</a>\';</script><style><a href="/t">t</a></style>'
+            '<a data-href="/wrong" href="/right">Right</a><a data-href="/none">No href</a><a data-class="x" class="y" href="/z">Z</a>')
+    pages = spark.createDataFrame([(1, "https://h.example.com", html)], "page_id long, url string, html string")
+    assert [(r.href, r.title) for r in scan_html_links(pages).orderBy("link_ord").collect()] == [("/right", "Right"), ("", "No href"), ("/z", "Z")]
+    assert [r.title for r in scan_html_links(pages, selector="a.x").collect()] == []
+    assert [r.title for r in scan_html_links(pages, selector="a.y").collect()] == ["Z"]
+
+
+def test_robots_with_nulls_and_repeated_rows(spark):
+    urls = spark.createDataFrame([(1, "https://a.com/private", None), (1, "https://a.com/private", None), (2, None, "x"), (None, "https://a.com/pub", None)],
+                                 "id int, url string, _rules string")
+    rules = rules_frame(spark, [("A.com", 0, False, "/private"), ("a.com", 1, True, "/"), ("a.com", 2, False, None)])
+    got = robots_allowed(urls, rules)
+    assert got.columns == ["id", "url", "_rules", "allowed"]
+    assert sorted((str(r.id), r.allowed) for r in got.collect()) == [("1", False), ("1", False), ("2", True), ("None", True)]
+
+
+def test_registry_order_robots_and_quarantine_in_one_ingest(spark, tmp_dir):
+    from presswork.streaming.ingest import ingest_batch
+
+    landing, store = f"{tmp_dir}/landing", f"{tmp_dir}/store"
+    for name in ("Asecond", "Zfirst", "Unlisted", "Shut"):
+        land(landing, f"{name}/f.xml", RSS.replace("First  &amp; best", f"From {name}").replace("/2<", f"/{name}<"))
+    land(landing, "Zfirst/broken.xml", BROKEN)
+    registry = spark.createDataFrame([("rss", "Zfirst", "https://z.com/feed", None, 0), ("rss", "Asecond", "https://a.com/feed", None, 1),
+                                      ("rss", "Shut", "https://shut.com/feed", None, 2), ("html", "site", "https://h.com/", "a.news", 3)],
+                                     "kind string, name string, url string, link_tag string, source_ord int")
+    rules = rules_frame(spark, [("shut.com", 0, False, "/")])
+    pages = spark.createDataFrame([("site", 2148, "https://h.com/", '<a class="news" href="/n">N</a><a href="/o">O</a>'),
+                                   ("other", 2148, "https://o.com/", '<a href="/p">P</a>'), ("other", 3, "https://shut.com/x", '<a href="/q">Q</a>')],
+                                  "source string, page_id long, url string, html string")
+    done = ingest_batch(spark, store, FD.read_feed_files(spark, landing), pages, sources=registry, robots=rules)
+    rows = read_store(spark, store).orderBy("arrival_id").collect()
+    assert [(r.source, r.title) for r in rows] == [("Zfirst", "From Zfirst"), ("Zfirst", "Second"), ("Asecond", "Second"), ("Unlisted", "Second"),
+                                                   ("site", "N"), ("other", "P")]
+    assert {r.source: (r.items, r.inserted) for r in done.counts.collect()}["site"] == (1, 1)
+    assert done.quarantined == 1
+    again = ingest_batch(spark, store, FD.read_feed_files(spark, landing), pages, sources=registry, robots=rules)
+    assert again.quarantined == 0 and sum(r.inserted for r in again.counts.collect()) == 0
+    assert [r.reason for r in spark.read.parquet(f"{store}/_quarantine").collect()] == ["no feed document"]
+
+
+def test_key_mode_keeps_urls_unique(spark, tmp_dir):
+    from presswork.operators.dedup import new_articles
+
+    rows = [("u1", "t1", "d", 0, 0), ("u1", "t2", "d", 0, 1), ("u2", "t1", "d", 0, 2), ("u3", "t3", "d", 0, 3)]
+    df = spark.createDataFrame(rows, "url string, title string, domain string, source_ord int, entry_ord int").selectExpr(
+        "*", "concat(title, '|', domain) AS dedupe_key")
+    assert sorted(r.url for r in new_articles(df, None, "key").collect()) == ["u1", "u3"]
+    store = df.filter("url = 'u3'")
+    assert sorted(r.url for r in new_articles(df, store, "key").collect()) == ["u1"]
+
+
+def test_many_batches_and_partitions_keep_ids_apart(spark, tmp_dir):
+    from presswork.sources.store import assign_arrival_ids, next_arrival_id
+
+    spark.createDataFrame([(40_000 * 5, 5)], "first_id long, n long").write.parquet(f"{tmp_dir}/s/_batches")
+    assert next_arrival_id(spark, f"{tmp_dir}/s") == 200_005
+    assert next_arrival_id(spark, f"{tmp_dir}/none") == 0
+    ids = [r.arrival_id for r in assign_arrival_ids(spark.range(500).repartition(40), 7, ["id"]).orderBy("id").collect()]
+    assert ids == list(range(7, 507))
+
+
+def test_checkpoint_folder_is_needed_on_a_cluster():
+    import pytest
+
+    from presswork.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session())
