@@ -6,7 +6,7 @@
 2. A source whose target is ``e`` times its size plus a rest takes every document ``e`` times (whole repetitions)
    and, once more, documents worth the rest (the fractional repetition), chosen by a seeded hash order: the hash
    range is cut into buckets, buckets below the rest are taken whole, and the documents of the one bucket that the
-   rest ends in are taken first fit in hash order, then one is added or swapped if that brings the sum nearer.
+   rest ends in are taken first fit in hash order, and a few of them are chosen anew so that the sum comes near.
 
 A document is taken a whole number of times. Only (source, key, size) rows are shuffled, a hot source spreads over
 its buckets, and reruns agree because all choices come from hashes of the key.
@@ -25,6 +25,8 @@ MAX_EPOCHS = 3.0
 SEED = 20
 #: A bucket of the hash range holds about this many documents, or the square root of the source's count if larger.
 ROWS_PER_BUCKET = 1000
+#: Documents on either side of a source's cut that are chosen anew.
+POOL = 9
 CYCLE = (5.0, 2.0, 1.0)
 
 
@@ -64,25 +66,21 @@ def _first_fit(pdf: pd.DataFrame) -> pd.DataFrame:
     """The units of one source's last bucket that its rest has room for (see the module's text)."""
     pdf = pdf.sort_values(["_h", "_key", "_size"], kind="stable")
     room, taken, left = float(pdf["_room"].iloc[0]), [], []
-    for i, size in enumerate(pdf["_unit"]):
+    sizes = pdf["_unit"].to_numpy()
+    for i, size in enumerate(sizes):
         if size <= room:
             taken.append(i)
             room -= size
         else:
             left.append(i)
     if left and room > 0:
-        sizes = pdf["_unit"].to_numpy()
-        order = sorted(left, key=lambda i: sizes[i])
-        spare = sizes[order]
-        best, change = room, None
-        for out in [None, *taken]:  # take one more, or swap one, if that comes nearer
-            want = room + (0 if out is None else sizes[out])
-            at = int(np.searchsorted(spare, want))
-            for k in (at - 1, at):
-                if 0 <= k < len(order) and abs(want - spare[k]) < best:
-                    best, change = abs(want - spare[k]), (out, order[k])
-        if change:
-            taken = [i for i in taken if i != change[0]] + [change[1]]
+        # of all ways to choose again among the last that were taken and the first that were not, the nearest
+        pool = taken[-POOL:] + left[:POOL]
+        sums = np.zeros(1)
+        for i in pool:
+            sums = np.concatenate((sums, sums + sizes[i]))
+        best = int(np.argmin(np.abs(sums - (room + sizes[taken[-POOL:]].sum()))))
+        taken = [*taken[:-POOL], *(i for bit, i in enumerate(pool) if best >> bit & 1)]
     return pdf.iloc[sorted(taken)][["_source", "_key", "_size"]]
 
 
