@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
+import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +63,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def open_path(path: str):
+    """(file system, path in it) of a URI or a local path."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path
+
+
+def by_partition(df: DataFrame, name: str) -> str:
+    """Write ``df`` (with ``part``) so that a scan task finds the rows of its own partition."""
+    path = scratch_path(df.sparkSession, name)
+    df.repartition("part").write.partitionBy("part").parquet(path)
+    return path
+
+
+class Found:
+    """What an earlier step found for the rows of a scan partition; see :func:`by_partition`."""
+
+    def __init__(self, path: str):
+        self.path, self.part, self.table = path, None, None
+
+    def of(self, part: int) -> pa.Table | None:
+        if self.part != part:
+            fs, root = open_path(f"{self.path}/part={part}")
+            there = fs.get_file_info(root).type.name == "Directory"
+            self.table = pads.dataset(root, filesystem=fs, format="parquet").to_table() if there else None
+            self.part = part
+        return self.table

@@ -4,19 +4,21 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles; doc
 
 1. Signatures: ``BANDS * ROWS`` minima of universal hashes (multiply-shift) of the set; each band of ``ROWS``
    minima is a key. A pair of similarity 0.75 shares a key with probability 1 - (1 - 0.75^4)^40, all but 3e-7.
-2. Stars: in every bucket of a band key, one node (chosen by a seeded order of its own per band) is compared with the
-   others: as many pairs as members, and nodes of a large group meet many different centres over the bands.
+2. Stars: in every bucket of a band key, one node, the first in one of ``ORDERS`` seeded orders, is compared with the
+   others: as many pairs as members, and nodes of a large group meet several centres over the bands.
 3. Verification: pairs whose signatures agree in fewer than ``LEAST_AGREEMENT`` of the minima (seven standard
    deviations below 0.75) are dropped; the others are compared on their full sets.
 4. Components of the links by alternating large-star and small-star.
-5. The rest: a bucket whose members all lie in one component needs no more pairs. In the others, every member outside
-   the bucket's largest component is compared with the members of other components, unless counts prove that the
-   pair cannot reach the similarity: an intersection is at most the number of shingles that either node shares with
-   anybody. Links found join the components. After this step each pair of nodes that share a bucket is linked, in
-   one component, compared, or proven apart.
+5. The rest: a bucket whose members all lie in one component needs no more pairs. Of the others, members outside
+   their bucket's largest component are joined with members of other components by prefixes: sets in order of rarity
+   that are similar enough share a shingle early in both, so that only pairs that share one of their rare shingles
+   are compared, and near copies that have only frequent shingles in common never meet. Links found join the
+   components. After this step each pair of nodes that share a bucket is linked, in one component, compared, or
+   proven apart.
 
 Only node numbers, band keys and the sets of nodes in shared buckets are shuffled; sets are made anew from the texts
-of those nodes. Buckets and components are aggregated and joined, never collected.
+of those nodes, which a second scan picks out by row number. Buckets and components are aggregated and joined, never
+collected. Joins are hinted to sort and merge, so that plans are the same at every size.
 """
 
 from __future__ import annotations
@@ -25,15 +27,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswork.llm.common import ascii_lower, fresh, split_words, written
+from presswork.llm.common import Found, ascii_lower, by_partition, fresh, split_words, written
 from presswork.llm.components import components
 
 SHINGLE = 5
 ROWS, BANDS = 4, 40
 SEED = 11
+#: Seeded orders of the nodes that band keys choose from for their star's centre.
+ORDERS = 4
 LEAST_AGREEMENT = 0.5
 #: Linked if NUM * union <= DEN * intersection.
 NUM, DEN = 75, 100
@@ -146,6 +150,26 @@ def _summaries(batches):
             ["_key", "_rid", "_node", "_n", "_bands"])
 
 
+def _pick(path: str):
+    """Of rows (_rid, _text), those whose number the table at ``path`` has, with their node."""
+    def pick(batches):
+        found, part, nodes = Found(path), None, {}
+        for batch in batches:
+            rids = batch.column("_rid").to_pylist()
+            on, want = [], []
+            for i, rid in enumerate(rids):
+                if part != rid >> 33:
+                    part = rid >> 33
+                    t = found.of(part)
+                    nodes = {} if t is None else dict(zip(t.column("_rid").to_pylist(), t.column("_node").to_pylist()))
+                if rid in nodes:
+                    on.append(i)
+                    want.append(nodes[rid])
+            yield pa.RecordBatch.from_arrays([pa.array(want, pa.int64()), batch.column("_text").take(pa.array(on, pa.int64()))], ["_want", "_text"])
+
+    return pick
+
+
 def _full_sets(batches):
     for batch in batches:
         sets = _sets_of(batch)
@@ -164,7 +188,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of the pairs that are similar enough on their full sets."""
     a = sets.select(F.col("_node").alias("a"), F.col("_set").alias("sa"), F.col("_sig").alias("ga"))
     b = sets.select(F.col("_node").alias("b"), F.col("_set").alias("sb"), F.col("_sig").alias("gb"))
-    j = pairs.select("a", "b").join(a, "a").join(b, "b")
+    j = pairs.select("a", "b").join(a.hint("merge"), "a").join(b.hint("merge"), "b")
     agree = F.size(F.filter(F.zip_with("ga", "gb", lambda x, y: x == y), lambda x: x))
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
@@ -173,32 +197,27 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _rest(buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of step 5: (a, b) with a outside its bucket's largest component."""
+    """Pairs of step 5: (a, b) of different components, one of them outside its bucket's largest component."""
     members = buckets.join(labels, F.col("_node") == F.col("node"), "left")
     members = members.select("_k", "_node", F.coalesce("root", "_node").alias("_root"))
-    open_ = members.groupBy("_k").agg(F.min("_root").alias("lo"), F.max("_root").alias("hi")).filter("lo < hi").select("_k")
-    members = written(members.join(open_, "_k"), "near-open")
-    nodes = members.select("_node").distinct()
-    shingles = sets.join(nodes, "_node").select("_node", F.explode("_set").alias("s"))
-    alone = (shingles.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("_node").alias("_node")).filter("n = 1")
-             .groupBy("_node").agg(F.count(F.lit(1)).alias("alone")))
-    sizes = sets.join(nodes, "_node").select("_node", F.size("_set").cast("long").alias("n")).join(alone, "_node", "left")
-    sizes = sizes.select("_node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
-    # a node whose own counts allow no partner in [shared * 75 %, ...] leaves; so do buckets that are left with one
-    sizes = written(sizes.filter(DEN * F.col("shared") >= NUM * F.col("n")), "near-sizes")
-    members = members.join(sizes, "_node")
     per = members.groupBy("_k", "_root").agg(F.count(F.lit(1)).alias("c"))
-    largest = per.groupBy("_k").agg(F.max(F.struct("c", "_root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    largest = largest.select(F.col("_k").alias("_lk"), F.col("m._root").alias("_largest"))
-    members = written(members.join(largest, F.col("_k") == F.col("_lk")).drop("_lk"), "near-members")
-    out = members.filter("_root <> _largest").select("_k", F.col("_node").alias("a"), F.col("_root").alias("ra"), F.col("n").alias("na"),
-                                                     F.col("shared").alias("ca"))
-    other = members.select("_k", F.col("_node").alias("b"), F.col("_root").alias("rb"), F.col("n").alias("nb"), F.col("shared").alias("cb"),
-                           (F.col("_root") == F.col("_largest")).alias("main"))
-    most = F.least("ca", "cb")
-    possible = ((F.col("ra") != F.col("rb")) & (F.col("main") | (F.col("a") < F.col("b")))
-                & ((DEN + NUM) * most >= NUM * (F.col("na") + F.col("nb"))))
-    return out.join(other, "_k").filter(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_ = per.groupBy("_k").agg(F.max(F.struct("c", "_root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    open_ = open_.select(F.col("_k").alias("_ok"), F.col("m._root").alias("_largest"))
+    members = members.join(open_, F.col("_k") == F.col("_ok"))
+    nodes = members.groupBy(F.col("_node").alias("_member"), F.col("_root").alias("_r")).agg(F.max((F.col("_root") != F.col("_largest")).cast("int")).alias("_out"))
+    nodes = written(nodes, "near-open")
+    shingles = sets.join(nodes.hint("merge"), F.col("_node") == F.col("_member")).select("_node", "_r", "_out", F.size("_set").alias("n"), F.explode("_set").alias("s"))
+    shingles = written(shingles, "near-shingles")
+    counts = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("c")).select(F.col("s").alias("cs"), "c")
+    place = F.row_number().over(Window.partitionBy("_node").orderBy("c", "s")) - 1
+    ranked = shingles.join(counts, F.col("s") == F.col("cs")).withColumn("i", place)
+    ranked = written(ranked.filter((F.col("c") > 1) & (DEN * F.col("i") <= (DEN - NUM) * F.col("n"))), "near-prefixes")
+    y = ranked.filter("_out = 1").select("s", F.col("_node").alias("y"), F.col("_r").alias("ry"), F.col("n").alias("ny"), F.col("i").alias("iy"))
+    x = ranked.select("s", F.col("_node").alias("x"), F.col("_r").alias("rx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
+    # similar sets share at least this many shingles, so the first one they share stands before this many from the end
+    least = F.ceil(NUM * (F.col("nx") + F.col("ny")) / (DEN + NUM))
+    near = (F.col("rx") != F.col("ry")) & (F.col("iy") <= F.col("ny") - least) & (F.col("ix") <= F.col("nx") - least)
+    return y.join(x, "s").filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,22 +234,21 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     base = written(source.mapInArrow(_summaries, f"_key {kind}, _rid long, _node long, _n long, _bands array<long>"), "near-base")
 
     keys = base.select("_node", F.explode("_bands").alias("_k"))
-    salt = F.xxhash64("_k")
+    salt = F.xxhash64(F.pmod("_k", F.lit(ORDERS)))
     centres = keys.groupBy("_k").agg(F.min(F.col("_node").bitwiseXOR(salt)).alias("_x"), F.min("_node").alias("lo"), F.max("_node").alias("hi"))
-    centres = centres.filter("lo < hi").select(F.col("_k").alias("_ck"), F.col("_x").bitwiseXOR(F.xxhash64("_k")).alias("_centre"))
-    buckets = written(keys.join(centres, F.col("_k") == F.col("_ck")).select("_k", "_node", "_centre").distinct(), "near-buckets")
+    centres = centres.filter("lo < hi").select(F.col("_k").alias("_ck"), F.col("_x").bitwiseXOR(salt).alias("_centre"))
+    buckets = written(keys.join(centres.hint("merge"), F.col("_k") == F.col("_ck")).select("_k", "_node", "_centre").distinct(), "near-buckets")
     stars = buckets.filter("_node <> _centre").select(F.least("_node", "_centre").alias("a"), F.greatest("_node", "_centre").alias("b"))
     stars = written(stars.distinct(), "near-stars")
 
-    # one row per node and key is enough: _full_sets checks that the text it meets has the wanted set
-    first = base.join(buckets.select("_node").distinct(), "_node", "left_semi").groupBy("_node").agg(F.min("_key").alias("_wkey"))
-    first = written(first.select(F.col("_node").alias("_want"), "_wkey"), "near-wanted")
-    texts = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(first, F.col("_key").eqNullSafe(F.col("_wkey")))
-    hashed = texts.select("_want", word_hashes(F.col("_text")).alias("_h"))
-    sets = hashed.mapInArrow(_full_sets, "_node long, _set array<long>, _sig array<int>")
+    wanted = (base.join(buckets.select("_node").distinct(), "_node", "left_semi").groupBy("_node").agg(F.min("_rid").alias("_rid"))
+              .withColumn("part", F.shiftright("_rid", 33).cast("int")))
+    texts = df.select(F.monotonically_increasing_id().alias("_rid"), F.col(text).alias("_text"))
+    texts = texts.mapInArrow(_pick(by_partition(wanted, "near-wanted")), "_want long, _text string")
+    sets = texts.select("_want", word_hashes(F.col("_text")).alias("_h")).mapInArrow(_full_sets, "_node long, _set array<long>, _sig array<int>")
     sets = written(sets, "near-sets")
-    if first.count() != sets.count():  # repeated rows of one key
-        sets = written(sets.dropDuplicates(["_node"]), "near-sets")
+    if sets.count() != buckets.select("_node").distinct().count():
+        raise RuntimeError("the documents changed between two scans")
 
     links = written(_compared(stars, sets), "near-links")
     labels = components(links)

@@ -31,13 +31,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as pads
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswork.llm.common import written
-from presswork.llm.warc import open_path
-from presswork.session import scratch_path
+from presswork.llm.common import Found, by_partition, written
 
 MIN_BYTES = 50
 HALF = 25
@@ -156,21 +153,6 @@ def _runs(batches):
                 ["_key", "_rid", "pos", "len", "h"])
 
 
-class Found:
-    """What an earlier step found for the rows of a scan partition; see :func:`_by_partition`."""
-
-    def __init__(self, path: str):
-        self.path, self.part, self.table = path, None, None
-
-    def of(self, part: int) -> pa.Table | None:
-        if self.part != part:
-            fs, root = open_path(f"{self.path}/part={part}")
-            there = fs.get_file_info(root).type.name == "Directory"
-            self.table = pads.dataset(root, filesystem=fs, format="parquet").to_table() if there else None
-            self.part = part
-        return self.table
-
-
 class Spans(Found):
     """Spans (rid, key, pos, len) by row."""
 
@@ -361,13 +343,6 @@ def _remover(paths: list[str], with_text: bool):
     return emit
 
 
-def _by_partition(df: DataFrame, name: str) -> str:
-    """Write ``df`` (with ``part``) so that a scan task finds the rows of its own partition."""
-    path = scratch_path(df.sparkSession, name)
-    df.repartition("part").write.partitionBy("part").parquet(path)
-    return path
-
-
 def _marked(df: DataFrame) -> DataFrame:
     """Rows (_key, _rid, h, ...) with ``later``: whether h also occurs with a smaller key. A null key is the largest."""
     least = df.groupBy("h").agg(F.min("_key").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1 AND least IS NOT NULL")
@@ -401,23 +376,23 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_
     spans = ["_key", "_rid", "pos", "len", part]
 
     runs = written(docs.mapInArrow(_runs, f"{place}, len long, h long"), "repeat-runs")
-    run_path = _by_partition(_marked(runs).filter("later").select(*spans), "repeat-run-spans")
+    run_path = by_partition(_marked(runs).filter("later").select(*spans), "repeat-run-spans")
 
-    sample_path = _by_partition(_shared(docs.mapInArrow(_sampler(run_path), "h long, part int, n long")), "repeat-samples")
-    pair_path = _by_partition(_shared(docs.mapInArrow(_pairer(run_path, sample_path), "h long, part int, n long")), "repeat-pairs")
+    sample_path = by_partition(_shared(docs.mapInArrow(_sampler(run_path), "h long, part int, n long")), "repeat-samples")
+    pair_path = by_partition(_shared(docs.mapInArrow(_pairer(run_path, sample_path), "h long, part int, n long")), "repeat-pairs")
 
     units = docs.mapInArrow(_units(run_path, pair_path), f"{place}, len long, pair long, h long")
     units = written(_marked(written(units, "repeat-units")), "repeat-units")
-    unit_path = _by_partition(units.filter("later").select(*spans), "repeat-unit-spans")
+    unit_path = by_partition(units.filter("later").select(*spans), "repeat-unit-spans")
 
     rest = units.filter("NOT later")
     open_ = rest.groupBy("pair").agg(F.min("_key").alias("lo"), F.max("_key").alias("hi"), F.max(F.col("_key").isNull()).alias("nulls"))
     open_ = open_.filter("lo < hi OR (lo IS NOT NULL AND nulls)").select("pair")
-    edge_path = _by_partition(rest.join(open_, "pair", "left_semi").select(*spans), "repeat-edges")
+    edge_path = by_partition(rest.join(open_, "pair", "left_semi").select(*spans), "repeat-edges")
 
     strings = written(docs.mapInArrow(_strings(edge_path), f"{place}, h long"), "repeat-strings")
     found = _marked(strings).filter("later").select("_key", "_rid", "pos", F.lit(1).cast("long").alias("len"), part)
-    string_path = _by_partition(found, "repeat-string-spans")
+    string_path = by_partition(found, "repeat-string-spans")
 
     schema = f"_key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if with_text:

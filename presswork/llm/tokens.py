@@ -29,9 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from presswork.llm.common import written
+from presswork.llm.common import open_path, written
 from presswork.llm.mixcoder import BLOCK, LANES, decode, read_segment, segments
-from presswork.llm.warc import open_path
 from presswork.session import scratch_path
 
 MAGIC = b"TKF2"

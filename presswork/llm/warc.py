@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition,
                                     IsNotNull, IsNull, StringStartsWith, WriterCommitMessage)
 
+from presswork.llm.common import open_path
 from presswork.session import scratch_path
 
 SCHEMA = ("record_id string, type string, target_uri string, date string, payload_digest string, "
@@ -46,13 +47,6 @@ CRLF = b"\r\n"
 HEAD_CHUNK = 4096
 
 
-def open_path(path: str):
-    """(file system, path in it) of a URI or a local path."""
-    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path
-
-
 def _clean(value: str) -> str:
     """A header value: line breaks and other controls as percent escapes."""
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
