@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -39,8 +40,12 @@ def test_labels_are_met(spark):
 
 def test_model_learns_which_rules_hold(spark, tmp_path):
     """A rule that fires on good texts loses its vote; one that fires with others keeps it."""
-    good = "The house and the garden of it is in the town to see. " * 4
-    rows = [(i, f"{good} Number {i} is for that place. " + "Abcdefghijklmnopqrstuvwxyz " * 0, "en", "a", 1) for i in range(300)]
+    rng = random.Random(1)
+    pool = [f"{a}{b}" for a in ("gard", "hous", "riv", "tow", "stre", "wind", "mount", "for") for b in ("en", "er", "ing", "let", "ain", "est", "ot", "al")]
+    rows = []
+    for i in range(300):
+        text = " ".join("The {} and the {} of it is in {} for {}.".format(*(rng.choice(pool) + rng.choice(pool) for _ in range(4))) for _ in range(8))
+        rows.append((i, text, "en", "a", 1))
     rows += [(1000 + i, "| MENU | HOME | " * 20 + f"item{i} " * 20, "en", "a", 1) for i in range(60)]
     df = frame(spark, tmp_path, rows)
     out = {r.doc_id: r for r in quality.digest(df).collect()}

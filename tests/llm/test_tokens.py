@@ -23,7 +23,7 @@ def unpack(data):
     return np.concatenate(out)
 
 
-@pytest.mark.parametrize("block,lanes", [(1000, 64), (7, 3), (2048, 4096)])
+@pytest.mark.parametrize("block,lanes", [(1000, 64), (7, 3), (1024, 8192)])
 def test_coder_round_trip(block, lanes):
     rng = np.random.default_rng(2)
     cases = [[], [0], [65535], np.zeros(5000), np.tile([0, 65535, 1, 2], 700), rng.integers(0, 65536, 4000), np.minimum(rng.zipf(1.3, 9000), 50256),
