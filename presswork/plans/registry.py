@@ -18,7 +18,7 @@ from presswork.functions import text as T
 from presswork.functions import urls as U
 from presswork.operators import dedup, enrich, report, summary, trends
 from presswork.plans import oracle as O
-from presswork.sources.tables import articles_fx, as_of_of, table
+from presswork.sources.tables import articles_fx, as_of_fx, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -44,7 +44,7 @@ def _with(*ctes: str) -> str:
 
 def _latest(spark, sf, limit=R.DEFAULT_LIMIT, since="24h"):
     arts = articles_fx(spark, sf)
-    win = report.recent_window(arts, as_of_of(arts), since)
+    win = report.recent_window(arts, as_of_fx(spark, sf), since)
     return report.latest_n(win, limit)
 
 
@@ -233,13 +233,13 @@ def q_date_of(spark, sf):
 @register("recent_window", _with(O.ARTICLES_FX, O.window(24)) + "SELECT arrival_id, published_at FROM win")
 def q_recent_window(spark, sf):
     a = articles_fx(spark, sf)
-    return report.recent_window(a, as_of_of(a), "24h").select("arrival_id", "published_at")
+    return report.recent_window(a, as_of_fx(spark, sf), "24h").select("arrival_id", "published_at")
 
 
 @register("recent_window_7d", _with(O.ARTICLES_FX, O.window(168)) + "SELECT arrival_id, published_at FROM win")
 def q_recent_window_7d(spark, sf):
     a = articles_fx(spark, sf)
-    return report.recent_window(a, as_of_of(a), "7d").select("arrival_id", "published_at")
+    return report.recent_window(a, as_of_fx(spark, sf), "7d").select("arrival_id", "published_at")
 
 
 def _robots_sql() -> str:
@@ -529,7 +529,7 @@ def _enrich_a_full_sql() -> str:
 @register("enrich_a", _enrich_a_full_sql())
 def q_enrich_a(spark, sf):
     a = articles_fx(spark, sf)
-    win = report.recent_window(a, as_of_of(a), "24h")
+    win = report.recent_window(a, as_of_fx(spark, sf), "24h")
     e = summary.enrich_summary(enrich.enrich_a(win))
     return e.select("arrival_id", "category", "severity", "soc_action", "summary")
 
@@ -616,7 +616,7 @@ def _rep_sql() -> list[str]:
 def _daily(spark, sf, materialize: bool = True):
     from presswork.plans.daily import daily_report
     a = articles_fx(spark, sf)
-    return daily_report(a, as_of_of(a), "24h", 25, categories=P.FREQ_CATEGORY_RULES,
+    return daily_report(a, as_of_fx(spark, sf), "24h", 25, categories=P.FREQ_CATEGORY_RULES,
                         high=P.FREQ_SEVERITY_HIGH, med=P.FREQ_SEVERITY_MED, materialize=materialize)
 
 
@@ -891,7 +891,7 @@ UNION ALL SELECT arrival_id, category, severity, soc_action, summary FROM articl
 def q_update_enrichment(spark, sf):
     from presswork.sources.store import update_enrichment
     a = articles_fx(spark, sf)
-    return update_enrichment(a, as_of_of(a), "24h").select("arrival_id", "category", "severity", "soc_action", "summary")
+    return update_enrichment(a, as_of_fx(spark, sf), "24h").select("arrival_id", "category", "severity", "soc_action", "summary")
 
 
 @register("missing_summary", _with(O.ARTICLES_FX) + """SELECT arrival_id FROM articles
@@ -900,8 +900,8 @@ WHERE (published_at IS NULL OR published_at >= (SELECT max(published_at) FROM ar
 def q_missing_summary(spark, sf):
     from presswork.sources.store import update_enrichment
     a = articles_fx(spark, sf)
-    first = update_enrichment(a, as_of_of(a), "24h")
-    wide = report.recent_window(first, as_of_of(a), "7d")
+    first = update_enrichment(a, as_of_fx(spark, sf), "24h")
+    wide = report.recent_window(first, as_of_fx(spark, sf), "7d")
     return wide.filter(F.coalesce(F.col("summary"), F.lit("")) == "").select("arrival_id")
 
 
