@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import ascii_lower, written
+from presswork.llm.common import ascii_lower, fresh, written
 
 WINDOW = 13
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -143,9 +143,17 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that are not contaminated, with their columns."""
-    found = find(docs, benchmark, text=text)
-    return found.filter(~contaminated()).select("_row.*")
+    """The documents that are not contaminated, with their columns.
+
+    The verdict depends on the text alone, so contaminated texts are known by two 64-bit hashes and no copy of the
+    documents is written.
+    """
+    one, two, bad_one, bad_two = fresh(docs, "_h1", "_h2", "_b1", "_b2")
+    hashed = docs.withColumn(one, F.xxhash64(text)).withColumn(two, F.xxhash64(F.lit(1), text))
+    found = find(hashed, benchmark, text=text, keep=[one, two])
+    bad = written(found.filter(contaminated()).select(F.col(f"_row.{one}").alias(bad_one), F.col(f"_row.{two}").alias(bad_two)).distinct(), "decon-bad")
+    kept = hashed.join(bad, (F.col(one) == F.col(bad_one)) & (F.col(two) == F.col(bad_two)), "left_anti")
+    return kept.select(*docs.columns)
 
 
 def digest_sql() -> str:

@@ -155,10 +155,11 @@ def digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``df`` that pass, with its columns."""
+    """The rows of ``df`` that pass, with its columns. The counts are made once for the model and again for the
+    verdicts, so that no copy of the texts is written."""
     packed = df.select(F.struct(*df.columns).alias("_row"))
-    counted = written(counts(packed, F.col("_row")[text]), "quality")
-    return judge(counted, fit(counted)).filter("kept").select("_row.*")
+    model = fit(counts(packed, F.col("_row")[text]))
+    return judge(counts(packed, F.col("_row")[text]), model).filter("kept").select("_row.*")
 
 
 def digest_sql() -> str:
