@@ -8,7 +8,7 @@ The next id is predicted by three orders:
 
 * order 2: the id that last followed the two ids before (a hashed table), with a confidence of 0 to 7;
 * order 1: the id that last followed the id before, with a confidence of 0 to 7;
-* order 0: the frequencies of the ids in the segment, which its head lists; a block of a few thousand ids could not
+* order 0: the frequencies of the ids in the segment, which its head lists; a block of a thousand ids could not
   learn a vocabulary of 50,000 anew.
 
 The weight of order 2 is an adaptive estimate of its being right, chosen by both confidences and by whether the two
@@ -24,9 +24,9 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
-LANES = 4096
-SLOTS = 1024
+BLOCK = 1024
+LANES = 8192
+SLOTS = 512
 MIX_BITS = 28  # of the mixed distribution: with weights below 15/16 every id has a share of at least 1
 PRIOR_BITS = 20  # of the order-0 frequencies
 MIX = 1 << MIX_BITS
@@ -238,7 +238,9 @@ def decode(prior: Prior, blocks: list[bytes]) -> np.ndarray:
             two = value < m.one
             one = value < m.zero
             v = np.maximum(value - m.zero, 0)
-            plain = inverse.take((((v + 1) << PRIOR_BITS) - 1) // room, mode="clip")
+            # below 2^49, so that a quotient of doubles has the right whole part
+            part = (((v + 1) << PRIOR_BITS) - 1) / room
+            plain = inverse.take(part.astype(np.int64), mode="clip")
             x = np.where(two, m.guess[0], np.where(one, m.guess[1], plain))
             begin = m.zero + ((room * prior.begin.take(x)) >> PRIOR_BITS)
             size = m.zero + ((room * prior.end.take(x)) >> PRIOR_BITS) - begin

@@ -10,9 +10,10 @@ with the document's place in the whole sequence.
 
 Tokenizing a corpus by the tokenizer's own loop spends most of its time on words it has met before. For byte-level
 tokenizers that split at spaces, texts are therefore cut before every space that a visible character follows, where no
-token can cross, and the ids of a piece are kept in a bounded table; what is not in it goes through the tokenizer, all
-pieces of a batch in one call. Texts with other white space after a space, or with the mark of a special token, go
-through the tokenizer whole.
+token can cross, and the ids of a piece are kept in a bounded table, which a Python worker keeps from task to task.
+Words with end marks (letters, then ``.,;:!?``) and words on both sides of a line's end are put together from their
+parts, which the tokenizer never joins. What is new goes through the tokenizer, all pieces of a batch in one call. Texts with other white space after a
+space, or with the mark of a special token, go through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -39,8 +40,10 @@ END_ID = 0
 #: Ids that a task holds before it codes a segment.
 SEGMENT_IDS = BLOCK * LANES
 #: Pieces of text whose ids a task keeps; the table starts anew when it is full.
-KNOWN_PIECES = 300_000
+KNOWN_PIECES = 1_000_000
 BATCH_BYTES = 4 << 20
+#: Marks that a byte-level tokenizer's pattern separates from the letters before them.
+END_MARKS = ".,;:!?"
 #: Text of documents in one file, about.
 FILE_BYTES = 32 << 20
 
@@ -53,6 +56,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {"": b""}
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids do not fit in 16 bits")
         kind = str(self.tokenizer.pre_tokenizer)
@@ -68,15 +72,53 @@ class PieceEncoder:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
+        known = self.known
         for at in range(0, len(pieces), 5000):
             part = pieces[at: at + 5000]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u2")
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u2")
             begins = np.flatnonzero(self.starts[ids])
             if len(begins) != len(part):
                 raise ValueError("the tokenizer does not split at spaces")
             raw, edges = ids.tobytes(), [*(2 * begins).tolist(), 2 * len(ids)]
-            for k, piece in enumerate(part):
-                self.known[piece] = raw[edges[k]: edges[k + 1]]
+            known.update(zip(part, map(raw.__getitem__, map(slice, edges, edges[1:]))))
+
+    def _meet(self, new: set[str]) -> list[str]:
+        """Put pieces that are not known into the table; returns those that hardly come again."""
+        known, words, marked, broken, rest = self.known, set(), [], [], []
+        for piece in new:
+            word = piece.rstrip(END_MARKS)
+            if word.isalpha():
+                if word != piece:
+                    marked.append((piece, word))
+                    if word not in known and word not in new:
+                        words.add(word)
+                else:
+                    rest.append(piece)
+                continue
+            first, line, second = piece.partition("\n")
+            one, two = first.rstrip(END_MARKS), second.rstrip(END_MARKS)
+            if line and one.isalpha() and two.isalpha():  # the end of a line and the start of the next
+                broken.append((piece, one, first[len(one):], two, second[len(two):]))
+                if one not in known and one not in new:
+                    words.add(one)
+            else:
+                rest.append(piece)
+        self._learn_bare({m for p, w in marked for m in (p[len(w):],)} | {x for b in broken for x in (b[2], b[3], b[4])} | {"\n"})
+        if "" in new:  # a space at the end of a text
+            known[""] = self._whole([" "])[0]
+            rest.remove("")
+        self._learn([*rest, *words])
+        bare = self.bare
+        for piece, word in marked:
+            known[piece] = known[word] + bare[piece[len(word):]]
+        for piece, one, mark, two, end in broken:
+            known[piece] = known[one] + bare[mark] + bare["\n"] + bare[two] + bare[end]
+        return [b[0] for b in broken]
+
+    def _learn_bare(self, words: set[str]) -> None:
+        """Ids of words and marks that no space comes before."""
+        new = sorted(words.difference(self.bare))
+        self.bare.update(zip(new, self._whole(new)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
@@ -88,21 +130,29 @@ class PieceEncoder:
         plain = sorted(set(range(len(texts))) - set(odd))
         cut = [texts[i].split(" ") for i in plain]
         heads = self._whole([c[0] for c in cut])
-        if len(self.known) > KNOWN_PIECES:
-            self.known = {}
+        if len(self.known) + len(self.bare) > KNOWN_PIECES:
+            self.known, self.bare = {}, {"": b""}
         known = self.known
-        new = dict.fromkeys(p for c in cut for p in c[1:] if p not in known)
-        if "" in new:  # a space at the end of a text
-            known[""] = self._whole([" "])[0]
-            del new[""]
-        if new:
-            self._learn(list(new))
+        new = set(chain.from_iterable(c[1:] for c in cut)).difference(known)
+        once = self._meet(new) if new else []
         get = known.__getitem__
         for i, head, c in zip(plain, heads, cut):
             out[i] = head + b"".join(map(get, c[1:]))
+        for piece in once:
+            del known[piece]
         return out
 
 
+def worker_encoder(path: str) -> PieceEncoder:
+    """The encoder of this Python worker, kept beside the library's module from task to task."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_piece_encoders", {})
+    if path not in kept:
+        kept[path] = PieceEncoder(path)
+    return kept[path]
+
+
 def _groups_of(texts: list[str]):
     """Texts a few megabytes at a time, so that a group's pieces fit beside the table."""
     group, size = [], 0
@@ -120,7 +170,7 @@ def _file_writer(folder: str, tokenizer_path: str, end_id: int):
     end = np.array([end_id], "<u2").tobytes()
 
     def write(batches):
-        encoder = PieceEncoder(tokenizer_path)
+        encoder = worker_encoder(tokenizer_path)
         fs, root = open_path(folder)
         name = f"{root}/ids-{uuid.uuid4().hex}.tks"
         out, keys, lengths, held, n_held = None, [], [], [], 0

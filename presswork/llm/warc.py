@@ -16,7 +16,6 @@ Paths are opened with ``pyarrow.fs`` (local, HDFS, object stores).
 
 from __future__ import annotations
 
-import io
 import json
 import re
 import struct
