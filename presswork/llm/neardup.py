@@ -260,6 +260,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = base.select("_key", "_rid", "_node", "_n").join(labels, F.col("_node") == F.col("node"), "left")
     rows = rows.select("_key", "_rid", "_n", F.coalesce("root", "_node").alias("_root"))
     least = rows.filter("_n > 0").groupBy("_root").agg(F.min("_key").alias("_least")).select(F.col("_root").alias("_lroot"), "_least")
+    least = written(least, "near-least")  # the join below reads plain tables, so that Spark can split a hot component
     out = rows.join(least, F.col("_root") == F.col("_lroot"), "left")
     return out.select("_key", "_rid", "_n", F.when(F.col("_n") > 0, F.col("_least")).otherwise(F.col("_key")).alias("component_id"))
 
