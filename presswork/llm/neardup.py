@@ -145,9 +145,9 @@ def _summaries(batches):
         full = [len(s) > 0 for s in sets]
         keys = keys[full].ravel() if full else keys.ravel()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("_key"), batch.column("_rid"), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
+            [batch.column("_key"), batch.column("_rid"), batch.column("_t"), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
              pa.array([len(s) for s in sets], pa.int64()), _list_array(keys, [BANDS * f for f in full], pa.int64())],
-            ["_key", "_rid", "_node", "_n", "_bands"])
+            ["_key", "_rid", "_t", "_node", "_n", "_bands"])
 
 
 def _pick(path: str):
@@ -221,7 +221,8 @@ def _rest(buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """_key, _rid (row number), _n (set size) and component_id (smallest key of the row's component) of every row.
+    """_key, _rid (row number), _t (hash of the text), _n (set size), _root (the component's node; null without words)
+    and component_id (smallest key of the row's component) of every row.
 
     Empty and null texts have empty sets and are linked with nothing. Repeated rows are one node, so are texts with
     equal sets; a null key never wins over another, and a component of null keys only has the id null. Other columns
@@ -230,8 +231,9 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     kind = df.select(F.col(key).alias("_key")).schema["_key"].dataType.simpleString()
-    source = df.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_rid"), word_hashes(F.col(text)).alias("_h"))
-    base = written(source.mapInArrow(_summaries, f"_key {kind}, _rid long, _node long, _n long, _bands array<long>"), "near-base")
+    source = df.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_rid"), F.xxhash64(F.col(text)).alias("_t"),
+                       word_hashes(F.col(text)).alias("_h"))
+    base = written(source.mapInArrow(_summaries, f"_key {kind}, _rid long, _t long, _node long, _n long, _bands array<long>"), "near-base")
 
     keys = base.select("_node", F.explode("_bands").alias("_k"))
     salt = F.xxhash64(F.pmod("_k", F.lit(ORDERS)))
@@ -257,12 +259,12 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     if not found.isEmpty():
         labels = components(links.unionByName(found))
 
-    rows = base.select("_key", "_rid", "_node", "_n").join(labels, F.col("_node") == F.col("node"), "left")
-    rows = rows.select("_key", "_rid", "_n", F.coalesce("root", "_node").alias("_root"))
+    rows = base.select("_key", "_rid", "_t", "_node", "_n").join(labels, F.col("_node") == F.col("node"), "left")
+    rows = rows.select("_key", "_rid", "_t", "_n", F.coalesce("root", "_node").alias("_root"))
     least = rows.filter("_n > 0").groupBy("_root").agg(F.min("_key").alias("_least")).select(F.col("_root").alias("_lroot"), "_least")
     least = written(least, "near-least")  # the join below reads plain tables, so that Spark can split a hot component
     out = rows.join(least, F.col("_root") == F.col("_lroot"), "left")
-    return out.select("_key", "_rid", "_n", F.when(F.col("_n") > 0, F.col("_least")).otherwise(F.col("_key")).alias("component_id"))
+    return out.select("_key", "_rid", "_t", "_n", "_root", F.when(F.col("_n") > 0, F.col("_least")).otherwise(F.col("_key")).alias("component_id"))
 
 
 def digest(df: DataFrame) -> DataFrame:
@@ -273,13 +275,24 @@ def digest(df: DataFrame) -> DataFrame:
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` with the smallest key of their component; of repeated rows one stays, and every row
-    without words stays unless its key is repeated."""
-    dkey, = fresh(df, "_dropped")
-    g = written(groups(df, key, text), "near-groups")
-    lost = g.filter(~F.col("_key").eqNullSafe(F.col("component_id"))).select(F.col("_key").alias(dkey)).distinct()
-    kept = df.join(written(lost, "near-lost"), F.col(key) == F.col(dkey), "left_anti")
-    stay = g.filter(F.col("_key").eqNullSafe(F.col("component_id")))
-    if stay.groupBy("_key").count().filter("count > 1").isEmpty():
+    """One row of ``df`` for each component, and every row without words.
+
+    The row that stays has the component's smallest key (a null key only where there is no other) and, of the texts
+    with that key, the one with the smallest hash; of rows that agree in key and text one stays. Rows are told apart by
+    key and text, so that others with the same key or with a null key are judged by their own text.
+    """
+    dkey, dtext, mine = fresh(df, "_dropped", "_dropped_text", "_own_text")
+    g = groups(df, key, text).filter("_n > 0")
+    per = written(g.groupBy("_root", "_key", "_t").agg(F.count(F.lit(1)).alias("c")), "near-groups")
+    first = per.groupBy("_root").agg(F.min(F.struct(F.col("_key").isNull().alias("no_key"), "_key", "_t")).alias("f"))
+    first = written(first.select(F.col("_root").alias("_froot"), F.col("f._key").alias("_fkey"), F.col("f._t").alias("_ft")), "near-first")
+    per = per.join(first, F.col("_root") == F.col("_froot"))
+    per = per.withColumn("_first", F.col("_key").eqNullSafe(F.col("_fkey")) & (F.col("_t") == F.col("_ft")))
+    marked = written(per.filter("NOT _first OR c > 1").select(F.col("_key").alias(dkey), F.col("_t").alias(dtext), "_first"), "near-marked")
+    same = F.col(key).eqNullSafe(F.col(dkey)) & (F.xxhash64(F.col(text)) == F.col(dtext))
+    kept = df.join(marked.drop("_first"), same, "left_anti")
+    repeated = marked.filter("_first").drop("_first")
+    if repeated.isEmpty():
         return kept
-    return kept.dropDuplicates([key])
+    again = df.join(repeated, same, "left_semi").withColumn(mine, F.xxhash64(F.col(text))).dropDuplicates([key, mine])
+    return kept.unionByName(again.drop(mine))

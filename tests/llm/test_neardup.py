@@ -102,6 +102,21 @@ def test_one_of_each_group_stays(docs):
     assert got == sorted({str(r.doc_id) for r in neardup.digest(docs).filter("kept").collect()})
 
 
+def test_rows_are_dropped_by_row_not_by_key(spark, tmp_path):
+    """Null and repeated keys: unrelated texts all stay, near copies leave one, repeats of a row leave one."""
+    rng = random.Random(12)
+    own = [" ".join(words(rng, 60, 9000)) for _ in range(9)]
+    near = own[0] + " tail"
+    rows = [(1, own[0]), (2, near), (2, own[1]), (None, near), (None, own[2]), (None, own[3]), (5, own[4]), (5, own[5]), (6, own[6]), (6, own[6]),
+            (6, own[6].upper()), (None, own[7]), (None, own[7]), (None, own[7] + " tail"), (None, ""), (None, None), (7, ""), (7, "")]
+    rows = [(k, t, "en", "a", i) for i, (k, t) in enumerate(rows)]
+    kept = neardup.keep_first(frame(spark, tmp_path, rows)).collect()
+    ids = {r.n_chars for r in kept}
+    assert len(ids) == len(kept)
+    assert {0, 2, 4, 5, 6, 7, 14, 15, 16, 17} <= ids and not {1, 3} & ids
+    assert len({8, 9, 10} & ids) == 1 and len({11, 12, 13} & ids) == 1 and len(kept) == 12
+
+
 def test_components_by_brute_force(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 5001 + i) for i in range(50)]
