@@ -1,4 +1,4 @@
-"""Removal of repeated 50-byte strings by prefix doubling of position ranks.
+"""Removal of repeated 50-byte strings by content hashes of positions, grouped in place of prefix doubling.
 
 A position's rank stands for the string that starts there; equal strings have equal ranks, here 64-bit hashes of
 their content, so that ranks of one length are known without a sort. Positions are dropped as soon as they are
@@ -7,14 +7,14 @@ known to be unique, and the length doubles from 25 to 50 bytes, the threshold:
 1. Runs. Texts are cut where the 25-byte rank has a fixed low part, on average every 128 bytes, so equal passages are
    cut alike. A run of starts [a, b) is ranked as one by the bytes [a, b + 49]. Runs whose rank also occurs in a
    document of smaller id are removed whole; only the first document's copy of a run goes on. This takes exact copies
-   and the inside of long shared passages out of the sort.
+   and the inside of long shared passages out of the grouping.
 2. Rank 25. Of each 50-byte string that is left, the smallest of its 26 ranks of length 25 is its sample; equal
-   strings have equal samples. Spark sorts the samples (about one per 13 positions); strings whose sample lies in
+   strings have equal samples. Spark groups the samples (about one per 13 positions); strings whose sample lies in
    one document only are unique and leave. The same is repeated among the rest with the pair of the smallest and
    the largest rank.
 3. Runs again. Neighbouring strings with equal pairs are ranked as one, and runs that also occur in a document of
    smaller id are removed. Of the others, those whose pair lies in one document only are unique by now and leave.
-4. Rank 50. The strings that are left, at the edges of shared passages, are sorted by their rank of length 50; those
+4. Rank 50. The strings that are left, at the edges of shared passages, are grouped by their rank of length 50; those
    that also occur in a document of smaller id are removed.
 
 Sorting every position at every length, as plain prefix doubling does, would shuffle 16 bytes and more per byte of
