@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presswork.llm import decontaminate, htmlwrap, lmscore, mix, neardup, quality, shard, suffixes, tokens, warc
+from presswork.llm import crosstok, decontaminate, htmlwrap, lmscore, mix, neardup, negatives, pieces, quality, shard, suffixes, tokens, warc
 from presswork.llm.common import table
 
 SHARD_TREE = shard.HashTree.regular(regions=2, racks=4, shards=5)
@@ -50,6 +50,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_near_dedup": op2_near_dedup,
@@ -61,6 +73,9 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
+    "op11_token_align": op11_token_align,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_pieces": op13_pieces,
 }
 
 ORACLES = {
@@ -68,4 +83,5 @@ ORACLES = {
     "op7_shard": shard.shard_sql(SHARD_TREE),
     "op9_quality": quality.digest_sql(),
     "op10_decontaminate": decontaminate.digest_sql(),
+    "op12_hard_negatives": negatives.DIGEST_SQL,
 }
