@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,11 @@ from presswork.llm.common import written
 
 #: Text whose pairs are counted together in a task.
 BLOCK_BYTES = 16 << 20
-#: Text that is aligned together: small enough for arrays to stay in a processor's cache.
-BATCH_CHARS = 256 << 10
+#: Text that is aligned together.
+BATCH_CHARS = 1 << 20
+#: Parts of texts and links of these that a worker keeps; the table starts anew when it is full.
+KNOWN_PARTS = 400_000
+KNOWN_PAIRS = 4_000_000
 #: Longer runs of one kind of character go to the tokenizers library, whose time does not grow with their square.
 LONG_RUN = re.compile(r"\w{4000}|[^\w\s]{4000}|\s{4000}")
 _KEPT: dict = {}
@@ -134,77 +138,181 @@ def linked(a_ends: np.ndarray, b_ends: np.ndarray, last_a: np.ndarray, last_b: n
     return first, last
 
 
+class Growing:
+    """Rows of whole numbers that are appended to."""
+
+    def __init__(self, *shape: int):
+        self.held, self.n = np.zeros((1024, *shape), np.int64), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        while self.n + len(rows) > len(self.held):
+            self.held = np.concatenate((self.held, np.zeros_like(self.held)))
+        self.held[self.n: self.n + len(rows)] = rows
+        self.n += len(rows)
+
+
+def _sums_by(numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of numbers."""
+    before = np.concatenate(([0], np.cumsum(numbers)))
+    ends = np.cumsum(sizes)
+    return before[ends] - before[ends - sizes]
+
+
 class Aligner:
+    """Aligns texts. Before a space between a character that is none and a visible one, both tokenizers begin a new
+    token (checked against their files), so that such a place is a cut without a search; texts are taken apart there,
+    and the groups of a part are kept for its next occurrence in a table of bounded size. Under other tokenizers a
+    text is one part."""
+
+    #: Where both tokenizers begin a token. Texts without the second pattern have such a place before every space.
+    CUT, ODD = re.compile(r"(?<=[^ ])(?= \S)"), re.compile(r"^\s| (?:\s|$)")
+
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = worker_pairs(a_path), pieces.worker_model(b_path)
-        wide_a, wide_b = self.a.size, len(self.b.bytes)
-        self.wide_b = wide_b
+        self.wide_a, self.wide_b = self.a.size, len(self.b.bytes)
+        self.by_part = self.a.fast is not None and self.b.plain
         # decimal ids behind the mark that stands before them: ; opens a group, | its B side
-        self.written = [b"%s%d" % (mark, i) for mark, n in ((b",", wide_a), (b";", wide_a), (b",", wide_b), (b"|", wide_b)) for i in range(n)]
-        self.offsets = (0, wide_a, 2 * wide_a, 2 * wide_a + wide_b)
-
-    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """A and B ids of each text, none where these do not spell the space and the text."""
-        norm = [self.b.normalise(t)[0] if t else "" for t in texts]
-        out = []
-        for text, own in zip(texts, self.b.ids_of(norm)):
-            if not text:
-                out.append(None)
-                continue
-            whole = " " + text
-            b = np.frombuffer(own, "<u4").astype(np.int64)
-            raw = whole.encode()
-            if b"".join(map(self.b.bytes.__getitem__, b.tolist())) != raw:
-                out.append(None)
-                continue
-            a = self.a.ids(whole)  # a byte-level tokenizer's tokens are the text's own bytes, so their number tells
-            out.append((a, b) if self.a.lengths[a].sum() == len(raw) else None)
-        return out
+        self.written = [b"%s%d" % (mark, i) for mark, n in ((b",", self.wide_a), (b";", self.wide_a), (b",", self.wide_b), (b"|", self.wide_b)) for i in range(n)]
+        self.offsets = (0, self.wide_a, 2 * self.wide_a, 2 * self.wide_a + self.wide_b)
+        self.forget()
+
+    def forget(self) -> None:
+        #: For every part (without its first space): its number; its groups as text; whether both tokenizers spell it, tokens of
+        #: A and of B, groups, links and the place of its first link; the id pairs of the links.
+        self.index: dict[str, int] = {}
+        self.texts: list[bytes] = []
+        self.facts, self.pairs = Growing(6), Growing()
+
+    def parts(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if not self.by_part:
+            return [text]
+        if self.ODD.search(text):
+            return [p[1:] for p in self.CUT.split(" " + text)]
+        return text.split(" ")
+
+    def tokens(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A and B ids of all parts, one after the other, and the number of each part's tokens: none where these do not
+        spell the part in both tokenizers."""
+        if self.by_part:
+            own_b = self.b.ids_once([" " + p for p in parts])
+        else:
+            own_b = self.b.ids_of([self.b.normalise(p)[0] for p in parts])
+        raw = [(" " + p).encode() for p in parts]
+        sizes = np.array([len(r) for r in raw], np.int64)
+        b, n_b = np.frombuffer(b"".join(own_b), "<u4").astype(np.int64), np.array([len(x) // 4 for x in own_b], np.int64)
+        a, n_a = self._ids_of_a(parts, sizes)
+        spelled = _sums_by(self.a.lengths[a], n_a) == sizes  # a byte-level tokenizer's tokens are the text's own bytes
+        spelled &= _sums_by(self.b.lengths[b], n_b) == sizes
+        said = list(map(self.b.bytes.__getitem__, b.tolist()))
+        if b"".join(said) != b"".join(raw):
+            edges = np.cumsum([0, *n_b]).tolist()
+            spelled &= [b"".join(said[lo:hi]) == r for lo, hi, r in zip(edges, edges[1:], raw)]
+        a, b = a[np.repeat(spelled, n_a)], b[np.repeat(spelled, n_b)]
+        return a, np.where(spelled, n_a, 0), b, np.where(spelled, n_b, 0)
+
+    def _ids_of_a(self, parts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of all parts and their number in each. Parts between which a token cannot go on are encoded together."""
+        ids: list[np.ndarray] = []
+        counts = np.zeros(len(parts), np.int64)
+        at = 0
+        while at < len(parts):
+            end, held = at, 0
+            while self.by_part and end < len(parts) and held < 64 << 10:
+                part = parts[end]
+                if not part or part[0].isspace() or " " in part:
+                    break
+                held += len(part)
+                end += 1
+            if end == at:
+                end = at + 1
+            got = self.a.ids(" " + " ".join(parts[at:end]))
+            ids.append(got)
+            if end == at + 1:
+                counts[at] = len(got)
+            else:
+                ends = np.searchsorted(np.cumsum(self.a.lengths[got]), np.cumsum(sizes[at:end])) + 1
+                counts[at:end] = np.diff(ends, prepend=0)
+            at = end
+        return np.concatenate(ids), counts
+
+    def learn(self, parts: list[str]) -> None:
+        """Align parts that are not in the table."""
+        a, n_a, b, n_b = self.tokens(parts)
+        facts = np.zeros((len(parts), 6), np.int64)
+        facts[:, 0], facts[:, 5] = n_a > 0, self.pairs.n
+        self.index.update(zip(parts, range(len(self.texts), len(self.texts) + len(parts))))
+        texts = [b""] * len(parts)
+        some = np.flatnonzero(n_a)
+        if len(some):
+            sizes_a, sizes_b = n_a[some], n_b[some]
+            a_edges, b_edges = (np.concatenate(([0], np.cumsum(x))) for x in (sizes_a, sizes_b))
+            a_lengths = self.a.lengths[a]
+            a_ends, b_ends = np.cumsum(a_lengths), np.cumsum(self.b.lengths[b])
+            last_a, last_b = divide(a_ends, b_ends, a_edges, b_edges)
+            first, last = linked(a_ends, b_ends, last_a, last_b, a_lengths)
+
+            # the groups as text: A tokens of a group, then its B tokens
+            opens_a, opens_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+            opens_a[np.concatenate(([0], last_a[:-1] + 1))] = 1
+            opens_b[np.concatenate(([0], last_b[:-1] + 1))] = 1
+            size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+            order = np.empty(len(a) + len(b), np.int64)
+            order[np.arange(len(a)) + np.repeat(last_b - size_b + 1, size_a)] = a + np.where(opens_a, self.offsets[1], self.offsets[0])
+            order[np.arange(len(b)) + np.repeat(last_a + 1, size_b)] = b + np.where(opens_b, self.offsets[3], self.offsets[2])
+            spelled_out = list(map(self.written.__getitem__, order.tolist()))
+            edges = (a_edges + b_edges).tolist()
+            for i, lo, hi in zip(some.tolist(), edges, edges[1:]):
+                texts[i] = b"".join(spelled_out[lo:hi])
+
+            n_links = last - first + 1
+            of_a = np.repeat(np.arange(len(a)), n_links)
+            of_b = np.arange(len(of_a)) - np.repeat(np.cumsum(n_links) - n_links, n_links) + first[of_a]
+            part_of_a = np.repeat(np.arange(len(some)), sizes_a)
+            links = np.bincount(part_of_a, n_links, len(some)).astype(np.int64)
+            facts[some, 1], facts[some, 2] = sizes_a, sizes_b
+            facts[some, 3], facts[some, 4] = np.bincount(part_of_a[last_a], minlength=len(some)), links
+            facts[some, 5] += np.cumsum(links) - links
+            self.pairs.add(a[of_a] * self.wide_b + b[of_b])
+        self.texts += texts
+        self.facts.add(facts)
 
     def align(self, texts: list[str]):
         """For every text (n_a, n_b, n_groups, n_links, groups_sha256), and its linked id pairs (text's number, pair,
         times) as three arrays, ascending."""
-        got = self.tokens(texts)
-        with_tokens = [i for i, x in enumerate(got) if x is not None]
-        rows = [(0, 0, 0, 0, "")] * len(texts)
-        if not with_tokens:
-            return rows, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b = (np.concatenate([got[i][k] for i in with_tokens]) for k in (0, 1))
-        a_edges, b_edges = (np.concatenate(([0], np.cumsum([len(got[i][k]) for i in with_tokens]))) for k in (0, 1))
-        a_lengths = self.a.lengths[a]
-        a_ends, b_ends = np.cumsum(a_lengths), np.cumsum(self.b.lengths[b])
-        last_a, last_b = divide(a_ends, b_ends, a_edges, b_edges)
-        first, last = linked(a_ends, b_ends, last_a, last_b, a_lengths)
-
-        # the groups as text: A tokens of a group, then its B tokens
-        opens_a, opens_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        opens_a[np.concatenate(([0], last_a[:-1] + 1))] = 1
-        opens_b[np.concatenate(([0], last_b[:-1] + 1))] = 1
-        size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
-        order = np.empty(len(a) + len(b), np.int64)
-        order[np.arange(len(a)) + np.repeat(last_b - size_b + 1, size_a)] = a + np.where(opens_a, self.offsets[1], self.offsets[0])
-        order[np.arange(len(b)) + np.repeat(last_a + 1, size_b)] = b + np.where(opens_b, self.offsets[3], self.offsets[2])
-        spelled = list(map(self.written.__getitem__, order.tolist()))
-
-        # links
-        n_links = last - first + 1
-        of_a = np.repeat(np.arange(len(a)), n_links)
-        of_b = np.arange(len(of_a)) - np.repeat(np.cumsum(n_links) - n_links, n_links) + first[of_a]
-        pair = a[of_a] * self.wide_b + b[of_b]
-        text_of_a = np.repeat(np.arange(len(with_tokens)), np.diff(a_edges))
-        links_of = np.bincount(text_of_a, n_links, len(with_tokens)).astype(np.int64)
-        groups_of = np.bincount(text_of_a[last_a], minlength=len(with_tokens))
-        edges = np.concatenate(([0], np.cumsum(links_of))).tolist()
-        who, which, times = [], [], []
-        ab = (a_edges + b_edges).tolist()
-        for k, i in enumerate(with_tokens):
-            text = b"".join(spelled[ab[k]: ab[k + 1]])[1:]
-            rows[i] = (len(got[i][0]), len(got[i][1]), int(groups_of[k]), int(links_of[k]), hashlib.sha256(text).hexdigest())
-            own, n = np.unique(pair[edges[k]: edges[k + 1]], return_counts=True)
-            who.append(np.full(len(own), i))
-            which.append(own)
-            times.append(n)
-        return rows, np.concatenate(who), np.concatenate(which), np.concatenate(times)
+        cut = [self.parts(t) for t in texts]
+        if len(self.index) > KNOWN_PARTS or self.pairs.n > KNOWN_PAIRS:
+            self.forget()
+        new = set(chain.from_iterable(cut)).difference(self.index)
+        if new:
+            self.learn(list(new))
+        sizes = np.array([len(c) for c in cut], np.int64)
+        part = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        who = np.repeat(np.arange(len(texts)), sizes)
+        facts = self.facts.held[part]
+        bad = np.bincount(who, facts[:, 0] == 0, len(texts)) > 0
+        totals = np.stack([np.bincount(who, facts[:, k], len(texts)).astype(np.int64) for k in (1, 2, 3, 4)], 1)
+        totals[bad] = 0
+        numbers, edges = part.tolist(), np.concatenate(([0], np.cumsum(sizes))).tolist()
+        said = self.texts.__getitem__
+        digests = ["" if n == 0 or none else hashlib.sha256(b"".join(map(said, numbers[lo:hi]))[1:]).hexdigest()
+                   for n, none, lo, hi in zip(sizes.tolist(), bad.tolist(), edges, edges[1:])]
+        rows = [(*t, d) for t, d in zip(totals.tolist(), digests)]
+
+        good = ~bad[who]
+        who, first, n = who[good], facts[good, 5], facts[good, 4]
+        at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+        wide = self.wide_a * self.wide_b
+        key, times = np.unique(np.repeat(who, n) * wide + self.pairs.held[at], return_counts=True)
+        return rows, key // wide, key % wide, times
+
+
+def worker_aligner(a_path: str, b_path: str) -> Aligner:
+    """The aligner of this Python worker, kept with its table from task to task."""
+    if (a_path, b_path) not in _KEPT:
+        _KEPT[a_path, b_path] = Aligner(a_path, b_path)
+    return _KEPT[a_path, b_path]
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -253,7 +361,7 @@ def _scan(a_path: str, b_path: str, key_type):
         yield pa.RecordBatch.from_arrays([*none, pa.array([block], pa.int64()), pa.array([_packed(np.diff(distinct, prepend=0))], pa.binary()), pa.array([_packed(docs)], pa.binary())], names)
 
     def scan(batches):
-        aligner = Aligner(a_path, b_path)
+        aligner = worker_aligner(a_path, b_path)
         block = TaskContext.get().partitionId() << 32
         keys, rows, found, held = [], [], [], 0
         for batch in batches:
@@ -335,11 +443,13 @@ def groups(texts: list[str], a_path: str | None = None, b_path: str | None = Non
     """The groups (A ids, B ids) of texts, for looking at a few of them."""
     aligner = Aligner(a_path or default_tokenizers()[0], b_path or default_tokenizers()[1])
     out = []
-    for got in aligner.tokens(texts):
-        if got is None:
+    for text in texts:
+        parts = aligner.parts(text)
+        a, n_a, b, n_b = aligner.tokens(parts) if parts else (None, np.zeros(1), None, None)
+        if not n_a.all():
             out.append([])
             continue
-        a, b = got
-        last_a, last_b = divide(np.cumsum(aligner.a.lengths[a]), np.cumsum(aligner.b.lengths[b]), np.array([0, len(a)]), np.array([0, len(b)]))
+        edges = (np.concatenate(([0], np.cumsum(n))) for n in (n_a, n_b))
+        last_a, last_b = divide(np.cumsum(aligner.a.lengths[a]), np.cumsum(aligner.b.lengths[b]), *edges)
         out.append([(x.tolist(), y.tolist()) for x, y in zip(np.split(a, last_a[:-1] + 1), np.split(b, last_b[:-1] + 1))])
     return out

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +129,8 @@ class PieceModel:
         own = sorted((n for n, t in zip(names, self.types.tolist()) if t == USER_DEFINED), key=len, reverse=True)
         self.own = re.compile(b"|".join(re.escape(n.encode()) for n in own)) if own else None
         self.by_segment = self.byte_fallback and not own and not any(MARK in n.lstrip(MARK) for n in names)
+        #: Normalising puts a space in front and changes nothing else, and texts can be cut before spaces.
+        self.plain = self.by_segment and self.map.begins is None and self.dummy and not self.squeeze and not self.suffix
         # the same model without its normaliser: a later field of the same number overrides
         self.raw = sentencepiece.SentencePieceProcessor(model_proto=blob + b"\x1a\x08\x12\x00\x18\x00\x20\x00\x28\x00")
         self.known: dict[str, bytes] = {}
@@ -219,22 +222,23 @@ class PieceModel:
     def ids_of(self, normalised: list[str]) -> list[bytes]:
         """Ids (little-endian, 32 bits each) of normalised texts."""
         if not self.by_segment:
-            ids = self.raw.encode([t.replace(" ", MARK) for t in normalised], num_threads=1)
-            return [np.array(x, "<u4").tobytes() for x in ids]
+            return self.ids_once(normalised)
         cut = [self._SEGMENT.findall(t) for t in normalised]
         if len(self.known) > KNOWN_SEGMENTS:
             self.known = {}
         new = list({s for c in cut for s in c}.difference(self.known))
         if new:
-            ids = self.raw.encode([s.replace(" ", MARK) for s in new], num_threads=1)
-            flat = np.array([i for x in ids for i in x], "<u4").tobytes()
-            at, ends = 0, np.cumsum([4 * len(x) for x in ids]).tolist()
-            for s, end in zip(new, ends):
-                self.known[s] = flat[at:end]
-                at = end
+            self.known.update(zip(new, self.ids_once(new)))
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
+    def ids_once(self, normalised: list[str]) -> list[bytes]:
+        """The same straight from the library."""
+        ids = self.raw.encode([t.replace(" ", MARK) for t in normalised], num_threads=1)
+        flat = np.fromiter(chain.from_iterable(ids), "<u4", sum(map(len, ids))).tobytes()
+        ends = np.cumsum([4 * len(x) for x in ids]).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
     def spans(self, normalised: str, ids: np.ndarray, align: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First source byte of each piece and the byte after its last."""
         if self.byte_fallback:
