@@ -52,7 +52,7 @@ def main(argv=None, spark: SparkSession | None = None) -> int:
     spark = spark or SparkSession.builder.appName("presswork").getOrCreate()
     as_of = dt.datetime.fromisoformat(a.as_of) if a.as_of else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     pages = spark.read.parquet(a.pages) if a.pages else None
-    out = f"{a.output.rstrip('/')}/report_{as_of.date().isoformat()}"
+    out = f"{a.output.rstrip('/')}/report_{as_of.date().isoformat()}.md"
     res = run_once(spark, a.store, out, as_of, a.since, a.limit, feeds_path=a.feeds, pages=pages,
                    mode=a.dedup, dates=a.dates, sources=source_registry(spark) if a.default_sources else None,
                    feeds_checkpoint=a.feeds_checkpoint)

@@ -65,20 +65,19 @@ def union_sources(*frames: DataFrame, ord_col: str = "kind_ord") -> DataFrame:
 
 
 def new_articles(batch: DataFrame, store: DataFrame | None, mode: str = "url",
-                 order: list = ("source_ord", "entry_ord")) -> DataFrame:
+                 order: list = ("source_ord", "entry_ord"), absent=None) -> DataFrame:
     """Rows of a landed batch to insert: first-wins within the batch, then not already stored.
 
-    A URL is stored once in either mode; ``key`` also lets the first of each title|domain|date in.
+    A URL is stored once in either mode; ``key`` also lets the first of each title|domain|date in. ``absent``: a
+    function (rows, key) that leaves out stored rows; by default an anti-join with ``store``.
     """
     if mode not in ("url", "key"):
         raise ValueError(f"unknown dedup mode {mode!r}")
-    fresh = dedup_url(batch, order)
-    if store is not None:
-        fresh = anti_existing(fresh, store, "url")
+    if absent is None:
+        absent = (lambda rows, key: rows) if store is None else (lambda rows, key: anti_existing(rows, store, key))
+    fresh = absent(dedup_url(batch, order), "url")
     if mode == "key":
-        fresh = dedup_key(fresh, order)
-        if store is not None:
-            fresh = anti_existing(fresh, store, "dedupe_key")
+        fresh = absent(dedup_key(fresh, order), "dedupe_key")
     return fresh
 
 

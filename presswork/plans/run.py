@@ -4,8 +4,11 @@
   first arrival per URL wins and URLs already stored are skipped; the new rows are appended as one batch. With a
   stream checkpoint, only feed files that no earlier run has seen are read.
 * Enrichment of the window is written back where it changes something (``write_enrichment``).
-* The report is built from the stored, enriched rows and written as one Markdown file; only the bounded report rows
-  reach the driver.
+* The report is built from the stored, enriched rows of the newest dates and written as one Markdown file; only the
+  bounded report rows reach the driver.
+
+The store's folders and the report are each published in one step, so that a run that is killed leaves the store and the
+report of before, and the next run does what is left.
 """
 
 from __future__ import annotations
@@ -13,18 +16,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from presswork import rules as R
 from presswork.plans.daily import daily_report
 from presswork.session import ensure_checkpoint_dir
 from presswork.sources.feeds import read_feed_files
-from presswork.sources.store import read_store, report_sink, write_enrichment
+from presswork.sources.store import latest_stored, report_file, write_enrichment
 from presswork.streaming.ingest import Ingested, incremental_ingest, ingest_batch
 
 
 @dataclass
 class RunResult:
-    counts: DataFrame | None   # (source, items, inserted); none where a stream read the feeds and there are no pages
+    counts: DataFrame | None   # (source, items, inserted); none where there was nothing to ingest
     quarantined: int
     enriched: int
     markdown: str
@@ -46,11 +50,18 @@ def run_once(spark: SparkSession, store_path: str, report_path: str, as_of, sinc
     ensure_checkpoint_dir(spark)
     done = None
     if feeds_path and feeds_checkpoint:
-        incremental_ingest(spark, feeds_path, store_path, feeds_checkpoint, mode, sources, dates, robots=robots)
+        done = incremental_ingest(spark, feeds_path, store_path, feeds_checkpoint, mode, sources, dates, robots=robots)
         feeds_path = None
     if feeds_path or pages is not None:
-        done = ingest(spark, store_path, feeds_path, pages, mode, dates, sources, robots)
+        own = ingest(spark, store_path, feeds_path, pages, mode, dates, sources, robots)
+        done = own if done is None else _both(done, own)
     enriched = write_enrichment(spark, store_path, as_of, since, summarizer=summarizer, **rules)
-    rep = daily_report(read_store(spark, store_path), as_of, since, limit, enrich_rows=False)
-    report_sink(rep.lines, report_path)
+    rep = daily_report(latest_stored(spark, store_path, as_of, since, limit), as_of, since, limit, enrich_rows=False)
+    report_file(rep.lines, report_path)
     return RunResult(done.counts if done else None, done.quarantined if done else 0, enriched, rep.markdown())
+
+
+def _both(a: Ingested, b: Ingested) -> Ingested:
+    """Counts of feeds read by the stream and of pages."""
+    counts = a.counts.unionByName(b.counts).groupBy("source").agg(F.sum("items").alias("items"), F.sum("inserted").alias("inserted"))
+    return Ingested(counts, a.quarantined + b.quarantined)

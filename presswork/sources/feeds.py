@@ -22,7 +22,7 @@ from presswork import rules as R
 from presswork.functions.dates import parse_iso_utc, parse_pub_ts
 from presswork.functions.text import clean_whitespace, strip_html, truncate
 from presswork.functions.urls import canonicalize_url, dedupe_key, get_domain
-from presswork.session import path_exists
+from presswork.session import path_exists, scratch_path
 
 DOC_RE = r"(?s)<(rss|(?:[A-Za-z][\w.-]*:)?feed|rdf:RDF)\b.*?</\1\s*>"
 # an element's end tag inside CDATA does not end it
@@ -54,14 +54,18 @@ def source_from_path(file_path: Column) -> Column:
 
 def feed_documents(files: DataFrame) -> DataFrame:
     """``(source, file_path, doc_ord, kind, doc)`` — closed ``<rss>``/``<feed>`` documents in file order."""
-    docs = files.select("file_path", F.posexplode(F.regexp_extract_all(F.col("body"), F.lit(DOC_RE), 0))
-                        .alias("doc_ord", "doc"))
+    return _documents(files.select("file_path", F.posexplode(F.regexp_extract_all(F.col("body"), F.lit(DOC_RE), 0)).alias("doc_ord", "doc")))
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """Documents with their source and kind, element prefixes taken off."""
     prefix = F.regexp_extract("doc", PREFIX_RE, 1)
     kind = F.when(F.col("doc").startswith("<feed") | (prefix != ""), F.lit("atom")).otherwise(F.lit("rss"))
     bare = F.regexp_replace(F.col("doc"), F.concat(F.lit("(</?)"), prefix, F.lit(":")), F.lit("$1"))
+    rest = [c for c in docs.columns if c not in ("file_path", "doc_ord", "doc")]
     return docs.select(source_from_path(F.col("file_path")).alias("source"), "file_path",
                        F.col("doc_ord").cast("bigint").alias("doc_ord"), kind.alias("kind"),
-                       F.when(prefix != "", bare).otherwise(F.col("doc")).alias("doc"))
+                       F.when(prefix != "", bare).otherwise(F.col("doc")).alias("doc"), *rest)
 
 
 def _entries(docs: DataFrame, kind: str, pattern: str, schema: str) -> DataFrame:
@@ -71,51 +75,73 @@ def _entries(docs: DataFrame, kind: str, pattern: str, schema: str) -> DataFrame
     return it.withColumn("r", F.from_xml(F.col("x"), schema, XML_OPTS)).withColumn("entry_ord", F.col("entry_ord").cast("bigint"))
 
 
-def quarantine(files: DataFrame) -> DataFrame:
-    """What could not be loaded: ``(file_path, doc_ord, entry_ord, reason)``.
+def parse_feeds(files: DataFrame) -> DataFrame:
+    """Every entry of every landed feed file, parsed once, loaded or quarantined.
 
-    A file without any closed feed document (e.g. a truncated download) is
-    quarantined whole; inside a document, an entry that does not parse is
-    quarantined alone. Everything else loads.
+    ``(source, file_path, doc_ord, entry_ord, kind, title, link, published_raw, updated_raw, summary_raw, content_raw, guid,
+    reason, content_hash)``: rows without a ``reason`` are entries. A file without any closed feed document (e.g. a truncated
+    download) is one row with a reason and no places; an entry that does not parse is a row with a reason.
     """
-    docs = feed_documents(files)
-    no_docs = (files.join(docs.select("file_path").distinct(), "file_path", "left_anti")
-               .select("file_path", F.lit(None).cast("bigint").alias("doc_ord"), F.lit(None).cast("bigint").alias("entry_ord"),
-                       F.lit("no feed document").alias("reason")))
-    bad = [_entries(docs, k, p, s).filter(F.col("r._corrupt_record").isNotNull())
-           .select("file_path", "doc_ord", "entry_ord", F.lit("malformed entry").alias("reason"))
-           for k, p, s in (("rss", ITEM_RE, RSS_ITEM_SCHEMA), ("atom", ENTRY_RE, ATOM_ENTRY_SCHEMA))]
-    return no_docs.unionByName(bad[0]).unionByName(bad[1])
+    # a file without documents goes on as a row without a document, so that files are read and entries parsed once
+    cut = F.regexp_extract_all(F.col("body"), F.lit(DOC_RE), 0)
+    docs = _documents(files.select("file_path", F.posexplode_outer(cut).alias("doc_ord", "doc"), F.xxhash64("body").alias("_file")))
+    rss, none = F.col("kind") == "rss", F.col("doc").isNull()
+    own = F.when(rss, F.regexp_extract_all("doc", F.lit(ITEM_RE), 0)).otherwise(F.regexp_extract_all("doc", F.lit(ENTRY_RE), 0))
+    entries = docs.select("source", "file_path", "doc_ord", "kind", "_file", none.alias("_none"), F.posexplode_outer(F.when(~none, own)).alias("entry_ord", "x"))
+    entries = entries.filter(F.col("_none") | F.col("x").isNotNull())
+    parsed = entries.withColumns({"_rss": F.when(rss, F.from_xml("x", RSS_ITEM_SCHEMA, XML_OPTS)),
+                                  "_atom": F.when(~rss, F.from_xml("x", ATOM_ENTRY_SCHEMA, XML_OPTS))})
+    bad = F.coalesce("_rss._corrupt_record", "_atom._corrupt_record").isNotNull()
+    atom = _atom_columns(F.col("_atom"))
+    fields = [F.when(~bad & ~F.col("_none"), F.when(rss, c).otherwise(atom[n])).alias(n) for n, c in _rss_columns(F.col("_rss")).items()]
+    return parsed.select(
+        "source", "file_path", "doc_ord", F.col("entry_ord").cast("bigint").alias("entry_ord"), F.when(~F.col("_none"), F.col("kind")).alias("kind"), *fields,
+        F.when(F.col("_none"), "no feed document").when(bad, "malformed entry").alias("reason"),
+        F.when(F.col("_none"), F.col("_file")).when(bad, F.xxhash64("x")).alias("content_hash"))
+
+
+def quarantine(files: DataFrame) -> DataFrame:
+    """What could not be loaded: ``(file_path, doc_ord, entry_ord, reason, content_hash)``; see :func:`parse_feeds`."""
+    return parse_feeds(files).filter("reason IS NOT NULL").select("file_path", "doc_ord", "entry_ord", "reason", "content_hash")
+
+
+ITEM_COLUMNS = ["title", "link", "published_raw", "updated_raw", "summary_raw", "content_raw", "guid"]
+
+
+def _rss_columns(r: Column) -> dict[str, Column]:
+    return dict(zip(ITEM_COLUMNS, (r["title"], r["link"], r["pubDate"], r["dc:date"], r["description"], r["content:encoded"], r["guid"])))
+
+
+def _atom_columns(r: Column) -> dict[str, Column]:
+    first = F.try_element_at(r["link"], F.lit(1))
+    link = F.coalesce(F.nullif(first["_href"], F.lit("")), first["_src"], F.lit(""))
+    return dict(zip(ITEM_COLUMNS, (r["title"], link, r["published"], r["updated"], r["summary"], r["content"], r["id"])))
+
+
+def _items(docs: DataFrame, kind: str, pattern: str, schema: str, columns) -> DataFrame:
+    it = _entries(docs, kind, pattern, schema).filter(F.col("r._corrupt_record").isNull())
+    return it.select("source", "file_path", "doc_ord", "entry_ord", "kind", *[c.alias(n) for n, c in columns(F.col("r")).items()])
 
 
 def scan_rss(docs: DataFrame) -> DataFrame:
     """RSS ``<item>`` rows of well-formed RSS documents, in entry order: ``pubDate`` (else ``dc:date``),
     ``description`` (else ``content:encoded``)."""
-    it = _entries(docs, "rss", ITEM_RE, RSS_ITEM_SCHEMA).filter(F.col("r._corrupt_record").isNull())
-    r = F.col("r")
-    return it.select("source", "file_path", "doc_ord", "entry_ord", "kind",
-                     r["title"].alias("title"), r["link"].alias("link"), r["pubDate"].alias("published_raw"),
-                     r["dc:date"].alias("updated_raw"), r["description"].alias("summary_raw"),
-                     r["content:encoded"].alias("content_raw"), r["guid"].alias("guid"))
+    return _items(docs, "rss", ITEM_RE, RSS_ITEM_SCHEMA, _rss_columns)
 
 
 def scan_atom(docs: DataFrame) -> DataFrame:
     """Atom ``<entry>`` rows: first link's href (else src), published else updated, summary else content."""
-    it = _entries(docs, "atom", ENTRY_RE, ATOM_ENTRY_SCHEMA).filter(F.col("r._corrupt_record").isNull())
-    r = F.col("r")
-    first = F.try_element_at(r["link"], F.lit(1))
-    link = F.coalesce(F.nullif(first["_href"], F.lit("")), first["_src"], F.lit(""))
-    return it.select("source", "file_path", "doc_ord", "entry_ord", "kind",
-                     r["title"].alias("title"), link.alias("link"), r["published"].alias("published_raw"),
-                     r["updated"].alias("updated_raw"), r["summary"].alias("summary_raw"),
-                     r["content"].alias("content_raw"), r["id"].alias("guid"))
+    return _items(docs, "atom", ENTRY_RE, ATOM_ENTRY_SCHEMA, _atom_columns)
 
 
 def scan_feeds(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(items, quarantined)`` for every landed feed file under ``path``."""
-    files = read_feed_files(spark, path)
-    docs = feed_documents(files)
-    return scan_rss(docs).unionByName(scan_atom(docs)), quarantine(files)
+    """``(items, quarantined)`` for every landed feed file under ``path``, from one parse that is kept."""
+    parsed = parse_feeds(read_feed_files(spark, path))
+    where = scratch_path(spark, "parsed-feeds")
+    parsed.write.parquet(where)
+    parsed = spark.read.schema(parsed.schema).parquet(where)
+    items = parsed.filter("reason IS NULL").drop("reason", "content_hash")
+    return items, parsed.filter("reason IS NOT NULL").select("file_path", "doc_ord", "entry_ord", "reason", "content_hash")
 
 
 def entry_content(summary_raw, content_raw) -> Column:

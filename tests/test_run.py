@@ -18,7 +18,7 @@ def test_run_once_and_rerun(spark, tmp_dir):
     land(f"{tmp_dir}/feeds", "srcA/a.xml", RSS)
     land(f"{tmp_dir}/feeds", "srcB/b.xml", ATOM)
     pages = spark.createDataFrame([("site", 1, "https://h.example.com/", PAGE)], "source string, page_id long, url string, html string")
-    store, rep = f"{tmp_dir}/store", f"{tmp_dir}/report"
+    store, rep = f"{tmp_dir}/store", f"{tmp_dir}/out/report_2026-02-15.md"
     as_of = dt.datetime(2026, 2, 15, 20, 0)
     r1 = run_once(spark, store, rep, as_of, "24h", 25, feeds_path=f"{tmp_dir}/feeds", pages=pages)
     counts = {r.source: (r.items, r.inserted) for r in r1.counts.collect()}
@@ -31,10 +31,10 @@ def test_run_once_and_rerun(spark, tmp_dir):
     assert hot.severity == "alta" and hot.category == "vulnerabilidades"
     assert r1.markdown.startswith("# Informe diario de ciberseguridad — 2026-02-15\n")
     assert "1. **Critical RCE exploited in the wild** " in r1.markdown
-    text = "".join(open(os.path.join(rep, f)).read() for f in sorted(os.listdir(rep)) if f.startswith("part-"))
-    assert text == r1.markdown
+    assert open(rep, encoding="utf-8").read() == r1.markdown and os.listdir(f"{tmp_dir}/out") != []
+    assert [f for f in os.listdir(f"{tmp_dir}/out") if not f.endswith(".crc")] == ["report_2026-02-15.md"]
     assert (r1.quarantined, r1.enriched) == (0, len(in_window))
-    files = lambda: sorted(f for f in glob.glob(f"{store}/pub_date=*/*.parquet"))
+    files = lambda: sorted(f for f in glob.glob(f"{store}/*/**/*.parquet", recursive=True) if "_manifest" not in f and "_quarantine" not in f)
     before = files()
     r2 = run_once(spark, store, rep, as_of, "24h", 25, feeds_path=f"{tmp_dir}/feeds", pages=pages)
     assert files() == before                                               # a run that changes nothing writes nothing
@@ -54,7 +54,7 @@ def test_command_line(spark, tmp_dir, capsys):
                "--since", "48h", "--limit", "10", "--as-of", "2026-02-15T20:00:00"], spark=spark)
     assert rc == 0
     assert "srcA: items=3 inserted=2" in capsys.readouterr().out
-    assert os.path.isdir(f"{tmp_dir}/out/report_2026-02-15")
+    assert os.path.isfile(f"{tmp_dir}/out/report_2026-02-15.md")
     with pytest.raises(SystemExit):
         parse_args(["run"])                                               # --store/--output missing
     with pytest.raises(ValueError):

@@ -6,6 +6,7 @@ import os
 from presswork.operators.robots import robots_allowed, rules_frame
 from presswork.sources import feeds as FD
 from presswork.sources.html import links_to_items, scan_html_links
+from presswork.sources.manifest import entry, publish, state
 from presswork.sources.store import read_store
 from presswork.streaming.ingest import incremental_ingest, ingest_frame
 
@@ -143,7 +144,7 @@ def test_stream_micro_batches_keep_arrival_order(spark, tmp_dir):
         land(landing, f"src{i}/f.xml", body)
     incremental_ingest(spark, landing, store, ck, max_files_per_trigger=1)
     rows = read_store(spark, store).orderBy("arrival_id").collect()
-    batches = spark.read.parquet(f"{store}/_batches").orderBy("first_id").collect()
+    batches = sorted(state(spark, store).of("data"), key=lambda b: b.first_id)
     assert [(b.first_id, b.n) for b in batches] == [(0, 2), (2, 1), (3, 1)]    # one micro-batch per file
     shared = [r for r in rows if r.url == "https://a.example.com/p?b=1"]
     assert len(shared) == 1 and shared[0].arrival_id == 0
@@ -238,7 +239,7 @@ def test_key_mode_keeps_urls_unique(spark, tmp_dir):
 def test_many_batches_and_partitions_keep_ids_apart(spark, tmp_dir):
     from presswork.sources.store import assign_arrival_ids, next_arrival_id
 
-    spark.createDataFrame([(40_000 * 5, 5)], "first_id long, n long").write.parquet(f"{tmp_dir}/s/_batches")
+    publish(spark, f"{tmp_dir}/s", entry("data", "data/x", first_id=40_000 * 5, next_id=40_000 * 5 + 5, n=5, seq=40_000))
     assert next_arrival_id(spark, f"{tmp_dir}/s") == 200_005
     assert next_arrival_id(spark, f"{tmp_dir}/none") == 0
     ids = [r.arrival_id for r in assign_arrival_ids(spark.range(500).repartition(40), 7, ["id"]).orderBy("id").collect()]
