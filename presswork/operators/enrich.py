@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,52 +118,57 @@ def rules_frame(spark, rules: list[tuple[str, list[str]]]) -> DataFrame:
     return spark.createDataFrame(rows, "rule_ord int, label string, keyword string")
 
 
-#: Keywords in one automaton; larger rule tables take one pass over the texts per block.
-KEYWORD_BLOCK = 50_000
+#: Bytes of keywords that are sent to every task at once.
+KEYWORD_BYTES = 16 << 20
 
 
-def _matcher(keywords: list[str]):
-    def match(batches):
-        import ahocorasick
+def _gram_size(keyword: Column) -> Column:
+    """Characters of a keyword's grams: one of any 2 * g - 1 characters in a row begins a gram of the text with g
+    characters, and the gram lies among them. Up to 4."""
+    n = F.char_length(keyword)
+    return F.when(n == 0, 0).otherwise(F.least((n + 1).cast("int").bitwiseAND(-2) / 2, F.lit(4))).cast("int")
 
-        automaton = ahocorasick.Automaton()
-        for k in keywords:
-            if k:
-                automaton.add_word(k, k)
-        found_in = (lambda t: {k for _, k in automaton.iter(t)}) if len(automaton) else (lambda t: set())
-        if len(automaton):
-            automaton.make_automaton()
-        everywhere = {""} & set(keywords)  # the empty keyword is part of every text
-        for batch in batches:
-            rows, words = [], []
-            for i, t in enumerate(batch.column("_lt").to_pylist()):
-                for k in sorted(found_in(t) | everywhere):
-                    rows.append(i)
-                    words.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(rows, pa.int64())), pa.array(words, pa.string())], ["_id", "_kw"])
 
-    return match
+def _text_grams(text: Column, g: int) -> Column:
+    """The different runs of g characters at every g-th place of a text."""
+    return F.array(F.lit("")) if g == 0 else F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s).{{{g}}}"), 0))
+
+
+def keyword_keys(keywords: DataFrame) -> DataFrame:
+    """(keyword, gram, earlier): the grams that begin at the keyword's first g characters, and those before each."""
+    g = _gram_size(F.col("keyword"))
+    grams = F.when(g == 0, F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(g, F.lit(1))), lambda i: F.substring("keyword", i, g)))
+    rows = keywords.select("keyword", grams.alias("_g")).select("keyword", "_g", F.posexplode("_g").alias("_i", "gram"))
+    rows = rows.select("keyword", "gram", F.slice("_g", 1, F.col("_i")).alias("earlier"))
+    return rows.filter(~F.array_contains("earlier", F.col("gram")))
 
 
 def rule_match_join(df: DataFrame, id_col: str, text_col: str, rules) -> DataFrame:
     """Match evidence ``(id, rule_ord, label, keyword)``: which keywords of which rule occur.
 
-    ``rules``: a list ``[(label, [keywords])]`` or a frame ``(rule_ord, label, keyword)``; both take the same
-    way. The keywords go to the tasks in blocks of at most ``KEYWORD_BLOCK``; each text is read once per block
-    by an automaton that finds all keywords in one pass (Arrow batches), and only the distinct (id, keyword)
-    hits meet the rule table, in an equi-join. Texts never move. Null keywords match nothing, the empty
-    keyword matches every text.
+    ``rules``: a list ``[(label, [keywords])]`` or a frame ``(rule_ord, label, keyword)``; both take the same way. A text is
+    cut into grams of up to four characters, and these meet the grams of the keywords in a hash join: wherever a
+    keyword lies in a text, one of its first grams lies at a cut. Only texts that hold such a gram are searched for the
+    keyword, so that the work on a text does not grow with the number of keywords; of several grams that lead
+    from a text to a keyword, the first one counts. The keywords are broadcast in blocks of at most about
+    ``KEYWORD_BYTES``, one pass over the texts for each; texts are never shuffled. The hits then meet the rule table, in an
+    equi-join. Null keywords match nothing, the empty keyword matches every text.
     """
-    spark = df.sparkSession
-    frame = rules if isinstance(rules, DataFrame) else rules_frame(spark, rules)
+    frame = rules if isinstance(rules, DataFrame) else rules_frame(df.sparkSession, rules)
     keywords = frame.select("keyword").filter("keyword IS NOT NULL").distinct()
-    blocks = max(1, -(-keywords.count() // KEYWORD_BLOCK))
+    total, sizes = keywords.agg(F.coalesce(F.sum(4 * F.octet_length("keyword") + 64), F.lit(0)), F.collect_set(_gram_size(F.col("keyword")))).first()
+    blocks = max(1, -(-total // KEYWORD_BYTES))
+    keys = keyword_keys(keywords)
     docs = df.select(F.col(id_col).alias("_id"), lowered(text_col).alias("_lt"))
-    schema = f"_id {df.schema[id_col].dataType.simpleString()}, _kw string"
+    own = F.concat(*[_text_grams(F.col("_lt"), g) for g in sorted(sizes)]) if sizes else F.array().cast("array<string>")
+    # an outer explode: of an inner one the optimizer infers a test of the array's size, for which the grams are made twice
+    grams = docs.withColumn("_own", own).select("_id", "_lt", "_own", F.explode_outer("_own").alias("_gram"))
+    first = ~F.arrays_overlap("_own", "earlier")
     hits = None
     for b in range(blocks):
-        own = sorted(r[0] for r in keywords.filter(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == b).collect())
-        found = docs.mapInArrow(_matcher(own), schema)
+        block = keys if blocks == 1 else keys.filter(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == b)
+        met = grams.join(F.broadcast(block), F.col("_gram") == F.col("gram"))
+        found = met.filter(F.contains("_lt", "keyword") & first).select("_id", F.col("keyword").alias("_kw"))
         hits = found if hits is None else hits.unionByName(found)
     return hits.join(frame, F.col("_kw") == F.col("keyword")).select(F.col("_id").alias(id_col), "rule_ord", "label", "keyword")
 

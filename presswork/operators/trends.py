@@ -18,11 +18,17 @@ from presswork.functions.text import strip_token, tokens_alnum, tokens_ws
 VARIANTS = ("report", "md", "regex")
 
 
+def _exploded(df: DataFrame, tokens, name: str) -> DataFrame:
+    """A row for each token with its place. An outer explode: of an inner one the optimizer infers a test of the array's
+    size below it, for which every text would be cut into tokens twice."""
+    return df.select("*", F.posexplode_outer(tokens).alias("_pos", name)).filter(F.col(name).isNotNull())
+
+
 def _tokens(df: DataFrame, text_col: str, variant: str, min_len: int):
     if variant == "regex":
         toks = tokens_alnum(F.col(text_col), min_len)
-        return df.select("*", F.posexplode(toks).alias("_pos", "term")).filter(~F.col("term").isin(R.STOPWORDS_REGEX))
-    raw = df.select("*", F.posexplode(tokens_ws(F.col(text_col))).alias("_pos", "_raw"))
+        return _exploded(df, toks, "term").filter(~F.col("term").isin(R.STOPWORDS_REGEX))
+    raw = _exploded(df, tokens_ws(F.col(text_col)), "_raw")
     if variant == "md":
         # length tested on the raw token, punctuation stripped afterwards
         t = raw.filter(F.char_length("_raw") >= min_len).withColumn("term", strip_token(F.col("_raw")))

@@ -1,10 +1,8 @@
 """Anchor extraction from landed HTML pages (a Spark column job, no parser library).
 
 Comments and the content of scripts, styles and templates are removed
-first; then anchors are matched as ``<a ...>...</a>`` spans
-(case-insensitive, across lines). Documented limits of the regex approach: an anchor without a
-closing tag is not seen; a ``>`` inside a quoted attribute ends the tag;
-nested anchors end at the first ``</a>``.
+first; then anchors are matched (case-insensitive, across lines). A tag ends at the first ``>`` outside a quoted
+attribute value. An anchor ends at its ``</a>``, or, if it has none, where the next anchor begins or the page ends.
 
 Selectors: ``a`` (all anchors), ``a.<class>`` and ``a#<id>``.
 """
@@ -20,10 +18,13 @@ from presswork.functions._util import col_of, lit_str
 from presswork.functions.text import clean_whitespace, unescape_if_needed
 from presswork.functions.urls import canonicalize_url, dedupe_key, get_domain, resolve_link
 
-ANCHOR_RE = r"(?is)<a\b[^>]*>.*?</a>"
-OPEN_ATTRS_RE = r"(?is)^<a\b([^>]*)>"
-INNER_RE = r"(?is)^<a\b[^>]*>(.*)</a>$"
-HREF_RE = r"""(?is)(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+# attributes: everything up to a '>' that is not in a quoted value
+ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+# an anchor's tag and what lies in it
+ANCHOR_RE = rf"(?i)<a(?=[\s/>]){ATTRS}>[^<]*+(?:<(?!/?a[\s/>])[^<]*+)*+"
+OPEN_ATTRS_RE = rf"(?i)^<a({ATTRS})>"
+# the value of href with its opening quote; where there are several, the first
+HREF_RE = r"""(?i)(?:^|\s)href\s*=\s*("[^"]*|'[^']*|[^\s"'>]+)"""
 COMMENT_RE = r"(?s)<!--.*?(-->|$)"
 SCRIPT_RE = r"(?is)<(?:script\b.*?(?:</script\s*>|$)|style\b.*?(?:</style\s*>|$)|template\b.*?(?:</template\s*>|$))"
 MARKUP_RE = r"<[A-Za-z/!?][^>]*>"
@@ -56,16 +57,17 @@ def scan_html_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     live = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), lit_str(COMMENT_RE), F.lit(" "))
     live = F.regexp_replace(live, lit_str(SCRIPT_RE), F.lit(" "))
     a = pages.select(F.col(id_col), *keep, F.col(url_col).alias("page_url"),
-                     F.posexplode(F.regexp_extract_all(live, lit_str(ANCHOR_RE), 0)).alias("link_ord", "_a"))
-    attrs = F.regexp_extract(F.col("_a"), OPEN_ATTRS_RE, 1)
-    cond = _selector_filter(attrs, selector)
+                     F.posexplode_outer(F.regexp_extract_all(live, lit_str(ANCHOR_RE), 0)).alias("link_ord", "_a")).filter(F.col("_a").isNotNull())
+    a = a.withColumn("_attrs", F.regexp_extract(F.col("_a"), OPEN_ATTRS_RE, 1))
+    cond = _selector_filter(F.col("_attrs"), selector)
     if cond is not None:
         a = a.filter(cond)
-    href = F.concat(F.regexp_extract(attrs, HREF_RE, 1), F.regexp_extract(attrs, HREF_RE, 2),
-                    F.regexp_extract(attrs, HREF_RE, 3))
+    a = a.withColumn("_value", F.regexp_extract("_attrs", HREF_RE, 1))
+    href = F.when(F.left("_value", F.lit(1)).isin('"', "'"), F.substring("_value", 2, 1 << 30)).otherwise(F.col("_value"))
+    # the anchor without its tag: what comes before the text is as long as the tag's name, attributes and two brackets
+    inner = F.substr("_a", F.char_length("_attrs") + 4)
     return a.select(F.col(id_col), *keep, "page_url", F.col("link_ord").cast("bigint").alias("link_ord"),
-                    unescape_if_needed(href).alias("href"),
-                    anchor_text(F.regexp_extract(F.col("_a"), INNER_RE, 1)).alias("title"))
+                    unescape_if_needed(href).alias("href"), anchor_text(inner).alias("title"))
 
 
 def links_to_items(links: DataFrame, source: str | Column = "html", source_ord: int | Column = 0) -> DataFrame:

@@ -48,6 +48,9 @@ def test_rule_join_is_an_equi_join(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     p = plan_of(enrich.rule_match_join(docs, "doc_id", "text", [("x", ["the"])]))
     assert "NestedLoop" not in p and "CartesianProduct" not in p
+    assert "Python" not in p and "Arrow" not in p
+    texts = p[p.index("Generate explode(_own"):]               # below the grams: the scan of the texts alone
+    assert "Exchange" not in texts[:texts.index("Scan parquet")]
 
 
 def test_spread_only_when_under_parallelism(spark):
@@ -77,5 +80,23 @@ def test_rule_lists_frames_and_blocks_match_alike(spark, monkeypatch):
     want = sorted(str((i, o, label, k)) for i, t in texts for o, (label, ks) in enumerate(rules) for k in ks if k in t)
     rows = lambda r: sorted(str(tuple(x)) for x in enrich.rule_match_join(docs, "id", "t", r).collect())
     assert rows(rules) == want == rows(enrich.rules_frame(spark, rules))
-    monkeypatch.setattr(enrich, "KEYWORD_BLOCK", 3)
+    monkeypatch.setattr(enrich, "KEYWORD_BYTES", 150)
     assert rows(rules) == want
+    odd = [("odd", ["\U0001F600", "\U0001F600b", "a\nb", "?", None, "straße"])]
+    more = spark.createDataFrame([(1, "x \U0001F600B\U0001F601 A\nB"), (2, "STRAßE ?"), (3, "\U0001F601")], "id long, t string")
+    got = sorted((r.id, r.keyword) for r in enrich.rule_match_join(more, "id", "t", odd).collect())
+    assert got == [(1, "a\nb"), (1, "\U0001F600"), (1, "\U0001F600b"), (2, "?"), (2, "straße")]
+    assert enrich.rule_match_join(more, "id", "t", []).collect() == [] == enrich.rule_match_join(more, "id", "t", [("none", [None])]).collect()
+
+
+def test_many_keywords(spark):
+    """The keys of many keywords: every keyword in a text is found, whatever gram it is looked up by."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    keywords = sorted({word(rng.randrange(1, 9)) for _ in range(3000)})
+    texts = [(i, word(rng.randrange(0, 60))) for i in range(200)]
+    rules = spark.createDataFrame([(0, "x", k) for k in keywords], "rule_ord int, label string, keyword string")
+    got = enrich.rule_match_join(spark.createDataFrame(texts, "id long, t string"), "id", "t", rules).collect()
+    assert sorted((r.id, r.keyword) for r in got) == sorted((i, k) for i, t in texts for k in keywords if k in t)

@@ -92,6 +92,22 @@ def test_html_links(spark):
     assert [r.title for r in sel] == ["Abs & co"]
 
 
+def test_html_links_with_marks_in_attributes_and_without_ends(spark):
+    html = ('<a href="/x" title="1>2">one</a><a href=/two title=it\'s>two <b>b</b><a\nhref=\'/3\' data-x="<a href=/no>">three</a> rest'
+            '<abbr title="a">no anchor</abbr><a href="/4" title = "x > y">four<p>more</p></A ><a name="n"/><a href="/last">la<!-- </a> -->st')
+    pages = spark.createDataFrame([(1, "https://h.example.com/", html), (2, "https://h.example.com/", "<p>none</p>"), (3, "u", None)],
+                                  "page_id long, url string, html string")
+    links = scan_html_links(pages).orderBy("link_ord").collect()
+    assert [(r.page_id, r.link_ord, r.href, r.title) for r in links] == [
+        (1, 0, "/x", "one"), (1, 1, "/two", "two b"), (1, 2, "/3", "three"), (1, 3, "/4", "four more"), (1, 4, "", ""), (1, 5, "/last", "la st")]
+
+
+def test_html_links_of_large_pages(spark):
+    html = "<a href='/a' " + "data-x='>' " * 20_000 + ">" + "<i>x</i>" * 50_000 + "</a>" + "<a>" * 50_000
+    links = scan_html_links(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))
+    assert links.count() == 50_001 and len(links.filter("link_ord = 0").first().title) == 99_999
+
+
 def test_robots(spark):
     urls = spark.createDataFrame([("https://a.com/private/x",), ("https://a.com/private/ok",), ("https://a.com/pub",),
                                   ("https://b.com/anything",)], "url string")
