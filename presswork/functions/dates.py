@@ -8,6 +8,9 @@ Accepted publication-date formats (everything else becomes NULL):
 * RFC-822 / RFC-1123: ``[Wkd,] d Mon yyyy HH:mm[:ss] [zone]`` with an
   English month abbreviation (or full month name) and any zone suffix; a
   two-digit year is 1969-1999 from 69 on, else 2000-2068.
+* Written forms (``WRITTEN``): ``[Weekday,] Month d, yyyy`` and ``d Month yyyy``
+  with an optional time (``10:00``, ``3:04 PM``) and zone, ``yyyy/MM/dd``,
+  ``yyyyMMdd[THHmmss]`` and ``Tue Jan  2 10:00:00 2024``.
 
 Two semantics are offered. ``wall_clock`` (the default of the live tool)
 keeps the printed wall-clock time and drops the zone. ``utc`` accepts only
@@ -22,7 +25,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from presswork.functions._util import col_of
+from presswork.functions._util import col_of, let
 
 ISO_RE = (
     r"^\s*(\d{4})-(\d{2})-(\d{2})"
@@ -86,9 +89,45 @@ def parse_rfc822_wall(c) -> Column:
     return F.when(s.rlike(RFC822_RE) & (month > 0), ts)
 
 
+def _written_wall(c, pattern: str, order: str) -> Column:
+    """A date whose numbers and month names stand where a pattern's groups do: ``order`` names the groups by letters
+    (y year, m month, d day, H hour, M minute, S second, p am or pm)."""
+    s = F.trim(F.coalesce(col_of(c), F.lit("")))
+    g = {k: F.regexp_extract(s, pattern, i + 1) for i, k in enumerate(order)}
+    name = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.left(g["m"], F.lit(3)))).cast("int")
+    month = F.coalesce(g["m"].try_cast("int"), F.when(name > 0, name))
+    part = lambda k: F.when(g[k] == "", F.lit(0)).otherwise(g[k].try_cast("int")) if k in g else F.lit(0)
+    hour = part("H")
+    if "p" in g:
+        half = F.lower(g["p"])
+        hour = F.when(half == "", hour).when(hour % 12 == 0, F.when(half == "pm", 12).otherwise(0)).otherwise(hour + F.when(half == "pm", 12).otherwise(0))
+    ts = F.try_make_timestamp_ntz(g["y"].try_cast("int"), month, g["d"].try_cast("int"), hour, part("M"), part("S").cast("decimal(8,6)"))
+    return F.when(s.rlike(pattern), ts)
+
+
+_CLOCK = r"(?:,?\s+(?:at\s+)?(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\.\d+)?(?:\s*([AaPp][Mm]))?)?"
+_ZONE = r"(?:\s*(?:Z|[A-Za-z]{2,5}|[+-]\d{2}:?\d{2}))?$"
+_DAY = r"^(?:[A-Za-z]{3,9},?\s+)?"
+_MONTH = r"((?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?))\.?"
+#: Other written dates that feeds carry, and what their groups are.
+WRITTEN = [
+    (_DAY + _MONTH + r"\s+(\d{1,2}),?\s+(\d{4})" + _CLOCK + _ZONE, "mdyHMSp"),                              # Jan 2, 2024 10:00
+    (_DAY + r"(\d{1,2})\s+" + _MONTH + r",?\s+(\d{4})" + _CLOCK + _ZONE, "dmyHMSp"),                        # 2 January 2024
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})" + _CLOCK + _ZONE, "ymdHMSp"),                                          # 2024/01/02 10:00
+    (r"^(\d{4})(\d{2})(\d{2})(?:[T ]?(\d{2})(\d{2})(\d{2})?)?" + _ZONE, "ymdHMS"),                         # 20240102T100000Z
+    (_DAY + _MONTH + r"\s+(\d{1,2})\s+(\d{1,2}):(\d{2}):(\d{2})\s+(?:[A-Za-z]{2,5}\s+)?(\d{4})$", "mdHMSy"),  # Tue Jan  2 10:00:00 2024
+]
+
+
 def parse_wall_clock(c) -> Column:
-    """First format that parses; the zone is dropped, not applied."""
-    return F.coalesce(parse_iso_wall(c), parse_rfc822_wall(c))
+    """First format that parses; the zone is dropped, not applied.
+
+    ISO-8601, RFC 822, then the forms of ``WRITTEN``: the month by name before or after the day, slashes from the year
+    on, digits alone, and the form of the C library. Numbers whose order is a matter of custom (``01/02/2024``) and
+    names in other languages are null."""
+    # the rarer forms are looked at row by row where the others fail, outside the generated code, which they would outgrow
+    rarer = let(lambda s: F.coalesce(*[_written_wall(s, p, order) for p, order in WRITTEN]), s=F.coalesce(col_of(c), F.lit("")))
+    return F.coalesce(parse_iso_wall(c), parse_rfc822_wall(c), rarer)
 
 
 def parse_pub_ts(*cols) -> Column:

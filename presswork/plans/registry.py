@@ -996,6 +996,62 @@ def q_report_sink(spark, sf):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
+@register("store_enriched", _update_sql())
+def q_store_enriched(spark, sf):
+    """Two batches, an enrichment by other rules before and after the second, then by the rules themselves, folded and read."""
+    from presswork.session import scratch_path
+    from presswork.sources.store import append_store, fold_store, read_store, write_enrichment
+    a = articles_fx(spark, sf)
+    path = scratch_path(spark, "store")
+    as_of = a.agg(F.max("published_at")).first()[0]
+    other = {"categories": P.FREQ_CATEGORY_RULES}
+    append_store(a.filter("arrival_id % 2 = 0"), path)
+    write_enrichment(spark, path, as_of, "24h", **other)
+    append_store(a.filter("arrival_id % 2 = 1"), path)
+    write_enrichment(spark, path, as_of, "24h", **other)
+    write_enrichment(spark, path, as_of, "24h")
+    fold_store(spark, path)
+    return read_store(spark, path).select("arrival_id", "category", "severity", "soc_action", "summary")
+
+
+@register("not_stored", _BATCH_SQL + """SELECT doc_ord, entry_ord, url FROM link_items
+WHERE url NOT IN (SELECT url FROM art_items)""")
+def q_not_stored(spark, sf):
+    """HTML link items whose URL is not in a store, by the store's key index and the batch since."""
+    from presswork.session import scratch_path
+    from presswork.sources.store import append_store, fold_index, not_stored
+    path = scratch_path(spark, "store")
+    items = _article_items(spark, sf)
+    stored = items.select(F.col("entry_ord").alias("arrival_id"), "source", "domain", "title", "url", F.lit(None).cast("string").alias("canonical_url"), "published_at",
+                          *[F.lit(None).cast("string").alias(c) for c in ("content", "summary", "category", "severity", "soc_action")],
+                          U.dedupe_key("title", "domain", "published_at").alias("dedupe_key"))
+    append_store(stored.filter("arrival_id % 3 > 0"), path)
+    fold_index(spark, path)
+    append_store(stored.filter("arrival_id % 3 = 0"), path)
+    return not_stored(_link_items(spark, sf).select("doc_ord", "entry_ord", "url"), path)
+
+
+@register("latest_stored", _with(O.ARTICLES_FX, O.window(168), O.latest(25)) + "SELECT pos, arrival_id, published_at, title FROM latest")
+def q_latest_stored(spark, sf):
+    """The newest 25 of a week from a store of two batches, read from the dates that hold them."""
+    from presswork.session import scratch_path
+    from presswork.sources.store import append_store, latest_stored
+    a = articles_fx(spark, sf)
+    path = scratch_path(spark, "store")
+    as_of = a.agg(F.max("published_at")).first()[0]
+    for part in (0, 1):
+        append_store(a.filter(f"arrival_id % 2 = {part}"), path)
+    rows = report.latest_n(report.recent_window(latest_stored(spark, path, as_of, "7d", 25), as_of, "7d"), 25)
+    return rows.select("pos", "arrival_id", "published_at", "title")
+
+
+@register("trend_terms_stop_frame", _trend_sql("report", 10, "content").replace(", ".join(O.q(w) for w in R.STOPWORDS_REPORT), "SELECT DISTINCT lower(split_part(text, ' ', 1)) FROM documents"))
+def q_trend_terms_stop_frame(spark, sf):
+    """Trending terms without the first words of the documents, a stop list that grows with the data."""
+    words = table(spark, sf, "documents").select(F.lower(F.substring_index("text", " ", 1)).alias("word"))
+    return trends.trend_terms(articles_fx(spark, sf), "content", report.report_order_key(), "report", 10, stopwords=words)
+
+
 def all_queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 

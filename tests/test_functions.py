@@ -67,6 +67,16 @@ def test_since_column(spark):
     assert val(spark, D.since_hours_col(F.col("x")), rows=[("7d",), ("48 h",), ("3w",)]) == [168, 48, None]
 
 
+def test_written_dates(spark):
+    want = {"Jan 2, 2024 10:00": (2024, 1, 2, 10), "January 2 2024": (2024, 1, 2), "2024/01/02 10:00": (2024, 1, 2, 10), "2 January 2024": (2024, 1, 2),
+            "20240102T100000Z": (2024, 1, 2, 10), "20240102": (2024, 1, 2), "Tue Jan  2 10:00:00 2024": (2024, 1, 2, 10), "Tue Jan  2 10:00:01 UTC 2024": (2024, 1, 2, 10, 0, 1),
+            "Tuesday, January 2, 2024 at 3:04 PM": (2024, 1, 2, 15, 4), "Sep. 3, 2024 12:30 am EST": (2024, 9, 3, 0, 30), "2 Jan 2024, 12:00 PM": (2024, 1, 2, 12),
+            "2024/1/2 10:00:30 +05:30": (2024, 1, 2, 10, 0, 30), " 3 Sept 2024 ": (2024, 9, 3),
+            "01/02/2024": None, "Febtember 2, 2024": None, "Jan 32, 2024": None, "20241301": None, "2024/02/30": None, "Jan 2, 2024 25:00": None, "tomorrow": None, "2024": None}
+    got = val(spark, D.parse_pub_ts(F.col("x")), rows=[(k,) for k in want])
+    assert dict(zip(want, got)) == {k: v and dt.datetime(*v) for k, v in want.items()}
+
+
 def test_dates(spark):
     rows = [("2026-02-15T19:40:00+05:30",), ("Sun, 15 Feb 2026 19:40:00 GMT",), ("15 February 2026 19:40",),
             ("2026-02-15",), ("garbage",), ("2026",), (None,)]

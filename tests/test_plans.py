@@ -100,3 +100,19 @@ def test_many_keywords(spark):
     rules = spark.createDataFrame([(0, "x", k) for k in keywords], "rule_ord int, label string, keyword string")
     got = enrich.rule_match_join(spark.createDataFrame(texts, "id long, t string"), "id", "t", rules).collect()
     assert sorted((r.id, r.keyword) for r in got) == sorted((i, k) for i, t in texts for k in keywords if k in t)
+
+
+def test_stop_words_of_any_size(spark):
+    from presswork.operators import trends
+
+    docs = spark.createDataFrame([(1, "alpha beta beta gamma gamma gamma"), (2, "delta beta alpha")], "id long, t string")
+    rows = lambda s, **kw: [(r.term, r.cnt) for r in trends.trend_terms(docs, "t", ["id"], "report", 10, stopwords=s, **kw).collect()]
+    want = [("beta", 3), ("alpha", 2), ("delta", 1)]
+    assert rows(["gamma", "gamma", None]) == want
+    frame = spark.range(200_000).select(F.concat(F.lit("w"), "id").alias("word")).unionByName(spark.createDataFrame([("gamma",)], "word string"))
+    assert rows(frame) == want
+    assert rows([]) == [("beta", 3), ("gamma", 3), ("alpha", 2), ("delta", 1)]
+    p = plan_of(trends.trend_terms(docs, "t", ["id"], "report", 10, stopwords=frame))
+    assert "LeftAnti" in p and " IN (" not in p and "INSET" not in p
+    kept = trends.stopword_filter(docs.select(F.explode(F.split("t", " ")).alias("term")), frame)
+    assert kept.filter("term = 'gamma'").count() == 0 and kept.count() == 6
