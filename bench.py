@@ -31,6 +31,12 @@ HEADLINE = [
     "rule_match_join",
     "scan_rss",            # render + land + parse feeds
 ]
+#: Timed as well, but not part of the total, which stays comparable with earlier rounds.
+STORE = [
+    "append_store",        # two batches written, published and read
+    "not_stored",          # store, key index, lookup of new links
+    "store_enriched",      # two batches, three enrichments, fold, read
+]
 
 
 def main() -> None:
@@ -42,7 +48,7 @@ def main() -> None:
 
     spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
     out = {}
-    for name in HEADLINE:
+    for name in HEADLINE + STORE:
         fn = registry.QUERIES[name]
         times = []
         for i in range(runs + 1):
@@ -54,7 +60,7 @@ def main() -> None:
         out[name] = round(statistics.median(times), 3)
         print(f"{name}: {out[name]}s {times}", file=sys.stderr)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_total_median", "value": round(sum(out.values()), 3), "unit": "sec",
+    print(json.dumps({"metric": "headline_total_median", "value": round(sum(out[n] for n in HEADLINE), 3), "unit": "sec",
                       "queries": out, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
 
 
