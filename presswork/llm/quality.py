@@ -37,7 +37,8 @@ RULES: dict[str, tuple[str, str]] = {
     "repeated_windows": ("bad", "5 * n_repeat_words > n_words"),
     "repeated_lines": ("bad", "10 * n_dup_lines > 3 * n_lines"),
     "word_after_itself": ("bad", "5 * n_adjacent > n_words"),
-    "few_distinct": ("bad", "10 * n_distinct < 4 * n_words AND n_words BETWEEN 20 AND 1000"),
+    # two in five words, and from 1,000 words on as many as grow with the root of the text's length
+    "few_distinct": ("bad", "10 * n_distinct < 4 * n_words AND n_distinct * n_distinct < 160 * n_words AND n_words >= 20"),
     "capitals": ("bad", "10 * n_upper > 3 * word_chars"),
     "word_length": ("bad", "word_chars < 3 * n_words OR word_chars > 10 * n_words"),
     "no_stop_words": ("bad", "50 * n_stop < n_words AND n_words >= 50"),

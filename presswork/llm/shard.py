@@ -107,14 +107,15 @@ def place(df: DataFrame, tree: HashTree, key: str, out: str) -> DataFrame:
 
 def number(df: DataFrame, shard: str, key: str, ties: list[str], out: str, n_rows: int, n_shards: int,
            rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Gapless row numbers from 0 in each shard, in the order of a hash of the key, then key and ``ties``.
+    """Gapless row numbers from 0 in each shard, in the order of a hash of the key and ``ties``, then these themselves.
 
     The hash range is cut into buckets; a bucket's first number is the count of the rows in the buckets before
-    it, so no task ever sorts a whole shard. Rows that agree in all of these columns may swap their numbers.
+    it, so no task ever sorts a whole shard, nor all rows of one key. Rows that agree in all of these columns may swap
+    their numbers.
     """
     order, bucket, n, start = fresh(df, "_order", "_bucket", "_n", "_start")
     buckets = max(1, math.ceil(n_rows / max(1, n_shards * rows_per_bucket)))
-    keyed = df.withColumn(order, hash52(key_text(F.col(key)), F.lit("slot")))
+    keyed = df.withColumn(order, hash52(F.concat_ws("|", key_text(F.col(key)), *[F.col(t).cast("string") for t in ties]), F.lit("slot")))
     keyed = keyed.withColumn(bucket, F.floor(F.col(order) / F.lit(SPACE) * F.lit(buckets)).cast("long"))
     counts = keyed.groupBy(shard, bucket).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -174,7 +175,7 @@ base AS (
 {descend(tree, 'shard', 'base')},
 {descend(tree.grown(), 'grown_shard', 'shard3')}
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
-  (row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(k || '|slot'), 1, {HEX_DIGITS}))::BIGINT,
+  (row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(k || '|' || size || '|' || text_crc32 || '|slot'), 1, {HEX_DIGITS}))::BIGINT,
     doc_id NULLS FIRST, size, text_crc32) - 1)::BIGINT AS slot,
   grown_shard
 FROM grown_shard3"""

@@ -67,3 +67,13 @@ def test_no_rows_and_rows_kept_whole(docs, no_docs):
 def test_native_plan(docs):
     plan = quality.digest(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_votes_do_not_switch_with_length(spark):
+    """One more word changes no vote; long salads of few words get the same vote as short ones, long prose none."""
+    from presswork.llm import quality
+
+    vote = lambda n, d: spark.createDataFrame([(n, d)], "n_words long, n_distinct long").selectExpr(quality.RULES["few_distinct"][1]).first()[0]
+    for n in (999, 1000, 1001, 1002):
+        assert vote(n, 60) and vote(n, 398) and not vote(n, 402)
+    assert vote(20_000, 60) and vote(20_000, 1_700) and not vote(20_000, 1_900) and not vote(19, 1)

@@ -2,6 +2,7 @@ from collections import Counter
 from zlib import crc32
 
 import pytest
+from pyspark.sql import functions as F
 
 from presswork.llm import shard
 from presswork.llm.registry import SHARD_TREE
@@ -69,3 +70,14 @@ def test_weights(many):
     assert n[2] == 0 and abs(n[0] / 20_000 - 1 / 8) < 0.02 and abs(n[3] / 20_000 - 5 / 8) < 0.02
     with pytest.raises(ValueError):
         shard.place(many, shard.HashTree(((0, 0, 0, 0.0),)), "doc_id", "s")
+
+
+def test_rows_of_one_key_are_numbered_in_many_tasks(spark, tmp_path):
+    """A third of the rows have no key: they share a shard, but no bucket of its slots."""
+    rows = [(None if i % 3 == 0 else i, f"t{i}", "en", "a", 1) for i in range(9_000)]
+    got = shard.shard_rows(frame(spark, tmp_path, rows), SHARD_TREE)
+    few = shard.number(got.drop("slot"), "shard", "doc_id", ["size", "text_crc32"], "slot", 9_000, 40, rows_per_bucket=20)
+    same_rows(few.select(*got.columns), [r.asDict() for r in got.collect()])
+    parts = F.concat_ws("|", shard.key_text(F.col("doc_id")), F.col("size").cast("string"), F.col("text_crc32").cast("string"))
+    hot = got.filter("doc_id IS NULL").select((shard.hash52(parts, F.lit("slot")) / shard.SPACE * 100).cast("int").alias("b")).groupBy("b").count().collect()
+    assert len(hot) == 100 and max(r["count"] for r in hot) < 70
