@@ -12,9 +12,11 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles; doc
 5. The rest: a bucket whose members all lie in one component needs no more pairs. Of the others, members outside
    their bucket's largest component are joined with members of other components by prefixes: sets in order of rarity
    that are similar enough share a shingle early in both, so that only pairs that share one of their rare shingles
-   are compared, and near copies that have only frequent shingles in common never meet. Links found join the
-   components. After this step each pair of nodes that share a bucket is linked, in one component, compared, or
-   proven apart.
+   meet. Of a family of near copies that is a pair of nearly everyone, so the join carries a bitmap of each set: the
+   parities of its shingles in ``PARITIES`` places. Two bitmaps differ in at most as many places as the sets have
+   shingles apart, and pairs that differ in more than similar sets can are proven apart inside the join. Links found
+   join the components. After this step each pair of nodes that share a bucket is linked, in one component, compared,
+   or proven apart.
 
 Only node numbers, band keys and the sets of nodes in shared buckets are shuffled; sets are made anew from the texts
 of those nodes, which a second scan picks out by row number. Buckets and components are aggregated and joined, never
@@ -39,6 +41,8 @@ SEED = 11
 #: Seeded orders of the nodes that band keys choose from for their star's centre.
 ORDERS = 4
 LEAST_AGREEMENT = 0.5
+#: Places of a set's parity bitmap, a multiple of 64.
+PARITIES = 1024
 #: Linked if NUM * union <= DEN * intersection.
 NUM, DEN = 75, 100
 #: Arrow batches of this many bytes keep a Python worker small.
@@ -170,6 +174,14 @@ def _pick(path: str):
     return pick
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set: bit p tells whether an odd number of its shingles fall on place p."""
+    with np.errstate(over="ignore"):
+        place = ((s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(PARITIES)
+    odd = np.bincount(place.astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _full_sets(batches):
     for batch in batches:
         sets = _sets_of(batch)
@@ -179,9 +191,11 @@ def _full_sets(batches):
         own = [sets[i] for i in on]
         flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
         sig = minima(own).view(np.int32)
+        bits = np.concatenate([_parities(s) for s in own]) if own else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array([nodes[i] for i in on], pa.int64()), _list_array(flat, [len(s) for s in own], pa.int64()),
-             _list_array(sig.ravel(), [sig.shape[1]] * len(own), pa.int32())], ["_node", "_set", "_sig"])
+             _list_array(sig.ravel(), [sig.shape[1]] * len(own), pa.int32()), _list_array(bits, [PARITIES // 64] * len(own), pa.int64())],
+            ["_node", "_set", "_sig", "_bits"])
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -211,12 +225,19 @@ def _rest(buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     counts = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("c")).select(F.col("s").alias("cs"), "c")
     place = F.row_number().over(Window.partitionBy("_node").orderBy("c", "s")) - 1
     ranked = shingles.join(counts, F.col("s") == F.col("cs")).withColumn("i", place)
-    ranked = written(ranked.filter((F.col("c") > 1) & (DEN * F.col("i") <= (DEN - NUM) * F.col("n"))), "near-prefixes")
-    y = ranked.filter("_out = 1").select("s", F.col("_node").alias("y"), F.col("_r").alias("ry"), F.col("n").alias("ny"), F.col("i").alias("iy"))
-    x = ranked.select("s", F.col("_node").alias("x"), F.col("_r").alias("rx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
+    ranked = ranked.filter((F.col("c") > 1) & (DEN * F.col("i") <= (DEN - NUM) * F.col("n")))
+    bits = sets.select(F.col("_node").alias("_bnode"), "_bits")
+    ranked = ranked.select("s", "_node", "_r", "_out", "n", "i").join(bits.hint("merge"), F.col("_node") == F.col("_bnode"))
+    ranked = written(ranked.drop("_bnode"), "near-prefixes")
+    y = ranked.filter("_out = 1").select("s", F.col("_node").alias("y"), F.col("_r").alias("ry"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("_bits").alias("by"))
+    x = ranked.select("s", F.col("_node").alias("x"), F.col("_r").alias("rx"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("_bits").alias("bx"))
     # similar sets share at least this many shingles, so the first one they share stands before this many from the end
     least = F.ceil(NUM * (F.col("nx") + F.col("ny")) / (DEN + NUM))
     near = (F.col("rx") != F.col("ry")) & (F.col("iy") <= F.col("ny") - least) & (F.col("ix") <= F.col("nx") - least)
+    # shingles that only one of them has: at most this many, and each place where the bitmaps differ stands for one at least
+    apart = F.col("nx") + F.col("ny") - 2 * least
+    differ = sum((F.bit_count(F.col("bx")[w].bitwiseXOR(F.col("by")[w])) for w in range(PARITIES // 64)), F.lit(0))
+    near = near & (differ <= apart)
     return y.join(x, "s").filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -243,11 +264,12 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     stars = buckets.filter("_node <> _centre").select(F.least("_node", "_centre").alias("a"), F.greatest("_node", "_centre").alias("b"))
     stars = written(stars.distinct(), "near-stars")
 
-    wanted = (base.join(buckets.select("_node").distinct(), "_node", "left_semi").groupBy("_node").agg(F.min("_rid").alias("_rid"))
+    # one row per node before the join, so that many copies of a text are added up where they are read
+    wanted = (base.groupBy("_node").agg(F.min("_rid").alias("_rid")).join(buckets.select("_node").distinct(), "_node", "left_semi")
               .withColumn("part", F.shiftright("_rid", 33).cast("int")))
     texts = df.select(F.monotonically_increasing_id().alias("_rid"), F.col(text).alias("_text"))
     texts = texts.mapInArrow(_pick(by_partition(wanted, "near-wanted")), "_want long, _text string")
-    sets = texts.select("_want", word_hashes(F.col("_text")).alias("_h")).mapInArrow(_full_sets, "_node long, _set array<long>, _sig array<int>")
+    sets = texts.select("_want", word_hashes(F.col("_text")).alias("_h")).mapInArrow(_full_sets, "_node long, _set array<long>, _sig array<int>, _bits array<long>")
     sets = written(sets, "near-sets")
     if sets.count() != buckets.select("_node").distinct().count():
         raise RuntimeError("the documents changed between two scans")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from presswork.llm import neardup
@@ -143,3 +144,40 @@ def test_plan_has_no_all_pairs_join(docs):
     plan = neardup.digest(docs)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert neardup.groups(docs).filter(F.col("_n") < 0).count() == 0
+
+
+def test_bitmaps_never_part_similar_sets():
+    """Places where two bitmaps differ are at most the shingles that one set alone has, for small and for huge sets."""
+    rng = np.random.default_rng(2)
+    for n in (1, 3, 40, 400, 30_000):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for lost in (0, 1, n // 10, n // 2):
+            other = np.sort(np.concatenate([base[lost:], rng.integers(0, 2**63, lost, dtype=np.uint64)]))
+            differ = sum(int(x).bit_count() for x in (neardup._parities(np.sort(base)) ^ neardup._parities(other)).view(np.uint64))
+            assert differ <= len(np.setxor1d(base, other))
+            assert lost or not differ
+    assert neardup._parities(base[:0]).tolist() == [0] * (neardup.PARITIES // 64)
+
+
+def test_a_family_below_the_threshold_makes_few_pairs(spark, tmp_path, monkeypatch):
+    """150 texts that share most words with one base, but hardly any pair of which is similar, share buckets and rare shingles."""
+    rng = random.Random(21)
+    base = words(rng, 150, 9000)
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for j in rng.sample(range(150), 4 if i < 20 else 8):
+            w[j] = f"own{i}x{j}"
+        rows.append((i, " ".join(w), "en", "a", 1))
+    pairs, keep = [], neardup.written
+
+    def spy(df, name):
+        out = keep(df, name)
+        if name == "near-rest":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "written", spy)
+    got = {r.doc_id: r.component_id for r in neardup.digest(frame(spark, tmp_path, rows)).collect()}
+    assert got == {i: c for i, _, c in brute([r[:2] for r in rows])}
+    assert len(set(got.values())) > 50 and pairs[0] < 150 * 149 / 2 / 5
