@@ -42,8 +42,6 @@ FAN_IN = 32
 MAX_DEPTH = 60
 #: A constant is a text that all pages with the slot have, on at least so many different pages and most of the host's.
 MIN_CONSTANT_PAGES = 3
-#: Different pages of a slot that a wrapper remembers, those with the smallest hashes.
-PAGE_SAMPLE = 16
 #: Share of a page's text that the region of a page without article or main element must hold.
 REGION_SHARE = 0.7
 
@@ -291,18 +289,15 @@ def page_wrapper(page: str, shared: set | None = None) -> dict:
         t = SPACE.sub(" ", text).strip()
         if t:
             sums.setdefault(path, []).append((t, link))
-    mark = _page_hash(page)
+    out.setdefault((), {"seq": []})["pages"] = 1
     for path, own in sums.items():
         chars = sum(len(t) for t, _ in own)
         whole = " ".join(t for t, _ in own)
-        out[path]["text"] = [1, chars, sum(len(t) for t, link in own if link), whole if len(whole) <= 200 else None, [mark]]
+        same = hashlib.blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+        out[path]["text"] = [1, chars, sum(len(t) for t, link in own if link), same]
     return out
 
 
-def _sample(*hashes: list[int]) -> list[int]:
-    return sorted({h for own in hashes for h in own})[:PAGE_SAMPLE]
-
-
 def align(a: dict, b: dict) -> dict:
     """The wrapper of the pages of both; ``a`` is changed."""
     for path, node in b.items():
@@ -312,23 +307,26 @@ def align(a: dict, b: dict) -> dict:
             continue
         if own["seq"] != node["seq"]:
             own["seq"] = align_levels(own["seq"], node["seq"])
+        if "pages" in node:
+            own["pages"] = own.get("pages", 0) + node["pages"]
         if "text" in node:
             if "text" in own:
                 x, y = own["text"], node["text"]
-                own["text"] = [x[0] + y[0], x[1] + y[1], x[2] + y[2], x[3] if x[3] == y[3] else None, _sample(x[4], y[4])]
+                own["text"] = [x[0] + y[0], x[1] + y[1], x[2] + y[2], x[3] if x[3] == y[3] else None]
             else:
                 own["text"] = node["text"]
     return a
 
 
 def dumps(wrapper: dict) -> str:
-    return json.dumps([[list(p), n["seq"], n.get("text")] for p, n in sorted(wrapper.items())], ensure_ascii=False, separators=(",", ":"))
+    nodes = [[list(p), n["seq"], n.get("text"), n.get("pages")] for p, n in sorted(wrapper.items())]
+    return json.dumps(nodes, ensure_ascii=False, separators=(",", ":"))
 
 
 def loads(data: str) -> dict:
     out = {}
-    for path, seq, text in json.loads(data):
-        out[tuple(path)] = {"seq": seq} | ({"text": text} if text else {})
+    for path, seq, text, pages in json.loads(data):
+        out[tuple(path)] = {"seq": seq} | ({"text": text} if text else {}) | ({"pages": pages} if pages else {})
     return out
 
 
@@ -380,20 +378,14 @@ def _shut(path: tuple) -> bool:
 
 def open_slots(wrapper: dict) -> dict[tuple, tuple]:
     """By path of the slots outside what is not main text: mean weight on the pages that have it, paths of the regions
-    it lies in, the sums, whether most of the host's different pages have it.
-
-    The pages with the smallest hashes of a host are among the smallest of each slot that they have.
-    """
+    it lies in, the sums, whether most of the host's pages have it."""
     out = {}
-    pages: list[int] = []
-    for n in wrapper.values():
-        if "text" in n:
-            pages = _sample(pages, n["text"][4])
+    pages = wrapper.get((), {}).get("pages", 0)
     for p, n in wrapper.items():
         if "text" in n and not _shut(p):
             t = n["text"]
             out[p] = (max(0, t[1] - 2 * t[2]) / t[0], [p[: i + 1] for i, k in enumerate(p) if _is_region(k)], t,
-                      len(t[4]) >= MIN_CONSTANT_PAGES and 2 * len(set(pages).intersection(t[4])) > len(pages))
+                      t[0] >= MIN_CONSTANT_PAGES and 2 * t[0] > pages)
     return out
 
 
@@ -440,7 +432,9 @@ def kept_slots(wrapper: dict, paths=None, slots: dict | None = None) -> set[tupl
     """
     slots = open_slots(wrapper) if slots is None else slots
     own = slots if paths is None else {p: slots[p] for p in paths if p in slots}
-    roots = _region_roots(own) or [_block_root(own)]
+    # what most pages repeat word for word does not tell where the text is, unless it is an article's
+    firm = {p: x for p, x in own.items() if x[1] or x[2][3] is None or not x[3]} or own
+    roots = _region_roots(firm) or [_block_root(firm)]
     inside = {p: x for p, x in own.items() if any(_below(p, r) for r in roots)}
     prose = lambda p, r: any(_name(k) in HEADINGS or _name(k) in ("p", "pre", "blockquote", "td", "dd", "figcaption") for k in p[len(r):])
     varied = any(x[2][3] is None for x in inside.values())
@@ -534,8 +528,15 @@ def _fold_wrappers(pdf):
     return pdf[["host", "wrapper"]]
 
 
+def different(pages: DataFrame) -> DataFrame:
+    """One row for each page of a host, however many copies ``pages`` (_host, _html, shared) has: what is counted and summed
+    for a slot is over different pages. Copies are told by 128 bits of hashes and reduced where they are read."""
+    marks = [F.xxhash64("_html").alias("_h1"), F.xxhash64(F.lit(1), "_html").alias("_h2")]
+    return pages.select("*", *marks).dropDuplicates(["_host", "_h1", "_h2"]).drop("_h1", "_h2")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) of the hosts in ``pages`` (_host, _html, shared)."""
+    """(host, wrapper) of the hosts in ``pages`` (_host, _html, shared), each row a page."""
     parts = written(pages.mapInArrow(_fold_pages, "host string, wrapper string"), "html-wrappers")
     while True:
         most = parts.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
@@ -580,7 +581,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("_html"), host_of(F.col(url)).alias("_host"))
     words = shared_words(rows.select("_host", "_html"))
     rows = rows.join(words, F.col("_host") == F.col("whost"), "left").drop("whost")
-    found = wrappers(rows.select("_host", "_html", "shared"))
+    found = wrappers(different(rows.select("_host", "_html", "shared")))
     joined = rows.join(found, F.col("_host") == F.col("host"), "left").select("_key", "_url", "_html", "_host", "shared", "wrapper")
     kind = rows.schema["_key"].dataType.simpleString()
     out = joined.mapInArrow(_extract, f"_key {kind}, _url string, text string, n_chars long")

@@ -23,7 +23,7 @@ def site(i):
 
 def wrapped(pages):
     w = None
-    for p in pages:
+    for p in dict.fromkeys(pages):
         w = H.align(w, H.page_wrapper(p)) if w else H.page_wrapper(p)
     return w
 
@@ -155,6 +155,22 @@ def test_copies_of_a_page_make_no_constants():
     assert got.endswith("Our terms.\nSource one\nSource two")
 
 
+def test_constants_of_any_length_counted_over_all_pages(spark, tmp_path):
+    """A notice on most of a host's different pages goes, short or long; one on fewer stays, however often these are stored."""
+    page = lambda host, i, more: f"<body><div class=wrap><p>{f'Text {i} of {host} goes on. ' * 20}</p>{more}</div></body>"
+    notice = {f"n{n}": "<div>" + ("terms " * n)[: n - 1] + ".</div>" for n in (150, 250, 5000)}
+    rows = [(host, page(host, i, box)) for host, box in notice.items() for i in range(6)]
+    box = "<div>A boxed remark.</div>"
+    rows += [("most", page("most", i, box if i < 31 else "")) for i in range(60)]
+    rows += [("few", page("few", i, box if i < 29 else "")) for i in range(60)]
+    rows += [("copies", page("copies", 0, box))] * 70 + [("copies", page("copies", i, "")) for i in range(1, 6)]
+    df = frame(spark, tmp_path, [(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(rows)], "page_id long, url string, html string", parts=5)
+    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    for i, (host, p) in enumerate(rows):
+        told = p.split("<p>")[1].split("</p>")[0].strip()
+        assert got[i] == (f"{told}\nA boxed remark." if box in p and host in ("few", "copies") else told), (host, i)
+
+
 @pytest.mark.parametrize("attributes", ["class='col col-md-4 order-2 mt-3 sidebar'", "class='a b c d' id='comments'", "class='a b c d e f advert g'"])
 def test_every_class_word_and_the_id_tell_main_text_apart(attributes):
     page = f"<body><article><p>The text itself, which is long enough.</p><div {attributes}><p>Not the text.</p></div></article></body>"
