@@ -854,6 +854,34 @@ def q_quarantine_entries(spark, sf):
     return both.groupBy("source").agg(F.sum("m").cast("bigint").alias("malformed"), F.count(F.lit(1)).alias("entries"))
 
 
+def _land_archive(spark, feeds) -> str:
+    """Rendered feeds as a few files per source, each with many feed documents."""
+    from presswork.session import scratch_path
+    path = scratch_path(spark, "archive")
+    feeds.coalesce(2).select("source", "xml").write.partitionBy("source").text(path)
+    return path
+
+
+@register("feed_archive", _with(O.ARTICLES_FX, _ingested_sql("date_trunc('second', published_at)")) + "SELECT * FROM ingested")
+def q_feed_archive(spark, sf):
+    """Feeds in a few large files, split by bytes between entries."""
+    from presswork.sources import feeds as FD
+    parsed = FD.read_feed_archive(spark, _land_archive(spark, FD.render_rss_feeds(articles_fx(spark, sf))))
+    return FD.items_to_articles(parsed.filter("reason IS NULL")).select(
+        F.col("guid").cast("bigint").alias("arrival_id"), "source", "title", "url", "published_at", "content")
+
+
+@register("feed_archive_entries", _with(O.ARTICLES_FX) + """SELECT source, CASE WHEN arrival_id % 5 = 0 THEN 'malformed entry' END AS reason,
+  count(*) AS entries FROM articles GROUP BY 1, 2""")
+def q_feed_archive_entries(spark, sf):
+    """Atom archives in which every fifth entry is not well-formed, loaded and quarantined by one parse."""
+    from presswork.sources import feeds as FD
+    a = articles_fx(spark, sf).withColumn("title", F.when(F.col("arrival_id") % 5 == 0, F.lit("@@broken@@")).otherwise(F.lit("fine")))
+    feeds = FD.render_atom_feeds(a.withColumn("content", F.lit(None).cast("string")))
+    feeds = feeds.withColumn("xml", F.replace("xml", F.lit("@@broken@@</title>"), F.lit("broken</titel>")))
+    return FD.read_feed_archive(spark, _land_archive(spark, feeds), "atom").groupBy("source", "reason").agg(F.count(F.lit(1)).alias("entries"))
+
+
 @register("ingest_rerun_inserts", _with(O.ARTICLES_FX, _ingested_sql("published_at")) + """SELECT 1 AS run,
   CAST(count(DISTINCT url) AS BIGINT) AS inserted FROM ingested
 UNION ALL SELECT 2 AS run, CAST(0 AS BIGINT) AS inserted""")

@@ -7,6 +7,8 @@ built-in ``from_xml`` under an explicit all-string schema. Documents that
 do not parse are *quarantined* (returned as a separate frame) instead of
 failing the job; well-formed documents in the same run still load.
 
+Archives, files too large for one task, are read by :func:`read_feed_archive`, which splits them between entries.
+
 Layout: ``<landing>/<source>/<file>`` or ``<landing>/source=<source>/<file>``;
 the source name comes from the folder. A ``sources`` registry
 (``name, url, source_ord``) gives the order in which sources arrive; sources
@@ -134,6 +136,46 @@ def scan_atom(docs: DataFrame) -> DataFrame:
     return _items(docs, "atom", ENTRY_RE, ATOM_ENTRY_SCHEMA, _atom_columns)
 
 
+def read_feed_archive(spark: SparkSession, path: str, kind: str = "rss", prefix: str = "") -> DataFrame:
+    """Entries of feed files of any size, each parsed once, loaded or quarantined; the columns of :func:`parse_feeds`.
+
+    Files are split by bytes like any text: a record runs from one ``<item`` (``<entry`` of Atom) to the next, so that a
+    file of many gigabytes is read by many tasks, each of which holds one entry at a time. ``doc_ord`` is the byte where an
+    entry's split begins and ``entry_ord`` rises within it, so that :data:`ARRIVAL_ORDER` is the order of the file.
+    ``kind``: ``rss`` or ``atom``; ``prefix``: that of the element names, as ``atom`` in ``<atom:entry>``.
+
+    What lies before the first entry and after an entry's end tag is no entry and not looked at; the feed document around
+    the entries need not be closed. An entry without its end tag (a cut file, or an opening tag inside its text) and one
+    that is not well-formed are rows with a ``reason``. Empty files give no rows, nor does a path with nothing landed;
+    repeated entries stay.
+    """
+    if kind not in ("rss", "atom"):
+        raise ValueError(f"unknown feed kind {kind!r}; expected 'rss' or 'atom'")
+    rss = kind == "rss"
+    mark = f"{prefix}:" if prefix else ""
+    opening = f"<{mark}{'item' if rss else 'entry'}"
+    if path_exists(spark, path):
+        records = spark.read.option("recursiveFileLookup", "true").option("lineSep", opening).text(path)
+        records = records.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("doc_ord"), "value")
+    else:
+        records = spark.createDataFrame([], "file_path string, doc_ord bigint, value string")
+    # the rest of an opening tag; other names that begin alike (<items>) go on with a letter
+    records = records.withColumn("entry_ord", F.monotonically_increasing_id()).filter(F.col("value").rlike(r"^(\s[^<>]*)?>"))
+    bare = F.concat(F.lit(opening), F.col("value"))
+    if prefix:
+        bare = F.regexp_replace(bare, f"(</?){prefix}:", "$1")
+    x = F.nullif(F.regexp_extract(bare, "^" + (ITEM_RE if rss else ENTRY_RE), 0), F.lit(""))
+    parsed = records.select("file_path", "doc_ord", "entry_ord", "value", x.alias("x"))
+    parsed = parsed.withColumn("r", F.from_xml("x", RSS_ITEM_SCHEMA if rss else ATOM_ENTRY_SCHEMA, XML_OPTS))
+    r = F.col("r")
+    reason = F.when(F.col("x").isNull(), "entry without an end").when(r["_corrupt_record"].isNotNull(), "malformed entry")
+    fields = (_rss_columns if rss else _atom_columns)(r)
+    return parsed.select(
+        source_from_path(F.col("file_path")).alias("source"), "file_path", "doc_ord", "entry_ord", F.lit(kind).alias("kind"),
+        *[F.when(reason.isNull(), c).alias(n) for n, c in fields.items()], reason.alias("reason"),
+        F.when(reason.isNotNull(), F.xxhash64("value")).alias("content_hash"))
+
+
 def scan_feeds(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(items, quarantined)`` for every landed feed file under ``path``, from one parse that is kept."""
     parsed = parse_feeds(read_feed_files(spark, path))

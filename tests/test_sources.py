@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 
 from presswork.operators.robots import robots_allowed, rules_frame
 from presswork.sources import feeds as FD
@@ -198,6 +199,52 @@ def test_malformed_entries_are_quarantined_alone(spark, tmp_dir):
     assert [(r.entry_ord, r.reason) for r in bad.collect()] == [(2, "malformed entry")] and items.count() == 3
 
 
+RSS_ARCHIVE = """\n<?xml version="1.0"?><rss version="2.0"><channel><items><li/></items>%s</channel></rss>\n<rss><channel><item><title>next</title>
+<link>https://e.example/n</link></item></channel></rss><rss><channel><item><title>cut</title><link>https://e.example/c"""
+
+
+def archive_item(i):
+    end = "</titel>" if i == 3 else "</title>"
+    body = "<![CDATA[a </item> b]]>" if i == 4 else "x" * (i % 7)
+    return f'<item rdf:about="u{i}"><title>t{i}{end}<link>https://e.example/{i}</link><description>{body}</description></item>\n'
+
+
+@pytest.mark.parametrize("split", [64, 300, 1 << 20])
+def test_archive_is_split_between_entries(spark, tmp_dir, split):
+    n = 60
+    land(f"{tmp_dir}/s", "big.xml", RSS_ARCHIVE % "".join(archive_item(i) for i in range(n)))
+    land(f"{tmp_dir}/s", "empty.xml", "")
+    conf = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = FD.read_feed_archive(spark, str(tmp_dir))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        rows = out.orderBy("file_path", "doc_ord", "entry_ord").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert [r.title for r in rows] == [None if i == 3 else f"t{i}" for i in range(n)] + ["next", None]
+    assert {i: r.reason for i, r in enumerate(rows) if r.reason} == {3: "malformed entry", n + 1: "entry without an end"}
+    assert rows[4].summary_raw.strip() == "a </item> b" and rows[5].source == "s"
+    assert (len({r.doc_ord for r in rows}) > 3) == (split < 1000)
+
+
+def test_archive_gives_what_whole_files_give(spark, tmp_dir):
+    atom = "<atom:feed><atom:entry><atom:title>%s</atom:title><atom:link href='https://e.example/1'/></atom:entry></atom:feed>"
+    land(f"{tmp_dir}/a", "1.xml", atom % "one" + atom % "two" + atom % "two")
+    whole, _ = FD.scan_feeds(spark, str(tmp_dir))
+    split = FD.read_feed_archive(spark, str(tmp_dir), "atom", prefix="atom").filter("reason IS NULL")
+    cols = ["source", "kind", *FD.ITEM_COLUMNS]
+    assert sorted(split.select(cols).collect(), key=str) == sorted(whole.select(cols).collect(), key=str)
+    assert split.count() == 3
+    assert FD.read_feed_archive(spark, f"{tmp_dir}/none").count() == 0
+    with pytest.raises(ValueError):
+        FD.read_feed_archive(spark, str(tmp_dir), "html")
+
+
 def test_html_links_live_anchors_only(spark):
     html = ('<!-- <a href="/c">commented</a> --><script>var x = \'<a href="/s">script</a>\';</script><style><a href="/t">t</a></style>'
             '<a data-href="/wrong" href="/right">Right</a><a data-href="/none">No href</a><a data-class="x" class="y" href="/z">Z</a>')
