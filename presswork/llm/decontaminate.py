@@ -146,7 +146,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
     """The documents that are not contaminated, with their columns.
 
     The verdict depends on the text alone, so contaminated texts are known by two 64-bit hashes and no copy of the
-    documents is written.
+    documents is written. Null and empty texts have no words and stay; null and empty benchmark texts are no items;
+    very long texts are searched whole; repeated rows go or stay together; an empty table gives an empty result, an empty
+    benchmark leaves all rows; other columns, whatever their names, come back as they are.
     """
     one, two, bad_one, bad_two = fresh(docs, "_h1", "_h2", "_b1", "_b2")
     hashed = docs.withColumn(one, F.xxhash64(text)).withColumn(two, F.xxhash64(F.lit(1), text))

@@ -137,7 +137,11 @@ def plan(df: DataFrame, key: str = "doc_id", source: str = "source", size: Colum
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` as often as :func:`plan` takes them, with the columns of ``df``."""
+    """The rows of ``df`` as often as :func:`plan` takes them, with the columns of ``df``.
+
+    A null or empty text has size 0, and its rows are taken no more often than :func:`plan` says; a null source is a
+    source of its own, the last; rows that agree in key, source and size are taken equally often, so that repeated rows
+    stay together; an empty table gives an empty result; other columns, whatever their names, come back as they are."""
     size, times, pkey, psource, psize, i = fresh(df, "_msize", "_times", "_pkey", "_psource", "_psize", "_i")
     taken = (plan(df, key, source, text=text, **options)
              .select(F.col(key).alias(pkey), F.col(source).alias(psource), F.col("size").alias(psize), F.col("times").alias(times))

@@ -157,7 +157,11 @@ def digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``df`` that pass, with its columns. The counts are made once for the model and again for the
-    verdicts, so that no copy of the texts is written."""
+    verdicts, so that no copy of the texts is written.
+
+    Null, empty and blank texts have no words and go; very long texts are judged whole; repeated rows are counted and
+    judged one by one and go or stay together, as rows with equal texts do; an empty table gives an empty result; other
+    columns, whatever their names, come back as they are, and only the text is read for the verdict."""
     packed = df.select(F.struct(*df.columns).alias("_row"))
     model = fit(counts(packed, F.col("_row")[text]))
     return judge(counts(packed, F.col("_row")[text]), model).filter("kept").select("_row.*")
