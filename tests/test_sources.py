@@ -310,7 +310,6 @@ def test_many_batches_and_partitions_keep_ids_apart(spark, tmp_dir):
 
 
 def test_checkpoint_folder_is_needed_on_a_cluster():
-    import pytest
 
     from presswork.session import ensure_checkpoint_dir
 
