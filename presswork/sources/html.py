@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.functions._util import col_of, lit_str
-from presswork.functions.text import clean_whitespace, unescape_if_needed
+from presswork.functions.text import clean_whitespace, html_unescape
 from presswork.functions.urls import canonicalize_url, dedupe_key, get_domain, resolve_link
 
 # attributes: everything up to a '>' that is not in a quoted value
@@ -36,7 +36,7 @@ def anchor_text(inner) -> Column:
     """Visible text of an element: markup -> ' ', entities decoded, whitespace cleaned."""
     x = F.regexp_replace(col_of(inner), lit_str(COMMENT_RE), F.lit(" "))
     x = F.regexp_replace(x, lit_str(MARKUP_RE), F.lit(" "))
-    return clean_whitespace(unescape_if_needed(x))
+    return clean_whitespace(html_unescape(x))
 
 
 def _selector_filter(attrs: Column, selector: str) -> Column | None:
@@ -67,7 +67,7 @@ def scan_html_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     # the anchor without its tag: what comes before the text is as long as the tag's name, attributes and two brackets
     inner = F.substr("_a", F.char_length("_attrs") + 4)
     return a.select(F.col(id_col), *keep, "page_url", F.col("link_ord").cast("bigint").alias("link_ord"),
-                    unescape_if_needed(href).alias("href"), anchor_text(inner).alias("title"))
+                    html_unescape(href).alias("href"), anchor_text(inner).alias("title"))
 
 
 def links_to_items(links: DataFrame, source: str | Column = "html", source_ord: int | Column = 0) -> DataFrame:

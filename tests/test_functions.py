@@ -194,3 +194,28 @@ def test_two_digit_years(spark):
              "15 Feb 2026 01:02": "2026-02-15 01:02:00", "15 Feb 126 01:02": None}
     got = {r.s: r.t for r in spark.createDataFrame([(c,) for c in cases], "s string").select("s", parse_wall_clock("s").cast("string").alias("t")).collect()}
     assert got == cases
+
+
+def test_references_decoded_as_the_standard_library_does(spark):
+    import html
+    import html.entities as entities
+    import random
+
+    rng = random.Random(7)
+    parts = [*"&#;xX0169aAmplgtnoq \t\n<>é😀", "&amp;", "&lt", "&gt;", "&#x41", "&not", "&notin;", "&#38;"]
+    rows = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 20))) for _ in range(3000)]
+    rows += [f"a&{n}z;" for n in entities.html5] + [f"&#{n};" for n in [*range(0x180), *range(0xD7FE, 0xE002), 0xFDD0, 0xFEFF, 0xFFFE, 0x10FFFF, 0x110000]]
+    rows += ["&#00000000065;", "&#xFFFFFFFFFFFFFFFFFFFF;", "&#99999999999", "&", "&&amp;amp;", ""]
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, s string").select("i", T.html_unescape("s").alias("u")).collect()
+    assert {r.i: r.u for r in got} == {i: html.unescape(s) for i, s in enumerate(rows)}
+
+
+def test_texts_are_cleaned_in_the_jvm_and_once(spark):
+    """No text goes to Python, and a nested text is not evaluated again for every use of it."""
+    from presswork.operators.enrich import enrich_b
+
+    df = spark.createDataFrame([(1, "t", "a &amp; b")], "arrival_id int, title string, content string")
+    plan = enrich_b(df).select("arrival_id", "summary")._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
+    assert plan.count("&#;x") <= 2
+    assert enrich_b(df).first().summary == "a & b"
