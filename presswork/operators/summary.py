@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,13 +27,26 @@ from presswork.functions.text import clean_whitespace, tokens_alnum
 from presswork.rules import SUMMARY_LINES
 
 NO_WORD_SENTENCES = 3
+#: Bytes of sentences and tokens that a Python worker gets at once; a batch of one row may be larger.
+BATCH_BYTES = 8 << 20
+#: Shuffle partitions for each scan partition where texts are cut into rows of tokens.
+TOKEN_PARTITIONS = 16
+
+
+def _bound_batches() -> None:
+    """Arrow batches of the session are at most ``BATCH_BYTES``, whatever the number and length of the texts."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def term_freq(df: DataFrame, id_col: str, text_col: str, min_len: int = 3) -> DataFrame:
     """Per-document token frequency ``(id, term, cnt)`` and the document maximum ``max_cnt``."""
     toks = df.select(F.col(id_col), tokens_alnum(clean_whitespace(F.col(text_col)), min_len).alias("_terms"))
-    # one exchange by id; the count and the maximum both run on it
-    toks = toks.repartition(id_col).select(id_col, F.explode("_terms").alias("term"))
+    # one exchange by id; the count and the maximum both run on it. Its partitions grow in number with the scan's, so that
+    # a task's tokens do not grow with the table
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, TOKEN_PARTITIONS * df.rdd.getNumPartitions())
+    toks = toks.repartition(parts, id_col).select(id_col, F.explode("_terms").alias("term"))
     tf = toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("cnt"))
     return tf.withColumn("max_cnt", F.max("cnt").over(Window.partitionBy(id_col)))
 
@@ -79,6 +92,7 @@ def top_sentences(sentences: Column, k: int) -> Column:
     def places(tokens: pa.Array) -> pa.Array:
         return pa.array([x.tolist() for x in _best(_whole(tokens), k)], pa.list_(pa.int32()))
 
+    _bound_batches()
     return places(_sentence_tokens(sentences))
 
 
@@ -92,6 +106,7 @@ def extractive(c, max_lines: int = SUMMARY_LINES) -> Column:
             out.append("\n".join(own[i] for i in sorted(best)).strip(" ") if len(best) else " ".join(own[:NO_WORD_SENTENCES]))
         return pa.array(out, pa.string())
 
+    _bound_batches()
     sentences = _sentences(clean_whitespace(col_of(c)))
     return summary(sentences, _sentence_tokens(sentences))
 
