@@ -284,11 +284,12 @@ def _bundle(articles: DataFrame, element: Column, chunk: int, head, tail: Column
     return g.select("source", "chunk_id", F.concat(head(F.col("source")), body, tail).alias("xml"))
 
 
-def land_feeds(feeds: DataFrame, path: str) -> None:
-    """Write rendered feeds as ``<path>/source=<name>/chunk=<zero-padded>/part-*`` files.
+def land_feeds(feeds: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """Write rendered feeds as ``<path>/source=<name>/chunk=<zero-padded>/part-*`` files, below a folder for each value
+    of the columns ``by``.
 
     One bounded feed document per folder; path order = (source, chunk) order,
     i.e. landing (arrival) order.
     """
     (feeds.withColumn("chunk", F.lpad(F.col("chunk_id").cast("string"), 12, "0"))
-     .select("source", "chunk", "xml").write.mode("append").partitionBy("source", "chunk").text(path))
+     .select(*by, "source", "chunk", "xml").write.mode("append").partitionBy(*by, "source", "chunk").text(path))
