@@ -198,16 +198,20 @@ def source_registry(spark: SparkSession, sources: list[tuple[str, str, str]] = R
     return spark.createDataFrame(rows, "kind string, name string, url string, link_tag string, source_ord int")
 
 
-def items_to_articles(items: DataFrame, sources: DataFrame | None = None, dates: str = "wall_clock") -> DataFrame:
+def items_to_articles(items: DataFrame, sources: DataFrame | None = None, dates: str = "wall_clock", beside: tuple[str, ...] = ()) -> DataFrame:
     """Feed items -> article rows (live ingest rules).
 
     Drops entries with empty title or link; canonical URL and its domain;
     publication time (``wall_clock``: zone dropped; ``utc``: ISO converted to
     UTC); key from the full cleaned title; content = tags stripped, cleaned,
     cut at 8000 ('' -> NULL). Arrival order: :data:`ARRIVAL_ORDER`.
+
+    ``beside``: further columns of ``items`` that go along; rows with a value in the first of them (quarantined ones with
+    their reason) are kept without a title or link too.
     """
     x = items.withColumn("title", clean_whitespace(F.col("title"))).withColumn("link", F.trim(F.coalesce("link", F.lit(""))))
-    x = x.filter((F.col("title") != "") & (F.col("link") != ""))
+    required = (F.col("title") != "") & (F.col("link") != "")
+    x = x.filter(required | F.col(beside[0]).isNotNull() if beside else required)
     if sources is not None:
         # no forced broadcast: AQE broadcasts the registry when its runtime size is
         # under the threshold (a handful of configured sources) and shuffles otherwise
@@ -233,7 +237,7 @@ def items_to_articles(items: DataFrame, sources: DataFrame | None = None, dates:
         F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("category"),
         F.lit(None).cast("string").alias("severity"), F.lit(None).cast("string").alias("soc_action"),
         dedupe_key(F.col("title"), F.col("domain"), F.col("published_at")).alias("dedupe_key"),
-        "listed", F.col("source_ord").cast("int").alias("source_ord"), "file_path", "doc_ord", "entry_ord", "guid",
+        "listed", F.col("source_ord").cast("int").alias("source_ord"), "file_path", "doc_ord", "entry_ord", "guid", *beside,
     )
 
 

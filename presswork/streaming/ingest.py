@@ -83,19 +83,20 @@ def ingest_batch(spark: SparkSession, store_path: str, files: DataFrame | None =
     frames, quarantined = [], 0
     admitted = None if sources is None else admitted_sources(sources, robots)
     if files is not None:
-        parsed = _kept(parse_feeds(files), "parsed-feeds")
+        # what loads and what does not is written once, as articles
+        parsed = _kept(items_to_articles(parse_feeds(files), sources, dates, beside=("reason", "content_hash")), "parsed-feeds")
         quarantined = _quarantine(parsed.filter("reason IS NOT NULL"), store_path)
-        items = parsed.filter("reason IS NULL")
+        items = parsed.filter("reason IS NULL").drop("reason", "content_hash")
         if sources is not None and robots is not None:
             shut = sources.join(admitted.select("name"), "name", "left_anti").select(F.col("name").alias("_shut")).distinct()
             items = items.join(shut, F.col("source") == F.col("_shut"), "left_anti")
-        frames.append(items_to_articles(items, sources, dates))
+        frames.append(items)
     if pages is not None:
         allowed = pages if robots is None else robots_filter(pages, robots)
-        frames.append(page_items(allowed, sources=sources))
+        frames.append(_kept(page_items(allowed, sources=sources), "parsed-pages"))
     if not frames:
         raise ValueError("nothing to ingest")
-    batch = _kept(union_sources(*frames), "parsed")
+    batch = union_sources(*frames)
     fresh = new_articles(batch, None, mode, ORDER, absent=lambda rows, key: not_stored(rows, store_path, key))
     inserted = insert_batch(fresh, store_path, ORDER)
     return Ingested(ingest_counts(batch, inserted), quarantined)

@@ -35,3 +35,16 @@ def test_texts_take_part_in_one_join(spark, tmp_dir):
     got = sorted((r.content, r.url, str(r.published_at)) for r in a.collect())
     days = ("2024-01-01 00:00:00", "2024-01-02 00:00:00")
     assert got == sorted([(t, u, d) for t in "ab" for u in ("u1", "u2") for d in days] + [("c", None, "None"), ("d", None, "None")])
+
+
+def test_ingest_writes_what_it_parsed_once(spark, tmp_dir, monkeypatch):
+    from presswork.streaming import ingest
+
+    names, kept = [], ingest._kept
+    monkeypatch.setattr(ingest, "_kept", lambda df, name: (names.append(name), kept(df, name))[1])
+    item = "<item><title>{0}</title><link>https://x.example/{0}</link></item>"
+    body = "<rss><channel>" + item.format("a") + "<item><title>no link</title></item><item><title>bad</titel></item></channel></rss>"
+    files = spark.createDataFrame([("/l/s/f.xml", body), ("/l/s/g.xml", "<rss>cut")], "file_path string, body string")
+    done = ingest.ingest_batch(spark, f"{tmp_dir}/store", files)
+    assert [(r.source, r["items"], r.inserted) for r in done.counts.collect()] == [("s", 1, 1)] and done.quarantined == 2
+    assert names == ["parsed-feeds", "quarantine"]
