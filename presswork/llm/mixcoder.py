@@ -38,8 +38,8 @@ HEAD_SIZE, SEGMENT_SIZE = struct.calcsize(HEAD), struct.calcsize(SEGMENT)
 MARK, SEGMENT_MARK = b"TKB2", b"TKS2"
 WORD = np.uint64(1 << 32)
 LOW32 = np.uint64(0xFFFFFFFF)
-#: Confidence after a miss.
-LESS = np.array([0, 0, 1, 1, 2, 2, 3, 3])
+#: Multipliers of the hashed contexts, modulo 2^32.
+HASH_LAST, HASH_BEFORE = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
 class Prior:
@@ -70,61 +70,98 @@ class Prior:
         return Prior(np.cumsum(x[0]), x[1])
 
     def inverse(self) -> np.ndarray:
-        return np.repeat(self.ids, self.freq)
+        return np.repeat(self.ids.astype(np.uint16), self.freq)
 
 
 class Model:
-    """The orders' tables and the mixing weights of blocks side by side; row 0 is order 2, row 1 is order 1."""
+    """The orders' tables and the mixing weights of blocks side by side; row 0 is order 2, row 1 is order 1.
+
+    Choices are made by arithmetic on masks rather than by ``np.where``, whose branches are mispredicted here."""
 
     def __init__(self, lanes: int):
         lane = np.arange(lanes, dtype=np.int64)
         self.slot0 = np.stack((lane * SLOTS, (lanes + lane) * SLOTS))
-        self.weight0 = np.stack((lane * CONTEXTS, (lanes + lane) * CONTEXTS))
+        self.weight0 = lane * CONTEXTS
         self.table = np.zeros(2 * lanes * SLOTS, np.int32)  # id * 8 + confidence
-        self.weight = np.full(2 * lanes * CONTEXTS, 1 << 14, np.int32)  # of 2^16
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.weight = np.full(lanes * CONTEXTS, (1 << 14) * 0x10001, np.uint32)  # of 2^16: order 2 low, order 1 high
+        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.n = lanes
 
     def cut(self, lanes: int) -> None:
         """Go on with the first blocks only."""
         if lanes != self.n:
             self.n = lanes
-            self.slot0, self.weight0 = self.slot0[:, :lanes], self.weight0[:, :lanes]
+            self.slot0, self.weight0 = self.slot0[:, :lanes], self.weight0[:lanes]
             self.last, self.before = self.last[:lanes], self.before[:lanes]
 
     def predict(self) -> None:
         """Sets the predicted ids (guess) and where order 1 and order 0 begin in the distribution."""
-        at = np.empty((2, self.n), np.int64)
-        h = self.last * 0x9E3779B1
-        np.right_shift(h, 16, out=at[1])
-        h += self.before * 0x85EBCA6B
-        np.right_shift(h, 18, out=at[0])
-        at &= SLOTS - 1
-        at += self.slot0
-        self.at = at
-        self.entry = self.table.take(at, mode="clip")
+        h = np.empty((2, self.n), np.uint32)
+        np.multiply(self.last, HASH_LAST, out=h[1])
+        np.multiply(self.before, HASH_BEFORE, out=h[0])
+        h[0] += h[1]
+        h[0] >>= 18
+        h[1] >>= 16
+        h &= SLOTS - 1
+        self.at = self.slot0 + h.view(np.int32)
+        self.entry = self.table.take(self.at, mode="clip")
         self.guess = self.entry >> 3
         self.sure = self.entry & 7
         same = self.guess[0] == self.guess[1]
-        k = (self.sure[0] << 4) + (self.sure[1] << 1) + same
-        self.k = self.weight0 + k
-        self.p = self.weight.take(self.k, mode="clip")
-        p = np.minimum(np.maximum(self.p, 64), 61440).astype(np.int64)
-        self.one = p[0] << (MIX_BITS - 16)
-        share = ((MIX - self.one) * p[1]) >> 16
-        share[same] = 0
+        self.k = self.weight0 + ((self.sure[0] << 4) + (self.sure[1] << 1) + same)
+        both = self.weight.take(self.k, mode="clip")
+        self.p = np.empty((2, self.n), np.int32)
+        np.bitwise_and(both, 0xFFFF, out=self.p[0].view(np.uint32))
+        np.right_shift(both, 16, out=self.p[1].view(np.uint32))
+        p = np.maximum(self.p, 64)
+        np.minimum(p, 61440, out=p)
+        p[1] *= ~same
+        one = p[0] << (MIX_BITS - 16)
+        share = (MIX - one).astype(np.int64)
+        share *= p[1]
+        share >>= 16
+        self.one = one.astype(np.int64)
         self.zero = self.one + share
         self.room = MIX - self.zero
 
+    def interval(self, prior: Prior, x: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, size) of the ids ``x`` in the distribution."""
+        begin = prior.begin.take(x, mode="clip")
+        end = prior.end.take(x, mode="clip")
+        for edge in (begin, end):
+            edge *= self.room
+            edge >>= PRIOR_BITS
+            edge += self.zero
+        # order 2 stands at [0, one), order 1 at [one, zero)
+        first = hit[0]
+        plain = ~(first | hit[1])
+        begin *= plain
+        begin += (hit[1] & ~first) * self.one
+        end *= plain
+        end += first * self.one
+        end += (hit[1] & ~first) * self.zero
+        return begin, end - begin
+
     def update(self, x: np.ndarray, hit: np.ndarray) -> None:
+        """``x`` are the ids (32 bits) that came, ``hit`` tells which orders predicted them."""
+        hits = hit.astype(np.int32)
         p = self.p
-        change = (np.where(hit, 65535, 0).astype(np.int32) - p) >> RATE
-        change[1][hit[0]] = 0
-        self.weight[self.k] = p + change
+        change = hits * 65535
+        change -= p
+        change >>= RATE
+        change[1] *= ~hit[0]
+        p += change
+        p[1] <<= 16
+        self.weight[self.k] = (p[0] | p[1]).view(np.uint32)
         sure = self.sure
-        missed = np.where(sure == 0, (x << 3) + 1, (self.guess << 3) + LESS[sure])
-        self.table[self.at] = np.where(hit, self.entry + (sure < 7), missed)
-        self.before, self.last = self.last, x
+        # a hit adds 1 up to 7, a miss halves; where nothing was sure the new id stands with confidence 1
+        less = (sure >> 1) - sure
+        hits *= (sure < 7) - less
+        less += hits
+        less += self.entry
+        less += (sure == 0) * ((x << 3) + 1 - less)
+        self.table[self.at] = less
+        self.before, self.last = self.last, x.view(np.uint32)
 
 
 def segments(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES):
@@ -154,14 +191,10 @@ def _encode(ids: np.ndarray, prior: Prior, block: int) -> list[bytes]:
                 m.cut(n - 1)
             if not m.n:
                 break
-            x = steps[t, : m.n].astype(np.int64)
+            x = steps[t, : m.n].astype(np.int32)
             m.predict()
             hit = m.guess == x
-            room = m.room
-            begin = m.zero + ((room * prior.begin.take(x)) >> PRIOR_BITS)
-            size = m.zero + ((room * prior.end.take(x)) >> PRIOR_BITS) - begin
-            begin = np.where(hit[0], 0, np.where(hit[1], m.one, begin))
-            size = np.where(hit[0], m.one, np.where(hit[1], m.zero - m.one, size))
+            begin, size = m.interval(prior, x, hit)
             lo, wi = low[: m.n], width[: m.n]
             wi >>= np.uint64(MIX_BITS)
             lo += wi * begin.view(np.uint64)
@@ -232,20 +265,20 @@ def decode(prior: Prior, blocks: list[bytes]) -> np.ndarray:
             m.cut(int(ends[t]))
             lo, wi, co = low[: m.n], width[: m.n], code[: m.n]
             m.predict()
-            room = m.room
             wi >>= np.uint64(MIX_BITS)
             value = np.minimum((co - lo) // wi, np.uint64(MIX - 1)).view(np.int64)
-            two = value < m.one
-            one = value < m.zero
             v = np.maximum(value - m.zero, 0)
             # below 2^49, so that a quotient of doubles has the right whole part
-            part = (((v + 1) << PRIOR_BITS) - 1) / room
-            plain = inverse.take(part.astype(np.int64), mode="clip")
-            x = np.where(two, m.guess[0], np.where(one, m.guess[1], plain))
-            begin = m.zero + ((room * prior.begin.take(x)) >> PRIOR_BITS)
-            size = m.zero + ((room * prior.end.take(x)) >> PRIOR_BITS) - begin
-            begin = np.where(two, 0, np.where(one, m.one, begin))
-            size = np.where(two, m.one, np.where(one, m.zero - m.one, size))
+            v += 1
+            v <<= PRIOR_BITS
+            v -= 1
+            x = inverse.take((v / m.room).astype(np.int64), mode="clip").astype(np.int32)
+            two = value < m.one
+            one = (value < m.zero) & ~two
+            x += one * (m.guess[1] - x)
+            x += two * (m.guess[0] - x)
+            hit = m.guess == x
+            begin, size = m.interval(prior, x, hit)
             lo += wi * begin.view(np.uint64)
             wi *= size.view(np.uint64)
             need = np.flatnonzero(wi < WORD)
@@ -256,7 +289,7 @@ def decode(prior: Prior, blocks: list[bytes]) -> np.ndarray:
                 wi[need] = np.minimum(wi[need], WORD - (a & LOW32)) << np.uint64(32)
                 lo[need] = a << np.uint64(32)
             steps[t, : m.n] = x
-            m.update(x, m.guess == x)
+            m.update(x, hit)
     out: list = [None] * n
     for row, i in enumerate(order):
         ids = np.ascontiguousarray(steps[: sizes[row], row])

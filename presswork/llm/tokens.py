@@ -10,15 +10,16 @@ with the document's place in the whole sequence.
 
 Tokenizing a corpus by the tokenizer's own loop spends most of its time on words it has met before. For byte-level
 tokenizers that split at spaces, texts are therefore cut before every space that a visible character follows, where no
-token can cross, and the ids of a piece are kept in a bounded table, which a Python worker keeps from task to task.
-Words with end marks (letters, then ``.,;:!?``) and words on both sides of a line's end are put together from their
-parts, which the tokenizer never joins. What is new goes through the tokenizer, all pieces of a batch in one call. Texts with other white space after a
-space, or with the mark of a special token, go through the tokenizer whole.
+token can cross, and the distinct pieces of some megabytes of text are looked up in bounded tables, which a Python
+worker keeps from task to task. Words with end marks (letters, then ``.,;:!?``) and words on both sides of a line's end
+are put together from their parts, which the tokenizer never joins. Words of letters that are new go to the tokenizer's
+model as the one pre-token they are, other new pieces through the whole tokenizer. Cutting, looking up and putting
+together work on Arrow and numpy arrays. Texts with other white space after a space, or with the mark of a special
+token, go through the tokenizer whole.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -26,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,108 +41,207 @@ TAIL = "<QQ4s"  # ids, bytes of the document table, magic
 END_ID = 0
 #: Ids that a task holds before it codes a segment.
 SEGMENT_IDS = BLOCK * LANES
-#: Pieces of text whose ids a task keeps; the table starts anew when it is full.
+#: Pieces of text whose ids a worker keeps; the table starts anew when it is full.
 KNOWN_PIECES = 1_000_000
+#: Text that is cut and looked up at once.
+GROUP_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
+#: Parts whose elements are gathered at once.
+GATHERED = 1 << 15
 #: Marks that a byte-level tokenizer's pattern separates from the letters before them.
 END_MARKS = ".,;:!?"
 #: Text of documents in one file, about.
 FILE_BYTES = 32 << 20
 
 
+def gather(store: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The parts [start, start + length) of an array one after the other."""
+    out, done = np.empty(int(lengths.sum()), store.dtype), 0
+    for i in range(0, len(starts), GATHERED):
+        n = lengths[i: i + GATHERED]
+        ends = np.cumsum(n)
+        index = np.repeat(starts[i: i + GATHERED] - ends + n, n)
+        index += np.arange(len(index))
+        np.take(store, index, out=out[done: done + len(index)], mode="clip")
+        done += len(index)
+    return out
+
+
+def _tails(array: pa.Array, skip: np.ndarray) -> pa.Array:
+    """What follows the first ``skip`` bytes of every string."""
+    offsets = np.frombuffer(array.buffers()[1], np.int64)[array.offset: array.offset + len(array) + 1]
+    data = np.frombuffer(array.buffers()[2], np.uint8) if array.buffers()[2] is not None else np.zeros(0, np.uint8)
+    lengths = np.diff(offsets) - skip
+    edges = np.concatenate(([0], np.cumsum(lengths)))
+    return pa.LargeStringArray.from_buffers(len(array), pa.py_buffer(edges), pa.py_buffer(gather(data, offsets[:-1] + skip, lengths)))
+
+
+class Known:
+    """The ids of strings met before; ``learn`` gives (ids, number of ids of each) of new ones."""
+
+    def __init__(self, learn):
+        self.learn = learn
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.ids, self.edges = pa.array([], pa.large_string()), np.zeros(0, np.uint16), np.zeros(1, np.int64)
+
+    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(start, number) of the ids of every word in ``ids``."""
+        coded = words.dictionary_encode()
+        distinct, at = coded.dictionary, coded.indices.to_numpy()
+        place = pc.index_in(distinct, value_set=self.words)
+        new = distinct.filter(place.is_null())
+        where = place.fill_null(-1).to_numpy().astype(np.int64)
+        if len(new):
+            ids, lengths = self.learn(new)
+            where[where < 0] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, new])
+            self.ids = np.concatenate((self.ids, ids))
+            self.edges = np.concatenate((self.edges, self.edges[-1] + np.cumsum(lengths)))
+        where = where[at]
+        return self.edges[where], self.edges[where + 1] - self.edges[where]
+
+
 class PieceEncoder:
-    """Ids (little-endian 16-bit) of texts by a tokenizer of the ``tokenizers`` library."""
+    """Ids (16-bit) of texts by a tokenizer of the ``tokenizers`` library."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {"": b""}
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids do not fit in 16 bits")
         kind = str(self.tokenizer.pre_tokenizer)
         self.by_piece = kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind and "use_regex=True" in kind \
             and self.tokenizer.normalizer is None
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([r" \s", *map(re.escape, added)]))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spaced, self.bare = Known(self._learn_spaced), Known(self._learn_bare)
         if self.by_piece:
             n = self.tokenizer.get_vocab_size(with_added_tokens=True)
             self.starts = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(n)])
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        known = self.known
-        for at in range(0, len(pieces), 5000):
-            part = pieces[at: at + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u2")
+            spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+            # every byte of UTF-8: characters below U+0800 and the first of each longer lead and next byte
+            chars = map(chr, [*range(0x800), *range(0x800, 0xD800, 64), *range(0xE000, 0x10000, 64), *range(0x10000, 0x110000, 4096)])
+            self.letters = {b: letter for c in chars for b, letter in zip(c.encode(), spell(c)[0][0])}
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint16), *ids]), np.array([len(x) for x in ids], np.int64)
+
+    def _learn_bare(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Words and marks that no space comes before."""
+        return self._whole(words.to_pylist())
+
+    def _learn_spaced(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces after a space."""
+        letters = pc.utf8_is_alpha(pieces).to_numpy(zero_copy_only=False)
+        lengths = np.zeros(len(pieces), np.int64)
+        words, n_words = self._words(pieces.filter(pa.array(letters)).to_numpy(zero_copy_only=False))
+        rest, n_rest = self._pieces(pieces.filter(pa.array(~letters)).to_pylist())
+        lengths[letters], lengths[~letters] = n_words, n_rest
+        starts = np.zeros(len(pieces), np.int64)
+        starts[letters], starts[~letters] = np.cumsum(n_words) - n_words, len(words) + np.cumsum(n_rest) - n_rest
+        return gather(np.concatenate((words, rest)), starts, lengths), lengths
+
+    def _words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Letters after a space are one pre-token, so that the tokenizer's model takes them as they are."""
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        ids, lengths = [], []
+        for word in words:
+            if not word.isascii():  # the bytes in the letters of the model
+                word = word.encode().decode("latin-1").translate(letters)
+            tokens = tokenize("Ġ" + word)
+            ids += [t.id for t in tokens]
+            lengths.append(len(tokens))
+        return np.array(ids, np.uint16), np.array(lengths, np.int64)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out, lengths = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+        # a space that nothing follows is a token of its own only at the end of a text
+        ends = [i for i, piece in enumerate(pieces) if not piece]
+        others = [piece for piece in pieces if piece]
+        for at in range(0, len(others), 5000):
+            part = others[at: at + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
             begins = np.flatnonzero(self.starts[ids])
             if len(begins) != len(part):
                 raise ValueError("the tokenizer does not split at spaces")
-            raw, edges = ids.tobytes(), [*(2 * begins).tolist(), 2 * len(ids)]
-            known.update(zip(part, map(raw.__getitem__, map(slice, edges, edges[1:]))))
-
-    def _meet(self, new: set[str]) -> list[str]:
-        """Put pieces that are not known into the table; returns those that hardly come again."""
-        known, words, marked, broken, rest = self.known, set(), [], [], []
-        for piece in new:
-            word = piece.rstrip(END_MARKS)
-            if word.isalpha():
-                if word != piece:
-                    marked.append((piece, word))
-                    if word not in known and word not in new:
-                        words.add(word)
-                else:
-                    rest.append(piece)
-                continue
-            first, line, second = piece.partition("\n")
-            one, two = first.rstrip(END_MARKS), second.rstrip(END_MARKS)
-            if line and one.isalpha() and two.isalpha():  # the end of a line and the start of the next
-                broken.append((piece, one, first[len(one):], two, second[len(two):]))
-                if one not in known and one not in new:
-                    words.add(one)
-            else:
-                rest.append(piece)
-        self._learn_bare({m for p, w in marked for m in (p[len(w):],)} | {x for b in broken for x in (b[2], b[3], b[4])} | {"\n"})
-        if "" in new:  # a space at the end of a text
-            known[""] = self._whole([" "])[0]
-            rest.remove("")
-        self._learn([*rest, *words])
-        bare = self.bare
-        for piece, word in marked:
-            known[piece] = known[word] + bare[piece[len(word):]]
-        for piece, one, mark, two, end in broken:
-            known[piece] = known[one] + bare[mark] + bare["\n"] + bare[two] + bare[end]
-        return [b[0] for b in broken]
-
-    def _learn_bare(self, words: set[str]) -> None:
-        """Ids of words and marks that no space comes before."""
-        new = sorted(words.difference(self.bare))
-        self.bare.update(zip(new, self._whole(new)))
+            out.append(ids)
+            lengths.append(np.diff(np.append(begins, len(ids))))
+        out, lengths = np.concatenate(out), np.concatenate(lengths)
+        for i in ends:  # one at most, as pieces are distinct
+            space = self._whole([" "])[0]
+            out = np.insert(out, int(lengths[:i].sum()), space)
+            lengths = np.insert(lengths, i, len(space))
+        return out, lengths
+
+    def _of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of distinct pieces after a space."""
+        n = len(pieces)
+        broken = pc.match_substring(pieces, "\n").to_numpy(zero_copy_only=False)
+        both = pc.split_pattern(pieces.filter(pa.array(broken)), "\n", max_splits=1).flatten()
+        second = both.take(pa.array(np.arange(1, len(both), 2)))
+        lines = np.flatnonzero(broken)
+        order = np.arange(n)
+        order[lines] = n + np.arange(0, len(both), 2)
+        first = pa.concat_arrays([pieces, both]).take(pa.array(order))  # the piece up to the line's end
+        one, two = pc.utf8_rtrim(first, END_MARKS), pc.utf8_rtrim(second, END_MARKS)
+        letters = pc.utf8_is_alpha(one).to_numpy(zero_copy_only=False)
+        joined = letters[lines] & pc.utf8_is_alpha(two).to_numpy(zero_copy_only=False)
+        lines, second, two = lines[joined], second.filter(pa.array(joined)), two.filter(pa.array(joined))
+        apart = letters & ~broken
+        apart[lines] = True
+        marks = np.flatnonzero(apart)
+        head, tail = first.take(pa.array(marks)), one.take(pa.array(marks))
+        mark = _tails(head, pc.binary_length(tail).to_numpy())
+        mark_two = _tails(second, pc.binary_length(two).to_numpy())
+
+        spaced = pc.if_else(pa.array(apart), one, pieces)
+        starts, lengths = np.zeros((n, 5), np.int64), np.zeros((n, 5), np.int64)
+        starts[:, 0], lengths[:, 0] = self.spaced.find(spaced)
+        bare = pa.concat_arrays([mark, pa.array(["\n"] * len(lines), pa.large_string()), two, mark_two])
+        at, size = self.bare.find(bare)
+        at = at + len(self.spaced.ids)
+        edge = len(marks)
+        starts[marks, 1], lengths[marks, 1] = at[:edge], size[:edge]
+        for column in (2, 3, 4):
+            own = slice(edge, edge + len(lines))
+            starts[lines, column], lengths[lines, column] = at[own], size[own]
+            edge += len(lines)
+        ids = gather(np.concatenate((self.spaced.ids, self.bare.ids)), starts.ravel(), lengths.ravel())
+        return ids, lengths.sum(axis=1)
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        texts = texts.cast(pa.large_string())
+        if not self.by_piece or not len(texts):
+            return self._whole(texts.to_pylist())
+        # white space in the sense of any Unicode version after a space, or the mark of an added token
+        odd = pc.match_substring_regex(texts, r" [\s\x0b\x1c-\x1f\x{85}\x{180e}\p{Z}]")
+        for mark in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, mark))
+        if len(self.spaced.words) + len(self.bare.words) > KNOWN_PIECES:
+            self.spaced.clear()
+            self.bare.clear()
+        cut = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        parts, edges = cut.flatten(), cut.offsets.to_numpy()
+        first = edges[:-1] - edges[0]
+        piece = np.ones(len(parts), bool)
+        piece[first] = False
+        heads, n_heads = self._whole(pc.if_else(odd, texts, parts.take(pa.array(first))).to_pylist())
+        coded = parts.filter(pa.array(piece)).dictionary_encode()
+        ids, n_ids = self._of_pieces(coded.dictionary)
+        at = coded.indices.to_numpy()
+        starts, lengths = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64)
+        starts[first], lengths[first] = np.cumsum(n_heads) - n_heads, n_heads
+        starts[piece], lengths[piece] = (len(heads) + np.cumsum(n_ids) - n_ids)[at], n_ids[at]
+        return gather(np.concatenate((heads, ids)), starts, lengths), np.add.reduceat(lengths, first)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_piece:
-            return self._whole(texts)
-        odd = [i for i, t in enumerate(texts) if self.odd.search(t)]
-        out: list = [b""] * len(texts)
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
-            out[i] = ids
-        plain = sorted(set(range(len(texts))) - set(odd))
-        cut = [texts[i].split(" ") for i in plain]
-        heads = self._whole([c[0] for c in cut])
-        if len(self.known) + len(self.bare) > KNOWN_PIECES:
-            self.known, self.bare = {}, {"": b""}
-        known = self.known
-        new = set(chain.from_iterable(c[1:] for c in cut)).difference(known)
-        once = self._meet(new) if new else []
-        get = known.__getitem__
-        for i, head, c in zip(plain, heads, cut):
-            out[i] = head + b"".join(map(get, c[1:]))
-        for piece in once:
-            del known[piece]
-        return out
+        """Ids (little-endian) of every text."""
+        ids, lengths = self.encode_array(pa.array(texts, pa.large_string()))
+        return [x.astype("<u2").tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])] if len(texts) else []
 
 
 def worker_encoder(path: str) -> PieceEncoder:
@@ -153,62 +254,56 @@ def worker_encoder(path: str) -> PieceEncoder:
     return kept[path]
 
 
-def _groups_of(texts: list[str]):
-    """Texts a few megabytes at a time, so that a group's pieces fit beside the table."""
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size >= 2 << 20:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+def _groups_of(batches):
+    """(keys, texts) of some megabytes, or one longer batch, at a time."""
+    keys, texts, size = [], [], 0
+    for batch in batches:
+        text = batch.column("_text").fill_null("").cast(pa.large_string())
+        keys.append(batch.column("_key"))
+        texts.append(text)
+        size += text.nbytes
+        if size >= GROUP_BYTES:
+            yield keys, pa.concat_arrays(texts)
+            keys, texts, size = [], [], 0
+    if keys:
+        yield keys, pa.concat_arrays(texts)
 
 
 def _file_writer(folder: str, tokenizer_path: str, end_id: int):
-    end = np.array([end_id], "<u2").tobytes()
-
     def write(batches):
         encoder = worker_encoder(tokenizer_path)
         fs, root = open_path(folder)
         name = f"{root}/ids-{uuid.uuid4().hex}.tks"
-        out, keys, lengths, held, n_held = None, [], [], [], 0
-
-        def flush():
-            ids = np.frombuffer(b"".join(held), "<u2")
-            for segment in segments(ids):
-                out.write(segment)
-            held.clear()
-
-        for batch in batches:
+        out, keys, lengths, held = None, [], [], np.zeros(0, np.uint16)
+        for key, texts in _groups_of(batches):
             if out is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(name, compression=None)
                 out.write(MAGIC)
-            keys.append(batch.column("_key"))
-            texts = batch.column("_text").fill_null("").to_pylist()
-            for ids in chain.from_iterable(encoder.encode(g) for g in _groups_of(texts)):
-                ids += end
-                lengths.append(len(ids) // 2)
-                held.append(ids)
-                n_held += len(ids) // 2
-                if n_held >= SEGMENT_IDS:
-                    flush()
-                    n_held = 0
+            keys += key
+            ids, n = encoder.encode_array(texts)
+            held = np.concatenate((held, np.insert(ids, np.cumsum(n), np.uint16(end_id))))
+            lengths.append(n + 1)
+            ready = len(held) - len(held) % SEGMENT_IDS
+            for segment in segments(held[:ready]):
+                out.write(segment)
+            held = held[ready:]
         if out is None:
             return
-        flush()
-        table = pa.table({"key": pa.chunked_array(keys), "n": pa.array(lengths, pa.int64())})
+        for segment in segments(held):
+            out.write(segment)
+        n_ids = np.concatenate(lengths)
+        table = pa.table({"key": pa.chunked_array(keys), "n": pa.array(n_ids, pa.int64())})
         sink = pa.BufferOutputStream()
         with pa.ipc.new_file(sink, table.schema) as w:
             w.write_table(table)
         raw = sink.getvalue().to_pybytes()
+        total = int(n_ids.sum())
         out.write(raw)
-        out.write(struct.pack(TAIL, sum(lengths), len(raw), MAGIC))
+        out.write(struct.pack(TAIL, total, len(raw), MAGIC))
         out.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "path": [name.rpartition("/")[2]],
-                                          "n_docs": pa.array([len(lengths)], pa.int64()), "n_ids": pa.array([sum(lengths)], pa.int64())})
+                                          "n_docs": pa.array([len(n_ids)], pa.int64()), "n_ids": pa.array([total], pa.int64())})
 
     return write
 

@@ -78,6 +78,22 @@ def test_piece_encoder_equals_the_tokenizer():
         assert [np.frombuffer(x, "<u2").tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_words_of_letters_go_to_the_model_once(monkeypatch):
+    """New words of letters, with end marks or across a line's end, are no text for the whole tokenizer, and nothing is learned twice."""
+    from tokenizers import Tokenizer
+
+    text = "Head qwor, zvex. Straße; ñandú\nLine qwor\nzvex, ΩmegaЖ! qwor zvex.\nŁódź end"
+    e, pieces, words = tokens.PieceEncoder(PATH), [], []
+    whole, model = e._pieces, e._words
+    monkeypatch.setattr(e, "_pieces", lambda x: (pieces.extend(x), whole(x))[1])
+    monkeypatch.setattr(e, "_words", lambda x: (words.extend(x), model(x))[1])
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        assert np.frombuffer(e.encode([text])[0], "<u2").tolist() == want
+    assert pieces == []
+    assert sorted(words) == sorted(["qwor", "zvex", "Straße", "ñandú", "ΩmegaЖ", "end"])
+
+
 def test_documents_against_the_tokenizer(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
