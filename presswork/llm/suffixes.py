@@ -39,8 +39,9 @@ from presswork.llm.common import Found, by_partition, written
 MIN_BYTES = 50
 HALF = 25
 RUN_MASK = 127
-#: Bytes that are worked on at once; longer texts are taken in overlapping pieces.
-PIECE = 1 << 20
+#: Bytes that are worked on at once, so that their ranks stay in the processor's cache; longer texts are taken in
+#: overlapping pieces.
+PIECE = 1 << 17
 BATCH_BYTES = 4 << 20
 SEED = 5
 
@@ -103,6 +104,14 @@ def samples(rank: np.ndarray) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of all ranges one after the other."""
+    ends = np.cumsum(lengths)
+    out = np.repeat(starts - ends + lengths, lengths)
+    out += np.arange(len(out))
+    return out
+
+
 def _bytes_of(batch: pa.RecordBatch):
     text = batch.column("_text").fill_null("").cast(pa.large_binary())
     n = len(text)
@@ -158,48 +167,78 @@ class Spans(Found):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.rows, self.rows_of = None, None
-
-    def of_row(self, rid: int, key) -> list[tuple[int, int]]:
-        part = rid >> 33
-        if self.rows_of != part:
-            t, self.rows, self.rows_of = self.of(part), {}, part
-            if t is not None:
-                for r, k, p, n in zip(*(t.column(c).to_pylist() for c in ("_rid", "_key", "pos", "len"))):
-                    own = self.rows.setdefault(r, (k, []))
-                    own[1].append((p, n))
-        k, spans = self.rows.get(rid, (key, ()))
-        if k != key:
-            raise RuntimeError("the documents changed between two scans")
-        return spans
-
+        self.spans, self.spans_of = None, None
 
-def _open_starts(meta, flat_len: int, rids, keys, spans: Spans) -> np.ndarray:
-    """Starts of the array that no removed run covers."""
-    edge = np.zeros(flat_len + 1, np.int32)
-    cover = np.zeros(flat_len + 1, np.int32)
-    for row, base, start, n in meta:
-        edge[start] += 1
-        edge[start + n] -= 1
-        for p, length in spans.of_row(rids[row], keys[row]):
-            a, b = max(0, p - base), min(n, p + length - base)
-            if a < b:
-                cover[start + a] += 1
-                cover[start + b] -= 1
-    return (np.cumsum(edge)[:-1] > 0) & (np.cumsum(cover)[:-1] == 0)
+    def of_batch(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row in the batch, pos, len) of the spans of a batch of one scan partition, whose row numbers ascend."""
+        rids = batch.column("_rid").to_numpy()
+        part = int(rids[0]) >> 33
+        if self.spans_of != part:
+            t = self.of(part)
+            self.spans, self.spans_of, self.table = None, part, None
+            if t is not None and t.num_rows:
+                t = t.combine_chunks()
+                rid = t.column("_rid").to_numpy()
+                order = np.argsort(rid, kind="stable")
+                first = order[np.flatnonzero(np.diff(rid[order], prepend=-1))]
+                self.spans = (rid[order], t.column("pos").to_numpy()[order], t.column("len").to_numpy()[order],
+                              rid[first], t.column("_key").take(pa.array(first)))
+        if self.spans is None:
+            return (np.zeros(0, np.int64),) * 3
+        rid, pos, length, own, key = self.spans
+        a, b = np.searchsorted(own, rids[0]), np.searchsorted(own, rids[-1], side="right")
+        rows = np.minimum(np.searchsorted(rids, own[a:b]), len(rids) - 1)
+        if (rids[rows] != own[a:b]).any() or key.slice(a, b - a).to_pylist() != batch.column("_key").take(pa.array(rows)).to_pylist():
+            raise RuntimeError("the documents changed between two scans")
+        a, b = np.searchsorted(rid, rids[0]), np.searchsorted(rid, rids[-1], side="right")
+        return np.searchsorted(rids, rid[a:b]), pos[a:b], length[a:b]
+
+
+def _in_piece(meta, spans) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) in the array of pieces of what the batch's spans cover there."""
+    row, pos, length = spans
+    begins, ends = [], []
+    # the rows of a piece's texts follow each other; only a long text has several pieces
+    a, b = np.searchsorted(row, meta[0][0]), np.searchsorted(row, meta[-1][0], side="right")
+    own, base, start, n = (np.array(x, np.int64) for x in zip(*meta))
+    at = np.searchsorted(own, row[a:b])
+    known = own[np.minimum(at, len(own) - 1)] == row[a:b]
+    at, pos, length = at[known], pos[a:b][known], length[a:b][known]
+    begins, ends = np.maximum(0, pos - base[at]), np.minimum(n[at], pos + length - base[at])
+    some = begins < ends
+    return (begins + start[at])[some], (ends + start[at])[some]
+
+
+def _open_starts(meta, flat_len: int, spans) -> np.ndarray:
+    """Which starts of the array no removed run covers."""
+    out = np.zeros(flat_len, bool)
+    for _, _, start, n in meta:
+        out[start: start + n] = True
+    for a, b in zip(*(x.tolist() for x in _in_piece(meta, spans))):
+        out[a:b] = False
+    return out
+
+
+def _equal_runs(value: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the longest runs of equal values in which ``on`` holds throughout."""
+    edge = np.empty(len(on), bool)
+    edge[:1] = True
+    np.not_equal(value[1:], value[:-1], out=edge[1:])
+    edge[1:] |= on[1:] != on[:-1]
+    at = np.flatnonzero(edge)
+    end = np.append(at[1:], len(on))
+    open_ = on[at]
+    return at[open_], end[open_]
 
 
 def _per_document(value: np.ndarray, doc: np.ndarray, part: int) -> pa.RecordBatch:
-    """(h, part, n): in how many of these documents each value occurs. ``doc`` ascends."""
-    new = np.concatenate(([True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])))
-    value, doc = value[new], doc[new]
-    order = np.argsort(value, kind="stable")
+    """(h, part, n): each value and whether it occurs in one (1) or more (2) of these documents."""
+    order = np.argsort(value)
     value, doc = value[order], doc[order]
-    first = np.concatenate(([True], value[1:] != value[:-1]))
-    pair = first | np.concatenate(([True], doc[1:] != doc[:-1]))
-    at = np.flatnonzero(first)
-    return pa.RecordBatch.from_arrays([pa.array(value[at].view(np.int64)), pa.array(np.full(len(at), part, np.int32)),
-                                       pa.array(np.add.reduceat(pair.astype(np.int64), at))], ["h", "part", "n"])
+    at = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+    n = 1 + (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(value[at].view(np.int64)), pa.array(np.full(len(at), part, np.int32)), pa.array(n)],
+                                      ["h", "part", "n"])
 
 
 def _docs_of(on: np.ndarray, meta) -> np.ndarray:
@@ -209,52 +248,96 @@ def _docs_of(on: np.ndarray, meta) -> np.ndarray:
 class Known(Found):
     """Values (h) that lie in more than one document, by scan partition."""
 
+    #: Leading bits of a value that are looked up first.
+    BITS = 21
+
     def __init__(self, path: str):
         super().__init__(path)
         self.values, self.values_of = np.zeros(0, np.uint64), None
 
     def hits(self, part: int, value: np.ndarray) -> np.ndarray:
+        shift = np.uint64(64 - self.BITS)
         if self.values_of != part:
             t = self.of(part)
             self.values = np.zeros(0, np.uint64) if t is None else np.unique(t.column("h").to_numpy().view(np.uint64))
-            self.values_of = part
-        if not len(self.values):
-            return np.zeros(len(value), bool)
-        return self.values[np.minimum(np.searchsorted(self.values, value), len(self.values) - 1)] == value
+            self.values_of, self.table = part, None
+            self.maybe = np.zeros(1 << self.BITS, bool)
+            self.maybe[self.values >> shift] = True
+        out = self.maybe[value >> shift]
+        at = np.flatnonzero(out)
+        if len(at):
+            some = value[at]
+            out[at] = self.values[np.minimum(np.searchsorted(self.values, some), len(self.values) - 1)] == some
+        return out
+
+
+def pairs_of(rank: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The pair of smallest and largest rank as one value, of the starts in some ascending ranges; ``low`` are the
+    smallest ranks of all starts."""
+    gap = np.flatnonzero(begin[1:] != end[:-1]) + 1
+    begin, end = begin[np.append(0, gap)], end[np.append(gap, len(end)) - 1]  # neighbours as one
+    size = end - begin
+    high = samples(~rank[ranges(begin, size + HALF)])
+    # between two ranges the windows lie across both and belong to none
+    high = high[ranges(np.cumsum(size + HALF) - size - HALF, size)]
+    with np.errstate(over="ignore"):
+        return Ranks._mix(low[ranges(begin, size)] * np.uint64(0x9E3779B97F4A7C15) + high)
 
 
-def pairs_of(rank: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """The pair of smallest and largest rank as one value."""
-    with np.errstate(over="ignore"):
-        return Ranks._mix(low * np.uint64(0x9E3779B97F4A7C15) + samples(~rank))
+def _batches_of(seen, part: int):
+    """One batch of (value, document) pairs gathered from the pieces of a batch."""
+    if seen:
+        value, doc = (np.concatenate(x) for x in zip(*seen))
+        if len(value):
+            yield _per_document(value, doc, part)
+
+
+def _part_of(batch: pa.RecordBatch) -> int:
+    return batch.column("_rid")[0].as_py() >> 33
 
 
 def _sampler(runs: str):
     def emit(batches):
-        spans = Spans(runs)
+        removed = Spans(runs)
         for batch in batches:
-            rids, keys = batch.column("_rid").to_pylist(), batch.column("_key").to_pylist()
+            if not batch.num_rows:
+                continue
+            spans, seen = removed.of_batch(batch), []
             for flat, meta in pieces(batch):
                 m = samples(Ranks(flat).all(HALF))
-                on = np.flatnonzero(_open_starts(meta, len(flat), rids, keys, spans)[: len(m)])
-                if len(on):
-                    yield _per_document(m[on], _docs_of(on, meta), rids[meta[0][0]] >> 33)
+                begin, _ = _equal_runs(m, _open_starts(meta, len(flat), spans)[: len(m)])
+                seen.append((m[begin], _docs_of(begin, meta)))
+            yield from _batches_of(seen, _part_of(batch))
 
     return emit
 
 
+def _paired(flat, meta, spans, shared: Known, part: int):
+    """(ranks, starts, their pairs) of the open starts of an array whose samples are shared."""
+    ranks = Ranks(flat)
+    rank = ranks.all(HALF)
+    m = samples(rank)
+    begin, end = _equal_runs(m, _open_starts(meta, len(flat), spans)[: len(m)])
+    hit = shared.hits(part, m[begin])
+    begin, end = begin[hit], end[hit]
+    if not len(begin):
+        return ranks, begin, np.zeros(0, np.uint64)
+    return ranks, ranges(begin, end - begin), pairs_of(rank, m, begin, end)
+
+
 def _pairer(runs: str, shared: str):
     def emit(batches):
-        spans, known = Spans(runs), Known(shared)
+        removed, known = Spans(runs), Known(shared)
         for batch in batches:
-            rids, keys = batch.column("_rid").to_pylist(), batch.column("_key").to_pylist()
+            if not batch.num_rows:
+                continue
+            spans, part, seen = removed.of_batch(batch), _part_of(batch), []
             for flat, meta in pieces(batch):
-                rank, part = Ranks(flat).all(HALF), rids[meta[0][0]] >> 33
-                m = samples(rank)
-                on = np.flatnonzero(_open_starts(meta, len(flat), rids, keys, spans)[: len(m)])
-                on = on[known.hits(part, m[on])]
+                _, on, pair = _paired(flat, meta, spans, known, part)
                 if len(on):
-                    yield _per_document(pairs_of(rank, m)[on], _docs_of(on, meta), part)
+                    new = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (on[1:] != on[:-1] + 1))))
+                    seen.append((pair[new], _docs_of(on[new], meta)))
+            yield from _batches_of(seen, part)
 
     return emit
 
@@ -269,40 +352,41 @@ def _places(batch, meta, on, columns: dict) -> pa.RecordBatch:
         ["_key", "_rid", "pos", *columns])
 
 
-def _units(runs: str, shared: str):
+def _units(runs: str, shared: str, pairs: str):
     def emit(batches):
-        spans, known = Spans(runs), Known(shared)
+        removed, known, known_pairs = Spans(runs), Known(shared), Known(pairs)
         for batch in batches:
-            rids, keys = batch.column("_rid").to_pylist(), batch.column("_key").to_pylist()
+            if not batch.num_rows:
+                continue
+            spans, part = removed.of_batch(batch), _part_of(batch)
             for flat, meta in pieces(batch):
-                ranks = Ranks(flat)
-                rank = ranks.all(HALF)
-                m = samples(rank)
-                on = np.flatnonzero(_open_starts(meta, len(flat), rids, keys, spans)[: len(m)])
-                pair = pairs_of(rank, m)[on]
-                hit = known.hits(rids[meta[0][0]] >> 33, pair)
-                on, pair = on[hit], pair[hit]
+                ranks, on, pair = _paired(flat, meta, spans, known, part)
                 if not len(on):
                     continue
                 # strings of different pieces are never neighbours, as a piece ends with bytes that start none
-                new = np.concatenate(([True], (pair[1:] != pair[:-1]) | (on[1:] != on[:-1] + 1)))
-                at = np.flatnonzero(new)
-                size = np.diff(np.append(at, len(on)))
-                begin = on[at]
-                yield _places(batch, meta, begin, {"len": size, "pair": pair[at], "h": ranks.at(begin, begin + size + (MIN_BYTES - 1))})
+                begin = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (on[1:] != on[:-1] + 1))))
+                size = np.diff(np.append(begin, len(on)))
+                pair, begin = pair[begin], on[begin]
+                hit = known_pairs.hits(part, pair)
+                pair, begin, size = pair[hit], begin[hit], size[hit]
+                if len(begin):
+                    yield _places(batch, meta, begin, {"len": size, "pair": pair, "h": ranks.at(begin, begin + size + (MIN_BYTES - 1))})
 
     return emit
 
 
 def _strings(wanted: str):
     def emit(batches):
-        spans = Spans(wanted)
+        edges = Spans(wanted)
         for batch in batches:
-            rids, keys = batch.column("_rid").to_pylist(), batch.column("_key").to_pylist()
+            if not batch.num_rows:
+                continue
+            spans = edges.of_batch(batch)
+            if not len(spans[0]):
+                continue
             for flat, meta in pieces(batch):
-                on = [np.arange(max(0, p - base), min(n, p + length - base)) + start
-                      for row, base, start, n in meta for p, length in spans.of_row(rids[row], keys[row])]
-                on = np.sort(np.concatenate(on)) if on else np.zeros(0, np.int64)
+                begin, end = _in_piece(meta, spans)
+                on = np.sort(ranges(begin, end - begin))
                 if len(on):
                     yield _places(batch, meta, on, {"h": Ranks(flat).at(on, on + MIN_BYTES)})
 
@@ -313,30 +397,41 @@ def _remover(paths: list[str], with_text: bool):
     def emit(batches):
         found = [Spans(p) for p in paths]
         for batch in batches:
+            if not batch.num_rows:
+                continue
             data, offsets = _bytes_of(batch)
-            rids, keys = batch.column("_rid").to_pylist(), batch.column("_key").to_pylist()
-            out = []
-            for i, (rid, key) in enumerate(zip(rids, keys)):
-                text = data[offsets[i]: offsets[i + 1]]
-                edge = np.zeros(len(text) + 1, np.int32)
-                for spans in found:
-                    for p, n in spans.of_row(rid, key):
-                        edge[p] += 1
-                        edge[p + n + MIN_BYTES - 1] -= 1
-                gone = np.cumsum(edge)[:-1] > 0
-                begins = np.flatnonzero(gone & ~np.concatenate(([False], gone[:-1])))
-                ends = np.flatnonzero(gone & ~np.concatenate((gone[1:], [False]))) + 1
-                kept = text[~gone].tobytes()
-                out.append((len(text), int(gone.sum()), len(begins), hashlib.sha256(kept).hexdigest(),
-                            kept if with_text else None, list(zip(begins.tolist(), ends.tolist())) if with_text else None))
-            cols = list(zip(*out)) or [[]] * 6
-            arrays = [batch.column("_key"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
-                      pa.array(cols[3], pa.string())]
+            data, offsets = data[offsets[0]: offsets[-1]], offsets - offsets[0]
+            edge = np.zeros(len(data) + 1, np.int32)
+            for spans in found:
+                row, pos, length = spans.of_batch(batch)
+                np.add.at(edge, offsets[row] + pos, 1)
+                np.add.at(edge, offsets[row] + pos + length + (MIN_BYTES - 1), -1)
+            gone = np.cumsum(edge, out=edge)[:-1] > 0
+            # a removed run ends with its text
+            turn = np.zeros(len(data) + 1, bool)
+            turn[1:-1] = gone[1:] != gone[:-1]
+            turn[offsets] = True
+            at = np.flatnonzero(turn)
+            begin, end = at[:-1], at[1:]
+            some = gone[begin]
+            begin, end = begin[some], end[some]
+            doc = np.searchsorted(offsets, begin, side="right") - 1
+            n_spans = np.bincount(doc, minlength=batch.num_rows)
+            removed = np.bincount(doc, end - begin, minlength=batch.num_rows).astype(np.int64)
+            n_bytes = np.diff(offsets)
+            kept = data[~gone]
+            edges = np.concatenate(([0], np.cumsum(n_bytes - removed)))
+            bounds = edges.tolist()
+            sha = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(bounds, bounds[1:])]
+            arrays = [batch.column("_key"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()),
+                      pa.array(sha, pa.string())]
             names = ["_key", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
-                pair = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
-                spans = [[{"begin": a, "end": b} for a, b in x] for x in cols[5]]
-                arrays += [pa.array(cols[4], pa.binary()), pa.array(spans, pa.list_(pair))]
+                pair = pa.StructArray.from_arrays([pa.array(begin - offsets[doc], pa.int64()), pa.array(end - offsets[doc], pa.int64())],
+                                                  ["begin", "end"])
+                of_doc = np.concatenate(([0], np.cumsum(n_spans))).astype(np.int32)
+                arrays += [pa.array([kept[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()),
+                           pa.ListArray.from_arrays(pa.array(of_doc), pair)]
                 names += ["kept", "spans"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
@@ -381,7 +476,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_
     sample_path = by_partition(_shared(docs.mapInArrow(_sampler(run_path), "h long, part int, n long")), "repeat-samples")
     pair_path = by_partition(_shared(docs.mapInArrow(_pairer(run_path, sample_path), "h long, part int, n long")), "repeat-pairs")
 
-    units = docs.mapInArrow(_units(run_path, pair_path), f"{place}, len long, pair long, h long")
+    units = docs.mapInArrow(_units(run_path, sample_path, pair_path), f"{place}, len long, pair long, h long")
     units = written(_marked(written(units, "repeat-units")), "repeat-units")
     unit_path = by_partition(units.filter("later").select(*spans), "repeat-unit-spans")
 

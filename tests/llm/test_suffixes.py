@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from presswork.llm import suffixes
@@ -62,3 +65,47 @@ def test_kept_bytes_and_spans(spark, tmp_path):
     assert bytes(out[1].kept).decode() == rows[0][1] and out[1].spans == []
     assert bytes(out[2].kept).decode() == "twofin"
     assert [(s.begin, s.end) for s in out[2].spans] == [(3, 5 + len(passage))]
+
+
+def _batch(texts, first=0):
+    n = len(texts)
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts, pa.string()), pa.array(range(first, first + n), pa.int64())],
+                                      ["_key", "_text", "_rid"])
+
+
+def test_pairs_of_some_starts():
+    """Pairs are worked out for the wanted starts only, and are those of a window of ranks each."""
+    rng = np.random.default_rng(1)
+    rank = rng.integers(0, 1 << 40, 500).astype(np.uint64)
+    low = suffixes.samples(rank)
+    begin, end = np.array([3, 10, 40, 400]), np.array([10, 12, 41, len(low)])
+    want = []
+    for i in np.concatenate([np.arange(a, b) for a, b in zip(begin, end)]):
+        window = rank[i: i + suffixes.HALF + 1]
+        assert low[i] == window.min()
+        with np.errstate(over="ignore"):
+            want.append(suffixes.Ranks._mix(window.min(keepdims=True) * np.uint64(0x9E3779B97F4A7C15) + ~window.max())[0])
+    assert suffixes.pairs_of(rank, low, begin, end).tolist() == want
+
+
+def test_a_long_document_is_one_document(tmp_path, monkeypatch):
+    """What repeats only inside one long text, in several pieces of it, is not in more than one document."""
+    monkeypatch.setattr(suffixes, "PIECE", 300)
+    rng = random.Random(2)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    seen = pa.Table.from_batches(suffixes._sampler(str(tmp_path / "none"))([_batch([passage * 5, "x" + passage[::-1]])])).to_pydict()
+    assert len(set(seen["h"])) == len(seen["h"])
+    assert set(seen["n"]) == {1}
+
+
+def test_spans_of_a_batch(tmp_path):
+    """Spans come with the row of the batch they belong to; other keys mean other documents."""
+    folder = tmp_path / "spans" / "part=0"
+    folder.mkdir(parents=True)
+    pq.write_table(pa.table({"_key": [3, 1, 3, 7], "_rid": [3, 1, 3, 7], "pos": [5, 0, 90, 2], "len": [1, 2, 3, 4]}), folder / "a.parquet")
+    spans = suffixes.Spans(str(tmp_path / "spans"))
+    got = spans.of_batch(_batch(["a" * 200] * 5))
+    assert [x.tolist() for x in got] == [[1, 3, 3], [0, 5, 90], [2, 1, 3]]
+    assert [x.tolist() for x in spans.of_batch(_batch(["a"] * 2, first=4))] == [[], [], []]
+    with pytest.raises(RuntimeError):
+        spans.of_batch(_batch(["a"] * 4, first=1))
