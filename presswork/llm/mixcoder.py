@@ -184,7 +184,8 @@ def _encode(ids: np.ndarray, prior: Prior, block: int) -> list[bytes]:
     del grid
     m = Model(n)
     low, width = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    words, count = np.zeros((n, block + 4), np.uint32), np.zeros(n, np.int64)
+    # a row per word: blocks advance at about the same pace, so that a step touches few rows
+    words, count = np.zeros((block + 4, n), np.uint32), np.zeros(n, np.int64)
     with np.errstate(over="ignore"):
         for t in range(min(block, len(ids))):
             if t == last:  # only the last block can be shorter
@@ -202,13 +203,13 @@ def _encode(ids: np.ndarray, prior: Prior, block: int) -> list[bytes]:
             need = np.flatnonzero(wi < WORD)
             if len(need):
                 a = lo[need]
-                words[need, count[need]] = a >> np.uint64(32)
+                words.ravel()[count[need] * n + need] = a >> np.uint64(32)
                 count[need] += 1
                 # an interval across a word's border is cut at the border
                 wi[need] = np.minimum(wi[need], WORD - (a & LOW32)) << np.uint64(32)
                 lo[need] = a << np.uint64(32)
             m.update(x, hit)
-    out = []
+    out, words = [], np.ascontiguousarray(words[: count.max() + 2].T)
     for i in range(n):
         end = int(count[i])
         words[i, end], words[i, end + 1] = int(low[i]) >> 32, int(low[i]) & 0xFFFFFFFF
@@ -253,11 +254,12 @@ def decode(prior: Prior, blocks: list[bytes]) -> np.ndarray:
     words = np.zeros((n, max(h[1] for h in heads) + 4), np.uint32)
     for row, i in enumerate(order):
         words[row, : heads[i][1]] = np.frombuffer(blocks[i], "<u4", heads[i][1], HEAD_SIZE)
+    words = np.ascontiguousarray(words.T)  # a row per word, as in _encode
     inverse = prior.inverse()
     steps = np.zeros((longest, n), np.uint16)
     m = Model(n)
     low, width = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    code = words[:, 0].astype(np.uint64) << np.uint64(32) | words[:, 1].astype(np.uint64)
+    code = words[0].astype(np.uint64) << np.uint64(32) | words[1].astype(np.uint64)
     count = np.full(n, 2, np.int64)
     ends = np.searchsorted(-sizes, -np.arange(longest), side="left")  # how many blocks have more than t ids
     with np.errstate(over="ignore"):
@@ -284,7 +286,7 @@ def decode(prior: Prior, blocks: list[bytes]) -> np.ndarray:
             need = np.flatnonzero(wi < WORD)
             if len(need):
                 a = lo[need]
-                co[need] = co[need] << np.uint64(32) | words[need, count[need]]
+                co[need] = co[need] << np.uint64(32) | words.ravel()[count[need] * n + need]
                 count[need] += 1
                 wi[need] = np.minimum(wi[need], WORD - (a & LOW32)) << np.uint64(32)
                 lo[need] = a << np.uint64(32)
