@@ -1,8 +1,10 @@
 """Adaptive context-mixing range coder for token ids (below 65,536).
 
 A sequence is cut into segments and these into blocks of ``BLOCK`` ids. Every block starts with a fresh model and
-carries checksums, so a block is decoded with nothing but the head of its segment. The blocks of a segment are coded
-side by side: step t codes the t-th id of all blocks with numpy operations on whole arrays, one element per block.
+carries checksums, so a block is decoded with nothing but the head of its segment. ``SIDE`` blocks of a segment at a
+time are coded side by side: step t codes the t-th id of all of them with numpy operations on whole arrays, one element
+per block. What goes in and comes out is turned from blocks to steps and back a few steps or blocks at a time. How many
+blocks stand side by side changes no byte, only the memory.
 
 The next id is predicted by three orders:
 
@@ -26,9 +28,14 @@ import numpy as np
 
 BLOCK = 1024
 LANES = 8192
+SIDE = 4096
+#: Steps, and blocks, that are turned at once.
+STEPS, TURNED = 64, 512
 SLOTS = 512
 MIX_BITS = 28  # of the mixed distribution: with weights below 15/16 every id has a share of at least 1
 PRIOR_BITS = 20  # of the order-0 frequencies
+#: Ids that are counted at once for these.
+COUNTED = 1 << 19
 MIX = 1 << MIX_BITS
 RATE = 5
 CONTEXTS = 128
@@ -54,7 +61,9 @@ class Prior:
 
     @staticmethod
     def of(ids: np.ndarray) -> "Prior":
-        n = np.bincount(ids, minlength=1 << 16)
+        n = np.zeros(1 << 16, np.int64)
+        for at in range(0, len(ids), COUNTED):  # numpy counts on a copy of 64-bit integers
+            n += np.bincount(ids[at: at + COUNTED], minlength=1 << 16)
         seen = np.flatnonzero(n)
         total = 1 << PRIOR_BITS
         freq = 1 + n[seen] * (total - len(seen)) // n.sum()
@@ -165,23 +174,24 @@ class Model:
 
 
 def segments(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES):
-    """The encoded segments of a sequence of ids."""
+    """The bytes of the segments of a sequence of ids, piece by piece."""
     ids = np.ascontiguousarray(ids, np.uint16)
     for at in range(0, len(ids), block * lanes):
         part = ids[at: at + block * lanes]
         prior = Prior.of(part)
-        blocks = _encode(part, prior, block)
         packed = prior.pack()
-        yield struct.pack(SEGMENT, SEGMENT_MARK, len(blocks), len(packed), len(part)) + packed + b"".join(blocks)
+        yield struct.pack(SEGMENT, SEGMENT_MARK, -(-len(part) // block), len(packed), len(part)) + packed
+        for i in range(0, len(part), block * SIDE):
+            yield from _encode(part[i: i + block * SIDE], prior, block)
 
 
-def _encode(ids: np.ndarray, prior: Prior, block: int) -> list[bytes]:
+def _encode(ids: np.ndarray, prior: Prior, block: int):
+    """The bytes of some blocks at a time."""
     n = -(-len(ids) // block)
     last = len(ids) - (n - 1) * block
-    grid = np.zeros((n, block), np.uint16)
-    grid.ravel()[: len(ids)] = ids
-    steps = np.ascontiguousarray(grid.T)
-    del grid
+    full = ids[: len(ids) // block * block].reshape(-1, block)
+    short = np.zeros(block if last < block else 0, np.uint16)
+    short[:last] = ids[full.size:]
     m = Model(n)
     low, width = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
     # a row per word: blocks advance at about the same pace, so that a step touches few rows
@@ -192,7 +202,12 @@ def _encode(ids: np.ndarray, prior: Prior, block: int) -> list[bytes]:
                 m.cut(n - 1)
             if not m.n:
                 break
-            x = steps[t, : m.n].astype(np.int32)
+            if t % STEPS == 0:
+                steps = np.zeros((min(STEPS, block - t), n), np.uint16)
+                steps[:, : len(full)] = full[:, t: t + STEPS].T
+                if len(short):
+                    steps[:, -1] = short[t: t + STEPS]
+            x = steps[t % STEPS, : m.n].astype(np.int32)
             m.predict()
             hit = m.guess == x
             begin, size = m.interval(prior, x, hit)
@@ -209,14 +224,16 @@ def _encode(ids: np.ndarray, prior: Prior, block: int) -> list[bytes]:
                 wi[need] = np.minimum(wi[need], WORD - (a & LOW32)) << np.uint64(32)
                 lo[need] = a << np.uint64(32)
             m.update(x, hit)
-    out, words = [], np.ascontiguousarray(words[: count.max() + 2].T)
-    for i in range(n):
-        end = int(count[i])
-        words[i, end], words[i, end + 1] = int(low[i]) >> 32, int(low[i]) & 0xFFFFFFFF
-        body = words[i, : end + 2].astype("<u4").tobytes()
-        own = ids[i * block: (i + 1) * block]
-        out.append(struct.pack(HEAD, MARK, len(own), end + 2, zlib.crc32(own.astype("<u4").tobytes()), zlib.crc32(body)) + body)
-    return out
+    del m
+    for at in range(0, n, TURNED):
+        own_words, out = words[: count.max() + 2, at: at + TURNED].T.copy(), []
+        for row, i in enumerate(range(at, min(n, at + TURNED))):
+            end = int(count[i])
+            own_words[row, end], own_words[row, end + 1] = int(low[i]) >> 32, int(low[i]) & 0xFFFFFFFF
+            body = own_words[row, : end + 2].astype("<u4").tobytes()
+            own = ids[i * block: (i + 1) * block]
+            out.append(struct.pack(HEAD, MARK, len(own), end + 2, zlib.crc32(own.astype("<u4").tobytes()), zlib.crc32(body)) + body)
+        yield b"".join(out)
 
 
 def read_segment(data: bytes, at: int = 0) -> tuple[int, Prior, list[bytes]]:
@@ -240,8 +257,16 @@ def read_segment(data: bytes, at: int = 0) -> tuple[int, Prior, list[bytes]]:
 
 def decode(prior: Prior, blocks: list[bytes]) -> np.ndarray:
     """The ids of some blocks of a segment, in their order; ValueError if a checksum fails."""
-    if not blocks:
-        return np.zeros(0, np.uint16)
+    return np.concatenate([np.zeros(0, np.uint16), *decoded(prior, blocks)])
+
+
+def decoded(prior: Prior, blocks: list[bytes]):
+    """What ``decode`` gives, in parts: the ids of some blocks at a time."""
+    for at in range(0, len(blocks), SIDE):
+        yield from _decode(prior, blocks[at: at + SIDE])
+
+
+def _decode(prior: Prior, blocks: list[bytes]):
     heads = []
     for b in blocks:
         mark, size, words, crc, body = struct.unpack_from(HEAD, b)
@@ -251,10 +276,12 @@ def decode(prior: Prior, blocks: list[bytes]) -> np.ndarray:
     order = sorted(range(len(blocks)), key=lambda i: -heads[i][0])  # blocks that end first stand last
     sizes = np.array([heads[i][0] for i in order])
     n, longest = len(blocks), int(sizes[0])
-    words = np.zeros((n, max(h[1] for h in heads) + 4), np.uint32)
-    for row, i in enumerate(order):
-        words[row, : heads[i][1]] = np.frombuffer(blocks[i], "<u4", heads[i][1], HEAD_SIZE)
-    words = np.ascontiguousarray(words.T)  # a row per word, as in _encode
+    words = np.empty((max(h[1] for h in heads) + 4, n), np.uint32)  # a row per word, as in _encode
+    for at in range(0, n, TURNED):
+        own_words = np.zeros((min(n - at, TURNED), len(words)), np.uint32)
+        for row, i in enumerate(order[at: at + TURNED]):
+            own_words[row, : heads[i][1]] = np.frombuffer(blocks[i], "<u4", heads[i][1], HEAD_SIZE)
+        words[:, at: at + TURNED] = own_words.T
     inverse = prior.inverse()
     steps = np.zeros((longest, n), np.uint16)
     m = Model(n)
@@ -292,10 +319,14 @@ def decode(prior: Prior, blocks: list[bytes]) -> np.ndarray:
                 lo[need] = a << np.uint64(32)
             steps[t, : m.n] = x
             m.update(x, hit)
-    out: list = [None] * n
-    for row, i in enumerate(order):
-        ids = np.ascontiguousarray(steps[: sizes[row], row])
-        if zlib.crc32(ids.astype("<u4").tobytes()) != heads[i][2]:
-            raise ValueError("a block's ids do not match their checksum")
-        out[i] = ids
-    return np.concatenate(out)
+    del m, words
+    rows = np.empty(n, np.int64)
+    rows[order] = np.arange(n)
+    for at in range(0, n, TURNED):
+        out = []
+        for i, own in zip(range(at, n), steps[:, rows[at: at + TURNED]].T.copy()):
+            own = own[: heads[i][0]]
+            if zlib.crc32(own.astype("<u4").tobytes()) != heads[i][2]:
+                raise ValueError("a block's ids do not match their checksum")
+            out.append(own)
+        yield np.concatenate(out)

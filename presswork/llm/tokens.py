@@ -23,6 +23,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presswork.llm.common import open_path, written
-from presswork.llm.mixcoder import BLOCK, LANES, decode, read_segment, segments
+from presswork.llm.mixcoder import BLOCK, LANES, decoded, read_segment, segments
 from presswork.session import scratch_path
 
 MAGIC = b"TKF2"
@@ -41,11 +42,13 @@ TAIL = "<QQ4s"  # ids, bytes of the document table, magic
 END_ID = 0
 #: Ids that a task holds before it codes a segment.
 SEGMENT_IDS = BLOCK * LANES
-#: Pieces of text whose ids a worker keeps; the table starts anew when it is full.
-KNOWN_PIECES = 1_000_000
+#: Pieces of text whose ids a worker keeps, about, in each of two tables.
+KNOWN_PIECES = 200_000
 #: Text that is cut and looked up at once.
-GROUP_BYTES = 16 << 20
-BATCH_BYTES = 4 << 20
+GROUP_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+#: Characters of texts that the tokenizer is handed at once, or one longer text; what it returns takes far more memory than the ids.
+WHOLE_CHARS = 256 << 10
 #: Parts whose elements are gathered at once.
 GATHERED = 1 << 15
 #: Marks that a byte-level tokenizer's pattern separates from the letters before them.
@@ -77,28 +80,43 @@ def _tails(array: pa.Array, skip: np.ndarray) -> pa.Array:
 
 
 class Known:
-    """The ids of strings met before; ``learn`` gives (ids, number of ids of each) of new ones."""
+    """The ids of strings met lately; ``learn`` gives (ids, number of ids of each) of new ones.
+
+    Strings stand in the younger of two tables from where they are met. A full younger table takes the place of the
+    older one, whose strings are forgotten if they were not met meanwhile."""
 
     def __init__(self, learn):
         self.learn = learn
-        self.clear()
+        self._empty()
+        self.older = self.words, self.ids, self.edges
 
-    def clear(self) -> None:
+    def _empty(self) -> None:
         self.words, self.ids, self.edges = pa.array([], pa.large_string()), np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
+    def turn(self) -> None:
+        """Make room if the younger table is full; what ``find`` gave before no longer holds."""
+        if len(self.words) >= KNOWN_PIECES:
+            self.older = self.words, self.ids, self.edges
+            self._empty()
+
     def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(start, number) of the ids of every word in ``ids``."""
         coded = words.dictionary_encode()
         distinct, at = coded.dictionary, coded.indices.to_numpy()
         place = pc.index_in(distinct, value_set=self.words)
-        new = distinct.filter(place.is_null())
         where = place.fill_null(-1).to_numpy().astype(np.int64)
-        if len(new):
-            ids, lengths = self.learn(new)
-            where[where < 0] = len(self.words) + np.arange(len(new))
-            self.words = pa.concat_arrays([self.words, new])
-            self.ids = np.concatenate((self.ids, ids))
-            self.edges = np.concatenate((self.edges, self.edges[-1] + np.cumsum(lengths)))
+        missing = distinct.filter(place.is_null())
+        if len(missing):
+            there, ids, edges = self.older
+            place = pc.index_in(missing, value_set=there)
+            met, new = place.drop_null().to_numpy(), missing.filter(place.is_null())
+            sizes = edges[met + 1] - edges[met]
+            learned, lengths = self.learn(new) if len(new) else (self.ids[:0], sizes[:0])
+            is_new = place.is_null().to_numpy(zero_copy_only=False)
+            where[where < 0] = len(self.words) + np.where(is_new, len(met) + np.cumsum(is_new) - 1, np.cumsum(~is_new) - 1)
+            self.words = pa.concat_arrays([self.words, missing.filter(place.is_valid()), new])
+            self.ids = np.concatenate((self.ids, gather(ids, edges[met], sizes), learned))
+            self.edges = np.concatenate((self.edges, self.edges[-1] + np.cumsum(np.concatenate((sizes, lengths)))))
         where = where[at]
         return self.edges[where], self.edges[where + 1] - self.edges[where]
 
@@ -126,7 +144,13 @@ class PieceEncoder:
             self.letters = {b: letter for c in chars for b, letter in zip(c.encode(), spell(c)[0][0])}
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        ids, at = [], 0
+        while at < len(texts):
+            start, size = at, 0
+            while at < len(texts) and (at == start or size + len(texts[at]) <= WHOLE_CHARS):
+                size += len(texts[at])
+                at += 1
+            ids += [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch(texts[start:at], add_special_tokens=False)]
         return np.concatenate([np.zeros(0, np.uint16), *ids]), np.array([len(x) for x in ids], np.int64)
 
     def _learn_bare(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -147,14 +171,14 @@ class PieceEncoder:
     def _words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Letters after a space are one pre-token, so that the tokenizer's model takes them as they are."""
         tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        ids, lengths = [], []
+        ids, lengths = array("H"), array("q")
         for word in words:
             if not word.isascii():  # the bytes in the letters of the model
                 word = word.encode().decode("latin-1").translate(letters)
             tokens = tokenize("Ġ" + word)
-            ids += [t.id for t in tokens]
+            ids.extend([t.id for t in tokens])
             lengths.append(len(tokens))
-        return np.array(ids, np.uint16), np.array(lengths, np.int64)
+        return np.frombuffer(ids, np.uint16), np.frombuffer(lengths, np.int64)
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out, lengths = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
@@ -221,19 +245,20 @@ class PieceEncoder:
         odd = pc.match_substring_regex(texts, r" [\s\x0b\x1c-\x1f\x{85}\x{180e}\p{Z}]")
         for mark in self.added:
             odd = pc.or_(odd, pc.match_substring(texts, mark))
-        if len(self.spaced.words) + len(self.bare.words) > KNOWN_PIECES:
-            self.spaced.clear()
-            self.bare.clear()
+        self.spaced.turn()
+        self.bare.turn()
         cut = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         parts, edges = cut.flatten(), cut.offsets.to_numpy()
+        del cut
         first = edges[:-1] - edges[0]
         piece = np.ones(len(parts), bool)
         piece[first] = False
         heads, n_heads = self._whole(pc.if_else(odd, texts, parts.take(pa.array(first))).to_pylist())
         coded = parts.filter(pa.array(piece)).dictionary_encode()
+        del parts
         ids, n_ids = self._of_pieces(coded.dictionary)
         at = coded.indices.to_numpy()
-        starts, lengths = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64)
+        starts, lengths = np.empty(len(piece), np.int64), np.empty(len(piece), np.int64)
         starts[first], lengths[first] = np.cumsum(n_heads) - n_heads, n_heads
         starts[piece], lengths[piece] = (len(heads) + np.cumsum(n_ids) - n_ids)[at], n_ids[at]
         return gather(np.concatenate((heads, ids)), starts, lengths), np.add.reduceat(lengths, first)
@@ -259,7 +284,8 @@ def _groups_of(batches):
     keys, texts, size = [], [], 0
     for batch in batches:
         text = batch.column("_text").fill_null("").cast(pa.large_string())
-        keys.append(batch.column("_key"))
+        # a copy: the column of a batch that came from Spark keeps all of the batch, its texts included, in memory
+        keys.append(batch.column("_key").take(pa.array(np.arange(len(batch)))))
         texts.append(text)
         size += text.nbytes
         if size >= GROUP_BYTES:
@@ -274,7 +300,7 @@ def _file_writer(folder: str, tokenizer_path: str, end_id: int):
         encoder = worker_encoder(tokenizer_path)
         fs, root = open_path(folder)
         name = f"{root}/ids-{uuid.uuid4().hex}.tks"
-        out, keys, lengths, held = None, [], [], np.zeros(0, np.uint16)
+        out, keys, lengths, held, n_held = None, [], [], np.empty(SEGMENT_IDS, np.uint16), 0
         for key, texts in _groups_of(batches):
             if out is None:
                 fs.create_dir(root, recursive=True)
@@ -282,16 +308,20 @@ def _file_writer(folder: str, tokenizer_path: str, end_id: int):
                 out.write(MAGIC)
             keys += key
             ids, n = encoder.encode_array(texts)
-            held = np.concatenate((held, np.insert(ids, np.cumsum(n), np.uint16(end_id))))
+            ids = np.insert(ids, np.cumsum(n), np.uint16(end_id))
             lengths.append(n + 1)
-            ready = len(held) - len(held) % SEGMENT_IDS
-            for segment in segments(held[:ready]):
-                out.write(segment)
-            held = held[ready:]
+            while len(ids):
+                part, ids = ids[: SEGMENT_IDS - n_held], ids[SEGMENT_IDS - n_held:]
+                held[n_held: n_held + len(part)] = part
+                n_held += len(part)
+                if n_held == SEGMENT_IDS:
+                    for coded in segments(held):
+                        out.write(coded)
+                    n_held = 0
         if out is None:
             return
-        for segment in segments(held):
-            out.write(segment)
+        for coded in segments(held[:n_held]):
+            out.write(coded)
         n_ids = np.concatenate(lengths)
         table = pa.table({"key": pa.chunked_array(keys), "n": pa.array(n_ids, pa.int64())})
         sink = pa.BufferOutputStream()
@@ -321,12 +351,11 @@ def read_file(f):
 
     def ids():
         f.seek(len(MAGIC))
-        at = len(MAGIC)
-        data = f.read(end - at)
+        data = memoryview(f.read(end - len(MAGIC)))
         pos = 0
         while pos < len(data):
             pos, prior, blocks = read_segment(data, pos)
-            yield decode(prior, blocks)
+            yield from decoded(prior, blocks)
 
     return table.column("key"), table.column("n").to_pylist(), ids()
 

@@ -1,6 +1,9 @@
+import io
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from presswork.llm import mixcoder, tokens
@@ -118,3 +121,56 @@ def test_edge_cases(spark, docs, no_docs, tmp_path):
     assert by[1].n_tokens == by[2].n_tokens == 1
     assert sum(f.n_docs for f in files.collect()) == len(rows)
     assert tokens.digest(no_docs).count() == 0
+
+
+def test_coder_memory():
+    """Coding and decoding a segment takes little memory beside its ids."""
+    ids = np.random.default_rng(5).integers(0, 50000, mixcoder.BLOCK * 5000).astype(np.uint16)
+    tracemalloc.start()
+    data = pack(ids)
+    coding = tracemalloc.get_traced_memory()[1] - 2 * len(data)
+    tracemalloc.reset_peak()
+    before, done = tracemalloc.get_traced_memory()[0], 0
+    _, prior, blocks = mixcoder.read_segment(memoryview(data))
+    for part in mixcoder.decoded(prior, blocks):
+        assert np.array_equal(part, ids[done: done + len(part)])
+        done += len(part)
+    decoding = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert done == len(ids)
+    assert coding < 60e6 and decoding < 60e6, (coding, decoding)
+
+
+def test_keys_do_not_hold_texts():
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_pydict({"_key": pa.array([1, None, 3]), "_text": ["x" * 700_000] * 3})
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        for _ in range(8):
+            w.write_batch(batch)
+    raw, kept = sink.getvalue().to_pybytes(), []
+    before = pa.total_allocated_bytes()
+    for keys, texts in tokens._groups_of(iter(pa.ipc.open_stream(io.BytesIO(raw)))):
+        assert texts.nbytes <= tokens.GROUP_BYTES + batch.nbytes + 64
+        kept += keys
+    del texts
+    assert [k.to_pylist() for k in kept] == [[1, None, 3]] * 8
+    assert pa.total_allocated_bytes() - before < 1e6
+
+
+def test_known_strings_stay_while_they_are_met(monkeypatch):
+    monkeypatch.setattr(tokens, "KNOWN_PIECES", 50)
+    learned = []
+
+    def learn(words):
+        learned.extend(words.to_pylist())
+        sizes = np.array([len(w) for w in words.to_pylist()], np.int64)
+        return np.array([ord(c) for w in words.to_pylist() for c in w], np.uint16), sizes
+
+    known = tokens.Known(learn)
+    for i in range(40):
+        known.turn()
+        words = ["often", *(f"w{i}-{j}" for j in range(20)), "", "often", f"w{i}-3"]
+        starts, sizes = known.find(pa.array(words, pa.large_string()))
+        assert ["".join(map(chr, known.ids[a: a + n])) for a, n in zip(starts, sizes)] == words
+        assert len(known.words) < 50 + 22 and len(known.older[0]) < 50 + 22
+    assert learned.count("often") == 1 and len(learned) == 40 * 20 + 2
